@@ -144,7 +144,8 @@ auc AS (
   FROM cum GROUP BY {gg})"""
 
 
-def _sql_metrics(src: str, group: str | None) -> str:
+def _sql_metrics(src: str, group: str | None, final: str = "SELECT * FROM metrics") -> str:
+    """Oracle CTEs for evaluate(): ends with a ``metrics`` CTE, then ``final``."""
     g = f"{group}, " if group else ""
     gg = group if group else "ALL"
     p = group if group else "1"
@@ -157,7 +158,8 @@ conf AS (
          count(CASE WHEN label = 0 AND prediction = 1 THEN 1 END) AS fp,
          count(CASE WHEN label = 1 AND prediction <> 1 THEN 1 END) AS fn,
          count(CASE WHEN label = 0 AND prediction <> 1 THEN 1 END) AS tn
-  FROM {src} GROUP BY {gg}),{auc}
+  FROM {src} GROUP BY {gg}),{auc},
+metrics AS (
 SELECT {sel}
   round(CAST(tn AS DOUBLE) / nullif(tn + fp, 0), 6) AS acc_neg,
   round(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 6) AS acc_pos,
@@ -167,7 +169,8 @@ SELECT {sel}
   round(coalesce(CAST(2 * tp AS DOUBLE) / nullif(2 * tp + fn, 0), 0), 6) AS f1_pos,
   round(coalesce(CAST(2 * tp AS DOUBLE) / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1,
   round(auc, 6) AS auc
-FROM conf c {join}"""
+FROM conf c {join})
+{final}"""
 
 
 def _labelled(t) -> DataFrame:
@@ -197,3 +200,323 @@ def q_roc_auc(spark, sf):
     """A4: ROC AUC over labelled candidates."""
     return C.normalised(metrics.roc_auc(_labelled(C.tables(spark, sf)).withColumn("_all", F.lit(0)),
                                         group_cols=["_all"]).select("auc"))
+
+
+@register("classified_metrics", _SQL_LABELLED.replace(
+    "SELECT s.*, l.label", "SELECT s.*, CASE WHEN CAST(split_part(s.arg_id, '_', 2) AS INT) <= 5 "
+    "THEN 'train' WHEN CAST(split_part(s.arg_id, '_', 2) AS INT) <= 7 THEN 'dev' ELSE 'test' END "
+    "AS subset, l.label") + _sql_metrics(
+    "labelled", "subset", "SELECT subset, acc_neg AS neg_acc, acc_pos AS pos_acc, acc AS all_acc, "
+    "f1 AS all_f1, auc AS all_auc FROM metrics"))
+def q_classified_metrics(spark, sf):
+    """neg_acc, pos_acc, all_acc, all_f1, all_auc per subset."""
+    return C.normalised(metrics.classified_metrics(_labelled(C.tables(spark, sf)),
+                                                   group_cols=["subset"]))
+
+
+@register("precision_recall_curve", _SQL_LABELLED.replace(
+    "SELECT s.*, l.label", "SELECT s.*, CASE WHEN CAST(split_part(s.arg_id, '_', 2) AS INT) <= 5 "
+    "THEN 'train' WHEN CAST(split_part(s.arg_id, '_', 2) AS INT) <= 7 THEN 'dev' ELSE 'test' END "
+    "AS subset, l.label") + """,
+per_score AS (
+  SELECT subset, score, count(CASE WHEN label = 1 THEN 1 END) AS pos,
+         count(CASE WHEN label <> 1 THEN 1 END) AS neg
+  FROM labelled GROUP BY subset, score),
+cum AS (
+  SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp,
+         sum(pos) OVER (PARTITION BY subset) AS p_all
+  FROM per_score
+  WINDOW w AS (PARTITION BY subset ORDER BY score DESC
+               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT subset, round(score, 6) AS threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp,
+       round(CAST(tp AS DOUBLE) / (tp + fp), 6) AS precision,
+       round(CAST(tp AS DOUBLE) / nullif(p_all, 0), 6) AS recall
+FROM cum""")
+def q_precision_recall_curve(spark, sf):
+    """Precision / recall at every distinct score threshold, per subset."""
+    return C.normalised(metrics.precision_recall_curve(_labelled(C.tables(spark, sf)),
+                                                       group_cols=["subset"]))
+
+
+# ---------------------------------------------------------------- text functions
+
+from ..functions import text as TX  # noqa: E402
+from ..functions import scores as SC  # noqa: E402
+from ..sources.fixtures import read_table  # noqa: E402
+
+_CLEAN_SQL = "regexp_replace(lower({c}), '[^a-zA-Z]', ' ', 'g')"
+
+
+@register("clean_text", f"""
+SELECT arg_id, {_CLEAN_SQL.format(c="argument")} AS argument_clean FROM a""")
+def q_clean_text(spark, sf):
+    """C1 + C2 (``string_preprocessing``) over every argument text."""
+    t = C.tables(spark, sf)
+    return t.arguments.select("arg_id", TX.clean_text("argument").alias("argument_clean"))
+
+
+@register("strip_urls", r"""
+SELECT page_id, regexp_replace(url, 'https?://\S+|www\.\S+', '', 'g') AS url_stripped,
+       regexp_replace(html, 'https?://\S+|www\.\S+', '', 'g') AS html_stripped
+FROM pages""")
+def q_strip_urls(spark, sf):
+    """C3 over page urls and html."""
+    p = read_table(spark, sf, "pages")
+    return p.select("page_id", TX.strip_urls("url").alias("url_stripped"),
+                    TX.strip_urls("html").alias("html_stripped"))
+
+
+@register("strip_tags", """
+SELECT page_id, regexp_replace(html, '<.*?>', '', 'g') AS html_stripped FROM pages""")
+def q_strip_tags(spark, sf):
+    """C4 over page html."""
+    p = read_table(spark, sf, "pages")
+    return p.select("page_id", TX.strip_tags("html").alias("html_stripped"))
+
+
+@register("strip_emoji", r"""
+SELECT doc_id, regexp_replace(text, '[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}\x{2702}-\x{27B0}\x{24C2}-\x{1F251}]+', '', 'g') AS text_stripped
+FROM documents""")
+def q_strip_emoji(spark, sf):
+    """C5 over document texts."""
+    d = read_table(spark, sf, "documents")
+    return d.select("doc_id", TX.strip_emoji("text").alias("text_stripped"))
+
+
+@register("extract_topic", """
+SELECT arg_id AS id, CAST(split_part(arg_id, '_', 2) AS INT) AS topic_id FROM a
+UNION ALL
+SELECT key_point_id AS id, CAST(split_part(key_point_id, '_', 2) AS INT) AS topic_id FROM k""")
+def q_extract_topic(spark, sf):
+    """Topic id parsed from argument and key point ids (strict)."""
+    t = C.tables(spark, sf)
+    ids = t.arguments.select(F.col("arg_id").alias("id")).unionByName(
+        t.key_points.select(F.col("key_point_id").alias("id")))
+    return ids.select("id", TX.topic_id("id").alias("topic_id"))
+
+
+@register("stance_text", """
+SELECT arg_id, stance, CASE WHEN stance = 1 THEN ' is positive' WHEN stance = -1 THEN ' is negative' END
+       AS stance_phrase FROM a""")
+def q_stance_text(spark, sf):
+    """Stance decoded to its phrase."""
+    t = C.tables(spark, sf)
+    return t.arguments.select("arg_id", "stance", TX.stance_text("stance").alias("stance_phrase"))
+
+
+_SQL_PAIRS = """
+pairs AS (
+  SELECT l.arg_id, a.argument, l.key_point_id, k.key_point, a.topic, a.stance, l.label
+  FROM lab l JOIN a ON l.arg_id = a.arg_id JOIN k ON l.key_point_id = k.key_point_id)"""
+
+
+@register("pair_text", _SQL_PAIRS + f"""
+SELECT arg_id, key_point_id, {_CLEAN_SQL.format(c="argument")} AS argument_clean,
+       {_CLEAN_SQL.format(c="key_point")} AS key_point_clean FROM pairs""")
+def q_pair_text(spark, sf):
+    """Cleaned argument and key point of every labelled pair."""
+    t = C.tables(spark, sf)
+    p = pairs.pair_text(pairs.labelled_pairs(t.arguments, t.key_points, t.labels))
+    return p.select("arg_id", "key_point_id", "argument_clean", "key_point_clean")
+
+
+@register("pair_text_topic_stance", _SQL_PAIRS + f"""
+SELECT arg_id, key_point_id, {_CLEAN_SQL.format(c="argument")} AS argument_clean,
+       {_CLEAN_SQL.format(c="key_point")} AS key_point_clean,
+       concat({_CLEAN_SQL.format(c="topic")},
+              CASE WHEN stance = 1 THEN ' is positive' ELSE ' is negative' END) AS topic_segment
+FROM pairs""")
+def q_pair_text_topic_stance(spark, sf):
+    """Cleaned pair plus the topic + stance segment (add_info='topic,stance')."""
+    t = C.tables(spark, sf)
+    p = pairs.pair_segments(pairs.labelled_pairs(t.arguments, t.key_points, t.labels),
+                            "topic,stance")
+    return p.select("arg_id", "key_point_id", "argument_clean", "key_point_clean",
+                    F.element_at("segments", 1).alias("topic_segment"))
+
+
+# ---------------------------------------------------------------- scores
+
+@register("score_softmax", C.SQL_SCORED + """
+SELECT arg_id, key_point_id, round(score, 6) AS score FROM scored""")
+def q_score_softmax(spark, sf):
+    """Positive-class row softmax of the scorer logits."""
+    t = C.tables(spark, sf)
+    return C.normalised(C.scored_candidates(t).select("arg_id", "key_point_id", "score"))
+
+
+@register("predict_argmax", C.SQL_SCORED + """
+SELECT arg_id, key_point_id, prediction FROM scored""")
+def q_predict_argmax(spark, sf):
+    """C11: argmax class (ties -> 0)."""
+    t = C.tables(spark, sf)
+    return t.logits.select("arg_id", "key_point_id",
+                           SC.argmax_class("l0", "l1").alias("prediction"))
+
+
+@register("predict_threshold", """
+SELECT arg_id, key_point_id,
+       CAST(CASE WHEN 1.0 / (1.0 + exp(-(CAST(l1 - l0 AS DOUBLE) / 100.0))) >= 0.5 THEN 1 ELSE 0 END
+            AS INTEGER) AS prediction
+FROM pred""")
+def q_predict_threshold(spark, sf):
+    """Sigmoid of a single logit (l1 - l0) / 100, threshold 0.5 inclusive."""
+    t = C.tables(spark, sf)
+    x = (F.col("l1") - F.col("l0")).cast("double") / F.lit(100.0)
+    return t.logits.select("arg_id", "key_point_id", SC.threshold_class(x, 0.5).alias("prediction"))
+
+
+_SQL_BATCHED = """
+batched AS (
+  SELECT arg_id, key_point_id, l0 / 100.0 AS x0, l1 / 100.0 AS x1,
+         CAST((row_number() OVER (ORDER BY arg_id, key_point_id) - 1) // 64 AS BIGINT) AS batch_id
+  FROM pred)"""
+
+
+@register("score_batch_softmax", _SQL_BATCHED + """,
+bm AS (
+  SELECT *, max(greatest(x0, x1)) OVER (PARTITION BY batch_id) AS m FROM batched),
+bz AS (
+  SELECT *, sum(exp(x0 - m) + exp(x1 - m)) OVER (PARTITION BY batch_id) AS z FROM bm)
+SELECT arg_id, key_point_id, batch_id,
+       round(1.0 / (1.0 + exp(exp(x0 - m) / z - exp(x1 - m) / z)), 6) AS score
+FROM bz""")
+def q_score_batch_softmax(spark, sf):
+    """C10 (ledger L5): softmax over the whole batch of 64, then a row softmax. Batches are
+    numbered by the distributed two-level rank over (arg_id, key_point_id)."""
+    from ..operators.scoring import number_batches
+    t = C.tables(spark, sf)
+    x = t.logits.select("arg_id", "key_point_id",
+                        (F.col("l0") / F.lit(100.0)).alias("x0"),
+                        (F.col("l1") / F.lit(100.0)).alias("x1"))
+    b = number_batches(x, ["arg_id", "key_point_id"], 64)
+    out = SC.batch_then_row_softmax(b, "x0", "x1", "batch_id")
+    return C.normalised(out.select("arg_id", "key_point_id", "batch_id", "score"))
+
+
+# ---------------------------------------------------------------- losses
+
+_SQL_LAB_LOGITS = """
+ll AS (
+  SELECT p.arg_id, p.key_point_id, p.l0 / 100.0 AS x0, p.l1 / 100.0 AS x1, l.label
+  FROM pred p JOIN lab l ON p.arg_id = l.arg_id AND p.key_point_id = l.key_point_id),
+nll AS (
+  SELECT *, greatest(x0, x1) + ln(exp(x0 - greatest(x0, x1)) + exp(x1 - greatest(x0, x1)))
+            - CASE WHEN label = 1 THEN x1 ELSE x0 END AS nll,
+         CASE WHEN label = 1 THEN 4.0 ELSE 1.0 END AS w
+  FROM ll)"""
+
+
+@register("weighted_log_loss", _SQL_LAB_LOGITS + """
+SELECT round(avg(nll), 6) AS loss_ce, round(sum(w * nll) / sum(w), 6) AS loss_weighted FROM nll""")
+def q_weighted_log_loss(spark, sf):
+    """Cross-entropy over labelled candidates, plain and with class weights [1, 4]."""
+    t = C.tables(spark, sf)
+    ll = _lab_logits(t)
+    plain = metrics.weighted_log_loss(ll, "x0", "x1", "label").withColumnRenamed("loss", "loss_ce")
+    wtd = metrics.weighted_log_loss(ll, "x0", "x1", "label", (1.0, 4.0)).withColumnRenamed(
+        "loss", "loss_weighted")
+    return C.normalised(_one_row(plain, wtd))
+
+
+def _lab_logits(t) -> DataFrame:
+    return (t.logits.join(t.labels.select("arg_id", "key_point_id", "label"),
+                          ["arg_id", "key_point_id"])
+            .select("arg_id", "key_point_id", (F.col("l0") / F.lit(100.0)).alias("x0"),
+                    (F.col("l1") / F.lit(100.0)).alias("x1"), "label"))
+
+
+def _one_row(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Put two one-row aggregates side by side (joined on a constant key)."""
+    k = F.lit(0).alias("_k")
+    return a.select(k, "*").join(b.select(k, "*"), "_k").drop("_k")
+
+
+@register("bce_log_loss", """
+x AS (
+  SELECT (p.l1 - p.l0) / 100.0 AS x, CAST(l.label AS DOUBLE) AS y
+  FROM pred p JOIN lab l ON p.arg_id = l.arg_id AND p.key_point_id = l.key_point_id),
+sp AS (
+  SELECT y, ln(1 + exp(-abs(x))) + greatest(x, 0) AS sp_pos,
+         ln(1 + exp(-abs(-x))) + greatest(-x, 0) AS sp_neg FROM x)
+SELECT round(avg(y * sp_neg + (1 - y) * sp_pos), 6) AS loss_bce,
+       round(avg(4.0 * y * sp_neg + (1 - y) * sp_pos), 6) AS loss_bce_pw4 FROM sp""")
+def q_bce_log_loss(spark, sf):
+    """BCE with logits on the single logit (l1 - l0) / 100, positive weight 1 and 4."""
+    t = C.tables(spark, sf)
+    d = (t.logits.join(t.labels.select("arg_id", "key_point_id", "label"),
+                       ["arg_id", "key_point_id"])
+         .select(((F.col("l1") - F.col("l0")) / F.lit(100.0)).alias("x"), "label"))
+    a = metrics.bce_log_loss(d, "x", "label").withColumnRenamed("loss", "loss_bce")
+    b = metrics.bce_log_loss(d, "x", "label", 4.0).withColumnRenamed("loss", "loss_bce_pw4")
+    return C.normalised(_one_row(a, b))
+
+
+@register("batch_mean_loss", _SQL_LAB_LOGITS + """,
+nb AS (
+  SELECT nll, CAST((row_number() OVER (ORDER BY arg_id, key_point_id) - 1) // 64 AS BIGINT) AS b
+  FROM nll),
+per AS (SELECT b, avg(nll) AS m FROM nb GROUP BY b)
+SELECT round(avg(m), 6) AS loss, count(*) AS n_batches FROM per""")
+def q_batch_mean_loss(spark, sf):
+    """Epoch loss as the mean of per-batch mean cross-entropy (batches of 64)."""
+    from ..operators.scoring import number_batches
+    t = C.tables(spark, sf)
+    ll = _lab_logits(t).withColumn("nll", SC.two_class_nll("x0", "x1", "label"))
+    b = number_batches(ll, ["arg_id", "key_point_id"], 64)
+    return C.normalised(metrics.batch_mean_loss(b, "nll", "batch_id"))
+
+
+# ---------------------------------------------------------------- filters, samples, unions
+
+@register("invalid_key_points", """
+SELECT DISTINCT key_point_id FROM pred
+WHERE key_point_id NOT IN (SELECT key_point_id FROM k WHERE tid >= 8)""")
+def q_invalid_key_points(spark, sf):
+    """A submission over every candidate checked against the test key-point file; each
+    unknown key point is listed once."""
+    t = C.tables(spark, sf)
+    sub = C.scored_candidates(t).select("arg_id", "key_point_id", "score")
+    _, invalid = pairs.split_known(sub, t.key_points.filter(F.col("subset") == "test"))
+    return invalid
+
+
+@register("sample_arguments", _SQL_PAIRS + """,
+ids AS (SELECT DISTINCT arg_id FROM pairs),
+ranked AS (
+  SELECT arg_id, row_number() OVER (ORDER BY md5(concat('42|', arg_id)), arg_id) AS rn,
+         count(*) OVER () AS n FROM ids)
+SELECT p.arg_id, p.key_point_id, p.label FROM pairs p
+JOIN ranked r ON p.arg_id = r.arg_id WHERE r.rn <= floor(r.n * 0.5)""")
+def q_sample_arguments(spark, sf):
+    """T4: all pairs of a reproducible half of the arguments (ratio 0.5, seed 42)."""
+    t = C.tables(spark, sf)
+    p = pairs.labelled_pairs(t.arguments, t.key_points, t.labels)
+    return pairs.sample_arguments(p, 0.5, 42).select("arg_id", "key_point_id", "label")
+
+
+_SQL_FIT = _SQL_PAIRS.replace("SELECT l.arg_id,", "SELECT a.tid, l.arg_id,")
+
+
+@register("fit_pairs", _SQL_FIT + """
+SELECT DISTINCT arg_id, argument, key_point_id, key_point, topic, stance, label
+FROM pairs WHERE tid <= 7""")
+def q_fit_pairs(spark, sf):
+    """Train union dev with full-row dedupe (the k-fold input)."""
+    t = C.tables(spark, sf)
+    p = pairs.labelled_pairs(t.arguments, t.key_points, t.labels)
+    tr = p.filter(F.col("subset") == "train").drop("subset")
+    dv = p.filter(F.col("subset") == "dev").drop("subset")
+    return pairs.fit_pairs(tr, dv)
+
+
+@register("fit_pairs_all", _SQL_FIT + """
+SELECT arg_id, argument, key_point_id, key_point, topic, stance, label
+FROM pairs WHERE tid <= 7""")
+def q_fit_pairs_all(spark, sf):
+    """Train union dev without dedupe."""
+    t = C.tables(spark, sf)
+    p = pairs.labelled_pairs(t.arguments, t.key_points, t.labels)
+    tr = p.filter(F.col("subset") == "train").drop("subset")
+    dv = p.filter(F.col("subset") == "dev").drop("subset")
+    return pairs.fit_pairs(tr, dv, dedupe=False)
