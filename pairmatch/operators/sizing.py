@@ -23,3 +23,10 @@ def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
     """``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df`` unchanged."""
     return F.broadcast(df) if row_count_at_most(df, max_rows) else df
+
+
+def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach the columns of a global aggregate (exactly one row: a proven size bound) to every
+    row of ``df``. Broadcast, so the constant join key never routes rows to one partition."""
+    k = F.lit(0).alias("_pm_k")
+    return df.select(k, "*").join(F.broadcast(one_row.select(k, "*")), "_pm_k").drop("_pm_k")

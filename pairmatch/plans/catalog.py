@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import matching, metrics, pairs
+from ..operators.sizing import with_scalars
 from . import common as C
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,18 +131,18 @@ labelled AS (
   ON s.arg_id = l.arg_id AND s.key_point_id = l.key_point_id)"""
 
 _SQL_AUC_BODY = """
-per_score AS (
+auc_ps AS (
   SELECT {g} score, count(CASE WHEN label = 1 THEN 1 END) AS pos,
          count(CASE WHEN label = 0 THEN 1 END) AS neg
   FROM {src} GROUP BY {g} score),
-cum AS (
+auc_cum AS (
   SELECT *, sum(neg) OVER (PARTITION BY {p} ORDER BY score
                            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cneg
-  FROM per_score),
+  FROM auc_ps),
 auc AS (
   SELECT {g} CAST(sum(pos * (cneg - neg + neg * 0.5)) AS DOUBLE)
          / nullif(CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE), 0) AS auc
-  FROM cum GROUP BY {gg})"""
+  FROM auc_cum GROUP BY {gg})"""
 
 
 def _sql_metrics(src: str, group: str | None, final: str = "SELECT * FROM metrics") -> str:
@@ -427,9 +428,8 @@ def _lab_logits(t) -> DataFrame:
 
 
 def _one_row(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Put two one-row aggregates side by side (joined on a constant key)."""
-    k = F.lit(0).alias("_k")
-    return a.select(k, "*").join(b.select(k, "*"), "_k").drop("_k")
+    """Put two one-row aggregates side by side."""
+    return with_scalars(a, b)
 
 
 @register("bce_log_loss", """
@@ -520,3 +520,283 @@ def q_fit_pairs_all(spark, sf):
     tr = p.filter(F.col("subset") == "train").drop("subset")
     dv = p.filter(F.col("subset") == "dev").drop("subset")
     return pairs.fit_pairs(tr, dv, dedupe=False)
+
+
+# ---------------------------------------------------------------- folds
+
+from ..operators import ensemble as EN  # noqa: E402
+from ..operators import folds as FO  # noqa: E402
+from ..operators import profile as PR  # noqa: E402
+from ..sources.fixtures import fold_logits  # noqa: E402
+
+
+def _fit(t) -> DataFrame:
+    p = pairs.labelled_pairs(t.arguments, t.key_points, t.labels)
+    tr = p.filter(F.col("subset") == "train").drop("subset")
+    dv = p.filter(F.col("subset") == "dev").drop("subset")
+    return pairs.fit_pairs(tr, dv)
+
+
+def _sql_kfold(key: str, k: int, src: str = "fit") -> str:
+    return f"""
+keys AS (SELECT DISTINCT {key} AS key FROM {src}),
+ranked AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS i, count(*) OVER () AS n FROM keys),
+qr AS (SELECT key, i, n // {k} AS q, n % {k} AS r FROM ranked),
+folds AS (
+  SELECT key AS {key}, CAST(i AS BIGINT) AS key_id,
+         CAST(CASE WHEN i < r * (q + 1) THEN i // (q + 1) ELSE r + (i - r * (q + 1)) // q END AS INTEGER) AS fold
+  FROM qr)"""
+
+
+_SQL_FIT_DEDUP = _SQL_FIT + """,
+fit AS (SELECT DISTINCT arg_id, argument, key_point_id, key_point, topic, stance, label
+        FROM pairs WHERE tid <= 7)"""
+
+
+@register("topic_folds", _SQL_FIT_DEDUP + "," + _sql_kfold("topic", 7) + """
+SELECT topic, key_id AS topic_id, fold FROM folds""")
+def q_topic_folds(spark, sf):
+    """F1 + W4: topics of train + dev enumerated in sorted order, 7 contiguous folds."""
+    return FO.topic_folds(_fit(C.tables(spark, sf)), 7)
+
+
+@register("argument_folds", _SQL_FIT_DEDUP + "," + _sql_kfold("arg_id", 5) + """
+SELECT arg_id, key_id AS arg_key_id, fold FROM folds""")
+def q_argument_folds(spark, sf):
+    """arguments of train + dev in 5 contiguous folds (distributed rank)."""
+    return FO.argument_folds(_fit(C.tables(spark, sf)), 5)
+
+
+@register("fold_members", _SQL_FIT_DEDUP + "," + _sql_kfold("topic", 7) + """
+SELECT f.arg_id, f.key_point_id, f.topic, d.fold FROM fit f JOIN folds d ON f.topic = d.topic""")
+def q_fold_members(spark, sf):
+    """F2 + F3: the row keys of every pair with the fold in which it is the dev set (it is in
+    the train set of every other fold)."""
+    fit = _fit(C.tables(spark, sf))
+    folds = FO.topic_folds(fit, 7)
+    return FO.with_folds(fit, folds.select("topic", "fold"), "topic").select(
+        "arg_id", "key_point_id", "topic", "fold")
+
+
+@register("fold_sizes", _SQL_FIT_DEDUP + "," + _sql_kfold("topic", 7) + """,
+m AS (SELECT f.*, d.fold FROM fit f JOIN folds d ON f.topic = d.topic),
+per AS (SELECT fold, count(*) AS n_pairs, count(DISTINCT arg_id) AS n_arguments,
+               count(DISTINCT topic) AS n_topics FROM m GROUP BY fold),
+tot AS (SELECT count(*) AS t_pairs, count(DISTINCT arg_id) AS t_arguments,
+               count(DISTINCT topic) AS t_topics FROM m)
+SELECT fold, 'dev' AS role, n_pairs, n_arguments, n_topics FROM per
+UNION ALL
+SELECT fold, 'train' AS role, t_pairs - n_pairs, t_arguments - n_arguments, t_topics - n_topics
+FROM per, tot""")
+def q_fold_sizes(spark, sf):
+    """train / dev sizes of every fold (topic-disjoint by construction)."""
+    fit = _fit(C.tables(spark, sf))
+    folds = FO.topic_folds(fit, 7)
+    return FO.fold_sizes(FO.with_folds(fit, folds.select("topic", "fold"), "topic"), "topic")
+
+
+# ---------------------------------------------------------------- ensemble
+
+_SQL_ENS = """
+fl AS (
+  SELECT p.arg_id, p.key_point_id, p.l0, CAST(f.fold AS INTEGER) AS fold,
+         ((p.l1 + 500) * (f.fold + 1)) % 1009 - 500 AS l1f
+  FROM pred p CROSS JOIN (SELECT range AS fold FROM range(7)) f),
+fs AS (
+  SELECT arg_id, key_point_id, fold, 1.0 / (1.0 + exp(CAST(l0 - l1f AS DOUBLE) / 100.0)) AS score,
+         CAST(CASE WHEN l1f > l0 THEN 1 ELSE 0 END AS INTEGER) AS prediction
+  FROM fl),
+ens AS (
+  SELECT arg_id, key_point_id, avg(score) AS score, count(*) AS n_folds,
+         arg_min(prediction, fold) AS prediction
+  FROM fs GROUP BY arg_id, key_point_id)"""
+
+
+def _fold_scored(t, k: int = 7) -> DataFrame:
+    fl = fold_logits(t.logits, k)
+    return fl.select("arg_id", "key_point_id", "fold", "subset", C.logit_score().alias("score"),
+                     (F.col("l1") > F.col("l0")).cast("int").alias("prediction"))
+
+
+@register("ensemble_scores", _SQL_ENS + """
+SELECT arg_id, key_point_id, round(score, 6) AS score, n_folds, prediction FROM ens""")
+def q_ensemble_scores(spark, sf):
+    """J9 + A20: mean score over 7 fold scorers per pair; prediction from fold 0."""
+    return C.normalised(EN.ensemble_scores(_fold_scored(C.tables(spark, sf))))
+
+
+@register("ensemble_label_scores", _SQL_ENS + """
+SELECT l.arg_id, l.key_point_id, l.label, round(e.score, 6) AS score
+FROM lab l LEFT JOIN ens e ON l.arg_id = e.arg_id AND l.key_point_id = e.key_point_id""")
+def q_ensemble_label_scores(spark, sf):
+    """The label file with the ensemble score attached by key."""
+    t = C.tables(spark, sf)
+    ens = EN.ensemble_scores(_fold_scored(t))
+    return C.normalised(EN.attach_scores(t.labels.select("arg_id", "key_point_id", "label"), ens))
+
+
+_KFOLD_METRIC_COLS = ", ".join(f"round(avg({m}), 6) AS {m}_test" for m in metrics.METRIC_NAMES)
+
+
+@register("kfold_report", _SQL_ENS + """,
+fl_lab AS (
+  SELECT fs.*, l.label FROM fs JOIN lab l
+  ON fs.arg_id = l.arg_id AND fs.key_point_id = l.key_point_id)""" + _sql_metrics(
+    "fl_lab", "fold", "").rstrip() + """,
+fold_avg AS (SELECT """ + ", ".join(f"avg({m}) AS {m}" for m in metrics.METRIC_NAMES) + """ FROM metrics),
+scored AS (SELECT arg_id, key_point_id, score FROM ens)""" + C.SQL_AP[len(C.SQL_SCORED):] + """
+SELECT 'ensemble_kfold' AS name, -1 AS epoch_stop, 'plain' AS mode, CAST(NULL AS VARCHAR) AS add_info,
+       """ + ", ".join(f"round(f.{m}, 6) AS {m}_test" for m in metrics.METRIC_NAMES) + """,
+       '7 folds' AS model_path,
+       (SELECT round(avg(ap_strict), 6) FROM ap) AS mAP_strict,
+       (SELECT round(avg(ap_relaxed), 6) FROM ap) AS mAP_relaxed
+FROM fold_avg f""")
+def q_kfold_report(spark, sf):
+    """The k-fold report row: per-fold test metrics averaged over 7 folds (one grouped
+    pass), epoch_stop -1, model_path '7 folds', and the mAP of the ensemble submission."""
+    t = C.tables(spark, sf)
+    fs = _fold_scored(t)
+    lab = fs.join(t.labels.select("arg_id", "key_point_id", "label"), ["arg_id", "key_point_id"])
+    per_fold = metrics.binary_metrics(lab, group_cols=["fold"], suffix="_test")
+    ens = EN.ensemble_scores(fs).select("arg_id", "key_point_id", "score")
+    matched = matching.get_predictions(ens, t.arguments, t.key_points, t.labels)
+    mAP = metrics.mean_average_precision(matched)
+    rep = EN.fold_report(per_fold, "ensemble", 7, mAP)
+    return C.normalised(rep)
+
+
+# ---------------------------------------------------------------- corpus profile
+
+def _all_pairs(t) -> DataFrame:
+    return pairs.labelled_pairs(t.arguments, t.key_points, t.labels).drop("subset")
+
+
+_PAIR_COLS_SQL = ["arg_id", "argument", "key_point_id", "key_point", "topic", "stance", "label"]
+
+
+@register("corpus_profile", _SQL_PAIRS + """
+SELECT count(*) AS n_rows, count(DISTINCT topic) AS n_topics, count(DISTINCT argument) AS n_arguments,
+       count(DISTINCT key_point_id) AS n_key_points, count(DISTINCT key_point) AS n_key_point_texts,
+       """ + ", ".join(f"count({c}) AS nonnull_{c}" for c in _PAIR_COLS_SQL) + """,
+       count(DISTINCT argument) <> count(*) AS dup_argument,
+       count(DISTINCT key_point) <> count(*) AS dup_key_point,
+       count(DISTINCT topic) <> count(*) AS dup_topic
+FROM pairs""")
+def q_corpus_profile(spark, sf):
+    """A10 + A11 + A24 over the labelled pairs."""
+    return PR.corpus_profile(_all_pairs(C.tables(spark, sf)))
+
+
+@register("label_counts", _SQL_PAIRS + """
+SELECT label, count(*) AS n FROM pairs GROUP BY label""")
+def q_label_counts(spark, sf):
+    """Label histogram."""
+    return PR.label_counts(_all_pairs(C.tables(spark, sf)))
+
+
+@register("stance_ratio", _SQL_PAIRS + """
+SELECT topic, count(CASE WHEN stance = 1 THEN 1 END) AS n_pos,
+       count(CASE WHEN stance = -1 THEN 1 END) AS n_neg,
+       round(CAST(count(CASE WHEN stance = 1 THEN 1 END) AS DOUBLE)
+             / nullif(count(CASE WHEN stance = -1 THEN 1 END), 0), 6) AS ratio
+FROM pairs GROUP BY topic""")
+def q_stance_ratio(spark, sf):
+    """Positive / negative stance rows per topic."""
+    return C.normalised(PR.stance_ratio(_all_pairs(C.tables(spark, sf))))
+
+
+def _sql_len_stats(kind: str, col: str, src: str, length: str) -> str:
+    return f"""
+SELECT '{kind}' AS kind, count(*) AS n, CAST(min(len) AS BIGINT) AS min_len,
+       CAST(max(len) AS BIGINT) AS max_len, CAST(sum(len) AS BIGINT) AS sum_len,
+       round(avg(len), 6) AS mean_len
+FROM (SELECT {length.format(c='x')} AS len FROM (SELECT DISTINCT {col} AS x FROM {src}))"""
+
+
+_WORDS_SQL = "len(string_split({c}, ' '))"
+_TOKENS_SQL = ("len(list_filter(string_split(regexp_replace(lower({c}), '[^a-zA-Z]', ' ', 'g'), ' '), "
+               "lambda w: w <> ''))")
+
+
+def _len_query(length_sql: str) -> str:
+    return ("\nUNION ALL".join([
+        _sql_len_stats("argument", "argument", "a", length_sql),
+        _sql_len_stats("topic", "topic", "a", length_sql),
+        _sql_len_stats("key_point", "key_point", "k", length_sql)]))
+
+
+def _length_frames(t, fn) -> DataFrame:
+    parts = [PR.length_stats(t.arguments.select("argument"), fn, "argument"),
+             PR.length_stats(t.arguments.select("topic"), fn, "topic"),
+             PR.length_stats(t.key_points.select("key_point"), fn, "key_point")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return C.normalised(out)
+
+
+@register("text_lengths", "x0 AS (SELECT 1)" + _len_query(_WORDS_SQL))
+def q_text_lengths(spark, sf):
+    """Word lengths (split on one space) of distinct arguments, topics and key points."""
+    return _length_frames(C.tables(spark, sf), TX.word_count)
+
+
+@register("token_lengths", "x0 AS (SELECT 1)" + _len_query(_TOKENS_SQL))
+def q_token_lengths(spark, sf):
+    """Token lengths with the default tokenizer (non-empty cleaned words)."""
+    return _length_frames(C.tables(spark, sf), PR.token_length)
+
+
+@register("max_pair_length", _SQL_PAIRS + f"""
+SELECT CAST(max({_WORDS_SQL.format(c='argument')} + {_WORDS_SQL.format(c='topic')}) AS BIGINT) AS max_pair_words,
+       CAST(max({_TOKENS_SQL.format(c='argument')} + {_TOKENS_SQL.format(c='topic')}) AS BIGINT) AS max_pair_tokens
+FROM pairs""")
+def q_max_pair_length(spark, sf):
+    """Longest argument + topic over the labelled pairs."""
+    return PR.max_pair_length(_all_pairs(C.tables(spark, sf)))
+
+
+def _sql_hist(kind: str, values: str, density: bool) -> str:
+    h = "CAST(coalesce(c.cnt, 0) AS DOUBLE) / (s.n * s.w)" if density else "CAST(coalesce(c.cnt, 0) AS DOUBLE)"
+    return f"""
+SELECT '{kind}' AS kind, b.bin + 1 AS bin, round(s.lo0 + b.bin * s.w, 6) AS bin_lo,
+       round(s.lo0 + (b.bin + 1) * s.w, 6) AS bin_hi, CAST(coalesce(c.cnt, 0) AS BIGINT) AS n,
+       round({h}, 6) AS height
+FROM (SELECT range AS bin FROM range(10)) b
+CROSS JOIN (SELECT *, CASE WHEN hi = lo THEN lo - 0.5 ELSE lo END AS lo0,
+                   CASE WHEN hi = lo THEN 0.1 ELSE (hi - lo) / 10 END AS w
+            FROM (SELECT min(v) AS lo, max(v) AS hi, count(*) AS n FROM ({values}))) s
+LEFT JOIN (
+  SELECT CASE WHEN hi = lo THEN 5 ELSE least(floor((v - lo) * 10 / (hi - lo)), 9) END AS bin,
+         count(*) AS cnt
+  FROM ({values}) CROSS JOIN (SELECT min(v) AS lo, max(v) AS hi FROM ({values}))
+  GROUP BY 1) c ON c.bin = b.bin"""
+
+
+_HIST_ARG = f"SELECT CAST({_WORDS_SQL.format(c='x')} AS DOUBLE) AS v FROM (SELECT DISTINCT argument AS x FROM a)"
+_HIST_RATIO = ("SELECT CAST(count(CASE WHEN stance = 1 THEN 1 END) AS DOUBLE) / "
+               "nullif(count(CASE WHEN stance = -1 THEN 1 END), 0) AS v FROM pairs GROUP BY topic "
+               "HAVING count(CASE WHEN stance = -1 THEN 1 END) > 0")
+
+
+@register("length_histogram", _SQL_PAIRS + _sql_hist("argument_words", _HIST_ARG, True)
+          + "\nUNION ALL" + _sql_hist("stance_ratio", _HIST_RATIO, False))
+def q_length_histogram(spark, sf):
+    """10-bin histograms: argument word lengths (density) and per-topic stance ratios
+    (counts)."""
+    t = C.tables(spark, sf)
+    lens = t.arguments.select("argument").distinct().select(
+        TX.word_count("argument").alias("len"))
+    ratios = PR.stance_ratio(_all_pairs(t)).select("ratio")
+    h = PR.histogram(lens, "len", "argument_words", True).unionByName(
+        PR.histogram(ratios, "ratio", "stance_ratio", False))
+    return C.normalised(h)
+
+
+@register("label_mean_spread", _SQL_PAIRS + """
+SELECT round((SELECT stddev_samp(m) FROM (SELECT avg(label) AS m FROM pairs GROUP BY arg_id)), 6) AS std_arg_id,
+       round((SELECT stddev_samp(m) FROM (SELECT avg(label) AS m FROM pairs GROUP BY key_point_id)), 6) AS std_key_point_id,
+       round((SELECT stddev_samp(m) FROM (SELECT avg(label) AS m FROM pairs GROUP BY topic)), 6) AS std_topic""")
+def q_label_mean_spread(spark, sf):
+    """Spread of the mean label per argument, key point and topic."""
+    return C.normalised(PR.label_mean_spread(_all_pairs(C.tables(spark, sf))))

@@ -149,3 +149,12 @@ pred AS (
          CAST((a.doc_id * 37199 + k.item_id * 9973) % 1009 AS INT) - 500 AS l1
   FROM a JOIN k ON a.tid = k.tid AND a.stance = k.stance)
 """
+
+
+def fold_logits(logits: DataFrame, num_folds: int = 7) -> DataFrame:
+    """Per-fold scorer outputs for the ensemble queries: fold f keeps l0 and uses
+    l1_f = ((l1 + 500) * (f + 1)) % 1009 - 500. Adds ``fold``."""
+    _, _, m1, s1 = LOGIT1
+    f = F.explode(F.sequence(F.lit(0), F.lit(num_folds - 1))).alias("fold")
+    x = logits.select("*", f)
+    return x.withColumn("l1", ((F.col("l1") + s1) * (F.col("fold") + 1)) % m1 - s1)
