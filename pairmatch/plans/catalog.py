@@ -800,3 +800,262 @@ SELECT round((SELECT stddev_samp(m) FROM (SELECT avg(label) AS m FROM pairs GROU
 def q_label_mean_spread(spark, sf):
     """Spread of the mean label per argument, key point and topic."""
     return C.normalised(PR.label_mean_spread(_all_pairs(C.tables(spark, sf))))
+
+
+# ---------------------------------------------------------------- thresholds (disabled modes)
+
+from ..operators import thresholds as TH  # noqa: E402
+
+
+def _sql_grid(kind: str, lo: float, hi: float, n: int) -> str:
+    x = f"CAST({lo!r} AS DOUBLE) + range * (CAST({hi!r} AS DOUBLE) - CAST({lo!r} AS DOUBLE)) / {n - 1}.0"
+    x = f"CASE WHEN range = {n - 1} THEN CAST({hi!r} AS DOUBLE) ELSE {x} END"
+    th = f"pow(10.0, {x})" if kind == "log" else x
+    return f"g AS (SELECT range AS i, {th} AS th FROM range({n}))"
+
+
+@register("threshold_f1", _SQL_LABELLED + ",\n" + _sql_grid(*TH.F1_GRID) + """,
+P AS (SELECT count(CASE WHEN label = 1 THEN 1 END) AS p FROM labelled),
+f AS (
+  SELECT g.i, g.th, count(CASE WHEN l.score >= g.th AND l.label = 1 THEN 1 END) AS tp,
+         count(CASE WHEN l.score >= g.th THEN 1 END) AS pp
+  FROM g CROSS JOIN labelled l GROUP BY g.i, g.th),
+f1 AS (SELECT i, th, coalesce(CAST(2 * tp AS DOUBLE) / nullif(pp + p, 0), 0) AS f1 FROM f, P),
+best AS (SELECT * FROM f1 ORDER BY f1 DESC, i LIMIT 1)
+SELECT round(CASE WHEN f1 > 0 THEN th ELSE -1 END, 6) AS threshold, round(f1, 6) AS f1 FROM best""")
+def q_threshold_f1(spark, sf):
+    """F1-optimal threshold over np.logspace(-1, 0, 5000) on labelled candidates."""
+    return C.normalised(TH.f1_threshold(_labelled(C.tables(spark, sf))))
+
+
+@register("threshold_youden", _SQL_LABELLED + """,
+ps AS (SELECT score, count(CASE WHEN label = 1 THEN 1 END) AS pos,
+              count(CASE WHEN label <> 1 THEN 1 END) AS neg FROM labelled GROUP BY score),
+c AS (SELECT score, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp,
+             sum(pos) OVER () AS p, sum(neg) OVER () AS n
+      FROM ps WINDOW w AS (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+j AS (SELECT score, CAST(tp AS DOUBLE) / p AS tpr, CAST(fp AS DOUBLE) / n AS fpr FROM c)
+SELECT round(score, 6) AS threshold, round(tpr, 6) AS tpr, round(fpr, 6) AS fpr,
+       round(tpr - fpr, 6) AS youden
+FROM j ORDER BY tpr - fpr DESC, score DESC LIMIT 1""")
+def q_threshold_youden(spark, sf):
+    """Youden threshold argmax(tpr - fpr) on labelled candidates."""
+    return C.normalised(TH.youden_threshold(_labelled(C.tables(spark, sf))))
+
+
+@register("predict_stored_threshold", _SQL_LABELLED.replace(
+    "SELECT s.*, l.label", "SELECT s.*, CAST(split_part(s.arg_id, '_', 2) AS INT) AS tid, l.label")
+    + ",\n" + _sql_grid(*TH.F1_GRID) + """,
+dev AS (SELECT * FROM labelled WHERE tid IN (6, 7)),
+P AS (SELECT count(CASE WHEN label = 1 THEN 1 END) AS p FROM dev),
+f AS (
+  SELECT g.i, g.th, count(CASE WHEN l.score >= g.th AND l.label = 1 THEN 1 END) AS tp,
+         count(CASE WHEN l.score >= g.th THEN 1 END) AS pp
+  FROM g CROSS JOIN dev l GROUP BY g.i, g.th),
+f1 AS (SELECT i, th, coalesce(CAST(2 * tp AS DOUBLE) / nullif(pp + p, 0), 0) AS f1 FROM f, P),
+best AS (SELECT CASE WHEN f1 > 0 THEN th ELSE -1 END AS th FROM f1 ORDER BY f1 DESC, i LIMIT 1)
+SELECT s.arg_id, s.key_point_id, CAST(CASE WHEN s.score >= b.th THEN 1 ELSE 0 END AS INTEGER) AS prediction
+FROM scored s, best b WHERE CAST(split_part(s.arg_id, '_', 2) AS INT) >= 8""")
+def q_predict_stored_threshold(spark, sf):
+    """D3: the F1 threshold tuned on dev applied to the test candidates."""
+    t = C.tables(spark, sf)
+    lab = _labelled(t)
+    th = TH.f1_threshold(lab.filter(F.col("subset") == "dev")).select("threshold")
+    test = C.scored_candidates(t).filter(F.col("subset") == "test")
+    out = TH.apply_threshold(with_scalars(test, th), F.col("threshold"))
+    return out.select("arg_id", "key_point_id", "prediction")
+
+
+@register("predict_best_match", C.SQL_MATCHED + """
+SELECT s.arg_id, s.key_point_id,
+       CAST(CASE WHEN b.arg_id IS NOT NULL THEN 1 ELSE s.prediction END AS INTEGER) AS prediction
+FROM scored s LEFT JOIN best b ON s.arg_id = b.arg_id AND s.key_point_id = b.key_point_id""")
+def q_predict_best_match(spark, sf):
+    """Argmax prediction, plus the best pair of every argument forced positive."""
+    s = C.scored_candidates(C.tables(spark, sf)).select("arg_id", "key_point_id", "score",
+                                                        "prediction")
+    return TH.force_best_match(s).select("arg_id", "key_point_id", "prediction")
+
+
+@register("threshold_best_match", _SQL_LABELLED + ",\n" + _sql_grid(*TH.BEST_MATCH_GRID) + """,
+lb AS (
+  SELECT l.*, row_number() OVER (PARTITION BY arg_id ORDER BY score DESC, key_point_id) = 1 AS best
+  FROM labelled l),
+base AS (SELECT count(CASE WHEN prediction = 1 AND label = 1 THEN 1 END) AS tp0,
+                count(CASE WHEN prediction = 1 THEN 1 END) AS pp0,
+                count(CASE WHEN label = 1 THEN 1 END) AS p FROM lb),
+fl AS (
+  SELECT g.i, g.th,
+         count(CASE WHEN lb.best AND lb.prediction <> 1 AND lb.score >= g.th AND lb.label = 1 THEN 1 END) AS tp1,
+         count(CASE WHEN lb.best AND lb.prediction <> 1 AND lb.score >= g.th THEN 1 END) AS pp1
+  FROM g CROSS JOIN lb GROUP BY g.i, g.th),
+f1 AS (SELECT i, th, coalesce(CAST(2 * (tp0 + tp1) AS DOUBLE) / nullif(pp0 + pp1 + p, 0), 0) AS f1
+       FROM fl, base)
+SELECT round(CASE WHEN f1 > 0 THEN th ELSE -1 END, 6) AS threshold, round(f1, 6) AS f1
+FROM f1 ORDER BY f1 DESC, i LIMIT 1""")
+def q_threshold_best_match(spark, sf):
+    """Best-match-above-threshold mode tuned over np.linspace(0, 0.1, 100)."""
+    lab = _labelled(C.tables(spark, sf))
+    return C.normalised(TH.best_match_threshold(lab))
+
+
+@register("early_stop_epoch", """
+fl AS (
+  SELECT p.arg_id, p.key_point_id, l.label, p.l0 / 100.0 AS x0,
+         (((p.l1 + 500) * (f.fold + 1)) % 1009 - 500) / 100.0 AS x1, CAST(f.fold AS INTEGER) AS fold,
+         CASE WHEN CAST(split_part(p.arg_id, '_', 2) AS INT) <= 5 THEN 'train'
+              WHEN CAST(split_part(p.arg_id, '_', 2) AS INT) <= 7 THEN 'dev' ELSE 'test' END AS run
+  FROM pred p JOIN lab l ON p.arg_id = l.arg_id AND p.key_point_id = l.key_point_id
+  CROSS JOIN (SELECT range AS fold FROM range(7)) f),
+hist AS (
+  SELECT run, fold + 1 AS epoch,
+         avg(greatest(x0, x1) + ln(exp(x0 - greatest(x0, x1)) + exp(x1 - greatest(x0, x1)))
+             - CASE WHEN label = 1 THEN x1 ELSE x0 END) AS eval_loss
+  FROM fl GROUP BY run, fold),
+h1 AS (SELECT *, min(eval_loss) OVER (PARTITION BY run ORDER BY epoch
+                                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bb FROM hist),
+h2 AS (SELECT *, CASE WHEN bb IS NULL OR (eval_loss < bb AND abs(eval_loss - bb) > 1e-5) THEN 1 ELSE 0 END AS imp FROM h1),
+h3 AS (SELECT *, sum(imp) OVER (PARTITION BY run ORDER BY epoch
+                                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp FROM h2),
+h4 AS (SELECT *, row_number() OVER (PARTITION BY run, grp ORDER BY epoch) - 1 AS wait FROM h3),
+st AS (SELECT run, coalesce(min(CASE WHEN wait >= 3 THEN epoch END), max(epoch)) AS stop_epoch
+       FROM h4 GROUP BY run),
+ran AS (SELECT h.run, h.epoch, h.eval_loss, s.stop_epoch FROM h4 h JOIN st s ON h.run = s.run
+        WHERE h.epoch <= s.stop_epoch),
+rk AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY eval_loss, epoch) AS r,
+              count(*) OVER (PARTITION BY run) AS epochs_run FROM ran)
+SELECT run, CAST(stop_epoch AS INTEGER) AS stop_epoch, CAST(epoch AS INTEGER) AS best_epoch,
+       round(eval_loss, 6) AS best_loss, epochs_run
+FROM rk WHERE r = 1""")
+def q_early_stop_epoch(spark, sf):
+    """Early stopping (patience 3, threshold 1e-5) over per-epoch eval losses derived from
+    the fold scorers (run = subset, epoch = fold + 1)."""
+    t = C.tables(spark, sf)
+    fl = fold_logits(t.logits, 7).join(t.labels.select("arg_id", "key_point_id", "label"),
+                                       ["arg_id", "key_point_id"])
+    nll = SC.two_class_nll(F.col("l0") / F.lit(100.0), F.col("l1") / F.lit(100.0), "label")
+    hist = fl.groupBy(F.col("subset").alias("run"), (F.col("fold") + 1).alias("epoch")).agg(
+        F.avg(nll).alias("eval_loss"))
+    return C.normalised(TH.early_stop(hist, patience=3, threshold=1e-5))
+
+
+# ---------------------------------------------------------------- encoding
+
+from ..operators import encode as ENC  # noqa: E402
+
+VOCAB_SIZE = 5000
+MAX_LENGTH = 40
+TOPIC_MAX_LENGTH = 10
+
+_SQL_WORDS = ("list_filter(string_split(regexp_replace(lower({c}), '[^a-zA-Z]', ' ', 'g'), ' '), "
+              "lambda s: s <> '')")
+
+_SQL_VOCAB = f"""
+corpus AS (SELECT argument AS x FROM a UNION ALL SELECT key_point AS x FROM k),
+cw AS (SELECT unnest({_SQL_WORDS.format(c='x')}) AS token FROM corpus),
+cnt AS (SELECT token, count(*) AS n FROM cw GROUP BY token),
+vr AS (SELECT token, n, row_number() OVER (ORDER BY n DESC, token) AS r FROM cnt),
+vocab AS (SELECT token, CAST(r - 1 + {ENC.FIRST_WORD_ID} AS INTEGER) AS token_id, n FROM vr
+          WHERE r <= {VOCAB_SIZE})"""
+
+
+def _corpus(t) -> DataFrame:
+    return t.arguments.select(F.col("argument").alias("x")).unionByName(
+        t.key_points.select(F.col("key_point").alias("x")))
+
+
+@register("vocabulary", _SQL_VOCAB + "\nSELECT token, token_id, n FROM vocab")
+def q_vocabulary(spark, sf):
+    """Corpus vocabulary (top 5000 cleaned words) with ids after the specials."""
+    return ENC.vocabulary(_corpus(C.tables(spark, sf)), "x", VOCAB_SIZE)
+
+
+def _sql_ids(name: str, key: str, text: str, src: str, keep: int) -> str:
+    return f"""
+{name}_w AS (SELECT {key} AS key, {_SQL_WORDS.format(c=text)} AS w FROM {src}),
+{name}_x AS (SELECT key, unnest(w[1:{keep}]) AS token, generate_subscripts(w[1:{keep}], 1) AS pos
+           FROM {name}_w),
+{name}_m AS (SELECT x.key, list(coalesce(v.token_id, {ENC.UNK_ID}) ORDER BY x.pos) AS ids
+           FROM {name}_x x LEFT JOIN vocab v ON x.token = v.token GROUP BY x.key),
+{name} AS (SELECT w.key, len(w.w) AS n, coalesce(m.ids, CAST([] AS INTEGER[])) AS ids
+         FROM {name}_w w LEFT JOIN {name}_m m ON w.key = m.key)"""
+
+
+_BUDGET = MAX_LENGTH - ENC.PAIR_SPECIALS
+
+_SQL_ENCODED = _SQL_VOCAB + "," + _SQL_PAIRS + "," + _sql_ids("aid", "arg_id", "argument", "a", _BUDGET) + "," + \
+    _sql_ids("kid", "key_point_id", "key_point", "k", _BUDGET) + f""",
+tr AS (
+  SELECT p.arg_id, p.key_point_id, p.label, p.topic, p.stance, ai.ids AS aids, ki.ids AS kids,
+         ai.n AS n1, ki.n AS n2, least(ai.n, ki.n) AS sa,
+         CASE WHEN least(ai.n, ki.n) > {_BUDGET} THEN least(ai.n, ki.n)
+              ELSE greatest(least(ai.n, ki.n), {_BUDGET} - least(ai.n, ki.n)) END AS sb
+  FROM pairs p JOIN aid ai ON p.arg_id = ai.key JOIN kid ki ON p.key_point_id = ki.key),
+tr2 AS (
+  SELECT *, CASE WHEN sa + sb > {_BUDGET} THEN {_BUDGET} // 2 ELSE sa END AS a2,
+            CASE WHEN sa + sb > {_BUDGET} THEN {_BUDGET} // 2 + {_BUDGET} % 2 ELSE sb END AS b2
+  FROM tr),
+tr3 AS (
+  SELECT *, CASE WHEN n1 + n2 <= {_BUDGET} THEN n1 WHEN n1 <= n2 THEN a2 ELSE b2 END AS k1,
+            CASE WHEN n1 + n2 <= {_BUDGET} THEN n2 WHEN n1 <= n2 THEN b2 ELSE a2 END AS k2
+  FROM tr2),
+enc AS (
+  SELECT arg_id, key_point_id, label, topic, stance,
+         list_resize([{ENC.CLS_ID}] || aids[1:k1] || [{ENC.SEP_ID}] || kids[1:k2] || [{ENC.SEP_ID}], {MAX_LENGTH}, {ENC.PAD_ID}) AS ids,
+         list_resize(list_resize(CAST([] AS INTEGER[]), k1 + k2 + 3, 1), {MAX_LENGTH}, 0) AS mask,
+         list_resize(list_resize(CAST([] AS INTEGER[]), k1 + 2, 0) || list_resize(CAST([] AS INTEGER[]), k2 + 1, 1), {MAX_LENGTH}, 0) AS types
+  FROM tr3)"""
+
+
+def _encoded(t):
+    p = pairs.labelled_pairs(t.arguments, t.key_points, t.labels)
+    vocab = ENC.vocabulary(_corpus(t), "x", VOCAB_SIZE)
+    return ENC.encode_pairs(p, vocab, MAX_LENGTH), vocab
+
+
+def _as_text(df: DataFrame) -> DataFrame:
+    return df.select("arg_id", "key_point_id", "label",
+                     *[F.array_join(c, " ").alias(c) for c in
+                       ("input_ids", "attention_mask", "token_type_ids")])
+
+
+@register("encode_pairs", _SQL_ENCODED + """
+SELECT arg_id, key_point_id, label, array_to_string(ids, ' ') AS input_ids,
+       array_to_string(mask, ' ') AS attention_mask, array_to_string(types, ' ') AS token_type_ids
+FROM enc""")
+def q_encode_pairs(spark, sf):
+    """[CLS] argument [SEP] key point [SEP], longest-first truncated to 40, padded
+    (arrays shown space-joined for the cross-engine check)."""
+    enc, _ = _encoded(C.tables(spark, sf))
+    return _as_text(enc)
+
+
+_TOPIC_BUDGET = TOPIC_MAX_LENGTH - ENC.SINGLE_SPECIALS
+
+
+@register("encode_pairs_topic", _SQL_ENCODED + """,
+seg AS (SELECT DISTINCT topic, stance, regexp_replace(lower(topic), '[^a-zA-Z]', ' ', 'g')
+               || CASE WHEN stance = 1 THEN ' is positive' ELSE ' is negative' END AS seg_text
+        FROM pairs),""" + _sql_ids("sid", "seg_text", "seg_text", "(SELECT DISTINCT seg_text FROM seg)",
+                     _TOPIC_BUDGET) + f""",
+segenc AS (
+  SELECT key AS seg_text,
+         list_resize([{ENC.CLS_ID}] || ids || [{ENC.SEP_ID}], {TOPIC_MAX_LENGTH}, {ENC.PAD_ID}) AS sids,
+         list_resize(list_resize(CAST([] AS INTEGER[]), len(ids) + 2, 1), {TOPIC_MAX_LENGTH}, 0) AS smask
+  FROM sid)
+SELECT e.arg_id, e.key_point_id, e.label,
+       array_to_string(e.ids || s.sids[2:], ' ') AS input_ids,
+       array_to_string(e.mask || s.smask[2:], ' ') AS attention_mask,
+       array_to_string(e.types || list_resize(CAST([] AS INTEGER[]), {TOPIC_MAX_LENGTH - 1}, 0), ' ') AS token_type_ids
+FROM enc e JOIN seg g ON e.topic = g.topic AND e.stance = g.stance
+JOIN segenc s ON g.seg_text = s.seg_text""")
+def q_encode_pairs_topic(spark, sf):
+    """E5: the pair encoding with the topic + stance segment (max_length 10) appended."""
+    enc, vocab = _encoded(C.tables(spark, sf))
+    seg_text = F.concat(TX.clean_text("topic"), TX.stance_text("stance"))
+    segs = enc.select("topic", "stance").distinct().withColumn("seg_text", seg_text)
+    seg_enc = ENC.encode_single(segs.select("seg_text").distinct(), "seg_text", "seg_text",
+                                vocab, TOPIC_MAX_LENGTH)
+    seg_map = segs.join(seg_enc, "seg_text").drop("seg_text")
+    out = ENC.append_segment(enc, seg_map, ["topic", "stance"])
+    return _as_text(out)
