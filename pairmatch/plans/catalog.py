@@ -145,8 +145,10 @@ auc AS (
   FROM auc_cum GROUP BY {gg})"""
 
 
-def _sql_metrics(src: str, group: str | None, final: str = "SELECT * FROM metrics") -> str:
+def _sql_metrics(src: str, group: str | None, final: str = "SELECT * FROM metrics",
+                 rounded: bool = True) -> str:
     """Oracle CTEs for evaluate(): ends with a ``metrics`` CTE, then ``final``."""
+    r = (lambda x: f"round({x}, 6)") if rounded else (lambda x: x)
     g = f"{group}, " if group else ""
     gg = group if group else "ALL"
     p = group if group else "1"
@@ -162,14 +164,14 @@ conf AS (
   FROM {src} GROUP BY {gg}),{auc},
 metrics AS (
 SELECT {sel}
-  round(CAST(tn AS DOUBLE) / nullif(tn + fp, 0), 6) AS acc_neg,
-  round(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 6) AS acc_pos,
-  round(CAST(tp + tn AS DOUBLE) / nullif(tp + fp + fn + tn, 0), 6) AS acc,
-  round(coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0), 6) AS prec,
-  round(coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0), 6) AS recall,
-  round(coalesce(CAST(2 * tp AS DOUBLE) / nullif(2 * tp + fn, 0), 0), 6) AS f1_pos,
-  round(coalesce(CAST(2 * tp AS DOUBLE) / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1,
-  round(auc, 6) AS auc
+  {r("CAST(tn AS DOUBLE) / nullif(tn + fp, 0)")} AS acc_neg,
+  {r("CAST(tp AS DOUBLE) / nullif(tp + fn, 0)")} AS acc_pos,
+  {r("CAST(tp + tn AS DOUBLE) / nullif(tp + fp + fn + tn, 0)")} AS acc,
+  {r("coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0)")} AS prec,
+  {r("coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0)")} AS recall,
+  {r("coalesce(CAST(2 * tp AS DOUBLE) / nullif(2 * tp + fn, 0), 0)")} AS f1_pos,
+  {r("coalesce(CAST(2 * tp AS DOUBLE) / nullif(2 * tp + fp + fn, 0), 0)")} AS f1,
+  {r("auc")} AS auc
 FROM conf c {join})
 {final}"""
 
@@ -1059,3 +1061,102 @@ def q_encode_pairs_topic(spark, sf):
     seg_map = segs.join(seg_enc, "seg_text").drop("seg_text")
     out = ENC.append_segment(enc, seg_map, ["topic", "stance"])
     return _as_text(out)
+
+
+# ---------------------------------------------------------------- sources / sinks, model, stream
+
+from ..operators import model as MD  # noqa: E402
+from ..sources import io as IO  # noqa: E402
+from ..streaming.matching import start_best_match_stream  # noqa: E402
+from . import evaluate as EV  # noqa: E402
+
+
+@register("submission_map", C.SQL_SCORED + """
+SELECT arg_id, count(*) AS n_key_points,
+       string_agg(key_point_id, ',' ORDER BY key_point_id) AS key_points,
+       round(sum(score), 6) AS score_sum
+FROM scored GROUP BY arg_id""")
+def q_submission_map(spark, sf):
+    """One submission row per argument, map key_point_id -> score with sorted keys
+    (shown as its size, its keys and the sum of its scores)."""
+    t = C.tables(spark, sf)
+    sub = IO.submission_frame(C.scored_candidates(t))
+    return C.normalised(sub.select(
+        "arg_id", F.size("key_points").cast("long").alias("n_key_points"),
+        F.array_join(F.map_keys("key_points"), ",").alias("key_points"),
+        F.aggregate(F.map_values("key_points"), F.lit(0.0), lambda acc, x: acc + x).alias("score_sum")))
+
+
+@register("submission_explode", C.SQL_SCORED + """
+SELECT arg_id, key_point_id, round(score, 6) AS score FROM scored""")
+def q_submission_explode(spark, sf):
+    """S4 -> S5 round trip: the submission written as JSON lines to the shared checkpoint
+    folder, read back and flattened to (arg_id, key_point_id, score)."""
+    t = C.tables(spark, sf)
+    path = IO.write_submission(C.scored_candidates(t), IO.scratch_path(spark, "submission"))
+    return C.normalised(IO.read_submission(spark, path))
+
+
+_REPORT_SQL = _SQL_LABELLED.replace(
+    "SELECT s.*, l.label", "SELECT s.*, CASE WHEN CAST(split_part(s.arg_id, '_', 2) AS INT) <= 5 "
+    "THEN 'train' WHEN CAST(split_part(s.arg_id, '_', 2) AS INT) <= 7 THEN 'dev' ELSE 'test' END "
+    "AS subset, l.label") + _sql_metrics("labelled", "subset", "", rounded=False).rstrip() + ",\n" + \
+    C.SQL_AP[len(C.SQL_SCORED) + 2:] + """,
+mp AS (SELECT avg(ap_strict) AS mAP_strict, avg(ap_relaxed) AS mAP_relaxed FROM ap)
+SELECT m.subset AS name,
+       """ + ", ".join(f"printf('%.5f', {c})" + f" AS {c}" for c in metrics.METRIC_NAMES) + """,
+       CASE WHEN m.subset = 'test' THEN printf('%.5f', mp.mAP_strict) ELSE '-1.00000' END AS mAP_strict,
+       CASE WHEN m.subset = 'test' THEN printf('%.5f', mp.mAP_relaxed) ELSE '-1.00000' END AS mAP_relaxed
+FROM metrics m, mp"""
+
+
+@register("report_upsert", _REPORT_SQL)
+def q_report_upsert(spark, sf):
+    """A report keyed by name (one row per subset) upserted with a new 'test' row that
+    adds mAP columns; old rows show -1 in the new columns, floats as %.5f."""
+    t = C.tables(spark, sf)
+    lab = _labelled(t)
+    old = metrics.binary_metrics(lab, group_cols=["subset"]).withColumnRenamed("subset", "name")
+    test_m = metrics.binary_metrics(lab.filter(F.col("subset") == "test"))
+    mAP = metrics.mean_average_precision(_matched(t))
+    new = with_scalars(test_m, mAP).select(F.lit("test").alias("name"), "*")
+    return IO.report_export_frame(IO.report_upsert(old, new))
+
+
+_SQL_TEST = C.SQL_SCORED.replace("FROM pred)", "FROM pred WHERE CAST(split_part(arg_id, '_', 2) AS INT) >= 8)")
+
+
+@register("run_report")
+def q_run_report(spark, sf):
+    """M5: the single-run report row: dev metrics, test metrics (_test) and the test-subset
+    submission mAP, from the fixture scorer."""
+    t = C.tables(spark, sf)
+    s = C.scored_candidates(t)
+    dev, test = t.subset("dev"), t.subset("test")
+    row = EV.evaluate_run("fixture_scorer", s.filter(F.col("subset") == "dev"), dev.labels,
+                          s.filter(F.col("subset") == "test"), test.arguments, test.key_points,
+                          test.labels, model_path="fixture")
+    return C.normalised(row)
+
+
+@register("model_scores")
+def q_model_scores(spark, sf):
+    """M1-M3: a class-weighted logistic-regression pair classifier fitted on the train pairs
+    scores every test candidate (iterative fit: rows-only check)."""
+    t = C.tables(spark, sf)
+    p = pairs.labelled_pairs(t.arguments, t.key_points, t.labels)
+    model = MD.fit(p.filter(F.col("subset") == "train"), pos_weight=2.0, max_iter=10)
+    test = t.subset("test")
+    cands = pairs.candidate_pairs(test.arguments, test.key_points, test.labels)
+    return C.normalised(MD.score(model, cands))
+
+
+@register("stream_best_match", C.SQL_MATCHED + """
+SELECT arg_id, key_point_id, round(score, 6) AS score FROM best""")
+def q_stream_best_match(spark, sf):
+    """Streaming: documents as a file stream -> arguments -> candidates with static key points
+    -> scores -> best match per argument in each micro-batch, written to the shared folder."""
+    out = IO.scratch_path(spark, "stream-best")
+    q = start_best_match_stream(spark, sf, out + "/data", out + "/checkpoint")
+    q.awaitTermination()
+    return C.normalised(spark.read.parquet(out + "/data").select("arg_id", "key_point_id", "score"))

@@ -36,7 +36,11 @@ def subset_of(tid) -> F.Column:
 
 
 def arguments_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    return arguments_from_documents(read_table(spark, sf_dir, "documents"))
+
+
+def arguments_from_documents(docs: DataFrame) -> DataFrame:
+    """Argument rows (with helpers) from ``documents`` rows; works on a stream as well."""
     tid = (F.expr("substr(source, 4)").cast("int") % ARG_TOPICS).cast("int")
     return (docs.select("doc_id", "text", "source", "n_chars")
             .withColumn("tid", tid)
@@ -90,13 +94,17 @@ def labels_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def logits_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scorer output: two integer logits per candidate pair (class 0, class 1)."""
+    return with_logits(_same_side_pairs(spark, sf_dir))
+
+
+def with_logits(same_side: DataFrame) -> DataFrame:
+    """The fixture scorer on (doc_id, item_id) pairs: integer logits l0, l1."""
     a0, b0, m0, s0 = LOGIT0
     a1, b1, m1, s1 = LOGIT1
-    return (_same_side_pairs(spark, sf_dir)
-            .select("arg_id", "topic", "stance", "key_point_id",
-                    (_hash_mod(a0, b0, m0).cast("int") - s0).alias("l0"),
-                    (_hash_mod(a1, b1, m1).cast("int") - s1).alias("l1"),
-                    "subset"))
+    return same_side.select("arg_id", "topic", "stance", "key_point_id",
+                            (_hash_mod(a0, b0, m0).cast("int") - s0).alias("l0"),
+                            (_hash_mod(a1, b1, m1).cast("int") - s1).alias("l1"),
+                            "subset")
 
 
 @dataclass
