@@ -54,20 +54,21 @@ def truncate_longest_first(n1: Column, n2: Column, budget: int) -> tuple[Column,
 def token_ids(texts: DataFrame, key: str, text_col: str, vocab: DataFrame,
               keep: int) -> DataFrame:
     """(key, n_tokens, ids) per row of ``texts``: the full token count and the ids of the
-    first ``keep`` tokens (unknown words -> UNK_ID). Tokens are exploded with positions and
-    joined to the vocabulary (broadcast when its size is proven small); ids are regrouped per
-    key (at most ``keep`` rows per group)."""
-    t = texts.select(key, words(text_col).alias("_w"))
-    n = t.select(key, F.size("_w").alias("n_tokens"))
-    ex = t.select(key, F.posexplode(F.slice("_w", 1, keep)).alias("pos", "token"))
+    first ``keep`` tokens (unknown words -> UNK_ID). One pass over each text: the kept prefix
+    is exploded with positions (``posexplode_outer`` keeps empty texts), joined to the
+    vocabulary (broadcast when its size is proven small) and regrouped per key (at most
+    ``keep`` rows per group)."""
+    w = words(text_col)
+    ex = texts.select(key, F.size(w).alias("n_tokens"),
+                      F.posexplode_outer(F.slice(w, 1, keep)).alias("pos", "token"))
     v = bounded_broadcast(vocab.select("token", "token_id"))
-    mapped = ex.join(v, "token", "left").select(
-        key, "pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("token_id"))
-    ids = mapped.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("_s"))
-    ids = ids.select(key, F.transform("_s", lambda s: s["token_id"]).alias("ids"))
-    return (n.join(ids, key, "left")
-            .select(key, "n_tokens", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")))
+    mapped = ex.join(v, "token", "left")
+    entry = F.when(F.col("pos").isNotNull(),
+                   F.struct("pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("token_id")))
+    ids = mapped.groupBy(key).agg(F.max("n_tokens").alias("n_tokens"),
+                                  F.array_sort(F.collect_list(entry)).alias("_s"))
+    return ids.select(key, "n_tokens",
+                      F.transform("_s", lambda e: e["token_id"]).cast("array<int>").alias("ids"))
 
 
 def _pad(arr: Column, length: int, value: int) -> Column:

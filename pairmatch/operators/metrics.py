@@ -45,15 +45,22 @@ def confusion(df: DataFrame, label: str = "label", pred: str = "prediction",
         F.count(F.when((y == 0) & (p != 1), 1)).alias("tn"))
 
 
-def roc_auc(df: DataFrame, label: str = "label", score: str = "score",
-            group_cols: Sequence[str] = ()) -> DataFrame:
-    """A4: ROC AUC with ties counted half: sum over distinct scores s of
-    pos(s) * (negatives below s + neg(s) / 2) / (P * N). Null with a single class."""
-    g = list(group_cols)
-    per_score = df.groupBy(*g, score).agg(
-        F.count(F.when(F.col(label) == 1, 1)).alias("_pos"),
-        F.count(F.when(F.col(label) == 0, 1)).alias("_neg"))
-    cum = prefix_sums(per_score, g, [F.col(score).asc()], ["_neg"])
+def _per_score(df: DataFrame, g: list[str], label: str, score: str,
+               pred: str | None = None) -> DataFrame:
+    """One scan of the input: per (group, distinct score) positives / negatives, and the
+    confusion counts of ``pred`` when given."""
+    y = F.col(label)
+    aggs = [F.count(F.when(y == 1, 1)).alias("_pos"), F.count(F.when(y == 0, 1)).alias("_neg")]
+    if pred is not None:
+        p = F.col(pred)
+        aggs += [F.count(F.when((y == 1) & (p == 1), 1)).alias("_tp"),
+                 F.count(F.when((y == 0) & (p == 1), 1)).alias("_fp"),
+                 F.count(F.when((y == 1) & (p != 1), 1)).alias("_fn"),
+                 F.count(F.when((y == 0) & (p != 1), 1)).alias("_tn")]
+    return df.groupBy(*g, score).agg(*aggs)
+
+
+def _auc_from_cum(cum: DataFrame, g: list[str]) -> DataFrame:
     below = F.col("cum__neg") - F.col("_neg")
     return cum.groupBy(*g).agg(
         F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"),
@@ -61,14 +68,25 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score",
     ).select(*g, _safe_ratio(F.col("_S"), F.col("_P") * F.col("_N")).alias("auc"))
 
 
+def roc_auc(df: DataFrame, label: str = "label", score: str = "score",
+            group_cols: Sequence[str] = ()) -> DataFrame:
+    """A4: ROC AUC with ties counted half: sum over distinct scores s of
+    pos(s) * (negatives below s + neg(s) / 2) / (P * N). Null with a single class."""
+    g = list(group_cols)
+    cum = prefix_sums(_per_score(df, g, label, score), g, [F.col(score).asc()], ["_neg"])
+    return _auc_from_cum(cum, g)
+
+
 def binary_metrics(df: DataFrame, label: str = "label", pred: str = "prediction",
                    score: str = "score", group_cols: Sequence[str] = (),
                    suffix: str = "") -> DataFrame:
     """A1-A4 (``evaluate``): acc_neg, acc_pos, acc, prec, recall, f1_pos, f1, auc per group.
     Empty-denominator precision / recall / F1 are 0; accuracy of an empty class and AUC with
-    one class are null (ledger L20)."""
+    one class are null (ledger L20). The input is scanned once: confusion counts and the AUC
+    both come from the materialised per-score table."""
     df, g, keep = _grouped(df, group_cols)
-    conf = confusion(df, label, pred, g)
+    cum = prefix_sums(_per_score(df, g, label, score, pred), g, [F.col(score).asc()], ["_neg"])
+    conf = cum.groupBy(*g).agg(*[F.sum(f"_{c}").alias(c) for c in ("tp", "fp", "fn", "tn")])
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     zero = F.lit(0.0)
     m = conf.select(
@@ -80,8 +98,8 @@ def binary_metrics(df: DataFrame, label: str = "label", pred: str = "prediction"
         F.coalesce(_safe_ratio(tp, tp + fn), zero).alias("recall"),
         F.coalesce(_safe_ratio(2 * tp, 2 * tp + fn), zero).alias("f1_pos"),
         F.coalesce(_safe_ratio(2 * tp, 2 * tp + fp + fn), zero).alias("f1"))
-    auc = roc_auc(df, label, score, g)
-    m = m.join(bounded_broadcast(auc), g, "left").select(*keep, *METRIC_NAMES)
+    auc = _auc_from_cum(cum, g)
+    m = m.join(auc, g, "left").select(*keep, *METRIC_NAMES)
     if suffix:
         m = m.withColumnsRenamed({n: f"{n}{suffix}" for n in METRIC_NAMES})
     return m
@@ -105,7 +123,7 @@ def precision_recall_curve(df: DataFrame, label: str = "label", score: str = "sc
         F.count(F.when(F.col(label) == 1, 1)).alias("_pos"),
         F.count(F.when(F.col(label) != 1, 1)).alias("_neg"))
     cum = prefix_sums(per_score, g, [F.col(score).desc()], ["_pos", "_neg"])
-    totals = per_score.groupBy(*g).agg(F.sum("_pos").alias("_P"))
+    totals = cum.groupBy(*g).agg(F.sum("_pos").alias("_P"))
     cum = cum.join(bounded_broadcast(totals), g)
     return cum.select(
         *keep, F.col(score).alias("threshold"),
@@ -114,15 +132,23 @@ def precision_recall_curve(df: DataFrame, label: str = "label", score: str = "sc
         _safe_ratio(F.col("cum__pos"), F.col("_P")).alias("recall"))
 
 
+def ranked_in_groups(df: DataFrame, group_cols: Sequence[str], fraction: float = 0.5,
+                     score: str = "score", tiebreak: str = "arg_id") -> DataFrame:
+    """Every row with its rank by score descending (ties by ``tiebreak``) inside its group,
+    plus n_group and n_top = int(n_group * fraction). Group sizes are counted on the
+    materialised ranked table, so the input plan runs once."""
+    g = list(group_cols)
+    ranked = rank_within(df, g, [F.col(score).desc(), F.col(tiebreak).asc()])
+    counts = ranked.groupBy(*g).agg(F.count(F.lit(1)).alias("n_group")).withColumn(
+        "n_top", F.floor(F.col("n_group") * F.lit(float(fraction))).cast("long"))
+    return ranked.join(bounded_broadcast(counts), g)
+
+
 def top_fraction(df: DataFrame, group_cols: Sequence[str], fraction: float = 0.5,
                  score: str = "score", tiebreak: str = "arg_id") -> DataFrame:
     """Per group the first int(n * fraction) rows by score descending (ties by
     ``tiebreak`` ascending, ledger L15). Adds n_group, n_top and rank."""
-    g = list(group_cols)
-    counts = df.groupBy(*g).agg(F.count(F.lit(1)).alias("n_group")).withColumn(
-        "n_top", F.floor(F.col("n_group") * F.lit(float(fraction))).cast("long"))
-    ranked = rank_within(df, g, [F.col(score).desc(), F.col(tiebreak).asc()])
-    return (ranked.join(bounded_broadcast(counts), g)
+    return (ranked_in_groups(df, group_cols, fraction, score, tiebreak)
             .filter(F.col("rank") <= F.col("n_top")))
 
 
@@ -131,22 +157,34 @@ def group_average_precision(matched: DataFrame,
                             group_cols: Sequence[str] = ("topic", "stance"),
                             fraction: float = 0.5, dummy_score: float = 0.99) -> DataFrame:
     """A7 (``get_ap``) for several label columns in one pass. Per group: keep the top
-    int(n * fraction) rows by score, give dummy rows ``dummy_score``, then
+    int(n * fraction) rows by score (ties by arg_id), give dummy rows ``dummy_score``, then
     AP * positives / n_top, which in closed form is
     sum over distinct scores s of pos(s) * tp(s) / n(s), divided by n_top.
-    A group with n_top = 0 gets null (left out of the mean); no positives gives 0."""
+    A group with n_top = 0 gets null (left out of the mean); no positives gives 0.
+
+    One running sum over rows in (score desc, arg_id) order gives the rank and, at every
+    row, the positives and dummies so far. Dummies carry label 0, so moving them to
+    ``dummy_score`` after the cut only adds their count to n(s) for real scores s <= that
+    score: n(s) = real rows scoring >= s + dummies in the top when s <= dummy_score."""
     g, labels = list(group_cols), list(label_cols)
-    counts = matched.groupBy(*g).agg(F.count(F.lit(1)).alias("n_group")).withColumn(
+    x = matched.select(*g, "arg_id", "score", F.lit(1).alias("_one"),
+                       (F.col("key_point_id") == DUMMY_ID).cast("int").alias("_dummy"),
+                       *[F.col(c).cast("long").alias(c) for c in labels])
+    cum = prefix_sums(x, g, [F.col("score").desc(), F.col("arg_id").asc()],
+                      ["_one", "_dummy", *labels])
+    counts = cum.groupBy(*g).agg(F.count(F.lit(1)).alias("n_group")).withColumn(
         "n_top", F.floor(F.col("n_group") * F.lit(float(fraction))).cast("long"))
-    top = top_fraction(matched, g, fraction).withColumn(
-        "score", F.when(F.col("key_point_id") == DUMMY_ID, F.lit(float(dummy_score)))
-        .otherwise(F.col("score")))
-    per_score = top.groupBy(*g, "score").agg(
-        F.count(F.lit(1)).alias("_c"), *[F.sum(c).cast("long").alias(f"_p_{c}") for c in labels])
-    cum = prefix_sums(per_score, g, [F.col("score").desc()], ["_c", *[f"_p_{c}" for c in labels]])
-    sums = cum.groupBy(*g).agg(*[
-        F.sum(F.col(f"_p_{c}") * F.col(f"cum__p_{c}") / F.col("cum__c")).alias(f"_s_{c}")
-        for c in labels])
+    top = cum.join(bounded_broadcast(counts), g).filter(F.col("cum__one") <= F.col("n_top"))
+    dummies = top.groupBy(*g).agg(F.sum("_dummy").alias("_nd"))
+    per = top.filter(F.col("_dummy") == 0).groupBy(*g, "score").agg(
+        F.max(F.col("cum__one") - F.col("cum__dummy")).alias("_n_real"),
+        *[F.sum(c).alias(f"_p_{c}") for c in labels],
+        *[F.max(f"cum_{c}").alias(f"_tp_{c}") for c in labels])
+    per = per.join(dummies, g)
+    n_s = F.col("_n_real") + F.when(F.col("score") <= F.lit(float(dummy_score)),
+                                    F.col("_nd")).otherwise(F.lit(0))
+    sums = per.groupBy(*g).agg(*[
+        F.sum(F.col(f"_p_{c}") * F.col(f"_tp_{c}") / n_s).alias(f"_s_{c}") for c in labels])
     out = counts.join(sums, g, "left")
     return out.select(*g, "n_group", "n_top", *[
         F.when(F.col("n_top") == 0, F.lit(None).cast("double"))

@@ -6,8 +6,9 @@ would hold a third of the data or all of it. Instead:
 
 1. ``orderBy(group, keys)`` -- Spark's distributed range-partitioned sort -- then
    ``monotonically_increasing_id`` gives every row (partition index, position) in sort order;
-2. the result is checkpointed to the reliable checkpoint folder, so the ids are fixed even if
-   an executor is lost and a partition is recomputed;
+2. the result is written once as parquet to the shared checkpoint folder and read back, so
+   the ids are fixed even if an executor is lost and a partition is recomputed (the ids are a
+   column: nothing downstream depends on physical partitions);
 3. per (partition, group) counts / sums are a tiny table (at most partitions + groups rows);
    a window over it gives each partition's offset within its group, which is joined back
    (size-checked broadcast);
@@ -20,6 +21,7 @@ tied rows depend on partitioning.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -34,11 +36,14 @@ _POS_BITS = 33  # monotonically_increasing_id = partition index << 33 | row posi
 
 
 def _ordered(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/ranked-{uuid.uuid4().hex}"
     ordered = (df.orderBy(*[F.col(c) for c in group_cols], *order)
                .withColumn(_RID, F.monotonically_increasing_id()))
-    ordered = ordered.checkpoint(eager=True)
-    return ordered.withColumn(_PID, F.shiftright(F.col(_RID), _POS_BITS))
+    ordered.write.mode("overwrite").parquet(path)
+    return (spark.read.schema(ordered.schema).parquet(path)
+            .withColumn(_PID, F.shiftright(F.col(_RID), _POS_BITS)))
 
 
 def _group_window(group_cols: Sequence[str]):

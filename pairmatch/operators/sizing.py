@@ -16,8 +16,16 @@ from pyspark.sql import functions as F
 DEFAULT_MAX_ROWS = 2_000_000
 
 
+# Checked bounds, per session and logical plan: the same small table (key points, a
+# vocabulary) is checked once, not once per query that joins it.
+_CHECKED: dict[tuple, bool] = {}
+
+
 def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
+    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), max_rows)
+    if key not in _CHECKED:
+        _CHECKED[key] = df.limit(max_rows + 1).count() <= max_rows
+    return _CHECKED[key]
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
@@ -30,3 +38,16 @@ def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     row of ``df``. Broadcast, so the constant join key never routes rows to one partition."""
     k = F.lit(0).alias("_pm_k")
     return df.select(k, "*").join(F.broadcast(one_row.select(k, "*")), "_pm_k").drop("_pm_k")
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as parquet to the shared checkpoint folder and read it back: a table
+    used by several branches of a plan (a vocabulary, a ranked table) is computed once, and
+    its lineage is cut, so a lost executor re-reads files instead of recomputing upstream."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

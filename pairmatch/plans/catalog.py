@@ -944,6 +944,7 @@ def q_early_stop_epoch(spark, sf):
 # ---------------------------------------------------------------- encoding
 
 from ..operators import encode as ENC  # noqa: E402
+from ..operators.sizing import materialize  # noqa: E402
 
 VOCAB_SIZE = 5000
 MAX_LENGTH = 40
@@ -1011,7 +1012,7 @@ enc AS (
 
 def _encoded(t):
     p = pairs.labelled_pairs(t.arguments, t.key_points, t.labels)
-    vocab = ENC.vocabulary(_corpus(t), "x", VOCAB_SIZE)
+    vocab = materialize(ENC.vocabulary(_corpus(t), "x", VOCAB_SIZE), "vocabulary")
     return ENC.encode_pairs(p, vocab, MAX_LENGTH), vocab
 
 

@@ -91,8 +91,9 @@ def export_submission_document(scored: DataFrame, path: str, max_arguments: int
     sub = submission_frame(scored)
     if not row_count_at_most(sub, max_arguments):
         raise ValueError(f"more than {max_arguments} arguments: write JSON lines instead")
-    entry = F.concat(F.to_json(F.col("arg_id")), F.lit(": "), F.to_json("key_points"))
-    body = sub.select(entry.alias("e"), "arg_id")
+    one = F.to_json(F.create_map(F.col("arg_id"), F.col("key_points")))  # {"arg": {...}}
+    entry = F.expr("substring(_one, 2, length(_one) - 2)")
+    body = sub.select(one.alias("_one"), "arg_id").select(entry.alias("e"), "arg_id")
     doc = body.agg(F.concat(F.lit("{"), F.array_join(
         F.transform(F.array_sort(F.collect_list(F.struct("arg_id", "e"))), lambda s: s["e"]),
         ", "), F.lit("}")).alias("value"))

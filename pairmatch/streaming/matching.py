@@ -17,13 +17,14 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.scores import sigmoid
 from ..operators.matching import best_match
 from ..operators.sizing import bounded_broadcast
-from ..sources.fixtures import LOGIT_SCALE, arguments_from_documents, key_points_raw, with_logits
+from ..sources.fixtures import (LOGIT_SCALE, arguments_from_documents, key_points_raw,
+                                read_table, with_logits)
 
 
 def document_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """The ``documents`` table read as a file stream (a glob: the file source needs a folder
     or a pattern)."""
-    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    schema = read_table(spark, sf_dir, "documents").schema
     r = spark.readStream.schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
