@@ -62,8 +62,11 @@ def clean_text(col, pre: tuple[str, ...] = ()) -> Column:
 
 
 def words(col) -> Column:
-    """Cleaned text as an array of non-empty words (the default tokenizer)."""
-    return F.filter(F.split(clean_text(col), " "), lambda w: w != F.lit(""))
+    """Cleaned text as an array of non-empty words (the default tokenizer): the maximal runs
+    of ASCII letters of the lower-cased text, i.e. ``clean_text`` split on spaces without the
+    empty fields. Split on letter runs + ``array_remove`` stays in generated code (a
+    ``filter`` lambda would not)."""
+    return F.array_remove(F.split(F.lower(as_text(col)), "[^a-zA-Z]+"), "")
 
 
 def word_count(col) -> Column:

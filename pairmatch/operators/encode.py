@@ -58,9 +58,11 @@ def token_ids(texts: DataFrame, key: str, text_col: str, vocab: DataFrame,
     is exploded with positions (``posexplode_outer`` keeps empty texts), joined to the
     vocabulary (broadcast when its size is proven small) and regrouped per key (at most
     ``keep`` rows per group)."""
-    w = words(text_col)
-    ex = texts.select(key, F.size(w).alias("n_tokens"),
-                      F.posexplode_outer(F.slice(w, 1, keep)).alias("pos", "token"))
+    # Tokenise in a projection below the explode: a column computed next to a generator is
+    # evaluated once per generated row, which would re-run the regex per kept token.
+    t = texts.select(key, words(text_col).alias("_w"))
+    t = t.select(key, F.size("_w").alias("n_tokens"), F.slice("_w", 1, keep).alias("_p"))
+    ex = t.select(key, "n_tokens", F.posexplode_outer("_p").alias("pos", "token"))
     v = bounded_broadcast(vocab.select("token", "token_id"))
     mapped = ex.join(v, "token", "left")
     entry = F.when(F.col("pos").isNotNull(),
@@ -76,16 +78,28 @@ def _pad(arr: Column, length: int, value: int) -> Column:
 
 
 def encode_pairs(pairs: DataFrame, vocab: DataFrame, max_length: int = 40,
+                 a_texts: DataFrame | None = None, b_texts: DataFrame | None = None,
                  a_key: str = "arg_id", a_text: str = "argument",
                  b_key: str = "key_point_id", b_text: str = "key_point") -> DataFrame:
     """E4 (+E6): input_ids, attention_mask, token_type_ids of [CLS] a [SEP] b [SEP], truncated
-    longest-first and padded to ``max_length``. Keys are always carried."""
+    longest-first and padded to ``max_length``. Keys (and any other pair columns) are carried.
+
+    Texts are tokenised once per distinct key. Pass the text tables (``a_texts``: a_key,
+    a_text; ``b_texts``: b_key, b_text) to read each text once from its source; otherwise they
+    are taken from the pair rows (deduplicated by key, which shuffles the texts once)."""
     budget = max_length - PAIR_SPECIALS
-    a_ids = token_ids(pairs.select(a_key, a_text).dropDuplicates([a_key]), a_key, a_text,
-                      vocab, budget).withColumnsRenamed({"n_tokens": "_n1", "ids": "_a"})
-    b_ids = token_ids(pairs.select(b_key, b_text).dropDuplicates([b_key]), b_key, b_text,
-                      vocab, budget).withColumnsRenamed({"n_tokens": "_n2", "ids": "_b"})
-    x = pairs.join(a_ids, a_key).join(bounded_broadcast(b_ids), b_key)
+    if a_texts is None:
+        a_texts = pairs.select(a_key, a_text).dropDuplicates([a_key])
+    else:
+        a_texts = a_texts.select(a_key, a_text).join(pairs.select(a_key).distinct(), a_key, "left_semi")
+    if b_texts is None:
+        b_texts = pairs.select(b_key, b_text).dropDuplicates([b_key])
+    a_ids = token_ids(a_texts, a_key, a_text, vocab, budget).withColumnsRenamed(
+        {"n_tokens": "_n1", "ids": "_a"})
+    b_ids = token_ids(b_texts.select(b_key, b_text), b_key, b_text, vocab, budget
+                      ).withColumnsRenamed({"n_tokens": "_n2", "ids": "_b"})
+    keep = [c for c in pairs.columns if c not in (a_text, b_text)]
+    x = pairs.select(*keep).join(a_ids, a_key).join(bounded_broadcast(b_ids), b_key)
     k1, k2 = truncate_longest_first(F.col("_n1"), F.col("_n2"), budget)
     x = x.withColumn("_k1", k1).withColumn("_k2", k2)
     a = F.slice("_a", 1, F.col("_k1"))

@@ -1011,9 +1011,16 @@ enc AS (
 
 
 def _encoded(t):
-    p = pairs.labelled_pairs(t.arguments, t.key_points, t.labels)
+    # pair keys only (labels joined to arguments for topic / stance); texts come from their
+    # own tables, tokenised once per text
+    keys = (t.labels.select("arg_id", "key_point_id", "label")
+            .join(t.arguments.select("arg_id", "topic", "stance"), "arg_id")
+            .join(t.key_points.select("key_point_id"), "key_point_id"))
     vocab = materialize(ENC.vocabulary(_corpus(t), "x", VOCAB_SIZE), "vocabulary")
-    return ENC.encode_pairs(p, vocab, MAX_LENGTH), vocab
+    enc = ENC.encode_pairs(keys, vocab, MAX_LENGTH,
+                           a_texts=t.arguments.select("arg_id", "argument"),
+                           b_texts=t.key_points.select("key_point_id", "key_point"))
+    return enc, vocab
 
 
 def _as_text(df: DataFrame) -> DataFrame:
