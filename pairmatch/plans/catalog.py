@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import matching, metrics, pairs
 from ..operators.sizing import with_scalars
@@ -936,9 +937,11 @@ def q_early_stop_epoch(spark, sf):
     fl = fold_logits(t.logits, 7).join(t.labels.select("arg_id", "key_point_id", "label"),
                                        ["arg_id", "key_point_id"])
     nll = SC.two_class_nll(F.col("l0") / F.lit(100.0), F.col("l1") / F.lit(100.0), "label")
-    hist = fl.groupBy(F.col("subset").alias("run"), (F.col("fold") + 1).alias("epoch")).agg(
-        F.avg(nll).alias("eval_loss"))
-    return C.normalised(TH.early_stop(hist, patience=3, threshold=1e-5))
+    hist = fl.groupBy(F.col("subset").alias("run"), (F.col("fold") + 1).cast("int").alias("epoch")
+                      ).agg(F.avg(nll).alias("eval_loss"))
+    # the history goes through its file format (S8): JSON lines in the shared folder
+    path = IO.write_history(hist, IO.scratch_path(spark, "history"))
+    return C.normalised(TH.early_stop(IO.read_history(spark, path), patience=3, threshold=1e-5))
 
 
 # ---------------------------------------------------------------- encoding
@@ -1168,3 +1171,41 @@ def q_stream_best_match(spark, sf):
     q = start_best_match_stream(spark, sf, out + "/data", out + "/checkpoint")
     q.awaitTermination()
     return C.normalised(spark.read.parquet(out + "/data").select("arg_id", "key_point_id", "score"))
+
+
+
+@register("task_tables_csv", """
+SELECT l.arg_id, a.argument, l.key_point_id, k.key_point, a.topic, a.stance, l.label
+FROM lab l JOIN a ON l.arg_id = a.arg_id JOIN k ON l.key_point_id = k.key_point_id""")
+def q_task_tables_csv(spark, sf):
+    """S1 + S2 + S3: every subset written as the task's three CSV files (test under test_data,
+    train / dev under kpm_data), loaded back with explicit schemas through the subset routing
+    (the test key points through the submitted-key-point override) and joined into the
+    labelled pairs. Texts with quotes and line breaks survive the round trip."""
+    t = C.tables(spark, sf)
+    root = IO.scratch_path(spark, "task-csv")
+    parts = []
+    for sub in ("train", "dev", "test"):
+        x = t.subset(sub)
+        IO.write_task_tables(x.arguments.drop("subset"), x.key_points.drop("subset"),
+                             x.labels.drop("subset"), IO.subset_dir(root, sub), sub)
+    for sub in ("train", "dev", "test"):
+        override = (f"{IO.subset_dir(root, sub)}/key_points_{sub}.csv" if sub == "test" else None)
+        a, k, lab = IO.load_task_tables(spark, root=root, subset=sub, submitted_kp_file=override)
+        parts.append(pairs.labelled_pairs(a, k, lab))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("prediction_csv", C.SQL_SCORED + """
+SELECT arg_id, key_point_id, prediction FROM scored""")
+def q_prediction_csv(spark, sf):
+    """The prediction file (arg_id, key_point_id, prediction) written as CSV to the shared
+    folder and read back."""
+    from ..sources.schemas import PREDICTION_SCHEMA
+    t = C.tables(spark, sf)
+    path = IO.write_predictions(C.scored_candidates(t), IO.scratch_path(spark, "predictions"))
+    schema = T.StructType([PREDICTION_SCHEMA[c] for c in ("arg_id", "key_point_id", "prediction")])
+    return IO.read_predictions(spark, path, schema)

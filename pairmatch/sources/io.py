@@ -63,8 +63,13 @@ def write_task_tables(args: DataFrame, kps: DataFrame, labels: DataFrame, out_di
     """Write the three task tables of one subset as CSV folders (header, quoted)."""
     base = PurePosixPath(out_dir)
     for df, name in ((args, "arguments"), (kps, "key_points"), (labels, "labels")):
-        (df.write.mode("overwrite").option("header", True).option("escape", '"')
-         .csv(str(base / f"{name}_{subset}.csv")))
+        _csv_writer(df).csv(str(base / f"{name}_{subset}.csv"))
+
+
+def _csv_writer(df: DataFrame):
+    # Texts keep their edges: Spark's CSV writer trims leading / trailing blanks by default.
+    return (df.write.mode("overwrite").option("header", True).option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
 
 
 def submission_frame(scored: DataFrame) -> DataFrame:
@@ -113,9 +118,21 @@ def read_submission(spark: SparkSession, path: str, document: bool = False) -> D
     return outer.select("arg_id", F.explode("key_points").alias("key_point_id", "score"))
 
 
-def write_predictions(predictions: DataFrame, path: str, cols=("arg_id", "key_point_id", "prediction")) -> str:
-    """Prediction CSV (header, no index)."""
-    predictions.select(*cols).write.mode("overwrite").option("header", True).csv(path)
+def write_predictions(predictions: DataFrame, path: str,
+                      cols=("arg_id", "key_point_id", "prediction")) -> str:
+    """Prediction CSV (header, no index). The k-fold flow passes ("arg_id",
+    "key_point_id", "prediction", "score"): the mean score gets its own column (L12)."""
+    _csv_writer(predictions.select(*cols)).csv(path)
+    return path
+
+
+def read_predictions(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return _csv(spark, path, schema)
+
+
+def write_history(history: DataFrame, path: str) -> str:
+    """Per-epoch history rows (run, epoch, eval_loss) as JSON lines (the S8 format)."""
+    history.select("run", "epoch", "eval_loss").write.mode("overwrite").json(path)
     return path
 
 
