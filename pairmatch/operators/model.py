@@ -18,19 +18,19 @@ from pyspark.sql import functions as F
 
 from ..functions.text import words
 
-NUM_FEATURES = 1 << 18
+NUM_FEATURES = 1 << 16
 
 
 def pair_features(pairs: DataFrame) -> DataFrame:
-    """Token features of a pair: 'a:'/'b:' prefixed words of each side, 's:' shared words, and
-    numeric overlap (shared count, Jaccard, log lengths)."""
+    """Token features of a pair: 'b:' words of the key point, 's:' words shared with the whole
+    argument, and numeric overlap (shared count, Jaccard, log lengths). The argument's own
+    vocabulary is left out: it is long, and the matching signal is the overlap."""
     wa = F.array_distinct(words("argument"))
     wb = F.array_distinct(words("key_point"))
     x = pairs.withColumn("_wa", wa).withColumn("_wb", wb)
     shared = F.array_intersect("_wa", "_wb")
     union = F.array_union("_wa", "_wb")
-    toks = F.concat(F.transform("_wa", lambda w: F.concat(F.lit("a:"), w)),
-                    F.transform("_wb", lambda w: F.concat(F.lit("b:"), w)),
+    toks = F.concat(F.transform("_wb", lambda w: F.concat(F.lit("b:"), w)),
                     F.transform(shared, lambda w: F.concat(F.lit("s:"), w)))
     return (x.withColumn("tokens", toks)
             .withColumn("n_shared", F.size(shared).cast("double"))

@@ -370,3 +370,34 @@ def test_grid_bucket_exact(spark):
     got = [r[0] for r in df.select(thresholds.grid_count_at_or_below(F.col("s"), *thresholds.F1_GRID)).collect()]
     want = [sum(1 for v in vals if v <= p) for p in probes]
     assert got == want
+
+
+def test_model_kfold_and_run_report(spark):
+    """M1-M5 on a small derived sample: per-fold models score the test pairs; the ensemble,
+    fold report and run report have the expected shape."""
+    from pairmatch.operators import model
+    from pairmatch.plans import evaluate
+    from pairmatch.sources.fixtures import load_tables
+    t = load_tables(spark, "/root/testdata/sf0.001")
+    p = pairs.labelled_pairs(t.arguments, t.key_points, t.labels)
+    fit = p.filter(F.col("subset") != "test")
+    f = folds.topic_folds(fit, 3)
+    fit_f = folds.with_folds(fit, f.select("topic", "fold"), "topic")
+    test = t.subset("test")
+    cands = pairs.candidate_pairs(test.arguments, test.key_points, test.labels)
+    fs = model.kfold_scores(fit_f, cands, 3, pos_weight=2.0, max_iter=3)
+    n_test = cands.filter(F.col("key_point_id").isNotNull()).count()
+    assert fs.count() == 3 * n_test
+    assert fs.filter((F.col("score") < 0) | (F.col("score") > 1)).count() == 0
+    rep, ens = evaluate.kfold_run("lr", fs, test.arguments, test.key_points, test.labels, 3)
+    r = rep.first()
+    assert r.name == "lr_kfold" and r.model_path == "3 folds" and r.epoch_stop == -1
+    assert 0.0 <= r.mAP_strict <= r.mAP_relaxed <= 1.0
+    assert ens.count() == n_test
+    one = fs.filter(F.col("fold") == 0)
+    dev = t.subset("dev")
+    dev_scored = model.score(model.fit(fit_f.filter(F.col("fold") != 0), max_iter=3),
+                             pairs.candidate_pairs(dev.arguments, dev.key_points, dev.labels))
+    run = evaluate.evaluate_run("lr", dev_scored, dev.labels, one, test.arguments,
+                                test.key_points, test.labels).first()
+    assert run.name == "lr" and run.acc is not None and run.acc_test is not None
