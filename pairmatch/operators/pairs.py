@@ -20,7 +20,7 @@ def labelled_pairs(arguments: DataFrame, key_points: DataFrame, labels: DataFram
     args = arguments.select("arg_id", "argument", "topic", "stance")
     kps = key_points.select("key_point_id", "key_point")
     return (labels.join(args, "arg_id")
-            .join(kps, "key_point_id")
+            .join(bounded_broadcast(kps), "key_point_id")
             .select(*PAIR_COLS, *extra))
 
 
@@ -47,7 +47,7 @@ def candidate_pairs(arguments: DataFrame, key_points: DataFrame,
     args = arguments.select("arg_id", "argument")
     kps = key_points.select("key_point_id", "key_point")
     return (ids.join(args, "arg_id")
-            .join(kps, "key_point_id", "left")
+            .join(bounded_broadcast(kps), "key_point_id", "left")
             .select(*PAIR_COLS))
 
 

@@ -10,27 +10,48 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Row bound for the narrow (id / key / number) tables we broadcast; at ~100 bytes a row this
-# stays far below executor memory.
-DEFAULT_MAX_ROWS = 2_000_000
-
+# Bounds for a broadcast side: rows, and bytes of payload (string lengths plus 8 bytes per
+# non-string value), both proven by one bounded pass before the hint is given.
+DEFAULT_MAX_ROWS = 1_000_000
+DEFAULT_MAX_BYTES = 64 << 20
 
 # Checked bounds, per session and logical plan: the same small table (key points, a
 # vocabulary) is checked once, not once per query that joins it.
-_CHECKED: dict[tuple, bool] = {}
+_CHECKED: dict[tuple, tuple[int, int]] = {}
 
 
-def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
+def _payload_bytes(df: DataFrame) -> F.Column:
+    parts = [F.coalesce(F.length(F.col(f"`{f.name}`")), F.lit(0)).cast("long")
+             if isinstance(f.dataType, T.StringType) else F.lit(8).cast("long")
+             for f in df.schema.fields]
+    total = parts[0]
+    for p in parts[1:]:
+        total = total + p
+    return total
+
+
+def _measure(df: DataFrame, max_rows: int) -> tuple[int, int]:
+    """(rows, payload bytes) of ``df``, reading at most max_rows + 1 rows."""
     key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), max_rows)
     if key not in _CHECKED:
-        _CHECKED[key] = df.limit(max_rows + 1).count() <= max_rows
+        r = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"),
+                                       F.sum(_payload_bytes(df)).alias("b")).first()
+        _CHECKED[key] = (int(r.n), int(r.b or 0))
     return _CHECKED[key]
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df`` unchanged."""
-    return F.broadcast(df) if row_count_at_most(df, max_rows) else df
+def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
+    return _measure(df, max_rows)[0] <= max_rows
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS,
+                      max_bytes: int = DEFAULT_MAX_BYTES) -> DataFrame:
+    """``broadcast(df)`` if it has at most ``max_rows`` rows and ``max_bytes`` of payload,
+    else ``df`` unchanged (a shuffle join; AQE may still broadcast from measured sizes)."""
+    n, b = _measure(df, max_rows)
+    return F.broadcast(df) if n <= max_rows and b <= max_bytes else df
 
 
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
