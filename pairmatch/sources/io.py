@@ -76,7 +76,9 @@ def submission_frame(scored: DataFrame) -> DataFrame:
     """S4 core (``generate_submission``): one row per arg_id with a map key_point_id -> score,
     keys sorted. Duplicate pairs are resolved before the map is built (Spark maps reject
     duplicate keys; the reference keeps the last row, which has no meaning without an order:
-    we keep the highest score, L21)."""
+    we keep the highest score, L21). A map holds at most the key points of one topic and
+    stance -- the key-point table is the small, size-checked side of candidate generation --
+    so no group grows with the number of arguments."""
     pairs = scored.groupBy("arg_id", "key_point_id").agg(F.max("score").alias("score"))
     return pairs.groupBy("arg_id").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("key_point_id", "score"))))
