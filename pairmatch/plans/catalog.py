@@ -762,7 +762,7 @@ def q_max_pair_length(spark, sf):
 def _sql_hist(kind: str, values: str, density: bool) -> str:
     h = "CAST(coalesce(c.cnt, 0) AS DOUBLE) / (s.n * s.w)" if density else "CAST(coalesce(c.cnt, 0) AS DOUBLE)"
     return f"""
-SELECT '{kind}' AS kind, b.bin + 1 AS bin, round(s.lo0 + b.bin * s.w, 6) AS bin_lo,
+SELECT '{kind}' AS kind, CAST(b.bin + 1 AS INTEGER) AS bin, round(s.lo0 + b.bin * s.w, 6) AS bin_lo,
        round(s.lo0 + (b.bin + 1) * s.w, 6) AS bin_hi, CAST(coalesce(c.cnt, 0) AS BIGINT) AS n,
        round({h}, 6) AS height
 FROM (SELECT range AS bin FROM range(10)) b

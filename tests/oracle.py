@@ -41,7 +41,24 @@ def rows_of(cols, records):
                                            for x in r))
 
 
-def compare(spark, name: str, sf_dir: str, con=None, verbose=True):
+_DUCK_TO_SPARK = {"INTEGER": "int", "BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string",
+                  "BOOLEAN": "boolean", "FLOAT": "float", "SMALLINT": "smallint",
+                  "HUGEINT": "hugeint", "DECIMAL": "decimal"}
+
+
+def type_mismatches(sdf, res) -> list:
+    """Columns whose Spark type and DuckDB type differ (after mapping names)."""
+    st = dict(sdf.dtypes)
+    out = []
+    for d in res.description:
+        dt = str(d[1]).split("(")[0].upper()
+        want = _DUCK_TO_SPARK.get(dt, dt.lower())
+        if st.get(d[0]) != want:
+            out.append((d[0], st.get(d[0]), str(d[1])))
+    return out
+
+
+def compare(spark, name: str, sf_dir: str, con=None, verbose=True, check_types=True):
     import __spark_entry__ as E
     con = con or duck(sf_dir)
     t0 = time.time()
@@ -65,6 +82,11 @@ def compare(spark, name: str, sf_dir: str, con=None, verbose=True):
     if len(srows) != len(drows):
         ok = False
         msg.append(f"rows spark={len(srows)} duck={len(drows)}")
+    if check_types:
+        tm = type_mismatches(sdf, res)
+        if tm:
+            ok = False
+            msg.append(f"types differ {tm}")
     if ok:
         a, b = rows_of(scols, srows), rows_of(dcols, drows)
         if a != b:
