@@ -42,6 +42,14 @@ def _measure(df: DataFrame, max_rows: int) -> tuple[int, int]:
     return _CHECKED[key]
 
 
+def rows_at_most(df: DataFrame, max_rows: int) -> bool:
+    """Row bound only, reading no column (parquet answers from row-group metadata)."""
+    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), max_rows, "rows")
+    if key not in _CHECKED:
+        _CHECKED[key] = (df.select(F.lit(1)).limit(max_rows + 1).count(), 0)
+    return _CHECKED[key][0] <= max_rows
+
+
 def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
     return _measure(df, max_rows)[0] <= max_rows
 

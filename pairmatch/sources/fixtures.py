@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.sizing import bounded_broadcast
+from ..operators.sizing import bounded_broadcast, rows_at_most
 
 # Fixed values of the derivation (FIXTURES.md section 2): hash multipliers and moduli.
 ARG_TOPICS = 10            # arguments: topic id = int(source[3:]) % 10
@@ -38,8 +38,26 @@ SOURCE_SCHEMAS = {
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir}/{name}.parquet"
     if name in SOURCE_SCHEMAS:
-        return spark.read.schema(SOURCE_SCHEMAS[name]).parquet(path)
-    return spark.read.parquet(path)
+        df = spark.read.schema(SOURCE_SCHEMAS[name]).parquet(path)
+    else:
+        df = spark.read.parquet(path)
+    return spread_few_files(df)
+
+
+SPREAD_MAX_ROWS = 5_000_000
+
+
+def spread_few_files(df: DataFrame) -> DataFrame:
+    """A small table stored in fewer files than the cluster has cores (one parquet row group
+    cannot be split) would run its per-row text work in that many tasks. Such an input -- few
+    files *and* at most SPREAD_MAX_ROWS rows, proven by a count that reads no column, only
+    row-group metadata -- is spread round-robin over ``defaultParallelism`` partitions;
+    projections are pushed below the repartition, so only the columns a query uses move.
+    Large tables are left alone: no extra shuffle at scale."""
+    parallelism = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) < parallelism and rows_at_most(df, SPREAD_MAX_ROWS):
+        return df.repartition(parallelism)
+    return df
 
 
 def subset_of(tid) -> F.Column:
