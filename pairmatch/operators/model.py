@@ -17,17 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from .sizing import bounded_broadcast
 
 NUM_FEATURES = 1 << 16
 
 
-def pair_features(pairs: DataFrame) -> DataFrame:
-    """Token features of a pair: 'b:' words of the key point, 's:' words shared with the whole
-    argument, and numeric overlap (shared count, Jaccard, log lengths). The argument's own
-    vocabulary is left out: it is long, and the matching signal is the overlap."""
-    wa = F.array_distinct(words("argument"))
-    wb = F.array_distinct(words("key_point"))
-    x = pairs.withColumn("_wa", wa).withColumn("_wb", wb)
+def _features(x: DataFrame) -> DataFrame:
+    """Features from the distinct-word arrays ``_wa`` (argument) and ``_wb`` (key point)."""
     shared = F.array_intersect("_wa", "_wb")
     union = F.array_union("_wa", "_wb")
     toks = F.concat(F.transform("_wb", lambda w: F.concat(F.lit("b:"), w)),
@@ -41,6 +37,25 @@ def pair_features(pairs: DataFrame) -> DataFrame:
             .drop("_wa", "_wb"))
 
 
+def pair_features(pairs: DataFrame, arguments: DataFrame | None = None,
+                  key_points: DataFrame | None = None) -> DataFrame:
+    """Token features of a pair: 'b:' words of the key point, 's:' words shared with the whole
+    argument, and numeric overlap (shared count, Jaccard, log lengths). The argument's own
+    vocabulary is left out: it is long, and the matching signal is the overlap.
+
+    With ``arguments`` (arg_id, argument) and ``key_points`` (key_point_id, key_point) the
+    pairs need only ids: each text is tokenised once and its word set joined by key (the key
+    points after a size check), instead of once per candidate pair."""
+    if arguments is None or key_points is None:
+        x = (pairs.withColumn("_wa", F.array_distinct(words("argument")))
+             .withColumn("_wb", F.array_distinct(words("key_point"))))
+        return _features(x)
+    aw = arguments.select("arg_id", F.array_distinct(words("argument")).alias("_wa"))
+    kw = key_points.select("key_point_id", F.array_distinct(words("key_point")).alias("_wb"))
+    x = pairs.join(aw, "arg_id").join(bounded_broadcast(kw), "key_point_id")
+    return _features(x)
+
+
 def class_weight(label: str = "label", pos_weight: float = 1.0):
     """M2: weight pos_weight for positives, 1 for negatives."""
     return F.when(F.col(label) == 1, F.lit(float(pos_weight))).otherwise(F.lit(1.0))
@@ -55,17 +70,22 @@ def pair_classifier(max_iter: int = 30, reg: float = 0.01) -> Pipeline:
     return Pipeline(stages=[tf, va, lr])
 
 
-def fit(train_pairs: DataFrame, pos_weight: float = 1.0, **kw) -> PipelineModel:
-    """M1: fit on labelled pairs (arg_id, argument, key_point_id, key_point, ..., label)."""
-    data = pair_features(train_pairs.filter(F.col("label").isNotNull())).withColumn(
+def fit(train_pairs: DataFrame, pos_weight: float = 1.0, arguments: DataFrame | None = None,
+        key_points: DataFrame | None = None, **kw) -> PipelineModel:
+    """M1: fit on labelled pairs (arg_id, key_point_id, label, and the two texts unless the
+    text tables are given)."""
+    data = pair_features(train_pairs.filter(F.col("label").isNotNull()), arguments,
+                         key_points).withColumn(
         "weight", class_weight("label", pos_weight)).withColumn("label", F.col("label").cast("double"))
     return pair_classifier(**kw).fit(data)
 
 
-def score(model: PipelineModel, pairs: DataFrame, keep=("arg_id", "key_point_id")) -> DataFrame:
+def score(model: PipelineModel, pairs: DataFrame, keep=("arg_id", "key_point_id"),
+          arguments: DataFrame | None = None, key_points: DataFrame | None = None) -> DataFrame:
     """M3: logits (l0 = 0, l1 = margin, so the C9 softmax gives the model probability),
     score = P(label 1), prediction = argmax."""
-    out = model.transform(pair_features(pairs.filter(F.col("key_point_id").isNotNull())))
+    out = model.transform(pair_features(pairs.filter(F.col("key_point_id").isNotNull()),
+                                        arguments, key_points))
     raw = vector_to_array("rawPrediction")
     prob = vector_to_array("probability")
     return out.select(*keep, F.lit(0.0).alias("l0"), raw[1].alias("l1"),

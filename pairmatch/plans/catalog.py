@@ -1153,13 +1153,17 @@ def q_run_report(spark, sf):
 @register("model_scores")
 def q_model_scores(spark, sf):
     """M1-M3: a class-weighted logistic-regression pair classifier fitted on the train pairs
-    scores every test candidate (iterative fit: rows-only check)."""
+    scores every test candidate (iterative fit: rows-only check). Pairs carry ids only; each
+    text is tokenised once from its own table."""
     t = C.tables(spark, sf)
-    p = pairs.labelled_pairs(t.arguments, t.key_points, t.labels)
-    model = MD.fit(p.filter(F.col("subset") == "train"), pos_weight=2.0, max_iter=10)
+    texts_a = t.arguments.select("arg_id", "argument")
+    texts_k = t.key_points.select("key_point_id", "key_point")
+    train = t.labels.filter(F.col("subset") == "train").select("arg_id", "key_point_id", "label")
+    model = MD.fit(train, pos_weight=2.0, arguments=texts_a, key_points=texts_k, max_iter=10)
     test = t.subset("test")
-    cands = pairs.candidate_pairs(test.arguments, test.key_points, test.labels)
-    return C.normalised(MD.score(model, cands))
+    cands = pairs.candidate_ids(test.arguments, test.key_points).filter(
+        F.col("key_point_id").isNotNull())
+    return C.normalised(MD.score(model, cands, arguments=texts_a, key_points=texts_k))
 
 
 @register("stream_best_match", C.SQL_MATCHED + """
