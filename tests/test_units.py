@@ -1,9 +1,6 @@
 """Hand cases with known answers (FIXTURES.md section 3)."""
 
-import math
-
 import pytest
-from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from pairmatch.functions import scores as SC
