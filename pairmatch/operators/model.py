@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import words
-from .sizing import bounded_broadcast
+from .sizing import bounded_broadcast, materialize
 
 NUM_FEATURES = 1 << 16
 
@@ -70,38 +70,58 @@ def pair_classifier(max_iter: int = 30, reg: float = 0.01) -> Pipeline:
     return Pipeline(stages=[tf, va, lr])
 
 
+def fit_features(features: DataFrame, pos_weight: float = 1.0, **kw) -> PipelineModel:
+    """M1 + M2 on precomputed ``pair_features`` rows with a label."""
+    data = (features.filter(F.col("label").isNotNull())
+            .withColumn("weight", class_weight("label", pos_weight))
+            .withColumn("label", F.col("label").cast("double")))
+    return pair_classifier(**kw).fit(data)
+
+
+def score_features(model: PipelineModel, features: DataFrame,
+                   keep=("arg_id", "key_point_id")) -> DataFrame:
+    """M3 on precomputed features: logits (l0 = 0, l1 = margin, so the C9 softmax gives the
+    model probability), score = P(label 1), prediction = argmax."""
+    out = model.transform(features)
+    raw = vector_to_array("rawPrediction")
+    prob = vector_to_array("probability")
+    return out.select(*keep, F.lit(0.0).alias("l0"), raw[1].alias("l1"),
+                      prob[1].alias("score"), F.col("prediction").cast("int").alias("prediction"))
+
+
 def fit(train_pairs: DataFrame, pos_weight: float = 1.0, arguments: DataFrame | None = None,
         key_points: DataFrame | None = None, **kw) -> PipelineModel:
     """M1: fit on labelled pairs (arg_id, key_point_id, label, and the two texts unless the
     text tables are given)."""
-    data = pair_features(train_pairs.filter(F.col("label").isNotNull()), arguments,
-                         key_points).withColumn(
-        "weight", class_weight("label", pos_weight)).withColumn("label", F.col("label").cast("double"))
-    return pair_classifier(**kw).fit(data)
+    feats = pair_features(train_pairs.filter(F.col("label").isNotNull()), arguments, key_points)
+    return fit_features(feats, pos_weight, **kw)
 
 
 def score(model: PipelineModel, pairs: DataFrame, keep=("arg_id", "key_point_id"),
           arguments: DataFrame | None = None, key_points: DataFrame | None = None) -> DataFrame:
-    """M3: logits (l0 = 0, l1 = margin, so the C9 softmax gives the model probability),
-    score = P(label 1), prediction = argmax."""
-    out = model.transform(pair_features(pairs.filter(F.col("key_point_id").isNotNull()),
-                                        arguments, key_points))
-    raw = vector_to_array("rawPrediction")
-    prob = vector_to_array("probability")
-    return out.select(*keep, F.lit(0.0).alias("l0"), raw[1].alias("l1"),
-                      prob[1].alias("score"), F.col("prediction").cast("int").alias("prediction"))
+    """M3: score candidate pairs (rows without a key point are skipped)."""
+    feats = pair_features(pairs.filter(F.col("key_point_id").isNotNull()), arguments, key_points)
+    return score_features(model, feats, keep)
 
 
 def kfold_scores(fit_pairs_with_fold: DataFrame, to_score: DataFrame, num_folds: int,
-                 pos_weight: float = 1.0, **kw) -> DataFrame:
+                 pos_weight: float = 1.0, arguments: DataFrame | None = None,
+                 key_points: DataFrame | None = None, **kw) -> DataFrame:
     """M4: one model per fold (trained on the other folds), each scoring ``to_score``; the
-    result is one long table with a ``fold`` column, ready for ``ensemble_scores``. The fold
-    table should be cached / checkpointed by the caller: it is read once per fold."""
+    result is one long table with a ``fold`` column, ready for ``ensemble_scores``.
+    Features of the fit pairs and of the pairs to score are computed once and written to the
+    shared checkpoint folder; every fold filters the same feature table (no text is tokenised
+    k times, and a lost executor re-reads files instead of recomputing the features)."""
+    fit_feats = materialize(pair_features(
+        fit_pairs_with_fold.filter(F.col("label").isNotNull()), arguments, key_points),
+        "fold-features")
+    score_feats = materialize(pair_features(
+        to_score.filter(F.col("key_point_id").isNotNull()), arguments, key_points),
+        "score-features")
     parts = []
     for f in range(num_folds):
-        train = fit_pairs_with_fold.filter(F.col("fold") != f)
-        m = fit(train, pos_weight, **kw)
-        parts.append(score(m, to_score).withColumn("fold", F.lit(f)))
+        m = fit_features(fit_feats.filter(F.col("fold") != f), pos_weight, **kw)
+        parts.append(score_features(m, score_feats).withColumn("fold", F.lit(f)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
