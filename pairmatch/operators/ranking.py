@@ -11,7 +11,7 @@ would hold a third of the data or all of it. Instead:
    column: nothing downstream depends on physical partitions);
 3. per (partition, group) counts / sums are a tiny table (at most partitions + groups rows);
    a window over it gives each partition's offset within its group, which is joined back
-   (size-checked broadcast);
+   (a size-checked broadcast for ranks; for running sums a join on the window's own keys);
 4. rank = offset + position inside the partition; running sums = offset + a window running
    sum inside (partition, group), which is bounded by one partition.
 
@@ -69,7 +69,11 @@ def rank_within(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column
 def prefix_sums(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column],
                 sum_cols: Sequence[str], prefix: str = "cum_") -> DataFrame:
     """Inclusive running sums of ``sum_cols`` inside each group under ``order``; adds
-    ``{prefix}{col}`` per column."""
+    ``{prefix}{col}`` per column.
+
+    The offsets are joined on (partition id, group) as a shuffle join: the running-sum window
+    needs exactly that clustering, so the join and the window share one exchange of the ranked
+    rows (each key holds at most one sort partition) and no size proof is needed."""
     group_cols, sum_cols = list(group_cols), list(sum_cols)
     ck = _ordered(df, group_cols, order)
     totals = ck.groupBy(_PID, *group_cols).agg(
@@ -78,14 +82,12 @@ def prefix_sums(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column
     offs = totals.select(_PID, *group_cols,
                          *[F.coalesce(F.sum(f"_t_{c}").over(gw), F.lit(0)).alias(f"_o_{c}")
                            for c in sum_cols])
+    keyed = ck.join(offs, [_PID, *group_cols])
     lw = (Window.partitionBy(_PID, *group_cols).orderBy(_RID)
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = ck.select("*", *[F.sum(c).over(lw).alias(f"_l_{c}") for c in sum_cols])
-    res = local.join(bounded_broadcast(offs), [_PID, *group_cols])
-    for c in sum_cols:
-        res = res.withColumn(f"{prefix}{c}", F.col(f"_o_{c}") + F.col(f"_l_{c}"))
-    drop = [_PID, _RID] + [f"_o_{c}" for c in sum_cols] + [f"_l_{c}" for c in sum_cols]
-    return res.drop(*drop)
+    res = keyed.select("*", *[(F.col(f"_o_{c}") + F.sum(c).over(lw)).alias(f"{prefix}{c}")
+                              for c in sum_cols])
+    return res.drop(_PID, _RID, *[f"_o_{c}" for c in sum_cols])
 
 
 def global_rank(df: DataFrame, order: Sequence[Column], out: str = "rank") -> DataFrame:
