@@ -156,21 +156,22 @@ def report_upsert(existing: DataFrame | None, new: DataFrame) -> DataFrame:
             .drop("_rn", "_src", "_dup"))
 
 
-@F.pandas_udf(T.StringType())
-def _fixed5(v):
+def _fixed5():
     """'%.5f' with Python's rounding of the exact binary value (Java's formatter rounds the
     shortest decimal form half-up: 0.343195 -> 0.34320 instead of 0.34319). Report tables
-    have one row per experiment, so this small helper is never on a hot path."""
-    return v.map(lambda x: "%.5f" % x)
+    have one row per experiment, so this small helper is never on a hot path. Built per call
+    from a lambda, so it ships to the Python workers by value."""
+    return F.pandas_udf(lambda v: v.map(lambda x: "%.5f" % x), T.StringType())
 
 
 def report_export_frame(report: DataFrame) -> DataFrame:
     """S7 export form: every missing value -1 (numbers and text alike), floats as '%.5f'."""
+    fmt = _fixed5()
     out = []
     for f in report.schema.fields:
         c = F.col(f.name)
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            out.append(_fixed5(F.coalesce(c, F.lit(-1.0))).alias(f.name))
+            out.append(fmt(F.coalesce(c, F.lit(-1.0))).alias(f.name))
         elif isinstance(f.dataType, (T.IntegerType, T.LongType)):
             out.append(F.coalesce(c, F.lit(-1)).cast("string").alias(f.name))
         else:
