@@ -1213,3 +1213,62 @@ def q_prediction_csv(spark, sf):
     path = IO.write_predictions(C.scored_candidates(t), IO.scratch_path(spark, "predictions"))
     schema = T.StructType([PREDICTION_SCHEMA[c] for c in ("arg_id", "key_point_id", "prediction")])
     return IO.read_predictions(spark, path, schema)
+
+
+_SQL_TOK = ("list_concat(list_transform(kw.wb, lambda w: 'b:' || w), "
+            "list_transform(list_intersect(aw.wa, kw.wb), lambda w: 's:' || w))")
+
+
+@register("model_kfold_ensemble", f"""
+aw AS (SELECT arg_id, list_distinct({_SQL_WORDS.format(c='argument')}) AS wa FROM a),
+kw AS (SELECT key_point_id, list_distinct({_SQL_WORDS.format(c='key_point')}) AS wb FROM k),
+fitp AS (SELECT l.arg_id, l.key_point_id, l.label, a.topic FROM lab l JOIN a ON l.arg_id = a.arg_id
+         WHERE a.tid <= 7),""" + _sql_kfold("topic", 7, "fitp") + f""",
+trows AS (SELECT f.arg_id, f.key_point_id, f.label, d.fold FROM fitp f JOIN folds d ON f.topic = d.topic),
+ttok AS (SELECT t.label, t.fold, unnest({_SQL_TOK}) AS token
+         FROM trows t JOIN aw ON t.arg_id = aw.arg_id JOIN kw ON t.key_point_id = kw.key_point_id),
+c AS (SELECT fold, token, count(CASE WHEN label = 1 THEN 1 END) AS n1,
+             count(CASE WHEN label <> 1 THEN 1 END) AS n0 FROM ttok GROUP BY fold, token),
+tot AS (SELECT token, sum(n1) AS t1, sum(n0) AS t0 FROM c GROUP BY token),
+lo AS (SELECT tot.token, g.target, tot.t1 - coalesce(c.n1, 0) AS n1, tot.t0 - coalesce(c.n0, 0) AS n0
+       FROM tot CROSS JOIN (SELECT range AS target FROM range(7)) g
+       LEFT JOIN c ON c.token = tot.token AND c.fold = g.target),
+lo2 AS (SELECT * FROM lo WHERE n1 + n0 > 0),
+st AS (SELECT target, sum(n1) AS big1, sum(n0) AS big0, count(*) AS v FROM lo2 GROUP BY target),
+w AS (SELECT lo2.target, lo2.token,
+             ln((lo2.n1 + 1.0) / (st.big1 + 1.0 * st.v)) - ln((lo2.n0 + 1.0) / (st.big0 + 1.0 * st.v)) AS w
+      FROM lo2 JOIN st ON lo2.target = st.target),
+rc AS (SELECT fold, count(CASE WHEN label = 1 THEN 1 END) AS r1,
+              count(CASE WHEN label <> 1 THEN 1 END) AS r0 FROM trows GROUP BY fold),
+pri AS (SELECT g.target, ln((sum(CASE WHEN rc.fold <> g.target THEN r1 ELSE 0 END) + 1.0)
+                            / (sum(CASE WHEN rc.fold <> g.target THEN r0 ELSE 0 END) + 1.0)) AS prior
+        FROM (SELECT range AS target FROM range(7)) g CROSS JOIN rc GROUP BY g.target),
+cand AS (SELECT a.arg_id, k.key_point_id FROM a JOIN k ON a.topic = k.topic AND a.stance = k.stance
+         AND a.tid = k.tid WHERE a.tid >= 8),
+ctok AS (SELECT c.arg_id, c.key_point_id, unnest({_SQL_TOK}) AS token
+         FROM cand c JOIN aw ON c.arg_id = aw.arg_id JOIN kw ON c.key_point_id = kw.key_point_id),
+sw AS (SELECT ct.arg_id, ct.key_point_id, w.target, sum(w.w) AS s
+       FROM ctok ct JOIN w ON ct.token = w.token GROUP BY ct.arg_id, ct.key_point_id, w.target),
+lg AS (SELECT c.arg_id, c.key_point_id, p.target, p.prior + coalesce(sw.s, 0) AS logit
+       FROM cand c CROSS JOIN pri p
+       LEFT JOIN sw ON sw.arg_id = c.arg_id AND sw.key_point_id = c.key_point_id AND sw.target = p.target)
+SELECT arg_id, key_point_id, round(avg(1.0 / (1.0 + exp(-logit))), 6) AS score, count(*) AS n_folds,
+       CAST(max(CASE WHEN target = 0 AND logit > 0 THEN 1 ELSE 0 END) AS INTEGER) AS prediction
+FROM lg GROUP BY arg_id, key_point_id""")
+def q_model_kfold_ensemble(spark, sf):
+    """M4 + J9: seven naive-Bayes pair models, model f trained on the train + dev pairs of
+    every topic fold but f (one pass of leave-one-fold-out counts), score every test
+    candidate; the ensemble is the mean score per pair, the prediction that of fold 0."""
+    t = C.tables(spark, sf)
+    ta = t.arguments.select("arg_id", "argument")
+    tk = t.key_points.select("key_point_id", "key_point")
+    fit = (t.labels.filter(F.col("subset") != "test").select("arg_id", "key_point_id", "label")
+           .join(t.arguments.select("arg_id", "topic"), "arg_id"))
+    folds_t = FO.topic_folds(fit, 7)
+    rows = FO.with_folds(fit, folds_t.select("topic", "fold"), "topic")
+    train_tokens = MD.pair_tokens(rows, ta, tk, extra=("label", "fold"))
+    test = t.subset("test")
+    cands = pairs.candidate_ids(test.arguments, test.key_points).filter(
+        F.col("key_point_id").isNotNull())
+    fs = MD.naive_bayes_kfold(train_tokens, rows, MD.pair_tokens(cands, ta, tk), 7)
+    return C.normalised(EN.ensemble_scores(fs))

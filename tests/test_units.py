@@ -433,3 +433,25 @@ def test_report_upsert_idempotent(spark):
     twice = IO.report_upsert(once, new)
     key = lambda r: r.name
     assert sorted(once.collect(), key=key) == sorted(twice.select(*once.columns).collect(), key=key)
+
+
+def test_naive_bayes_kfold_by_hand(spark):
+    """Two folds; model 0 is trained on fold 1 only and model 1 on fold 0 only."""
+    import math
+
+    from pairmatch.operators import model
+    tt = spark.createDataFrame(
+        [("t1", 1, 0), ("t2", 1, 0), ("t1", 0, 0), ("t3", 1, 1), ("t1", 0, 1), ("t3", 0, 1)],
+        "token string, label int, fold int")
+    rows = spark.createDataFrame([(1, 0), (0, 0), (1, 1), (0, 1)], "label int, fold int")
+    st = spark.createDataFrame([("a", "k", "t1"), ("a", "k", "t9"), ("b", "k", None)],
+                               "arg_id string, key_point_id string, token string")
+    got = {(r.arg_id, r.fold): r.logit for r in model.naive_bayes_kfold(tt, rows, st, 2).collect()}
+    # model 0 (fold 1 data): t3 (1 pos, 1 neg), t1 (0 pos, 1 neg); N1 = 1, N0 = 2, V = 2
+    w_t1 = math.log((0 + 1) / (1 + 2)) - math.log((1 + 1) / (2 + 2))
+    prior = math.log((1 + 1) / (1 + 1))
+    assert got[("a", 0)] == pytest.approx(prior + w_t1)          # t9 unknown: ignored
+    assert got[("b", 0)] == pytest.approx(prior)                 # no tokens: prior only
+    # model 1 (fold 0 data): t1 (1 pos, 1 neg), t2 (1 pos, 0 neg); N1 = 2, N0 = 1, V = 2
+    w1_t1 = math.log((1 + 1) / (2 + 2)) - math.log((1 + 1) / (1 + 2))
+    assert got[("a", 1)] == pytest.approx(prior + w1_t1)
