@@ -93,6 +93,15 @@ def pair_text(pairs: DataFrame) -> DataFrame:
         "key_point_clean", clean_text("key_point"))
 
 
+def pair_text_by_key(pair_keys: DataFrame, arguments: DataFrame, key_points: DataFrame) -> DataFrame:
+    """E1 with each text cleaned once: arguments and key points are cleaned in their own
+    tables and joined to the pair keys (key points after a size check), instead of cleaning
+    the argument again on every pair row. Carries the other columns of ``pair_keys``."""
+    a = arguments.select("arg_id", clean_text("argument").alias("argument_clean"))
+    k = key_points.select("key_point_id", clean_text("key_point").alias("key_point_clean"))
+    return pair_keys.join(a, "arg_id").join(bounded_broadcast(k), "key_point_id")
+
+
 def pair_segments(pairs: DataFrame, add_info: str | None = None) -> DataFrame:
     """Cleaned pair plus the extra segments named in ``add_info`` (comma list, e.g.
     'topic,stance'), as ``segments`` array<string>. Unlike the reference (ledger L6) the

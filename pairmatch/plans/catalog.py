@@ -318,9 +318,10 @@ pairs AS (
 SELECT arg_id, key_point_id, {_CLEAN_SQL.format(c="argument")} AS argument_clean,
        {_CLEAN_SQL.format(c="key_point")} AS key_point_clean FROM pairs""")
 def q_pair_text(spark, sf):
-    """Cleaned argument and key point of every labelled pair."""
+    """Cleaned argument and key point of every labelled pair (each text cleaned once)."""
     t = C.tables(spark, sf)
-    p = pairs.pair_text(pairs.labelled_pairs(t.arguments, t.key_points, t.labels))
+    keys = t.labels.select("arg_id", "key_point_id")
+    p = pairs.pair_text_by_key(keys, t.arguments, t.key_points)
     return p.select("arg_id", "key_point_id", "argument_clean", "key_point_clean")
 
 
@@ -331,12 +332,17 @@ SELECT arg_id, key_point_id, {_CLEAN_SQL.format(c="argument")} AS argument_clean
               CASE WHEN stance = 1 THEN ' is positive' ELSE ' is negative' END) AS topic_segment
 FROM pairs""")
 def q_pair_text_topic_stance(spark, sf):
-    """Cleaned pair plus the topic + stance segment (add_info='topic,stance')."""
+    """Cleaned pair plus the topic + stance segment (add_info='topic,stance'); texts
+    cleaned once per argument / key point, the segment once per (topic, stance)."""
     t = C.tables(spark, sf)
-    p = pairs.pair_segments(pairs.labelled_pairs(t.arguments, t.key_points, t.labels),
-                            "topic,stance")
-    return p.select("arg_id", "key_point_id", "argument_clean", "key_point_clean",
-                    F.element_at("segments", 1).alias("topic_segment"))
+    keys = t.labels.select("arg_id", "key_point_id").join(
+        t.arguments.select("arg_id", "topic", "stance"), "arg_id")
+    p = pairs.pair_text_by_key(keys, t.arguments, t.key_points)
+    seg = keys.select("topic", "stance").distinct().withColumn(
+        "topic_segment", F.element_at(TX.extra_segments(topic="topic", stance="stance"), 1))
+    from ..operators.sizing import bounded_broadcast
+    p = p.join(bounded_broadcast(seg), ["topic", "stance"])
+    return p.select("arg_id", "key_point_id", "argument_clean", "key_point_clean", "topic_segment")
 
 
 # ---------------------------------------------------------------- scores
