@@ -64,6 +64,18 @@ def max_pair_length(pairs: DataFrame) -> DataFrame:
         F.max(token_length("argument") + token_length("topic")).cast("long").alias("max_pair_tokens"))
 
 
+def max_pair_length_by_key(pair_keys: DataFrame, arguments: DataFrame) -> DataFrame:
+    """A16 with each argument measured once: word / token lengths of argument + topic per
+    argument, joined to the pair keys, then the maximum over pairs."""
+    lens = arguments.select(
+        "arg_id",
+        (word_count("argument") + word_count("topic")).alias("_w"),
+        (token_length("argument") + token_length("topic")).alias("_t"))
+    return pair_keys.join(lens, "arg_id").agg(
+        F.max("_w").cast("long").alias("max_pair_words"),
+        F.max("_t").cast("long").alias("max_pair_tokens"))
+
+
 def histogram(values: DataFrame, value: str, kind: str, density: bool = True) -> DataFrame:
     """``NUM_BINS`` equal-width bins over [min, max], the last bin closed; density
     (count / (n * width)) or raw counts. All bins are listed, empty ones with 0. Equal min and

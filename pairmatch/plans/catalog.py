@@ -761,8 +761,11 @@ SELECT CAST(max({_WORDS_SQL.format(c='argument')} + {_WORDS_SQL.format(c='topic'
        CAST(max({_TOKENS_SQL.format(c='argument')} + {_TOKENS_SQL.format(c='topic')}) AS BIGINT) AS max_pair_tokens
 FROM pairs""")
 def q_max_pair_length(spark, sf):
-    """Longest argument + topic over the labelled pairs."""
-    return PR.max_pair_length(_all_pairs(C.tables(spark, sf)))
+    """Longest argument + topic over the labelled pairs (each argument measured once)."""
+    t = C.tables(spark, sf)
+    keys = t.labels.select("arg_id", "key_point_id").join(
+        t.key_points.select("key_point_id"), "key_point_id")
+    return PR.max_pair_length_by_key(keys, t.arguments)
 
 
 def _sql_hist(kind: str, values: str, density: bool) -> str:
