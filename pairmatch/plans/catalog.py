@@ -539,11 +539,15 @@ from ..operators import profile as PR  # noqa: E402
 from ..sources.fixtures import fold_logits  # noqa: E402
 
 
-def _fit(t) -> DataFrame:
-    p = pairs.labelled_pairs(t.arguments, t.key_points, t.labels)
-    tr = p.filter(F.col("subset") == "train").drop("subset")
-    dv = p.filter(F.col("subset") == "dev").drop("subset")
-    return pairs.fit_pairs(tr, dv)
+def _fit_keys(t) -> DataFrame:
+    """The k-fold input (U1: train union dev, deduplicated) on keys only. Texts, topic and
+    stance are functions of the ids, so deduplicating (arg_id, key_point_id, label, topic)
+    keeps exactly the rows of the full-row dedupe -- without shuffling any text."""
+    keys = (t.labels.filter(F.col("subset").isin("train", "dev"))
+            .select("arg_id", "key_point_id", "label")
+            .join(t.arguments.select("arg_id", "topic"), "arg_id")
+            .join(t.key_points.select("key_point_id"), "key_point_id"))
+    return keys.dropDuplicates()
 
 
 def _sql_kfold(key: str, k: int, src: str = "fit") -> str:
@@ -566,14 +570,14 @@ fit AS (SELECT DISTINCT arg_id, argument, key_point_id, key_point, topic, stance
 SELECT topic, key_id AS topic_id, fold FROM folds""")
 def q_topic_folds(spark, sf):
     """F1 + W4: topics of train + dev enumerated in sorted order, 7 contiguous folds."""
-    return FO.topic_folds(_fit(C.tables(spark, sf)), 7)
+    return FO.topic_folds(_fit_keys(C.tables(spark, sf)), 7)
 
 
 @register("argument_folds", _SQL_FIT_DEDUP + "," + _sql_kfold("arg_id", 5) + """
 SELECT arg_id, key_id AS arg_key_id, fold FROM folds""")
 def q_argument_folds(spark, sf):
     """arguments of train + dev in 5 contiguous folds (distributed rank)."""
-    return FO.argument_folds(_fit(C.tables(spark, sf)), 5)
+    return FO.argument_folds(_fit_keys(C.tables(spark, sf)), 5)
 
 
 @register("fold_members", _SQL_FIT_DEDUP + "," + _sql_kfold("topic", 7) + """
@@ -581,7 +585,7 @@ SELECT f.arg_id, f.key_point_id, f.topic, d.fold FROM fit f JOIN folds d ON f.to
 def q_fold_members(spark, sf):
     """F2 + F3: the row keys of every pair with the fold in which it is the dev set (it is in
     the train set of every other fold)."""
-    fit = _fit(C.tables(spark, sf))
+    fit = _fit_keys(C.tables(spark, sf))
     folds = FO.topic_folds(fit, 7)
     return FO.with_folds(fit, folds.select("topic", "fold"), "topic").select(
         "arg_id", "key_point_id", "topic", "fold")
@@ -599,7 +603,7 @@ SELECT fold, 'train' AS role, t_pairs - n_pairs, t_arguments - n_arguments, t_to
 FROM per, tot""")
 def q_fold_sizes(spark, sf):
     """train / dev sizes of every fold (topic-disjoint by construction)."""
-    fit = _fit(C.tables(spark, sf))
+    fit = _fit_keys(C.tables(spark, sf))
     folds = FO.topic_folds(fit, 7)
     return FO.fold_sizes(FO.with_folds(fit, folds.select("topic", "fold"), "topic"), "topic")
 
