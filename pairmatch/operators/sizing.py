@@ -63,10 +63,13 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS,
 
 
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a global aggregate (exactly one row: a proven size bound) to every
-    row of ``df``. Broadcast, so the constant join key never routes rows to one partition."""
-    k = F.lit(0).alias("_pm_k")
-    return df.select(k, "*").join(F.broadcast(one_row.select(k, "*")), "_pm_k").drop("_pm_k")
+    """Attach the columns of a global aggregate (exactly one row) to every row of ``df``.
+    The aggregate becomes one scalar subquery returning a struct: it runs once, its single
+    value is inlined into the projection, and no join (nor any shuffle of ``df``) is planned."""
+    cols = one_row.columns
+    packed = one_row.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_pm_s")).scalar()
+    return df.select("*", packed.alias("_pm_s")).select(
+        *[F.col(f"`{c}`") for c in df.columns], *[F.col("_pm_s")[c].alias(c) for c in cols])
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
