@@ -648,7 +648,6 @@ def q_ensemble_label_scores(spark, sf):
     return C.normalised(EN.attach_scores(t.labels.select("arg_id", "key_point_id", "label"), ens))
 
 
-_KFOLD_METRIC_COLS = ", ".join(f"round(avg({m}), 6) AS {m}_test" for m in metrics.METRIC_NAMES)
 
 
 @register("kfold_report", _SQL_ENS + """,
@@ -1147,7 +1146,6 @@ def q_report_upsert(spark, sf):
     return IO.report_export_frame(IO.report_upsert(old, new))
 
 
-_SQL_TEST = C.SQL_SCORED.replace("FROM pred)", "FROM pred WHERE CAST(split_part(arg_id, '_', 2) AS INT) >= 8)")
 
 
 @register("run_report")
