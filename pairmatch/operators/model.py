@@ -185,7 +185,8 @@ def naive_bayes_kfold(train_tokens: DataFrame, train_rows: DataFrame, score_toke
             .join(bounded_broadcast(weights), "token")
             .groupBy("arg_id", "key_point_id", "target").agg(F.sum("w").alias("_s")))
     pairs = score_tokens.select("arg_id", "key_point_id").distinct()
-    grid = pairs.select("arg_id", "key_point_id", targets).join(F.broadcast(priors), "target")
+    grid = pairs.select("arg_id", "key_point_id", targets).join(
+        F.broadcast(priors), "target")  # k rows: a proven bound
     logit = F.col("prior") + F.coalesce("_s", F.lit(0.0))
     return (grid.join(sums, ["arg_id", "key_point_id", "target"], "left")
             .select("arg_id", "key_point_id", F.col("target").cast("int").alias("fold"),

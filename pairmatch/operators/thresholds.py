@@ -52,7 +52,7 @@ def _grid_suffix(g: DataFrame, per: DataFrame, cols: list[str]) -> DataFrame:
     """For each grid index i, the sums of ``cols`` over buckets b > i, i.e. over the scores
     s >= th_i. ``per`` has one row per bucket (at most n + 1 rows); bucket i + 1 is joined by
     key and a suffix sum runs over the grid-sized table."""
-    j = g.join(F.broadcast(per), F.col("b") == F.col("i") + 1, "left")
+    j = g.join(F.broadcast(per), F.col("b") == F.col("i") + 1, "left")  # <= grid size + 1 rows
     w = Window.orderBy(F.col("i").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return j.select("i", "threshold", *[F.sum(F.coalesce(F.col(c), F.lit(0))).over(w).alias(c)
                                         for c in cols])

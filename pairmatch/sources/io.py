@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.sizing import row_count_at_most
+from ..operators.sizing import bounded_broadcast, row_count_at_most
 from ..session import ensure_checkpoint_dir
 from .schemas import (ARGUMENT_SCHEMA, HISTORY_SCHEMA, KEY_POINT_SCHEMA, LABEL_SCHEMA,
                       SUBMISSION_SCHEMA, require_keys)
@@ -148,7 +148,8 @@ def report_upsert(existing: DataFrame | None, new: DataFrame) -> DataFrame:
         merged = new
     else:
         merged = existing.withColumn("_src", F.lit(0)).unionByName(new, allowMissingColumns=True)
-    merged = merged.join(F.broadcast(dup.select("name", F.lit(True).alias("_dup"))), "name", "left")
+    merged = merged.join(bounded_broadcast(dup.select("name", F.lit(True).alias("_dup"))), "name",
+                         "left")
     merged = merged.filter(F.when(F.col("_dup"), F.raise_error(F.lit("duplicate report name")))
                            .otherwise(F.lit(True)))
     w = Window.partitionBy("name").orderBy(F.col("_src").desc())
