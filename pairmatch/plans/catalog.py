@@ -1283,3 +1283,36 @@ def q_model_kfold_ensemble(spark, sf):
         F.col("key_point_id").isNotNull())
     fs = MD.naive_bayes_kfold(train_tokens, rows, MD.pair_tokens(cands, ta, tk), 7)
     return C.normalised(EN.ensemble_scores(fs))
+
+
+def _shared_word_scorer():
+    """Stand-in outside model for the M3 extension point: logit l1 = number of distinct
+    cleaned words shared by argument and key point (l0 = 0). Loaded once per task."""
+    import pandas as pd
+
+    def score(batch: "pd.DataFrame") -> "pd.DataFrame":
+        a = batch["argument_clean"].str.split()
+        b = batch["key_point_clean"].str.split()
+        shared = [float(len(set(x) & set(y))) for x, y in zip(a, b)]
+        return pd.DataFrame({"l0": [0.0] * len(shared), "l1": shared})
+    return score
+
+
+@register("outside_scorer_scores", f"""
+cand AS (SELECT a.arg_id, k.key_point_id FROM a JOIN k ON a.topic = k.topic AND a.stance = k.stance
+         AND a.tid = k.tid),
+sh AS (SELECT c.arg_id, c.key_point_id,
+              CAST(len(list_intersect(list_distinct({_SQL_WORDS.format(c='a.argument')}),
+                                      list_distinct({_SQL_WORDS.format(c='k.key_point')}))) AS DOUBLE) AS l1
+       FROM cand c JOIN a ON c.arg_id = a.arg_id JOIN k ON c.key_point_id = k.key_point_id)
+SELECT arg_id, key_point_id, CAST(0.0 AS DOUBLE) AS l0, l1, round(1.0 / (1.0 + exp(-l1)), 6) AS score FROM sh""")
+def q_outside_scorer_scores(spark, sf):
+    """M3 extension point: every candidate pair scored by an outside scorer through
+    ``mapInPandas`` (Arrow batches, one scorer load per task); texts cleaned once per key."""
+    from ..operators.scoring import score_with
+    t = C.tables(spark, sf)
+    cands = pairs.candidate_ids(t.arguments, t.key_points).filter(
+        F.col("key_point_id").isNotNull()).select("arg_id", "key_point_id")
+    texts = pairs.pair_text_by_key(cands, t.arguments, t.key_points)
+    logits = score_with(texts, _shared_word_scorer)
+    return C.normalised(logits.withColumn("score", SC.positive_softmax("l0", "l1")))
