@@ -31,7 +31,7 @@ WINDOW = 2048
 END_ID = 1
 SHARD_DOCS = 1000          # documents of one index shard
 SHARD_TOKENS = 4_000_000   # and tokens, so that a shard of long documents stays small
-CACHE = 200_000            # distinct word pieces a task remembers; beyond it starts anew
+CACHE = 500_000            # distinct runs a task remembers; beyond it starts anew
 
 SCHEMA = ("doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
           "`offset` long, ids binary")
