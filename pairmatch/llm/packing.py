@@ -18,68 +18,113 @@ of the input are not carried along.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 WINDOW = 2048
 END_ID = 1
 SHARD_DOCS = 1000          # documents of one index shard
 SHARD_TOKENS = 4_000_000   # and tokens, so that a shard of long documents stays small
 CACHE = 500_000            # distinct runs a task remembers; beyond it starts anew
 
+MARKS = (".", ",")         # marks that often follow a word
+
 SCHEMA = ("doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
           "`offset` long, ids binary")
 
 
 class Encoder:
-    """Token ids of texts by a public tokenizer file. The tokenizer drops white space and never
-    merges across it, so each distinct run between spaces is encoded once and then looked up."""
+    """Token ids of texts by a public tokenizer file.
+
+    The tokenizer lower-cases, drops white space and never merges across it, nor between letters
+    and marks. So texts are cut at spaces and line ends, and each distinct run is encoded once and
+    then looked up. Runs of letters are encoded many at a time as one text: each is one word to the
+    tokenizer, whose ids end at the one end-of-word id. Lower-case ASCII letters need none of its
+    normalisation, so they go to its model directly. A run that is letters and one mark is put
+    together from the two."""
 
     def __init__(self, path: str, end_id: int = END_ID):
-        from tokenizers import Tokenizer
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"   # Spark's tasks are the parallelism
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True   # their strings in a text are ordinary text
+        self.tok.encode_special_tokens = True            # their strings in a text are ordinary text
+        self.ascii = Tokenizer(self.tok.model)
+        self.ascii.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocab = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.end = end_id
         self._reset()
 
     def _reset(self):
         self.index: dict[str, int] = {}
         self.flat = np.empty(1 << 16, dtype=np.uint32)
-        self.offs = np.zeros(1 << 16, dtype=np.int64)   # offs[i]:offs[i + 1] are the ids of run i
-
-    def _learn(self, chunks):
-        new = [c for c in dict.fromkeys(chunks) if c not in self.index]
-        for i in range(0, len(new), 10_000):
-            part = new[i:i + 10_000]
-            for c, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                ids, k = e.ids, len(self.index)
-                at = int(self.offs[k])
-                while at + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-                if k + 2 > len(self.offs):
-                    self.offs = np.concatenate([self.offs, np.empty_like(self.offs)])
-                self.flat[at:at + len(ids)] = ids
-                self.index[c] = k
-                self.offs[k + 1] = at + len(ids)
-
-    def encode(self, text: str | None) -> np.ndarray:
-        """The text's ids and the end id."""
-        chunks = (text or "").replace("\n", " ").split(" ")
-        try:
-            idx = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
-        except KeyError:
-            self._learn(chunks)
-            idx = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
+        self.offs = np.zeros(1 << 16, dtype=np.int64)    # offs[i]:offs[i + 1] are the ids of run i
+
+    def _add(self, runs: list[str], ids: np.ndarray, ends: np.ndarray):
+        """Remember ``runs``; the ids of run i end at ends[i]."""
+        k, at = len(self.index), int(self.offs[len(self.index)])
+        while at + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while k + len(runs) + 1 > len(self.offs):
+            self.offs = np.concatenate([self.offs, np.empty_like(self.offs)])
+        self.flat[at:at + len(ids)] = ids
+        self.offs[k + 1:k + 1 + len(runs)] = at + ends
+        self.index.update(zip(runs, range(k, k + len(runs))))
+
+    def _gather(self, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the runs ``idx`` one after another, and where each run's ids start."""
         start, n = self.offs[idx], self.offs[idx + 1] - self.offs[idx]
-        total = int(n.sum())
-        pos = np.arange(total) + np.repeat(start - (np.cumsum(n) - n), n)
-        return np.append(self.flat[pos], np.uint32(self.end)).astype("<u4")
+        before = np.cumsum(n) - n
+        return self.flat[np.arange(int(n.sum())) + np.repeat(start - before, n)], before
+
+    def _letters(self, words: list[str], tok):
+        for i in range(0, len(words), 2000):
+            part = words[i:i + 2000]
+            got = tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0]
+            ids = np.array(got.ids, dtype=np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(part):
+                self._add(part, ids, ends)
+
+    def _learn(self, runs: list[str]):
+        new = set(runs).difference(self.index)
+        marked = [r for r in new if r[-1:] in MARKS and r[:-1].isalpha()]
+        words = {r for r in new if r.isalpha()}.union(r[:-1] for r in marked).difference(self.index)
+        self._letters([w for w in words if w.isascii()], self.ascii)
+        self._letters([w for w in words if not w.isascii()], self.tok)
+        marked = [r for r in marked if r[:-1] in self.index]
+        rest = list((words | new | set(MARKS)).difference(self.index, marked))
+        if rest:
+            got = [e.ids for e in self.tok.encode_batch_fast(rest, add_special_tokens=False)]
+            self._add(rest, np.array([i for x in got for i in x], dtype=np.uint32),
+                      np.cumsum([len(x) for x in got]))
+        if marked:
+            pairs = np.array([(self.index[r[:-1]], self.index[r[-1]]) for r in marked]).ravel()
+            ids, before = self._gather(pairs)
+            self._add(marked, ids, np.append(before, len(ids))[2::2])
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Each text's ids and the end id; a null text counts as empty."""
+        low = pc.replace_substring(pc.ascii_lower(pc.fill_null(texts, "")), "\n", " ")
+        lists = pc.split_pattern(low, " ")
+        runs = lists.flatten().dictionary_encode()
+        words = runs.dictionary.to_pylist()
+        self._learn(words)
+        known = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        ids, before = self._gather(known[runs.indices.to_numpy()])
+        ends = np.append(before, len(ids))[np.cumsum(pc.list_value_length(lists).to_numpy())]
+        return [np.append(x, np.uint32(self.end)).astype("<u4") for x in np.split(ids, ends[:-1])]
 
     def tidy(self):
         if len(self.index) > CACHE:
@@ -214,12 +259,11 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
             out = out or pa.schema([("doc_id", batch.schema.field(0).type)] + [
                 (n, pa.int64()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
             ] + [("ids", pa.binary())])
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+            for part in slices(batch, 1, rows=2500, size=8 << 20):
+                for d, r in zip(part.column(0).to_pylist(), enc.encode(part.column(1))):
                     ids.append(d)
-                    rows.append(enc.encode(t))
-                    held += len(rows[-1])
+                    rows.append(r)
+                    held += len(r)
                     if len(rows) >= shard_docs or held >= shard_tokens:
                         yield from close()
         if rows:
