@@ -2,11 +2,11 @@
 
 Encoding runs over blocks of documents. A first map step splits each text with the tokenizer's
 pattern and numbers the block's distinct words; words that are tokens themselves need no merge.
-The others travel as arrays of byte ids, and Spark higher-order functions fold the ranked merges
-over them: each fold step merges the leftmost pair of the lowest rank, found in a literal rank map
-(pairs of adjacent ids -> merged id, hashed into buckets), and re-ranks only the two pairs beside
-it. A last map step puts the words' ids back in document order; decoding concatenates the binary
-pieces of the ids.
+The others travel as arrays of byte ids, held as strings with one character per id, and Spark
+higher-order functions fold the ranked merges over them: each step ranks the adjacent pairs in a
+literal rank map (pair -> merged id, hashed into buckets) and merges the leftmost pair of the
+lowest rank wherever it stands. A last map step puts the words' ids back in document order;
+decoding concatenates the binary pieces of the ids.
 
 Every block is independent: one stage, no shuffle, and a task holds one block (bounded text and
 bounded distinct words; a longer single document is a block of its own). A null text counts as
@@ -18,17 +18,20 @@ from __future__ import annotations
 
 import base64
 import json
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 99_991          # prime, so that both ids of a pair spread the keys
+BUCKETS = 99_991
 NONE = 1 << 30            # rank of a pair that does not merge
-BLOCK_CHARS = 16 << 20    # text of one block
-BLOCK_WORDS = 250_000     # distinct words of one block
+BLOCK_CHARS = 32 << 20    # text of one block
+BLOCK_WORDS = 400_000     # distinct words of one block
+BASE = 0x10000            # id i is the character BASE + i, four bytes in UTF-8
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -37,17 +40,19 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def merge_buckets(ranks: dict[bytes, int]) -> tuple[list[list[int]], list[list[int]]]:
-    """Every split of a token into two tokens: pair keys and merged ids, by bucket."""
-    keys: list[list[int]] = [[] for _ in range(BUCKETS)]
+def merge_buckets(ranks: dict[bytes, int]) -> tuple[list[list[str]], list[list[int]]]:
+    """Every split of a token into two tokens: the pair's two characters and the merged id, by
+    bucket."""
+    keys: list[list[str]] = [[] for _ in range(BUCKETS)]
     merged: list[list[int]] = [[] for _ in range(BUCKETS)]
     for token, rank in ranks.items():
         for i in range(1, len(token)):
             a, b = ranks.get(token[:i]), ranks.get(token[i:])
             if a is not None and b is not None:
-                k = (a << 17) + b
-                keys[k % BUCKETS].append(k)
-                merged[k % BUCKETS].append(rank)
+                pair = chr(BASE + a) + chr(BASE + b)
+                bucket = zlib.crc32(pair.encode()) % BUCKETS
+                keys[bucket].append(pair)
+                merged[bucket].append(rank)
     return keys, merged
 
 
@@ -57,41 +62,47 @@ def _let(value: Column, body) -> Column:
 
 
 def fold_merges(words: Column, ranks: dict[bytes, int]) -> Column:
-    """array<array<int>> of byte ids -> array<array<int>> of token ids."""
+    """array<string> of byte ids -> array<string> of token ids, one character per id."""
     keys, merged = merge_buckets(ranks)
-    literal = F.from_json(F.lit(json.dumps({"k": keys, "m": merged}, separators=(",", ":"))),
-                          "k array<array<bigint>>, m array<array<int>>")
-    none = F.lit(NONE)
+    chars = [chr(BASE + i) for i in range(max(ranks.values()) + 1)]
+    literal = F.from_json(F.lit(json.dumps({"k": keys, "m": merged, "c": chars}, ensure_ascii=False, separators=(",", ":"))),
+                          "k array<array<string>>, m array<array<int>>, c array<string>")
+    tables = _let(literal, lambda t: F.struct(F.zip_with(t["k"], t["m"], F.map_from_arrays).alias("b"), t["c"].alias("c")))
 
-    def look(t, a, b):
-        def found(k):
-            bucket = (k % BUCKETS).cast("int")
-            return _let(F.array_position(t["k"][bucket], k),
-                        lambda at: F.when(at == 0, none).otherwise(t["m"][bucket][(at - 1).cast("int")]))
-        return _let(F.shiftleft(a.cast("bigint"), 17) + b, found)
+    def rank(t, pair):
+        return F.coalesce(t["b"][(F.crc32(pair) % BUCKETS).cast("int")][pair], F.lit(NONE)).cast("bigint")
 
-    def step(t, st):
-        ids, ranks_ = st["ids"], st["ranks"]
-        n = F.size(ids)
+    def step(t, word):
+        def merge(ids):
+            # rank and place of the leftmost lowest pair, as one number
+            best = F.array_min(F.transform(F.slice(ids, 2, F.size(ids)), lambda b, i: F.shiftleft(
+                rank(t, F.concat(ids[i], b)), 31) + i))
+            return _let(best, lambda x: F.when(x >= NONE << 31, word).otherwise(_let(
+                x.bitwiseAND((1 << 31) - 1).cast("int"),
+                lambda p: F.replace(word, F.concat(ids[p], ids[p + 1]), t["c"][F.shiftright(x, 31).cast("int")]))))
+        return F.when(F.length(word) < 2, word).otherwise(_let(F.split(word, ""), merge))
 
-        def merge(m, p):
-            left = F.when(p > 1, F.array(look(t, ids[p - 2], m))).otherwise(F.array().cast("array<int>"))
-            right = F.when(p + 1 < n, look(t, m, ids[p + 1])).otherwise(none)
-            return F.struct(
-                F.concat(F.slice(ids, 1, p - 1), F.array(m), F.slice(ids, p + 2, n)).alias("ids"),
-                F.concat(F.slice(ranks_, 1, F.greatest(p - 2, F.lit(0))), left, F.array(right),
-                         F.slice(ranks_, p + 2, n)).alias("ranks"))
+    def fold(t, word):
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1))), word, lambda w, _: step(t, w))
 
-        return _let(F.array_min(ranks_), lambda m: F.when(m == none, st).otherwise(
-            _let(F.array_position(ranks_, m).cast("int"), lambda p: merge(m, p))))
+    return _let(tables, lambda t: F.transform(words, lambda w: fold(t, w)))
 
-    def fold(t, w):
-        start = F.struct(w.alias("ids"), F.zip_with(
-            w, F.slice(w, 2, F.size(w)),
-            lambda a, b: F.when(b.isNull(), none).otherwise(look(t, a, b))).alias("ranks"))
-        return F.aggregate(F.slice(w, 2, F.size(w)), start, lambda st, _: step(t, st), lambda st: st["ids"])
 
-    return _let(literal, lambda t: F.transform(words, lambda w: fold(t, w)))
+def to_chars(ids: np.ndarray, counts) -> pa.Array:
+    """Words of ``counts`` ids each as strings, written straight into an Arrow buffer."""
+    c = ids.astype(np.uint32) + BASE
+    utf8 = np.stack([0xF0 | c >> 18, 0x80 | c >> 12 & 0x3F, 0x80 | c >> 6 & 0x3F, 0x80 | c & 0x3F], axis=1).astype(np.uint8)
+    offsets = (4 * np.concatenate([[0], np.cumsum(counts)])).astype(np.int32)
+    return pa.StringArray.from_buffers(len(counts), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(utf8)))
+
+
+def from_chars(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all words one after another, and how many each has."""
+    raw = words.cast(pa.binary())
+    counts = pc.binary_length(raw).to_numpy(zero_copy_only=False) // 4
+    utf8 = np.frombuffer(b"".join(raw.to_pylist()), dtype=np.uint8).reshape(-1, 4).astype(np.uint32) & 0x3F
+    ids = ((utf8[:, 0] & 7) << 18 | utf8[:, 1] << 12 | utf8[:, 2] << 6 | utf8[:, 3]) - BASE
+    return ids, counts
 
 
 def _ragged(values: np.ndarray, offsets: np.ndarray, idx: np.ndarray) -> np.ndarray:
@@ -100,11 +111,6 @@ def _ragged(values: np.ndarray, offsets: np.ndarray, idx: np.ndarray) -> np.ndar
     return values[np.arange(int(n.sum())) + np.repeat(offsets[idx] - (np.cumsum(n) - n), n)]
 
 
-def _list(values, counts, kind) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
-
-
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """``doc_id``, ``ids`` (little-endian unsigned 32-bit) and ``decoded`` (bytes) of every row."""
     ranks = load_ranks(ranks_path)
@@ -130,7 +136,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 else:
                     known[i] = r
             flat = byte_ids[np.frombuffer(b"".join(left), dtype=np.uint8)]
-            words = _list(flat, [len(w) for w in left], pa.int32())
+            words = to_chars(flat, [len(w) for w in left])
             batch = pa.RecordBatch.from_arrays([
                 pa.ListArray.from_arrays(pa.array([0, len(docs_)], pa.int32()), pa.array(docs_, own)),
                 pa.array([[i.tobytes() for i in idx]], pa.list_(pa.binary())),
@@ -166,9 +172,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 row = batch.slice(i, 1)
                 known = np.frombuffer(row.column(2)[0].as_py(), dtype=np.int32)
                 merged = row.column(3)[0].values
-                values = merged.flatten().to_numpy(zero_copy_only=False)
+                values, counts = from_chars(merged)
                 lens = np.ones(len(known), dtype=np.int64)
-                lens[known < 0] = pa.compute.list_value_length(merged).to_numpy(zero_copy_only=False)
+                lens[known < 0] = counts
                 at = np.concatenate([[0], np.cumsum(lens)])
                 flat = np.empty(int(at[-1]), dtype="<u4")
                 flat[at[:-1][known >= 0]] = known[known >= 0]
@@ -183,6 +189,6 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                     ], names=["doc_id", "ids", "decoded"])
 
     blocks = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-        split, f"docs array<{kind}>, idx array<binary>, known binary, words array<array<int>>")
+        split, f"docs array<{kind}>, idx array<binary>, known binary, words array<string>")
     return blocks.withColumn("words", fold_merges(F.col("words"), ranks)).mapInArrow(
         join, f"doc_id {kind}, ids binary, decoded binary")

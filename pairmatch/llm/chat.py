@@ -116,9 +116,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
         unescape(F.substring(s, F.lit(at), colon(s) - at), ROLE_ESCAPES).alias("role"),
         unescape(F.substring(s, colon(s) + len(COLON), F.char_length(s))).alias("text"))
     # each masked span lies in one turn: cut it out of that turn's own text
-    spans = F.map_from_arrays(F.transform("mask", lambda m: m["start"]), F.transform("mask", lambda m: m["length"]))
     rows = formatted.select("conv_id", "formatted", segs.alias("segs"), "starts", "mask")
-    del spans
     cut = F.aggregate(
         F.arrays_zip("segs", "starts"),
         F.struct(F.lit(0).alias("k"), F.array().cast("array<string>").alias("out")),

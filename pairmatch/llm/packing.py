@@ -35,12 +35,12 @@ WINDOW = 2048
 END_ID = 1
 SHARD_DOCS = 1000          # documents of one index shard
 SHARD_TOKENS = 4_000_000   # and tokens, so that a shard of long documents stays small
-CACHE = 500_000            # distinct runs a task remembers; beyond it starts anew
+CACHE = 800_000            # distinct runs a task remembers; beyond it starts anew
 
 MARKS = (".", ",")         # marks that often follow a word
 
 SCHEMA = ("doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
-          "`offset` long, ids binary")
+          "`offset` long")
 
 
 class Encoder:
@@ -224,18 +224,19 @@ def _place(pieces, used: int, window: int):
 
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID,
          shard_docs: int = SHARD_DOCS, shard_tokens: int = SHARD_TOKENS, query_terms: int = 16,
-         k1: float = 1.2, b: float = 0.75) -> DataFrame:
+         k1: float = 1.2, b: float = 0.75, with_ids: bool = True) -> DataFrame:
     """Pieces of all documents in sequences of at most ``window`` ids: ``doc_id``, ``start``,
-    ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset`` and the piece's
-    ``ids`` (little-endian unsigned 32-bit)."""
+    ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset`` and, unless left out,
+    the piece's ``ids`` (little-endian unsigned 32-bit)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    width = 7 + with_ids
 
     def emit(ids, rows, index, base):
-        cols = [[] for _ in range(8)]
+        cols = [[] for _ in range(width)]
         last = base
         for d, at, n, s, off in pack_shard(rows, index, window):
             raw = rows[d][at:at + n].tobytes()
-            for c, v in zip(cols, (ids[d], at, n, zlib.crc32(raw), len(rows[d]), base + s, off, raw)):
+            for c, v in zip(cols, (ids[d], at, n, zlib.crc32(raw), len(rows[d]), base + s, off, raw)[:width]):
                 c.append(v)
             last = max(last, base + s)
         return cols, last + 1
@@ -258,7 +259,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
         for batch in batches:
             out = out or pa.schema([("doc_id", batch.schema.field(0).type)] + [
                 (n, pa.int64()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
-            ] + [("ids", pa.binary())])
+            ] + [("ids", pa.binary())] * with_ids)
             for part in slices(batch, 1, rows=2500, size=8 << 20):
                 for d, r in zip(part.column(0).to_pylist(), enc.encode(part.column(1))):
                     ids.append(d)
@@ -269,4 +270,5 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
         if rows:
             yield from close()
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA.format(kind))
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
+        run, SCHEMA.format(kind) + ", ids binary" * with_ids)

@@ -5,9 +5,13 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .bpe import encode
+from .chat import format_log, read_back, turn_events
 from .common import table
 from .html import extract_main_text
+from .lines import MAX_RATIO, MIN_PAGES, site_line_dedup
 from .packing import pack
 from .quality import quality_rules
 
@@ -15,7 +19,43 @@ DEFAULT_VOCABULARY = "word_bpe_49k.json"
 
 
 def op2_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(DEFAULT_VOCABULARY)).drop("ids")
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(DEFAULT_VOCABULARY), with_ids=False)
+
+
+# The conversation that the formatting query adds to the table (fixed value).
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+def with_control_conversation(turns: DataFrame) -> DataFrame:
+    """The table's turns plus conversation -7, whose texts hold the template's control strings."""
+    rows = turns.select("conv_id", "turn", "role", "text")
+    own = rows.sparkSession.createDataFrame(
+        [(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], rows.schema)
+    return rows.unionByName(own)
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = turn_events(with_control_conversation(table(spark, sf_dir, "conversations")))
+    r = read_back(format_log(log))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return r.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),
+                    F.char_length("loss_text").cast("long").alias("loss_chars"),
+                    F.sha2("loss_text", 256).alias("loss_sha256"),
+                    F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
+# DuckDB strings have no escapes: a backslash in the SQL is one character.
+_ESCAPED = "replace(replace(replace({}, '\\', '\\b'), '<', '\\l'), '#', '\\h')"
+SQL_CHAT = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '{CONTROL_TEXT}' UNION ALL SELECT -7, 1, 'assistant', '{CONTROL_TEXT}')
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(14 + length(replace({_ESCAPED.format('role')}, ':', '\\c')) + length({_ESCAPED.format('text')}))::BIGINT
+           AS formatted_chars
+FROM t GROUP BY conv_id"""
 
 
 def op6_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,5 +68,30 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_retrieval_packing, op6_quality_forest, op8_main_text)}
-ORACLE: dict[str, str] = {}
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return r.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                    F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = site_line_dedup(table(spark, sf_dir, "documents"))
+    return r.select("doc_id", "source", F.sha2("text", 256).alias("text_sha256"), "n_lines", "n_dropped")
+
+
+SQL_LINES = f"""
+WITH p AS (SELECT row_number() OVER () AS r, doc_id, source, text, coalesce(md5(text), '') AS page FROM documents),
+l AS (SELECT r, doc_id, source, page, unnest(string_split(text, chr(10))) AS line,
+             unnest(range(len(string_split(text, chr(10))))) AS i FROM p),
+t AS (SELECT source, count(DISTINCT page) AS total FROM p GROUP BY source),
+b AS (SELECT source, line FROM (SELECT DISTINCT source, page, line FROM l WHERE trim(line) <> '') JOIN t USING (source)
+      GROUP BY source, line, total HAVING count(*) >= {MIN_PAGES} AND count(*) > {MAX_RATIO}::DOUBLE * total),
+k AS (SELECT l.r, count(*) AS n_lines, count(b.line) AS n_dropped,
+             coalesce(string_agg(l.line, chr(10) ORDER BY i) FILTER (b.line IS NULL), '') AS kept
+      FROM l LEFT JOIN b ON l.source = b.source AND l.line = b.line GROUP BY l.r)
+SELECT doc_id, source, sha256(kept) AS text_sha256, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped
+FROM p LEFT JOIN k USING (r)"""
+
+QUERIES = {f.__name__: f for f in (op2_retrieval_packing, op3_chat_format, op6_quality_forest, op8_main_text,
+                                   op9_byte_bpe, op10_line_dedup)}
+ORACLE = {"op3_chat_format": SQL_CHAT, "op10_line_dedup": SQL_LINES}
