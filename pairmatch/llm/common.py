@@ -6,7 +6,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +52,7 @@ def slices(batch: pa.RecordBatch, text: int, rows: int = BLOCK_ROWS,
            size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut an Arrow batch into runs of at most ``rows`` rows and about ``size`` bytes of the
     text column; one row larger than that is a run of its own."""
-    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist()
+    lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
     start = held = 0
     for i, n in enumerate(lengths):
         if i > start and (i - start >= rows or held + n > size):
@@ -59,9 +63,79 @@ def slices(batch: pa.RecordBatch, text: int, rows: int = BLOCK_ROWS,
         yield batch.slice(start)
 
 
-def word_ids(texts, seen: dict) -> list:
-    """Split one block's texts into words and number them by ``seen`` (grown in place)."""
-    out = []
-    for t in texts:
-        out.append([seen.setdefault(w, len(seen)) for w in t.split()])
-    return out
+def blocks(docs: DataFrame, carry: list[str], name: str, rows: int = BLOCK_ROWS, size: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` as a stored table of blocks: ``block`` (its number), ``d`` (the ``carry`` columns of
+    its rows), ``body`` (their texts one after another, compressed), ``lens`` (their lengths in
+    bytes, 64-bit) and ``size`` (of all texts). Later steps read a block as one row, so a row of the
+    input is named by its block and its place there. A null text counts as empty."""
+    fields = docs.select(F.struct(*carry).alias("d"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            for part in slices(batch, 1, rows, size):
+                texts = [t or b"" for t in part.column(1).to_pylist()]
+                lens = np.array([len(t) for t in texts], dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([
+                    pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), part.column(0)),
+                    pa.array([pack(b"".join(texts))], pa.binary()), pa.array([lens.tobytes()], pa.binary()),
+                    pa.array([int(lens.sum())], pa.int64())], names=["d", "body", "lens", "size"])
+
+    kind = fields.schema["d"].dataType.simpleString()
+    raw = docs.select(F.struct(*carry).alias("d"), F.col("text").cast("string").cast("binary").alias("text"))
+    out = raw.mapInArrow(run, f"d array<{kind}>, body binary, lens binary, size long")
+    return stored(out.select(F.monotonically_increasing_id().alias("block"), "*"), name)
+
+
+def total_size(blocks_: DataFrame) -> int:
+    return blocks_.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+
+
+def open_block(body: bytes, lens: bytes) -> pa.Array:
+    """The texts of a block as an Arrow string array."""
+    raw = zstandard.ZstdDecompressor().decompress(body)
+    offsets = np.concatenate([[0], np.cumsum(np.frombuffer(lens, dtype=np.int64))]).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(raw))
+
+
+def block_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(number of each word's distinct word, the distinct words, words of each text)."""
+    lists = pc.ascii_split_whitespace(texts)
+    flat = lists.flatten()
+    full = pc.greater(pc.binary_length(flat), 0)       # leading and trailing space leave empty runs
+    bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(np.int64)
+    real = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+    coded = flat.filter(full).dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary, np.diff(real[bounds])
+
+
+def word_hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each word."""
+    raw = b"".join(xxhash.xxh3_128_digest(w) for w in words.cast(pa.large_binary()).to_pylist())
+    both = np.frombuffer(raw, dtype=np.uint64).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijective scramble of 64-bit numbers."""
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def gram_hash(h: np.ndarray, n: int, base: int) -> np.ndarray:
+    """Polynomial hashes of every ``n`` consecutive values (the last n - 1 places are left out)."""
+    done, width, out, powers = 0, 1, None, h
+    while True:                                  # binary expansion of n, widest part last
+        if n & width:
+            part = powers[done:]
+            factor = np.uint64(pow(base, width, 1 << 64))
+            out = part if out is None else out[:len(part)] * factor + part[:len(out)]
+            done += width
+        width *= 2
+        if width > n:
+            return out[:max(0, len(h) - n + 1)]
+        half = width // 2
+        if len(powers) <= half:
+            return h[:0]
+        powers = powers[:-half] * np.uint64(pow(base, half, 1 << 64)) + powers[half:]

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from .bpe import encode
 from .chat import format_log, read_back, turn_events
 from .common import table
+from .exact import dedup_stream
 from .html import extract_main_text
 from .lines import MAX_RATIO, MIN_PAGES, site_line_dedup
 from .packing import pack
 from .quality import quality_rules
+from .substring import remove_repeats
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 
@@ -58,6 +60,34 @@ SELECT conv_id, count(*) AS n_turns,
 FROM t GROUP BY conv_id"""
 
 
+def op4_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_stream(spark, f"{sf_dir}/documents.parquet").drop("file", "row")
+
+
+SQL_DEDUP = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
+           FROM documents),
+g AS (SELECT norm, count(*) AS group_size, min_by(doc_id, (-n, doc_id)) AS keep_id FROM d GROUP BY norm)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(d.norm) AS text_sha256 FROM d JOIN g USING (norm)"""
+
+
+def op5_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = remove_repeats(table(spark, sf_dir, "documents"), want=("kept",))
+    return r.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL_REPEATS = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+k AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS n FROM k) WHERE n > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM r),
+x AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d),
+y AS (SELECT x.doc_id, count(c.j) AS n_removed, string_agg(word, ' ' ORDER BY x.j) FILTER (c.j IS NULL) AS kept
+      FROM x LEFT JOIN c ON x.doc_id = c.doc_id AND x.j = c.j GROUP BY x.doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN y USING (doc_id)"""
+
+
 def op6_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return r.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -92,6 +122,8 @@ k AS (SELECT l.r, count(*) AS n_lines, count(b.line) AS n_dropped,
 SELECT doc_id, source, sha256(kept) AS text_sha256, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped
 FROM p LEFT JOIN k USING (r)"""
 
-QUERIES = {f.__name__: f for f in (op2_retrieval_packing, op3_chat_format, op6_quality_forest, op8_main_text,
+QUERIES = {f.__name__: f for f in (op2_retrieval_packing, op3_chat_format, op4_stream_dedup,
+                                   op5_seed_extend, op6_quality_forest, op8_main_text,
                                    op9_byte_bpe, op10_line_dedup)}
-ORACLE = {"op3_chat_format": SQL_CHAT, "op10_line_dedup": SQL_LINES}
+ORACLE = {"op3_chat_format": SQL_CHAT, "op4_stream_dedup": SQL_DEDUP, "op5_seed_extend": SQL_REPEATS,
+          "op10_line_dedup": SQL_LINES}
