@@ -13,6 +13,7 @@ from .common import table
 from .exact import dedup_stream
 from .html import extract_main_text
 from .lines import MAX_RATIO, MIN_PAGES, site_line_dedup
+from .minhash import near_duplicates
 from .packing import pack
 from .quality import quality_rules
 from .substring import remove_repeats
@@ -94,6 +95,10 @@ def op6_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "base_failed", "kept", "score")
 
 
+def op7_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
@@ -123,7 +128,7 @@ SELECT doc_id, source, sha256(kept) AS text_sha256, coalesce(n_lines, 0) AS n_li
 FROM p LEFT JOIN k USING (r)"""
 
 QUERIES = {f.__name__: f for f in (op2_retrieval_packing, op3_chat_format, op4_stream_dedup,
-                                   op5_seed_extend, op6_quality_forest, op8_main_text,
+                                   op5_seed_extend, op6_quality_forest, op7_bag_minhash, op8_main_text,
                                    op9_byte_bpe, op10_line_dedup)}
 ORACLE = {"op3_chat_format": SQL_CHAT, "op4_stream_dedup": SQL_DEDUP, "op5_seed_extend": SQL_REPEATS,
           "op10_line_dedup": SQL_LINES}
