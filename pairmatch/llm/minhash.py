@@ -207,8 +207,39 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
                     rows: int = ROWS, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``carry`` columns (doc_id among them), ``class_id``, ``class_size`` and ``kept`` of every row."""
     carry = list(dict.fromkeys(["doc_id", *carry]))
-    parts = blocks(docs.select(*carry, *[c for c in ["text"] if c not in carry]),
-                   [c for c in carry], "near-blocks")
+    parts = blocks(docs.select(*carry, *[c for c in ["text"] if c not in carry]), carry, "near-blocks")
+    return _classes(parts, words, similarity, bands, rows).select("d.*", "class_id", "class_size", "kept")
+
+
+def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS,
+             rows: int = ROWS) -> DataFrame:
+    """The rows of ``docs``, all columns, that are the kept document of their class (null texts
+    come back empty). Texts move once more, inside their blocks."""
+    carry = [c for c in docs.columns if c != "text"]
+    parts = blocks(docs, carry, "near-blocks")
+    kept = (_classes(parts.withColumn("d", F.transform("d", lambda x: F.struct(x["doc_id"].alias("doc_id")))),
+                     words, similarity, bands, rows).filter("kept")
+            .groupBy(F.shiftright("uid", SHIFT).alias("block")).agg(
+                F.collect_list(F.col("uid").bitwiseAND((1 << SHIFT) - 1)).alias("idx")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                d, body, lens, idx = (batch.column(c)[i] for c in range(4))
+                texts = open_block(body.as_py(), lens.as_py())
+                at = pa.array(sorted(idx.as_py()), pa.int64())
+                for j in range(0, len(at), 200):
+                    yield pa.RecordBatch.from_arrays(
+                        [d.values.take(at.slice(j, 200)), texts.take(at.slice(j, 200)).cast(pa.string())], names=["d", "text"])
+
+    kind = parts.schema["d"].dataType.elementType.simpleString()
+    out = parts.select("block", "d", "body", "lens").join(kept, "block").select("d", "body", "lens", "idx").mapInArrow(
+        run, f"d {kind}, text string")
+    return out.select(*[F.col("text") if c == "text" else F.col(f"d.{c}") for c in docs.columns])
+
+
+def _classes(parts: DataFrame, words: int, similarity: float, bands: int, rows: int) -> DataFrame:
+    """uid, ``d``, class_id, class_size and kept of every row of the blocks."""
     signed = stored(_signed(parts, words, bands, rows), "near-signatures")
     reps = signed.groupBy("h1", "h2").agg(F.min("uid").alias("rep"))
     member = stored(signed.select("uid", "h1", "h2").join(reps, ["h1", "h2"]).select("uid", "rep"), "near-members")
@@ -249,4 +280,4 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
         F.min(F.struct(F.col("d.doc_id").isNull().alias("none"), F.col("d.doc_id").alias("doc_id"), "uid")).alias("best"),
         F.count("*").alias("class_size"))
     return named.join(best, "comp").select(
-        "d.*", F.col("best.doc_id").alias("class_id"), "class_size", (F.col("uid") == F.col("best.uid")).alias("kept"))
+        "uid", "d", F.col("best.doc_id").alias("class_id"), "class_size", (F.col("uid") == F.col("best.uid")).alias("kept"))

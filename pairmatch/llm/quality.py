@@ -24,10 +24,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import slices, stored
 
 SPACE = bytes([0x20, *range(0x09, 0x0E)])
 SYMBOLS = b"#*$%&|<>"                       # the symbols of the base statistics
@@ -150,9 +151,10 @@ def fit_forest(x: np.ndarray, trees: int, psi: int, seed: int) -> Forest:
             nodes[at][3] = grow(rows[~side], level + 1)
         return at
 
-    for part in np.array_split(rng.permutation(len(x)), max(1, min(trees, len(x) // 2))):
-        if len(part):
-            roots.append(grow(x[part[:psi]], 0))
+    full = len(x) >= trees * psi             # else the trees' samples share rows
+    order = rng.permutation(len(x))
+    for k in range(trees if len(x) else 0):
+        roots.append(grow(x[order[k * psi:(k + 1) * psi] if full else rng.permutation(len(x))[:psi]], 0))
     a = list(zip(*nodes)) if nodes else [[], [], [], [], []]
     return Forest(np.array(a[0], dtype=np.int64), np.array(a[1], dtype=float), np.array(a[2], dtype=np.int64),
                   np.array(a[3], dtype=np.int64), np.array(a[4], dtype=float), np.array(roots, dtype=np.int64),
@@ -174,28 +176,68 @@ def calibrate(bins: list[tuple[int, int, int]], max_good_loss: float = MAX_GOOD_
     return best
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame | None = None, min_words: int = 20,
-                  max_repeat_pct: int = 30, trees: int = TREES, psi: int = PSI, seed: int = SEED,
-                  max_good_loss: float = MAX_GOOD_LOSS) -> DataFrame:
-    """``doc_id``, the statistics, ``base_failed``, ``score``, ``threshold`` and ``kept`` of every
-    row of ``docs``. ``labels`` has doc_id and quality (1 good, 0 bad)."""
-    stats = stored(with_stats(docs), "rule-stats")
+@dataclass
+class Rules:
+    """A fitted forest with its threshold, and the base rules."""
+    forest: Forest
+    threshold: float
+    min_words: int
+    max_repeat_pct: int
+
+    def base_failed(self, s: pd.DataFrame):
+        return (s["n_words"] < self.min_words) | (100 * s["n_repeat_words"] > self.max_repeat_pct * s["n_words"])
+
+    def judge(self, s: pd.DataFrame) -> pd.DataFrame:
+        score = self.forest.scores(features(s))
+        failed = self.base_failed(s)
+        return s.assign(base_failed=failed, score=score, kept=~failed & (np.floor(score * BINS) / BINS < self.threshold))
+
+
+def fit_rules(stats: DataFrame, labels: DataFrame | None, min_words: int = 20, max_repeat_pct: int = 30,
+              trees: int = TREES, psi: int = PSI, seed: int = SEED, max_good_loss: float = MAX_GOOD_LOSS) -> Rules:
+    """Fit the forest to a random sample of ``stats`` and calibrate its threshold on all rows of
+    ``labels`` (doc_id, quality: 1 good, 0 bad)."""
     sample = stats.orderBy(F.xxhash64(F.lit(seed), *stats.columns)).limit(trees * psi).toPandas()
-    forest = fit_forest(features(sample), trees, psi, seed)
-    names, kind = stats.columns, stats.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(score=forest.scores(features(b)))
-
-    scored = stored(stats.mapInPandas(run, f"doc_id {kind}, {STATS}, score double"), "rule-scores")
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
-    threshold = float("inf")
+    rules = Rules(fit_forest(features(sample), trees, psi, seed), float("inf"), min_words, max_repeat_pct)
     if labels is not None:
-        own = scored.filter(F.col("doc_id").isNotNull() & ~failed).select("doc_id", F.floor(F.col("score") * BINS).alias("bin"))
+        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                b = rules.judge(b)
+                b = b[~b["base_failed"]]
+                yield pd.DataFrame({"doc_id": b["doc_id"], "bin": np.floor(b["score"] * BINS).astype("int64")})
+
+        kind = stats.schema["doc_id"].dataType.simpleString()
+        own = stats.filter(F.col("doc_id").isNotNull()).mapInPandas(score, f"doc_id {kind}, bin long")
         hist = (own.join(labels.filter(F.col("quality").isNotNull()).select("doc_id", "quality"), "doc_id")
                 .groupBy("bin").agg(F.sum(F.when(F.col("quality") > 0, 1).otherwise(0)).alias("good"),
                                     F.sum(F.when(F.col("quality") > 0, 0).otherwise(1)).alias("bad")))
-        threshold = calibrate([(r["bin"], r["good"], r["bad"]) for r in hist.collect()], max_good_loss)
-    return (scored.select(*names, "score", F.lit(threshold).alias("threshold"), failed.alias("base_failed"))
-            .withColumn("kept", ~F.col("base_failed") & (F.floor(F.col("score") * BINS) / BINS < F.col("threshold"))))
+        rules.threshold = calibrate([(r["bin"], r["good"], r["bad"]) for r in hist.collect()], max_good_loss)
+    return rules
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame | None = None, **params) -> DataFrame:
+    """``doc_id``, the statistics, ``base_failed``, ``score`` and ``kept`` of every row of ``docs``."""
+    stats = stored(with_stats(docs), "rule-stats")
+    rules = fit_rules(stats, labels, **params)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield rules.judge(b)
+
+    kind = stats.schema["doc_id"].dataType.simpleString()
+    return stats.mapInPandas(run, f"doc_id {kind}, {STATS}, base_failed boolean, score double, kept boolean")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame | None = None, **params) -> DataFrame:
+    """The rows of ``docs``, all columns, that the rules keep."""
+    rules = fit_rules(stored(with_stats(docs), "rule-stats"), labels, **params)
+    names = [x.split()[0] for x in STATS.split(", ")]
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, at):
+                s = pd.DataFrame([rule_stats(t) for t in part.column(at).cast(pa.binary()).to_pylist()], columns=names)
+                yield part.filter(pa.array(rules.judge(s)["kept"].to_numpy(bool)))
+
+    return docs.mapInArrow(run, docs.schema)
