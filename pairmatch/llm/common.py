@@ -63,11 +63,13 @@ def slices(batch: pa.RecordBatch, text: int, rows: int = BLOCK_ROWS,
         yield batch.slice(start)
 
 
-def blocks(docs: DataFrame, carry: list[str], name: str, rows: int = BLOCK_ROWS, size: int = BLOCK_BYTES) -> DataFrame:
+def blocks(docs: DataFrame, carry: list[str], name: str, rows: int = BLOCK_ROWS, size: int = BLOCK_BYTES,
+           keep: bool = True) -> DataFrame:
     """``docs`` as a stored table of blocks: ``block`` (its number), ``d`` (the ``carry`` columns of
     its rows), ``body`` (their texts one after another, compressed), ``lens`` (their lengths in
     bytes, 64-bit) and ``size`` (of all texts). Later steps read a block as one row, so a row of the
-    input is named by its block and its place there. A null text counts as empty."""
+    input is named by its block and its place there. A null text counts as empty. With ``keep``
+    false the caller stores the table, before using it."""
     fields = docs.select(F.struct(*carry).alias("d"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +86,8 @@ def blocks(docs: DataFrame, carry: list[str], name: str, rows: int = BLOCK_ROWS,
     kind = fields.schema["d"].dataType.simpleString()
     raw = docs.select(F.struct(*carry).alias("d"), F.col("text").cast("string").cast("binary").alias("text"))
     out = raw.mapInArrow(run, f"d array<{kind}>, body binary, lens binary, size long")
-    return stored(out.select(F.monotonically_increasing_id().alias("block"), "*"), name)
+    out = out.select(F.monotonically_increasing_id().alias("block"), "*")
+    return stored(out, name) if keep else out
 
 
 def total_size(blocks_: DataFrame) -> int:

@@ -12,6 +12,7 @@ from .chat import format_log, read_back, turn_events
 from .common import table
 from .exact import dedup_stream
 from .html import extract_main_text
+from .lm import score_texts
 from .lines import MAX_RATIO, MIN_PAGES, site_line_dedup
 from .minhash import near_duplicates
 from .packing import pack
@@ -21,6 +22,10 @@ from .substring import remove_repeats
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 
 
+def op1_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op2_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(DEFAULT_VOCABULARY), with_ids=False)
 
@@ -127,7 +132,7 @@ k AS (SELECT l.r, count(*) AS n_lines, count(b.line) AS n_dropped,
 SELECT doc_id, source, sha256(kept) AS text_sha256, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped
 FROM p LEFT JOIN k USING (r)"""
 
-QUERIES = {f.__name__: f for f in (op2_retrieval_packing, op3_chat_format, op4_stream_dedup,
+QUERIES = {f.__name__: f for f in (op1_pitman_yor, op2_retrieval_packing, op3_chat_format, op4_stream_dedup,
                                    op5_seed_extend, op6_quality_forest, op7_bag_minhash, op8_main_text,
                                    op9_byte_bpe, op10_line_dedup)}
 ORACLE = {"op3_chat_format": SQL_CHAT, "op4_stream_dedup": SQL_DEDUP, "op5_seed_extend": SQL_REPEATS,
