@@ -9,11 +9,11 @@ prefix is mapped to ids, once per distinct text, not once per pair.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import words
-from .sizing import bounded_broadcast
+from .ranking import global_rank
 
 # Special token ids and the number of specials around a pair / a single text.
 PAD_ID, UNK_ID, CLS_ID, SEP_ID = 0, 1, 2, 3
@@ -22,15 +22,16 @@ PAIR_SPECIALS = 3      # [CLS] a [SEP] b [SEP]
 SINGLE_SPECIALS = 2    # [CLS] t [SEP]
 
 
-def vocabulary(texts: DataFrame, text_col: str, size: int) -> DataFrame:
-    """The ``size`` most frequent cleaned words of the corpus, ties by word; ids from
-    FIRST_WORD_ID in that order. Word counts combine map-side, so frequent words are not hot
-    keys; the top-k itself is the feature (k is the vocabulary size)."""
+def vocabulary(texts: DataFrame, text_col: str, size: int | None = None) -> DataFrame:
+    """The cleaned words of the corpus by falling frequency, ties by word; ids from
+    FIRST_WORD_ID in that order. All words, or the first ``size`` of them. Word counts combine
+    map-side, so frequent words are not hot keys, and the ids are a distributed rank."""
     counts = (texts.select(F.explode(words(text_col)).alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
-    top = counts.orderBy(F.col("n").desc(), F.col("token").asc()).limit(size)
-    w = Window.orderBy(F.col("n").desc(), F.col("token").asc())
-    return top.select("token", (F.row_number().over(w) - 1 + FIRST_WORD_ID).alias("token_id"), "n")
+    ranked = global_rank(counts, [F.col("n").desc(), F.col("token").asc()])
+    if size is not None:
+        ranked = ranked.filter(F.col("rank") <= size)
+    return ranked.select("token", (F.col("rank") - 1 + FIRST_WORD_ID).cast("int").alias("token_id"), "n")
 
 
 def truncate_longest_first(n1: Column, n2: Column, budget: int) -> tuple[Column, Column]:
@@ -63,7 +64,7 @@ def token_ids(texts: DataFrame, key: str, text_col: str, vocab: DataFrame,
     t = texts.select(key, words(text_col).alias("_w"))
     t = t.select(key, F.size("_w").alias("n_tokens"), F.slice("_w", 1, keep).alias("_p"))
     ex = t.select(key, "n_tokens", F.posexplode_outer("_p").alias("pos", "token"))
-    v = bounded_broadcast(vocab.select("token", "token_id"))
+    v = vocab.select("token", "token_id")
     mapped = ex.join(v, "token", "left")
     entry = F.when(F.col("pos").isNotNull(),
                    F.struct("pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("token_id")))
@@ -99,7 +100,7 @@ def encode_pairs(pairs: DataFrame, vocab: DataFrame, max_length: int = 40,
     b_ids = token_ids(b_texts.select(b_key, b_text), b_key, b_text, vocab, budget
                       ).withColumnsRenamed({"n_tokens": "_n2", "ids": "_b"})
     keep = [c for c in pairs.columns if c not in (a_text, b_text)]
-    x = pairs.select(*keep).join(a_ids, a_key).join(bounded_broadcast(b_ids), b_key)
+    x = pairs.select(*keep).join(a_ids, a_key).join(b_ids, b_key)
     k1, k2 = truncate_longest_first(F.col("_n1"), F.col("_n2"), budget)
     x = x.withColumn("_k1", k1).withColumn("_k2", k2)
     a = F.slice("_a", 1, F.col("_k1"))
@@ -128,7 +129,7 @@ def encode_single(texts: DataFrame, key: str, text_col: str, vocab: DataFrame,
 
 def append_segment(encoded: DataFrame, segments: DataFrame, key: str) -> DataFrame:
     """E5: concat a separately encoded segment (first token dropped) onto ids / mask / types."""
-    x = encoded.join(bounded_broadcast(segments), key)
+    x = encoded.join(segments, key)
     tail = lambda c: F.slice(F.col(c), 2, F.size(F.col(c)))
     return (x.withColumn("input_ids", F.concat("input_ids", tail("seg_ids")))
             .withColumn("attention_mask", F.concat("attention_mask", tail("seg_mask")))

@@ -31,6 +31,11 @@ def attach_scores(labels: DataFrame, ensemble: DataFrame) -> DataFrame:
     return labels.join(ensemble.select(*KEYS, "score"), KEYS, "left")
 
 
+def join_fold_metrics(dev: DataFrame, test: DataFrame) -> DataFrame:
+    """The metrics of each fold on its held-out part and on the test subset, side by side."""
+    return dev.join(test, "fold", "full")
+
+
 def fold_report(fold_metrics: DataFrame, name: str, num_folds: int,
                 map_scores: DataFrame | None = None, mode: str = "plain",
                 add_info: str | None = None) -> DataFrame:

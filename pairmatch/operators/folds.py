@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ranking import global_rank
-from .sizing import bounded_broadcast, with_scalars
+from .sizing import with_scalars
 
 
 def dense_ids(df: DataFrame, key: str, out: str = "key_id") -> DataFrame:
@@ -50,8 +50,8 @@ def argument_folds(pairs: DataFrame, num_folds: int = 5) -> DataFrame:
 
 
 def with_folds(pairs: DataFrame, folds: DataFrame, key: str) -> DataFrame:
-    """Attach the fold of each row's key (C13 key -> id lookup; folds table size-checked)."""
-    return pairs.join(bounded_broadcast(folds), key)
+    """Attach the fold of each row's key (C13 key -> id lookup)."""
+    return pairs.join(folds, key)
 
 
 def get_fold(pairs_with_fold: DataFrame, fold_id: int) -> tuple[DataFrame, DataFrame]:
@@ -60,19 +60,23 @@ def get_fold(pairs_with_fold: DataFrame, fold_id: int) -> tuple[DataFrame, DataF
     return pairs_with_fold.filter(~f), pairs_with_fold.filter(f)
 
 
-def fold_sizes(pairs_with_fold: DataFrame, key: str) -> DataFrame:
-    """Per fold and role (train / dev): pairs, arguments, topics. Keys sit in exactly one fold,
-    so train = total - dev without materialising the k copies."""
-    per = pairs_with_fold.groupBy("fold").agg(
+def fold_sizes(pairs_with_fold: DataFrame) -> DataFrame:
+    """per fold and role (train / dev), the number of pairs, arguments and topics. A value
+    may live in several folds: it is missing from the train side of a fold only if it lives in no
+    other, so the train side is counted from each value's smallest and largest fold, without
+    materialising the k copies."""
+    sizes = pairs_with_fold.groupBy("fold").agg(
         F.count(F.lit(1)).alias("n_pairs"), F.count_distinct("arg_id").alias("n_arguments"),
         F.count_distinct("topic").alias("n_topics"))
-    tot = pairs_with_fold.agg(
-        F.count(F.lit(1)).alias("t_pairs"), F.count_distinct("arg_id").alias("t_arguments"),
-        F.count_distinct("topic").alias("t_topics"))
-    both = with_scalars(per, tot)
-    dev = both.select("fold", F.lit("dev").alias("role"), "n_pairs", "n_arguments", "n_topics")
-    train = both.select("fold", F.lit("train").alias("role"),
-                        (F.col("t_pairs") - F.col("n_pairs")).alias("n_pairs"),
-                        (F.col("t_arguments") - F.col("n_arguments")).alias("n_arguments"),
-                        (F.col("t_topics") - F.col("n_topics")).alias("n_topics"))
-    return dev.unionByName(train)
+    train = with_scalars(sizes.select("fold", F.col("n_pairs").alias("_own")),
+                         pairs_with_fold.agg(F.count(F.lit(1)).alias("_all")))
+    train = train.select("fold", (F.col("_all") - F.col("_own")).alias("n_pairs"))
+    for col, out in (("arg_id", "n_arguments"), ("topic", "n_topics")):
+        spread = (pairs_with_fold.filter(F.col(col).isNotNull()).groupBy(col)
+                  .agg(F.min("fold").alias("fold"), F.max("fold").alias("_hi")))
+        only = spread.filter(F.col("fold") == F.col("_hi")).groupBy("fold").agg(F.count(F.lit(1)).alias("_only"))
+        train = with_scalars(train.join(only, "fold", "left"), spread.agg(F.count(F.lit(1)).alias("_n")))
+        train = train.withColumn(out, F.col("_n") - F.coalesce("_only", F.lit(0))).drop("_n", "_only")
+    roles = ["n_pairs", "n_arguments", "n_topics"]
+    return (sizes.select("fold", F.lit("dev").alias("role"), *roles)
+            .unionByName(train.select("fold", F.lit("train").alias("role"), *roles)))

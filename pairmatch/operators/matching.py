@@ -14,13 +14,14 @@ DUMMY_ID = "dummy_id"
 def best_match(scored: DataFrame, key_points: DataFrame | None = None) -> DataFrame:
     """Per arg_id the key point with the highest score among known key points; ties go to
     the smallest key_point_id (the first maximum in a sorted-key submission). Arguments with
-    no known key point are dropped.
+    no known key point, or no score (null or NaN), are dropped.
 
     An aggregate, not a window: ``min(struct(-score, key_point_id))`` combines map-side, so a
     hot argument never lands whole in one task.
     """
     if key_points is not None:
         scored, _ = split_known(scored, key_points)
+    scored = scored.filter(F.col("score").isNotNull() & ~F.isnan("score"))
     best = scored.groupBy("arg_id").agg(
         F.min(F.struct((-F.col("score")).alias("neg"), F.col("key_point_id"))).alias("_b"))
     return best.select("arg_id", F.col("_b.key_point_id").alias("key_point_id"),

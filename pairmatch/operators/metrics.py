@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import bce_with_logits, two_class_nll
 from .matching import DUMMY_ID
 from .ranking import prefix_sums, rank_within
-from .sizing import bounded_broadcast
+from .sizing import join_groups, materialize, with_scalars
 
 METRIC_NAMES = ["acc_neg", "acc_pos", "acc", "prec", "recall", "f1_pos", "f1", "auc"]
 
@@ -86,11 +86,12 @@ def binary_metrics(df: DataFrame, label: str = "label", pred: str = "prediction"
     both come from the materialised per-score table."""
     df, g, keep = _grouped(df, group_cols)
     cum = prefix_sums(_per_score(df, g, label, score, pred), g, [F.col(score).asc()], ["_neg"])
-    conf = cum.groupBy(*g).agg(*[F.sum(f"_{c}").alias(c) for c in ("tp", "fp", "fn", "tn")])
+    # a whole-table metric is one row, also when the table is empty
+    conf = cum.groupBy(*keep).agg(*[F.coalesce(F.sum(f"_{c}"), F.lit(0)).alias(c) for c in ("tp", "fp", "fn", "tn")])
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     zero = F.lit(0.0)
     m = conf.select(
-        *g,
+        *keep,
         _safe_ratio(tn, tn + fp).alias("acc_neg"),
         _safe_ratio(tp, tp + fn).alias("acc_pos"),
         _safe_ratio(tp + tn, tp + fp + fn + tn).alias("acc"),
@@ -98,8 +99,8 @@ def binary_metrics(df: DataFrame, label: str = "label", pred: str = "prediction"
         F.coalesce(_safe_ratio(tp, tp + fn), zero).alias("recall"),
         F.coalesce(_safe_ratio(2 * tp, 2 * tp + fn), zero).alias("f1_pos"),
         F.coalesce(_safe_ratio(2 * tp, 2 * tp + fp + fn), zero).alias("f1"))
-    auc = _auc_from_cum(cum, g)
-    m = m.join(auc, g, "left").select(*keep, *METRIC_NAMES)
+    auc = _auc_from_cum(cum, keep)
+    m = (join_groups(m, auc, keep, how="left") if keep else with_scalars(m, auc)).select(*keep, *METRIC_NAMES)
     if suffix:
         m = m.withColumnsRenamed({n: f"{n}{suffix}" for n in METRIC_NAMES})
     return m
@@ -124,7 +125,7 @@ def precision_recall_curve(df: DataFrame, label: str = "label", score: str = "sc
         F.count(F.when(F.col(label) != 1, 1)).alias("_neg"))
     cum = prefix_sums(per_score, g, [F.col(score).desc()], ["_pos", "_neg"])
     totals = cum.groupBy(*g).agg(F.sum("_pos").alias("_P"))
-    cum = cum.join(bounded_broadcast(totals), g)
+    cum = join_groups(cum, totals, g)
     return cum.select(
         *keep, F.col(score).alias("threshold"),
         F.col("cum__pos").alias("tp"), F.col("cum__neg").alias("fp"),
@@ -141,7 +142,7 @@ def ranked_in_groups(df: DataFrame, group_cols: Sequence[str], fraction: float =
     ranked = rank_within(df, g, [F.col(score).desc(), F.col(tiebreak).asc()])
     counts = ranked.groupBy(*g).agg(F.count(F.lit(1)).alias("n_group")).withColumn(
         "n_top", F.floor(F.col("n_group") * F.lit(float(fraction))).cast("long"))
-    return ranked.join(bounded_broadcast(counts), g)
+    return join_groups(ranked, counts, g)
 
 
 def top_fraction(df: DataFrame, group_cols: Sequence[str], fraction: float = 0.5,
@@ -170,22 +171,23 @@ def group_average_precision(matched: DataFrame,
     x = matched.select(*g, "arg_id", "score", F.lit(1).alias("_one"),
                        (F.col("key_point_id") == DUMMY_ID).cast("int").alias("_dummy"),
                        *[F.col(c).cast("long").alias(c) for c in labels])
-    cum = prefix_sums(x, g, [F.col("score").desc(), F.col("arg_id").asc()],
-                      ["_one", "_dummy", *labels])
+    # read by four aggregates: written once, so that the window runs once
+    cum = materialize(prefix_sums(x, g, [F.col("score").desc(), F.col("arg_id").asc()],
+                                  ["_one", "_dummy", *labels]), "running-sums")
     counts = cum.groupBy(*g).agg(F.count(F.lit(1)).alias("n_group")).withColumn(
         "n_top", F.floor(F.col("n_group") * F.lit(float(fraction))).cast("long"))
-    top = cum.join(bounded_broadcast(counts), g).filter(F.col("cum__one") <= F.col("n_top"))
+    top = join_groups(cum, counts, g).filter(F.col("cum__one") <= F.col("n_top"))
     dummies = top.groupBy(*g).agg(F.sum("_dummy").alias("_nd"))
     per = top.filter(F.col("_dummy") == 0).groupBy(*g, "score").agg(
         F.max(F.col("cum__one") - F.col("cum__dummy")).alias("_n_real"),
         *[F.sum(c).alias(f"_p_{c}") for c in labels],
         *[F.max(f"cum_{c}").alias(f"_tp_{c}") for c in labels])
-    per = per.join(dummies, g)
+    per = join_groups(per, dummies, g)
     n_s = F.col("_n_real") + F.when(F.col("score") <= F.lit(float(dummy_score)),
                                     F.col("_nd")).otherwise(F.lit(0))
     sums = per.groupBy(*g).agg(*[
         F.sum(F.col(f"_p_{c}") * F.col(f"_tp_{c}") / n_s).alias(f"_s_{c}") for c in labels])
-    out = counts.join(sums, g, "left")
+    out = join_groups(counts, sums, g, how="left")
     return out.select(*g, "n_group", "n_top", *[
         F.when(F.col("n_top") == 0, F.lit(None).cast("double"))
         .otherwise(F.coalesce(F.col(f"_s_{c}"), F.lit(0.0)) / F.col("n_top"))

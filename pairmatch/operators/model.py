@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import words
-from .sizing import bounded_broadcast, materialize
+from .sizing import materialize
 
 NUM_FEATURES = 1 << 16
 
@@ -45,14 +45,14 @@ def pair_features(pairs: DataFrame, arguments: DataFrame | None = None,
 
     With ``arguments`` (arg_id, argument) and ``key_points`` (key_point_id, key_point) the
     pairs need only ids: each text is tokenised once and its word set joined by key (the key
-    points after a size check), instead of once per candidate pair."""
+    points), instead of once per candidate pair."""
     if arguments is None or key_points is None:
         x = (pairs.withColumn("_wa", F.array_distinct(words("argument")))
              .withColumn("_wb", F.array_distinct(words("key_point"))))
         return _features(x)
     aw = arguments.select("arg_id", F.array_distinct(words("argument")).alias("_wa"))
     kw = key_points.select("key_point_id", F.array_distinct(words("key_point")).alias("_wb"))
-    x = pairs.join(aw, "arg_id").join(bounded_broadcast(kw), "key_point_id")
+    x = pairs.join(aw, "arg_id").join(kw, "key_point_id")
     return _features(x)
 
 
@@ -138,7 +138,7 @@ def pair_tokens(pairs: DataFrame, arguments: DataFrame, key_points: DataFrame,
     aw = arguments.select("arg_id", F.array_distinct(words("argument")).alias("_wa"))
     kw = key_points.select("key_point_id", F.array_distinct(words("key_point")).alias("_wb"))
     x = (pairs.select("arg_id", "key_point_id", *extra).join(aw, "arg_id")
-         .join(bounded_broadcast(kw), "key_point_id"))
+         .join(kw, "key_point_id"))
     toks = F.concat(F.transform("_wb", lambda w: F.concat(F.lit("b:"), w)),
                     F.transform(F.array_intersect("_wa", "_wb"), lambda w: F.concat(F.lit("s:"), w)))
     return x.select("arg_id", "key_point_id", *extra, F.explode_outer(toks).alias("token"))
@@ -182,7 +182,7 @@ def naive_bayes_kfold(train_tokens: DataFrame, train_rows: DataFrame, score_toke
     priors = (rows.select("fold", "r1", "r0", targets).filter(F.col("fold") != F.col("target"))
               .groupBy("target").agg(F.log((F.sum("r1") + 1.0) / (F.sum("r0") + 1.0)).alias("prior")))
     sums = (score_tokens.filter(F.col("token").isNotNull())
-            .join(bounded_broadcast(weights), "token")
+            .join(weights, "token")
             .groupBy("arg_id", "key_point_id", "target").agg(F.sum("w").alias("_s")))
     pairs = score_tokens.select("arg_id", "key_point_id").distinct()
     grid = pairs.select("arg_id", "key_point_id", targets).join(

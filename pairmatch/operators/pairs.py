@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_text, extra_segments, topic_id
 from ..sources.schemas import PAIR_COLS
 from .ranking import global_rank
-from .sizing import bounded_broadcast
 
 
 def labelled_pairs(arguments: DataFrame, key_points: DataFrame, labels: DataFrame) -> DataFrame:
@@ -20,7 +19,7 @@ def labelled_pairs(arguments: DataFrame, key_points: DataFrame, labels: DataFram
     args = arguments.select("arg_id", "argument", "topic", "stance")
     kps = key_points.select("key_point_id", "key_point")
     return (labels.join(args, "arg_id")
-            .join(bounded_broadcast(kps), "key_point_id")
+            .join(kps, "key_point_id")
             .select(*PAIR_COLS, *extra))
 
 
@@ -30,7 +29,7 @@ def candidate_ids(arguments: DataFrame, key_points: DataFrame) -> DataFrame:
     not carried: the explosion (arguments x key points per side) stays narrow."""
     a = arguments.select("arg_id", "topic", "stance", topic_id("arg_id").alias("topic_id"))
     k = key_points.select("key_point_id", "topic", "stance", topic_id("key_point_id").alias("topic_id"))
-    return (a.join(bounded_broadcast(k), ["topic", "stance", "topic_id"], "left")
+    return (a.join(k, ["topic", "stance", "topic_id"], "left")
             .select("arg_id", "key_point_id", "topic", "stance"))
 
 
@@ -47,7 +46,7 @@ def candidate_pairs(arguments: DataFrame, key_points: DataFrame,
     args = arguments.select("arg_id", "argument")
     kps = key_points.select("key_point_id", "key_point")
     return (ids.join(args, "arg_id")
-            .join(bounded_broadcast(kps), "key_point_id", "left")
+            .join(kps, "key_point_id", "left")
             .select(*PAIR_COLS))
 
 
@@ -59,9 +58,9 @@ def keep_members(df: DataFrame, keys: DataFrame, on) -> DataFrame:
 def split_known(submitted: DataFrame, key_points: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows whose key point is known, each unknown key point id once)."""
     known = key_points.select("key_point_id").distinct()
-    valid = submitted.join(bounded_broadcast(known), "key_point_id", "left_semi")
+    valid = submitted.join(known, "key_point_id", "left_semi")
     invalid = (submitted.select("key_point_id")
-               .join(bounded_broadcast(known), "key_point_id", "left_anti").distinct())
+               .join(known, "key_point_id", "left_anti").distinct())
     return valid, invalid
 
 
@@ -95,11 +94,11 @@ def pair_text(pairs: DataFrame) -> DataFrame:
 
 def pair_text_by_key(pair_keys: DataFrame, arguments: DataFrame, key_points: DataFrame) -> DataFrame:
     """E1 with each text cleaned once: arguments and key points are cleaned in their own
-    tables and joined to the pair keys (key points after a size check), instead of cleaning
+    tables and joined to the pair keys, instead of cleaning
     the argument again on every pair row. Carries the other columns of ``pair_keys``."""
     a = arguments.select("arg_id", clean_text("argument").alias("argument_clean"))
     k = key_points.select("key_point_id", clean_text("key_point").alias("key_point_clean"))
-    return pair_keys.join(a, "arg_id").join(bounded_broadcast(k), "key_point_id")
+    return pair_keys.join(a, "arg_id").join(k, "key_point_id")
 
 
 def pair_segments(pairs: DataFrame, add_info: str | None = None) -> DataFrame:

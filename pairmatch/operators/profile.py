@@ -15,8 +15,11 @@ NUM_BINS = 10
 
 def corpus_profile(pairs: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """A10 + A11 + A24: rows, distinct topics / arguments / key points, duplicate flags
-    (distinct != rows, as the notebook tests them) and non-null counts per column."""
+    (distinct != rows, as the notebook tests them) and non-null counts per column. Texts are
+    counted by their digests: no text is shuffled."""
     cols = cols or list(pairs.columns)
+    texts = {"argument", "key_point"}
+    pairs = pairs.select(*[F.sha2(c, 256).alias(c) if c in texts else F.col(c) for c in pairs.columns])
     return pairs.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_distinct("topic").alias("n_topics"),
@@ -43,10 +46,16 @@ def stance_ratio(pairs: DataFrame) -> DataFrame:
     ).withColumn("ratio", F.try_divide(F.col("n_pos").cast("double"), F.col("n_neg").cast("double")))
 
 
+def distinct_lengths(texts: DataFrame, length: Callable[[str], Column]) -> DataFrame:
+    """``len`` of each distinct text of a one-column table; a digest stands for the text in the
+    shuffle."""
+    col = texts.columns[0]
+    return texts.select(F.sha2(col, 256).alias("_d"), length(col).alias("len")).distinct().select("len")
+
+
 def length_stats(texts: DataFrame, length: Callable[[str], Column], kind: str) -> DataFrame:
     """Lengths of the *distinct* texts of one column: n, min, max, sum, mean."""
-    col = texts.columns[0]
-    d = texts.select(col).distinct().select(length(col).alias("len"))
+    d = distinct_lengths(texts, length)
     return d.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"),
                  F.min("len").cast("long").alias("min_len"), F.max("len").cast("long").alias("max_len"),
                  F.sum("len").cast("long").alias("sum_len"), F.avg("len").alias("mean_len"))

@@ -10,8 +10,8 @@ would hold a third of the data or all of it. Instead:
    the ids are fixed even if an executor is lost and a partition is recomputed (the ids are a
    column: nothing downstream depends on physical partitions);
 3. per (partition, group) counts / sums are a tiny table (at most partitions + groups rows);
-   a window over it gives each partition's offset within its group, which is joined back
-   (a size-checked broadcast for ranks; for running sums a join on the window's own keys);
+   a window over it gives each partition's offset within its group, which is joined back on
+   (partition, group), null groups included;
 4. rank = offset + position inside the partition; running sums = offset + a window running
    sum inside (partition, group), which is bounded by one partition.
 
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .sizing import bounded_broadcast
+from .sizing import join_groups
 
 _RID = "_pm_rid"
 _PID = "_pm_pid"
@@ -61,7 +61,7 @@ def rank_within(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column
     offs = stats.select(_PID, *group_cols, "_first",
                         F.coalesce(F.sum("_n").over(_group_window(group_cols)),
                                    F.lit(0)).alias("_off"))
-    return (ck.join(bounded_broadcast(offs), [_PID, *group_cols])
+    return (join_groups(ck, offs, group_cols, [_PID])
             .withColumn(out, (F.col("_off") + F.col(_RID) - F.col("_first") + 1).cast("long"))
             .drop(_PID, _RID, "_first", "_off"))
 
@@ -73,7 +73,7 @@ def prefix_sums(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column
 
     The offsets are joined on (partition id, group) as a shuffle join: the running-sum window
     needs exactly that clustering, so the join and the window share one exchange of the ranked
-    rows (each key holds at most one sort partition) and no size proof is needed."""
+    rows (each key holds at most one sort partition)."""
     group_cols, sum_cols = list(group_cols), list(sum_cols)
     ck = _ordered(df, group_cols, order)
     totals = ck.groupBy(_PID, *group_cols).agg(
@@ -82,7 +82,7 @@ def prefix_sums(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column
     offs = totals.select(_PID, *group_cols,
                          *[F.coalesce(F.sum(f"_t_{c}").over(gw), F.lit(0)).alias(f"_o_{c}")
                            for c in sum_cols])
-    keyed = ck.join(offs, [_PID, *group_cols])
+    keyed = join_groups(ck, offs, group_cols, [_PID])
     lw = (Window.partitionBy(_PID, *group_cols).orderBy(_RID)
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     res = keyed.select("*", *[(F.col(f"_o_{c}") + F.sum(c).over(lw)).alias(f"{prefix}{c}")

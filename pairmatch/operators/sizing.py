@@ -1,65 +1,28 @@
-"""Size-checked broadcast.
+"""One-row joins, null-safe group joins and materialisation.
 
-A side is broadcast only after a bounded count proves it small: ``limit(n + 1).count()`` stops
-reading as soon as the bound is passed, so the check itself never scans a big table to the end.
-Beyond the bound the plain DataFrame is returned and Spark plans a shuffle join (AQE can still
-switch to a broadcast from measured shuffle sizes).
+No join is hinted here: Spark broadcasts a side by its own size estimate or, at run time, by its
+measured size (thresholds in ``session.DEFAULT_CONF``), and plans a shuffle join beyond it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-# Bounds for a broadcast side: rows, and bytes of payload (string lengths plus 8 bytes per
-# non-string value), both proven by one bounded pass before the hint is given.
-DEFAULT_MAX_ROWS = 1_000_000
-DEFAULT_MAX_BYTES = 64 << 20
-
-# Checked bounds, per session and logical plan: the same small table (key points, a
-# vocabulary) is checked once, not once per query that joins it.
-_CHECKED: dict[tuple, tuple[int, int]] = {}
-
-
-def _payload_bytes(df: DataFrame) -> F.Column:
-    parts = [F.coalesce(F.length(F.col(f"`{f.name}`")), F.lit(0)).cast("long")
-             if isinstance(f.dataType, T.StringType) else F.lit(8).cast("long")
-             for f in df.schema.fields]
-    total = parts[0]
-    for p in parts[1:]:
-        total = total + p
-    return total
-
-
-def _measure(df: DataFrame, max_rows: int) -> tuple[int, int]:
-    """(rows, payload bytes) of ``df``, reading at most max_rows + 1 rows."""
-    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), max_rows)
-    if key not in _CHECKED:
-        r = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"),
-                                       F.sum(_payload_bytes(df)).alias("b")).first()
-        _CHECKED[key] = (int(r.n), int(r.b or 0))
-    return _CHECKED[key]
-
-
-def rows_at_most(df: DataFrame, max_rows: int) -> bool:
-    """Row bound only, reading no column (parquet answers from row-group metadata)."""
-    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), max_rows, "rows")
-    if key not in _CHECKED:
-        _CHECKED[key] = (df.select(F.lit(1)).limit(max_rows + 1).count(), 0)
-    return _CHECKED[key][0] <= max_rows
-
-
-def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
-    return _measure(df, max_rows)[0] <= max_rows
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS,
-                      max_bytes: int = DEFAULT_MAX_BYTES) -> DataFrame:
-    """``broadcast(df)`` if it has at most ``max_rows`` rows and ``max_bytes`` of payload,
-    else ``df`` unchanged (a shuffle join; AQE may still broadcast from measured sizes)."""
-    n, b = _measure(df, max_rows)
-    return F.broadcast(df) if n <= max_rows and b <= max_bytes else df
+def join_groups(left: DataFrame, right: DataFrame, group_cols: Sequence[str], keys: Sequence[str] = (),
+                how: str = "inner") -> DataFrame:
+    """``left`` with the other columns of ``right``, joined on ``group_cols`` (a null group matches a
+    null group) and on ``keys`` (plain equality)."""
+    cols = [*keys, *group_cols]
+    r = right.withColumnsRenamed({c: f"_g_{c}" for c in cols})
+    on = None
+    for c in cols:
+        same = (F.col(c) == F.col(f"_g_{c}")) if c in keys else F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+        on = same if on is None else on & same
+    return left.join(r, on, how).drop(*[f"_g_{c}" for c in cols])
 
 
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from ..operators import matching, metrics, pairs
 from ..operators.sizing import with_scalars
 from . import common as C
+from . import evaluate as EV
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -340,8 +341,7 @@ def q_pair_text_topic_stance(spark, sf):
     p = pairs.pair_text_by_key(keys, t.arguments, t.key_points)
     seg = keys.select("topic", "stance").distinct().withColumn(
         "topic_segment", F.element_at(TX.extra_segments(topic="topic", stance="stance"), 1))
-    from ..operators.sizing import bounded_broadcast
-    p = p.join(bounded_broadcast(seg), ["topic", "stance"])
+    p = p.join(seg, ["topic", "stance"])
     return p.select("arg_id", "key_point_id", "argument_clean", "key_point_clean", "topic_segment")
 
 
@@ -513,10 +513,9 @@ FROM pairs WHERE tid <= 7""")
 def q_fit_pairs(spark, sf):
     """Train union dev with full-row dedupe (the k-fold input)."""
     t = C.tables(spark, sf)
-    p = pairs.labelled_pairs(t.arguments, t.key_points, t.labels)
-    tr = p.filter(F.col("subset") == "train").drop("subset")
-    dv = p.filter(F.col("subset") == "dev").drop("subset")
-    return pairs.fit_pairs(tr, dv)
+    keys = [t.labels.filter(F.col("subset") == s).select("arg_id", "key_point_id", "label") for s in ("train", "dev")]
+    # texts, topic and stance are functions of the ids: duplicates are found on the keys
+    return pairs.labelled_pairs(t.arguments, t.key_points, pairs.fit_pairs(*keys))
 
 
 @register("fit_pairs_all", _SQL_FIT + """
@@ -553,8 +552,8 @@ def _fit_keys(t) -> DataFrame:
 def _sql_kfold(key: str, k: int, src: str = "fit") -> str:
     return f"""
 keys AS (SELECT DISTINCT {key} AS key FROM {src}),
-ranked AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS i, count(*) OVER () AS n FROM keys),
-qr AS (SELECT key, i, n // {k} AS q, n % {k} AS r FROM ranked),
+key_rank AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS i, count(*) OVER () AS n FROM keys),
+qr AS (SELECT key, i, n // {k} AS q, n % {k} AS r FROM key_rank),
 folds AS (
   SELECT key AS {key}, CAST(i AS BIGINT) AS key_id,
          CAST(CASE WHEN i < r * (q + 1) THEN i // (q + 1) ELSE r + (i - r * (q + 1)) // q END AS INTEGER) AS fold
@@ -591,21 +590,33 @@ def q_fold_members(spark, sf):
         "arg_id", "key_point_id", "topic", "fold")
 
 
-@register("fold_sizes", _SQL_FIT_DEDUP + "," + _sql_kfold("topic", 7) + """,
-m AS (SELECT f.*, d.fold FROM fit f JOIN folds d ON f.topic = d.topic),
-per AS (SELECT fold, count(*) AS n_pairs, count(DISTINCT arg_id) AS n_arguments,
-               count(DISTINCT topic) AS n_topics FROM m GROUP BY fold),
-tot AS (SELECT count(*) AS t_pairs, count(DISTINCT arg_id) AS t_arguments,
-               count(DISTINCT topic) AS t_topics FROM m)
-SELECT fold, 'dev' AS role, n_pairs, n_arguments, n_topics FROM per
+# the train side of a fold holds the rows of every other fold
+_SQL_FOLD_SIZES = """
+SELECT fold, 'dev' AS role, count(*) AS n_pairs, count(DISTINCT arg_id) AS n_arguments,
+       count(DISTINCT topic) AS n_topics FROM m GROUP BY fold
 UNION ALL
-SELECT fold, 'train' AS role, t_pairs - n_pairs, t_arguments - n_arguments, t_topics - n_topics
-FROM per, tot""")
+SELECT i.fold, 'train' AS role, count(*), count(DISTINCT arg_id), count(DISTINCT topic)
+FROM (SELECT DISTINCT fold FROM m) i JOIN m ON m.fold <> i.fold GROUP BY i.fold"""
+
+
+@register("fold_sizes", _SQL_FIT_DEDUP + "," + _sql_kfold("topic", 7) + """,
+m AS (SELECT f.*, d.fold FROM fit f JOIN folds d ON f.topic = d.topic)
+""" + _SQL_FOLD_SIZES)
 def q_fold_sizes(spark, sf):
-    """train / dev sizes of every fold (topic-disjoint by construction)."""
+    """train / dev sizes of every topic fold."""
     fit = _fit_keys(C.tables(spark, sf))
     folds = FO.topic_folds(fit, 7)
-    return FO.fold_sizes(FO.with_folds(fit, folds.select("topic", "fold"), "topic"), "topic")
+    return FO.fold_sizes(FO.with_folds(fit, folds.select("topic", "fold"), "topic"))
+
+
+@register("argument_fold_sizes", _SQL_FIT_DEDUP + "," + _sql_kfold("arg_id", 5) + """,
+m AS (SELECT f.*, d.fold FROM fit f JOIN folds d ON f.arg_id = d.arg_id)
+""" + _SQL_FOLD_SIZES)
+def q_argument_fold_sizes(spark, sf):
+    """F2 over F4: train / dev sizes of every argument fold (a topic lives in several folds)."""
+    fit = _fit_keys(C.tables(spark, sf))
+    folds = FO.argument_folds(fit, 5)
+    return FO.fold_sizes(FO.with_folds(fit, folds.select("arg_id", "fold"), "arg_id"))
 
 
 # ---------------------------------------------------------------- ensemble
@@ -625,10 +636,16 @@ ens AS (
   FROM fs GROUP BY arg_id, key_point_id)"""
 
 
-def _fold_scored(t, k: int = 7) -> DataFrame:
-    fl = fold_logits(t.logits, k)
-    return fl.select("arg_id", "key_point_id", "fold", "subset", C.logit_score().alias("score"),
-                     (F.col("l1") > F.col("l0")).cast("int").alias("prediction"))
+def _fold_scored(t, on: DataFrame | None = None, subset: str | None = None, k: int = 7) -> DataFrame:
+    """Fold scorer outputs of all candidates, of one subset, or of the pairs ``on`` (whose own
+    ``fold``, where they have one, is the only fold)."""
+    x = t.logits if subset is None else t.logits.filter(F.col("subset") == subset)
+    if on is not None:
+        x = x.join(on, ["arg_id", "key_point_id"])
+    x = fold_logits(x, k)
+    extra = ["label"] if on is not None else []
+    return x.select("arg_id", "key_point_id", "fold", "subset", *extra, C.logit_score().alias("score"),
+                    (F.col("l1") > F.col("l0")).cast("int").alias("prediction"))
 
 
 @register("ensemble_scores", _SQL_ENS + """
@@ -650,31 +667,46 @@ def q_ensemble_label_scores(spark, sf):
 
 
 
-@register("kfold_report", _SQL_ENS + """,
-fl_lab AS (
-  SELECT fs.*, l.label FROM fs JOIN lab l
-  ON fs.arg_id = l.arg_id AND fs.key_point_id = l.key_point_id)""" + _sql_metrics(
-    "fl_lab", "fold", "").rstrip() + """,
-fold_avg AS (SELECT """ + ", ".join(f"avg({m}) AS {m}" for m in metrics.METRIC_NAMES) + """ FROM metrics),
-scored AS (SELECT arg_id, key_point_id, score FROM ens)""" + C.SQL_AP[len(C.SQL_SCORED):] + """
+def _nested(src: str, group: str | None) -> str:
+    """The metrics of one source as a subquery of its own."""
+    return "(WITH z AS (SELECT 1)" + _sql_metrics(src, group, rounded=False) + ")"
+
+
+_IS_TEST = "CAST(split_part({c}, ' ', 2) AS INT) >= 8"
+_SQL_TEST_MAP = f"""
+mp AS (SELECT avg(ap_strict) AS s, avg(ap_relaxed) AS r FROM ap WHERE {_IS_TEST.format(c='topic')})"""
+
+
+@register("kfold_report", _SQL_ENS + "," + _SQL_FIT_DEDUP + "," + _sql_kfold("topic", 7) + """,
+fl_dev AS (
+  SELECT fs.*, fit.label FROM fs JOIN fit ON fs.arg_id = fit.arg_id AND fs.key_point_id = fit.key_point_id
+  JOIN folds d ON fit.topic = d.topic AND fs.fold = d.fold),
+fl_test AS (
+  SELECT fs.*, l.label FROM fs JOIN lab l ON fs.arg_id = l.arg_id AND fs.key_point_id = l.key_point_id
+  WHERE CAST(split_part(fs.arg_id, '_', 2) AS INT) >= 8),
+dev AS (SELECT """ + ", ".join(f"round(avg({m}), 6) AS {m}" for m in metrics.METRIC_NAMES) + " FROM " + _nested("fl_dev", "fold") + """),
+test AS (SELECT """ + ", ".join(f"round(avg({m}), 6) AS {m}_test" for m in metrics.METRIC_NAMES) + " FROM " + _nested("fl_test", "fold") + """),
+scored AS (SELECT arg_id, key_point_id, score FROM ens)""" + C.SQL_AP[len(C.SQL_SCORED):] + "," + _SQL_TEST_MAP + """
 SELECT 'ensemble_kfold' AS name, -1 AS epoch_stop, 'plain' AS mode, CAST(NULL AS VARCHAR) AS add_info,
-       """ + ", ".join(f"round(f.{m}, 6) AS {m}_test" for m in metrics.METRIC_NAMES) + """,
-       '7 folds' AS model_path,
-       (SELECT round(avg(ap_strict), 6) FROM ap) AS mAP_strict,
-       (SELECT round(avg(ap_relaxed), 6) FROM ap) AS mAP_relaxed
-FROM fold_avg f""")
+       dev.*, test.*, '7 folds' AS model_path, round(mp.s, 6) AS mAP_strict, round(mp.r, 6) AS mAP_relaxed
+FROM dev, test, mp""")
 def q_kfold_report(spark, sf):
-    """The k-fold report row: per-fold test metrics averaged over 7 folds (one grouped
-    pass), epoch_stop -1, model_path '7 folds', and the mAP of the ensemble submission."""
+    """The k-fold report row: each fold's scorer measured on its held-out topics (dev) and
+    on the test subset (_test), averaged over 7 folds, and the mAP of the ensemble's test
+    submission. Labels are joined before the candidates are multiplied by the folds."""
     t = C.tables(spark, sf)
-    fs = _fold_scored(t)
-    lab = fs.join(t.labels.select("arg_id", "key_point_id", "label"), ["arg_id", "key_point_id"])
-    per_fold = metrics.binary_metrics(lab, group_cols=["fold"], suffix="_test")
-    ens = EN.ensemble_scores(fs).select("arg_id", "key_point_id", "score")
-    matched = matching.get_predictions(ens, t.arguments, t.key_points, t.labels)
-    mAP = metrics.mean_average_precision(matched)
-    rep = EN.fold_report(per_fold, "ensemble", 7, mAP)
-    return C.normalised(rep)
+    test = t.subset("test")
+    fit = _fit_keys(t)
+    own = FO.with_folds(fit, FO.topic_folds(fit, 7).select("topic", "fold"), "topic").select(
+        "arg_id", "key_point_id", "label", "fold")
+    dev = _fold_scored(t, own)
+    lab = t.labels.filter(F.col("subset") == "test").select("arg_id", "key_point_id", "label")
+    per_fold = EN.join_fold_metrics(
+        metrics.binary_metrics(dev, group_cols=["fold"]),
+        metrics.binary_metrics(_fold_scored(t, lab), group_cols=["fold"], suffix="_test"))
+    ens = EN.ensemble_scores(_fold_scored(t, subset="test")).select("arg_id", "key_point_id", "score")
+    mAP = EV.calc_map(ens, test.arguments, test.key_points, test.labels)
+    return C.normalised(EN.fold_report(per_fold, "ensemble", 7, mAP))
 
 
 # ---------------------------------------------------------------- corpus profile
@@ -800,8 +832,7 @@ def q_length_histogram(spark, sf):
     """10-bin histograms: argument word lengths (density) and per-topic stance ratios
     (counts)."""
     t = C.tables(spark, sf)
-    lens = t.arguments.select("argument").distinct().select(
-        TX.word_count("argument").alias("len"))
+    lens = PR.distinct_lengths(t.arguments.select("argument"), TX.word_count)
     ratios = PR.stance_ratio(_all_pairs(t)).select("ratio")
     h = PR.histogram(lens, "len", "argument_words", True).unionByName(
         PR.histogram(ratios, "ratio", "stance_ratio", False))
@@ -946,8 +977,8 @@ def q_early_stop_epoch(spark, sf):
     """Early stopping (patience 3, threshold 1e-5) over per-epoch eval losses derived from
     the fold scorers (run = subset, epoch = fold + 1)."""
     t = C.tables(spark, sf)
-    fl = fold_logits(t.logits, 7).join(t.labels.select("arg_id", "key_point_id", "label"),
-                                       ["arg_id", "key_point_id"])
+    fl = fold_logits(t.logits.join(t.labels.select("arg_id", "key_point_id", "label"),
+                                   ["arg_id", "key_point_id"]), 7)
     nll = SC.two_class_nll(F.col("l0") / F.lit(100.0), F.col("l1") / F.lit(100.0), "label")
     hist = fl.groupBy(F.col("subset").alias("run"), (F.col("fold") + 1).cast("int").alias("epoch")
                       ).agg(F.avg(nll).alias("eval_loss"))
@@ -961,7 +992,6 @@ def q_early_stop_epoch(spark, sf):
 from ..operators import encode as ENC  # noqa: E402
 from ..operators.sizing import materialize  # noqa: E402
 
-VOCAB_SIZE = 5000
 MAX_LENGTH = 40
 TOPIC_MAX_LENGTH = 10
 
@@ -973,8 +1003,7 @@ corpus AS (SELECT argument AS x FROM a UNION ALL SELECT key_point AS x FROM k),
 cw AS (SELECT unnest({_SQL_WORDS.format(c='x')}) AS token FROM corpus),
 cnt AS (SELECT token, count(*) AS n FROM cw GROUP BY token),
 vr AS (SELECT token, n, row_number() OVER (ORDER BY n DESC, token) AS r FROM cnt),
-vocab AS (SELECT token, CAST(r - 1 + {ENC.FIRST_WORD_ID} AS INTEGER) AS token_id, n FROM vr
-          WHERE r <= {VOCAB_SIZE})"""
+vocab AS (SELECT token, CAST(r - 1 + {ENC.FIRST_WORD_ID} AS INTEGER) AS token_id, n FROM vr)"""
 
 
 def _corpus(t) -> DataFrame:
@@ -984,8 +1013,8 @@ def _corpus(t) -> DataFrame:
 
 @register("vocabulary", _SQL_VOCAB + "\nSELECT token, token_id, n FROM vocab")
 def q_vocabulary(spark, sf):
-    """Corpus vocabulary (top 5000 cleaned words) with ids after the specials."""
-    return ENC.vocabulary(_corpus(C.tables(spark, sf)), "x", VOCAB_SIZE)
+    """Corpus vocabulary (all cleaned words) with ids after the specials."""
+    return ENC.vocabulary(_corpus(C.tables(spark, sf)), "x")
 
 
 def _sql_ids(name: str, key: str, text: str, src: str, keep: int) -> str:
@@ -1031,7 +1060,7 @@ def _encoded(t):
     keys = (t.labels.select("arg_id", "key_point_id", "label")
             .join(t.arguments.select("arg_id", "topic", "stance"), "arg_id")
             .join(t.key_points.select("key_point_id"), "key_point_id"))
-    vocab = materialize(ENC.vocabulary(_corpus(t), "x", VOCAB_SIZE), "vocabulary")
+    vocab = materialize(ENC.vocabulary(_corpus(t), "x"), "vocabulary")
     enc = ENC.encode_pairs(keys, vocab, MAX_LENGTH,
                            a_texts=t.arguments.select("arg_id", "argument"),
                            b_texts=t.key_points.select("key_point_id", "key_point"))
@@ -1091,7 +1120,6 @@ def q_encode_pairs_topic(spark, sf):
 from ..operators import model as MD  # noqa: E402
 from ..sources import io as IO  # noqa: E402
 from ..streaming.matching import start_best_match_stream  # noqa: E402
-from . import evaluate as EV  # noqa: E402
 
 
 @register("submission_map", C.SQL_SCORED + """
@@ -1148,7 +1176,15 @@ def q_report_upsert(spark, sf):
 
 
 
-@register("run_report")
+@register("run_report", _SQL_LABELLED + """,
+dev_l AS (SELECT * FROM labelled WHERE CAST(split_part(arg_id, '_', 2) AS INT) IN (6, 7)),
+test_l AS (SELECT * FROM labelled WHERE CAST(split_part(arg_id, '_', 2) AS INT) >= 8),
+""" + C.SQL_AP[len(C.SQL_SCORED) + 2:] + "," + _SQL_TEST_MAP + """,
+dev AS (SELECT """ + ", ".join(f"round({m}, 6) AS {m}" for m in metrics.METRIC_NAMES) + " FROM " + _nested("dev_l", None) + """),
+test AS (SELECT """ + ", ".join(f"round({m}, 6) AS {m}_test" for m in metrics.METRIC_NAMES) + " FROM " + _nested("test_l", None) + """)
+SELECT 'fixture_scorer' AS name, -1 AS epoch_stop, 'plain' AS mode, CAST(NULL AS VARCHAR) AS add_info,
+       dev.*, test.*, round(mp.s, 6) AS mAP_strict, round(mp.r, 6) AS mAP_relaxed, 'fixture' AS model_path
+FROM dev, test, mp""")
 def q_run_report(spark, sf):
     """M5: the single-run report row: dev metrics, test metrics (_test) and the test-subset
     submission mAP, from the fixture scorer."""

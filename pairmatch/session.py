@@ -7,8 +7,7 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Settings the library relies on. AQE re-plans joins from runtime sizes (a size-checked
-# broadcast with sort-merge as the fallback), coalesces small shuffle partitions and splits
+# Settings the library relies on. AQE re-plans joins from runtime sizes, coalesces small shuffle partitions and splits
 # skewed join partitions. Joins on (arg_id, key_point_id) keep hashing on both keys (Spark's
 # default): partitioning such a join by arg_id alone would put all gold rows of a hot argument
 # into one task on the side of a left join that AQE cannot split.
@@ -16,6 +15,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # a side below this size is broadcast, by estimate or by measured size; beyond it never
+    "spark.sql.autoBroadcastJoinThreshold": str(32 << 20),
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 << 20),
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",

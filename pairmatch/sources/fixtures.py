@@ -13,7 +13,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.sizing import bounded_broadcast, rows_at_most
 
 # Fixed values of the derivation (FIXTURES.md section 2): hash multipliers and moduli.
 ARG_TOPICS = 10            # arguments: topic id = int(source[3:]) % 10
@@ -38,26 +37,8 @@ SOURCE_SCHEMAS = {
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir}/{name}.parquet"
     if name in SOURCE_SCHEMAS:
-        df = spark.read.schema(SOURCE_SCHEMAS[name]).parquet(path)
-    else:
-        df = spark.read.parquet(path)
-    return spread_few_files(df)
-
-
-SPREAD_MAX_ROWS = 5_000_000
-
-
-def spread_few_files(df: DataFrame) -> DataFrame:
-    """A small table stored in fewer files than the cluster has cores (one parquet row group
-    cannot be split) would run its per-row text work in that many tasks. Such an input -- few
-    files *and* at most SPREAD_MAX_ROWS rows, proven by a count that reads no column, only
-    row-group metadata -- is spread round-robin over ``defaultParallelism`` partitions;
-    projections are pushed below the repartition, so only the columns a query uses move.
-    Large tables are left alone: no extra shuffle at scale."""
-    parallelism = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) < parallelism and rows_at_most(df, SPREAD_MAX_ROWS):
-        return df.repartition(parallelism)
-    return df
+        return spark.read.schema(SOURCE_SCHEMAS[name]).parquet(path)
+    return spark.read.parquet(path)
 
 
 def subset_of(tid) -> F.Column:
@@ -107,10 +88,10 @@ def _hash_mod(a: int, b: int, m: int) -> F.Column:
 
 def _same_side_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc, item) pairs of one topic id and stance: the raw candidate set behind labels and
-    logits. Key points are the small side: broadcast after a size check."""
+    logits. Key points are the small side."""
     a = arguments_raw(spark, sf_dir).select("doc_id", "tid", "stance", "arg_id", "topic", "subset")
     k = key_points_raw(spark, sf_dir).select("item_id", "tid", "stance", "key_point_id")
-    return a.join(bounded_broadcast(k), ["tid", "stance"])
+    return a.join(k, ["tid", "stance"])
 
 
 def labels_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,8 +173,8 @@ pred AS (
 
 def fold_logits(logits: DataFrame, num_folds: int = 7) -> DataFrame:
     """Per-fold scorer outputs for the ensemble queries: fold f keeps l0 and uses
-    l1_f = ((l1 + 500) * (f + 1)) % 1009 - 500. Adds ``fold``."""
+    l1_f = ((l1 + 500) * (f + 1)) % 1009 - 500. Adds ``fold``; rows that have one keep it."""
     _, _, m1, s1 = LOGIT1
     f = F.explode(F.sequence(F.lit(0), F.lit(num_folds - 1))).alias("fold")
-    x = logits.select("*", f)
+    x = logits if "fold" in logits.columns else logits.select("*", f)
     return x.withColumn("l1", ((F.col("l1") + s1) * (F.col("fold") + 1)) % m1 - s1)

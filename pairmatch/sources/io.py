@@ -2,8 +2,7 @@
 
 Task tables are read with explicit schemas (no inference); submissions are JSON lines, one
 argument per line (``{"arg_id": ..., "key_points": {kp: score}}``), so both writing and reading
-stay distributed. The reference's single nested JSON document is available as an explicit
-small export, guarded by a row bound.
+stay distributed.
 """
 
 from __future__ import annotations
@@ -15,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.sizing import bounded_broadcast, row_count_at_most
 from ..session import ensure_checkpoint_dir
 from .schemas import (ARGUMENT_SCHEMA, HISTORY_SCHEMA, KEY_POINT_SCHEMA, LABEL_SCHEMA,
                       SUBMISSION_SCHEMA, require_keys)
@@ -25,9 +23,18 @@ TRAIN_DEV_DIR = "kpm_data"
 TEST_DIR = "test_data"
 
 
+# Other names of the labelled test files and of the dev subset.
+SUBSET_ALIASES = {"test_eval": "test", "eval": "dev"}
+
+
+def subset_name(subset: str) -> str:
+    """The subset whose files a name stands for."""
+    return SUBSET_ALIASES.get(subset, subset)
+
+
 def subset_dir(root: str, subset: str) -> str:
     """Test -> ``<root>/test_data``, anything else -> ``<root>/kpm_data``."""
-    return str(PurePosixPath(root) / (TEST_DIR if subset == "test" else TRAIN_DEV_DIR))
+    return str(PurePosixPath(root) / (TEST_DIR if subset_name(subset) == "test" else TRAIN_DEV_DIR))
 
 
 def _csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -47,6 +54,7 @@ def load_task_tables(spark: SparkSession, gold_data_dir: str | None = None, subs
             raise ValueError("give gold_data_dir or root")
         gold_data_dir = subset_dir(root, subset)
     base = PurePosixPath(gold_data_dir)
+    subset = subset_name(subset)
     kp_path = submitted_kp_file or str(base / f"key_points_{subset}.{fmt}")
     read = (lambda p, s: _csv(spark, p, s)) if fmt == "csv" else \
         (lambda p, s: spark.read.schema(s).parquet(p))
@@ -77,7 +85,7 @@ def submission_frame(scored: DataFrame) -> DataFrame:
     keys sorted. Duplicate pairs are resolved before the map is built (Spark maps reject
     duplicate keys; the reference keeps the last row, which has no meaning without an order:
     we keep the highest score, L21). A map holds at most the key points of one topic and
-    stance -- the key-point table is the small, size-checked side of candidate generation --
+    stance -- the key points of one side are few --
     so no group grows with the number of arguments."""
     pairs = scored.groupBy("arg_id", "key_point_id").agg(F.max("score").alias("score"))
     return pairs.groupBy("arg_id").agg(
@@ -91,23 +99,6 @@ def write_submission(scored: DataFrame, path: str) -> str:
     return path
 
 
-def export_submission_document(scored: DataFrame, path: str, max_arguments: int = 1_000_000) -> str:
-    """S4 as the reference's single JSON document ({arg_id: {kp: score}}, sorted keys), for
-    small results only: refused above ``max_arguments`` arguments, because one document is
-    written by one task."""
-    sub = submission_frame(scored)
-    if not row_count_at_most(sub, max_arguments):
-        raise ValueError(f"more than {max_arguments} arguments: write JSON lines instead")
-    one = F.to_json(F.create_map(F.col("arg_id"), F.col("key_points")))  # {"arg": {...}}
-    entry = F.expr("substring(_one, 2, length(_one) - 2)")
-    body = sub.select(one.alias("_one"), "arg_id").select(entry.alias("e"), "arg_id")
-    doc = body.agg(F.concat(F.lit("{"), F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.struct("arg_id", "e"))), lambda s: s["e"]),
-        ", "), F.lit("}")).alias("value"))
-    doc.coalesce(1).write.mode("overwrite").text(path)
-    return path
-
-
 def read_submission(spark: SparkSession, path: str, document: bool = False) -> DataFrame:
     """S5 (``load_predictions`` input): flatten a submission to (arg_id, key_point_id, score).
     JSON lines are read in parallel; a single document is read whole by one task."""
@@ -148,7 +139,7 @@ def report_upsert(existing: DataFrame | None, new: DataFrame) -> DataFrame:
         merged = new
     else:
         merged = existing.withColumn("_src", F.lit(0)).unionByName(new, allowMissingColumns=True)
-    merged = merged.join(bounded_broadcast(dup.select("name", F.lit(True).alias("_dup"))), "name",
+    merged = merged.join(dup.select("name", F.lit(True).alias("_dup")), "name",
                          "left")
     merged = merged.filter(F.when(F.col("_dup"), F.raise_error(F.lit("duplicate report name")))
                            .otherwise(F.lit(True)))

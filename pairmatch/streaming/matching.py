@@ -1,7 +1,7 @@
 """Streaming argument matching.
 
 Arguments arrive as a stream (new files in a folder); key points are a static table. Candidate
-generation is a stream-static join (key points broadcast after a size check), scoring is a
+generation is a stream-static join (key points broadcast if they are small), scoring is a
 row expression, and the best match of each argument is complete inside the micro-batch that
 carries the argument (all its candidates are generated from that one row), so no state is kept.
 Each micro-batch is written under its epoch id with overwrite: a batch replayed after a failure
@@ -16,7 +16,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.scores import sigmoid
 from ..operators.matching import best_match
-from ..operators.sizing import bounded_broadcast
 from ..sources.fixtures import (LOGIT_SCALE, arguments_from_documents, key_points_raw,
                                 read_table, with_logits)
 
@@ -35,7 +34,7 @@ def scored_candidate_stream(arguments_stream: DataFrame, key_points: DataFrame)
     """Stream-static candidate join + fixture scorer: arg_id, key_point_id, score."""
     a = arguments_from_documents(arguments_stream).select(
         "doc_id", "tid", "stance", "arg_id", "topic", "subset")
-    k = bounded_broadcast(key_points.select("item_id", "tid", "stance", "key_point_id"))
+    k = key_points.select("item_id", "tid", "stance", "key_point_id")
     pairs = with_logits(a.join(k, ["tid", "stance"]))
     score = sigmoid((F.col("l1") - F.col("l0")).cast("double") / F.lit(LOGIT_SCALE))
     return pairs.select("arg_id", "key_point_id", score.alias("score"))

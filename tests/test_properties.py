@@ -91,35 +91,3 @@ def test_hot_group_is_split_across_partitions(spark):
     w = Window.partitionBy("g").orderBy(F.col("s").desc(), F.col("id"))
     want = df.withColumn("want", F.row_number().over(w))
     assert got.join(want, ["g", "s", "id", "v"]).filter(F.col("rank") != F.col("want")).count() == 0
-
-
-def _hinted(df) -> bool:
-    """True when the plan carries a broadcast hint (ResolvedHint in the analyzed plan)."""
-    import contextlib
-    import io
-    buf = io.StringIO()
-    with contextlib.redirect_stdout(buf):
-        df.explain(extended=True)
-    return "broadcast" in buf.getvalue().lower().split("== optimized logical plan ==")[0]
-
-
-def test_bounded_broadcast_checks_rows_and_bytes(spark):
-    from pairmatch.operators.sizing import bounded_broadcast
-    small = spark.createDataFrame([(i, "x") for i in range(10)], "k int, t string")
-    assert _hinted(bounded_broadcast(small, max_rows=10))
-    assert not _hinted(bounded_broadcast(small, max_rows=9))           # too many rows
-    wide = spark.createDataFrame([(i, "y" * 1000) for i in range(10)], "k int, t string")
-    assert not _hinted(bounded_broadcast(wide, max_rows=100, max_bytes=5000))  # too many bytes
-
-
-def test_spread_only_small_few_file_inputs(spark, tmp_path):
-    from pairmatch.sources import fixtures
-    par = spark.sparkContext.defaultParallelism
-    one = str(tmp_path / "one")
-    spark.range(100).coalesce(1).write.parquet(one)
-    many = str(tmp_path / "many")
-    spark.range(1000).repartition(par + 2).write.parquet(many)
-    spread = fixtures.spread_few_files(spark.read.parquet(one))
-    assert spread.rdd.getNumPartitions() == par
-    kept = spark.read.parquet(many)
-    assert fixtures.spread_few_files(kept) is kept

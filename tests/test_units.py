@@ -326,9 +326,10 @@ def test_submission_round_trip(spark, tmp_path):
     path = IO.write_submission(dup, str(tmp_path / "sub"))
     back = sorted(tuple(r) for r in IO.read_submission(spark, path).collect())
     assert back == sorted(tuple(r) for r in sub.collect())
-    doc = IO.export_submission_document(sub, str(tmp_path / "doc"))
-    back2 = sorted(tuple(r) for r in IO.read_submission(spark, doc, document=True).collect())
-    assert back2 == back
+    doc = tmp_path / "doc.json"
+    doc.write_text('{"a1": {"k1": 0.5}, "a2": {"k2": 1.0}}')
+    back2 = sorted(tuple(r) for r in IO.read_submission(spark, str(doc), document=True).collect())
+    assert back2 == [("a1", "k1", 0.5), ("a2", "k2", 1.0)]
 
 
 def test_csv_task_tables_round_trip(spark, tmp_path):
@@ -339,6 +340,10 @@ def test_csv_task_tables_round_trip(spark, tmp_path):
     assert sorted(a.collect()) == sorted(args.collect())
     assert k.count() == 2 and l.count() == 3
     assert IO.subset_dir(root, "dev").endswith("kpm_data")
+    # the labelled test files and the dev subset have second names
+    assert IO.load_task_tables(spark, root=root, subset="test_eval")[2].count() == 3
+    IO.write_task_tables(args, kps, labels, IO.subset_dir(root, "dev"), "dev")
+    assert IO.load_task_tables(spark, root=root, subset="eval")[0].count() == args.count()
 
 
 def test_ensemble_by_key(spark):
@@ -455,3 +460,47 @@ def test_naive_bayes_kfold_by_hand(spark):
     # model 1 (fold 0 data): t1 (1 pos, 1 neg), t2 (1 pos, 0 neg); N1 = 2, N0 = 1, V = 2
     w1_t1 = math.log((1 + 1) / (2 + 2)) - math.log((1 + 1) / (1 + 2))
     assert got[("a", 1)] == pytest.approx(prior + w1_t1)
+
+
+def test_null_groups_keep_their_rows(spark):
+    from pairmatch.operators import ranking
+    df = spark.createDataFrame([(None, 1, 2), (None, 2, 3), ("g", 1, 5)], "g string, k int, v long")
+    ranks = sorted(tuple(r) for r in ranking.rank_within(df, ["g"], [F.col("k")]).select("v", "rank").collect())
+    assert ranks == [(2, 1), (3, 2), (5, 1)]
+    sums = sorted(tuple(r) for r in ranking.prefix_sums(df, ["g"], [F.col("k")], ["v"]).select("v", "cum_v").collect())
+    assert sums == [(2, 2), (3, 5), (5, 5)]
+
+
+def test_null_group_metrics(spark):
+    from pairmatch.operators import metrics
+    df = spark.createDataFrame([(None, 1, 1, .9), (None, 0, 0, .1), ("s", 1, 0, .4)],
+                               "subset string, label int, prediction int, score double")
+    out = {r.subset: r for r in metrics.binary_metrics(df, group_cols=["subset"]).collect()}
+    assert out[None].auc == 1.0 and out[None].acc == 1.0 and out["s"].recall == 0.0
+    curve = metrics.precision_recall_curve(df, group_cols=["subset"]).collect()
+    assert len(curve) == 3
+
+
+def test_null_or_nan_score_never_wins(spark):
+    from pairmatch.operators import matching
+    df = spark.createDataFrame([("a", "k1", None), ("a", "k2", .9), ("a", "k3", float("nan")), ("b", "k1", None)],
+                               "arg_id string, key_point_id string, score double")
+    assert [tuple(r) for r in matching.best_match(df).collect()] == [("a", "k2", .9)]
+
+
+def test_fold_sizes_counts_values_in_several_folds(spark):
+    from pairmatch.operators import folds
+    rows = [(f"a{i}", "t1" if i < 9 else "t2", i % 5) for i in range(10)]
+    df = spark.createDataFrame(rows, "arg_id string, topic string, fold int")
+    got = {(r.fold, r.role): (r.n_pairs, r.n_arguments, r.n_topics) for r in folds.fold_sizes(df).collect()}
+    for f in range(5):
+        dev, train = [r for r in rows if r[2] == f], [r for r in rows if r[2] != f]
+        for role, part in (("dev", dev), ("train", train)):
+            assert got[f, role] == (len(part), len({r[0] for r in part}), len({r[1] for r in part}))
+
+
+def test_metrics_of_an_empty_table_are_one_row(spark):
+    from pairmatch.operators import metrics
+    df = spark.createDataFrame([], "label int, prediction int, score double")
+    (row,) = metrics.binary_metrics(df).collect()
+    assert row.acc is None and row.f1 == 0.0 and row.auc is None
