@@ -46,6 +46,7 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 5            # at similarity 0.8 a pair shares a band with probability 0.9996
 GRAM_BASE = 0x9E3779B97F4A7C15
+BLOCK = 500, 3 << 19           # documents and bytes of text of one block
 SHIFT = 11                     # a row's number: its block's number and its place in the block
 STEP = 0xD1342543DE82EF95
 U, WRAP = np.uint64, 1 << 64
@@ -207,7 +208,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
                     rows: int = ROWS, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``carry`` columns (doc_id among them), ``class_id``, ``class_size`` and ``kept`` of every row."""
     carry = list(dict.fromkeys(["doc_id", *carry]))
-    parts = blocks(docs.select(*carry, *[c for c in ["text"] if c not in carry]), carry, "near-blocks")
+    parts = blocks(docs.select(*carry, *[c for c in ["text"] if c not in carry]), carry, "near-blocks", *BLOCK)
     return _classes(parts, words, similarity, bands, rows).select("d.*", "class_id", "class_size", "kept")
 
 
@@ -216,7 +217,7 @@ def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY
     """The rows of ``docs``, all columns, that are the kept document of their class (null texts
     come back empty). Texts move once more, inside their blocks."""
     carry = [c for c in docs.columns if c != "text"]
-    parts = blocks(docs, carry, "near-blocks")
+    parts = blocks(docs, carry, "near-blocks", *BLOCK)
     kept = (_classes(parts.withColumn("d", F.transform("d", lambda x: F.struct(x["doc_id"].alias("doc_id")))),
                      words, similarity, bands, rows).filter("kept")
             .groupBy(F.shiftright("uid", SHIFT).alias("block")).agg(
