@@ -27,10 +27,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 BUCKETS = 99_991
 NONE = 1 << 30            # rank of a pair that does not merge
-BLOCK_CHARS = 32 << 20    # text of one block
-BLOCK_WORDS = 400_000     # distinct words of one block
+BLOCK_CHARS = 8 << 20     # text of one block
+BLOCK_WORDS = 130_000     # distinct words of one block
 BASE = 0x10000            # id i is the character BASE + i, four bytes in UTF-8
 
 
@@ -189,6 +191,6 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                     ], names=["doc_id", "ids", "decoded"])
 
     blocks = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-        split, f"docs array<{kind}>, idx array<binary>, known binary, words array<string>")
+        lean(split), f"docs array<{kind}>, idx array<binary>, known binary, words array<string>")
     return blocks.withColumn("words", fold_merges(F.col("words"), ranks)).mapInArrow(
-        join, f"doc_id {kind}, ids binary, decoded binary")
+        lean(join), f"doc_id {kind}, ids binary, decoded binary")

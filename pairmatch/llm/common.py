@@ -3,6 +3,8 @@ and blocks of documents."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -20,8 +22,19 @@ from ..session import ensure_checkpoint_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 # Bounds of one block of documents: what a Python task holds at a time.
-BLOCK_ROWS = 1000
-BLOCK_BYTES = 4 << 20
+BLOCK_ROWS = 500
+BLOCK_BYTES = 3 << 19
+
+
+def lean(task):
+    """``task`` (a function of a partition's batches), giving freed memory back to the system when it
+    ends: Spark keeps its Python workers, and what they hold would add up over the steps of a job."""
+    def run(batches):
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+    return run
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,7 +98,7 @@ def blocks(docs: DataFrame, carry: list[str], name: str, rows: int = BLOCK_ROWS,
 
     kind = fields.schema["d"].dataType.simpleString()
     raw = docs.select(F.struct(*carry).alias("d"), F.col("text").cast("string").cast("binary").alias("text"))
-    out = raw.mapInArrow(run, f"d array<{kind}>, body binary, lens binary, size long")
+    out = raw.mapInArrow(lean(run), f"d array<{kind}>, body binary, lens binary, size long")
     out = out.select(F.monotonically_increasing_id().alias("block"), "*")
     return stored(out, name) if keep else out
 

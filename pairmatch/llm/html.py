@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 # Element classes (fixed values of the HTML standard).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -182,4 +184,4 @@ def extract_main_text(pages: DataFrame, sigma: float = 1.0, max_link_share: floa
                                 "n_chars": [len(t) for t in text]})
 
     schema = pages.select("page_id", "url").schema.add("text", "string").add("n_chars", "long")
-    return pages.select("page_id", "url", F.col("html").cast("string").alias("html")).mapInPandas(run, schema)
+    return pages.select("page_id", "url", F.col("html").cast("string").alias("html")).mapInPandas(lean(run), schema)

@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_words, blocks, mix, open_block, scratch, stored, word_hashes
+from .common import block_words, blocks, lean, mix, open_block, scratch, stored, word_hashes
 
 ROUNDS = 2
 DISCOUNT, STRENGTH = 0.75, 1.0            # of the context restaurants
@@ -264,7 +264,7 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, seed: int = 1, carry: tup
         df = parts
         for n, r in replies:
             df = df.join(r, "block", "left")
-        return df.select("block", "ids", "body", "lens", *names).mapInArrow(run, MESSAGE)
+        return df.select("block", "ids", "body", "lens", *names).mapInArrow(lean(run), MESSAGE)
 
     def answered(messages: DataFrame, kind: str, totals=None) -> tuple[DataFrame, dict]:
         """Totals of each key over all blocks, sent back to the blocks, and sums over all keys."""
@@ -329,7 +329,7 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, seed: int = 1, carry: tup
         df = df.join(r, "block", "left")
     kind = parts.schema["d"].dataType.elementType.simpleString()
     out = df.select("d", "ids", "body", "lens", *names).mapInArrow(
-        score, f"d {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
+        lean(score), f"d {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
                "score double, perplexity double")
     return out.select("d.*", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 

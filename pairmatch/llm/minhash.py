@@ -40,14 +40,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_words, blocks, gram_hash, mix, open_block, stored, word_hashes
+from .common import block_words, blocks, gram_hash, lean, mix, open_block, stored, word_hashes
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 5            # at similarity 0.8 a pair shares a band with probability 0.9996
 GRAM_BASE = 0x9E3779B97F4A7C15
-BLOCK = 500, 3 << 19           # documents and bytes of text of one block
-SHIFT = 11                     # a row's number: its block's number and its place in the block
+SHIFT = 11                     # a row's number: its block's number and its place in the block (of at most 500)
 STEP = 0xD1342543DE82EF95
 U, WRAP = np.uint64, 1 << 64
 
@@ -147,7 +146,7 @@ def _signed(parts: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                     pa.array((block << SHIFT) + has, pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)),
                     _lists(keys.ravel().view(np.int64), np.full(len(has), bands), pa.int64())],
                     names=["uid", "h1", "h2", "keys"])
-    return parts.select("block", "body", "lens").mapInArrow(run, "uid long, h1 long, h2 long, keys array<bigint>")
+    return parts.select("block", "body", "lens").mapInArrow(lean(run), "uid long, h1 long, h2 long, keys array<bigint>")
 
 
 def _bags(parts: DataFrame, uids: DataFrame, words: int) -> DataFrame:
@@ -167,7 +166,7 @@ def _bags(parts: DataFrame, uids: DataFrame, words: int) -> DataFrame:
     wanted = uids.groupBy(F.shiftright("uid", SHIFT).alias("block")).agg(
         F.collect_list(F.col("uid").bitwiseAND((1 << SHIFT) - 1)).alias("idx"))
     return (parts.select("block", "body", "lens").join(wanted, "block").select("block", "body", "lens", "idx")
-            .mapInArrow(run, "uid long, g array<bigint>, w array<int>"))
+            .mapInArrow(lean(run), "uid long, g array<bigint>, w array<int>"))
 
 
 def _verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
@@ -186,7 +185,7 @@ def _verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     left = bags.select(F.col("uid").alias("a"), F.col("g").alias("ga"), F.col("w").alias("wa"))
     right = bags.select(F.col("uid").alias("b"), F.col("g").alias("gb"), F.col("w").alias("wb"))
     return (pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "wa", "gb", "wb")
-            .mapInArrow(run, "a long, b long, sim double"))
+            .mapInArrow(lean(run), "a long, b long, sim double"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -208,7 +207,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
                     rows: int = ROWS, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``carry`` columns (doc_id among them), ``class_id``, ``class_size`` and ``kept`` of every row."""
     carry = list(dict.fromkeys(["doc_id", *carry]))
-    parts = blocks(docs.select(*carry, *[c for c in ["text"] if c not in carry]), carry, "near-blocks", *BLOCK)
+    parts = blocks(docs.select(*carry, *[c for c in ["text"] if c not in carry]), carry, "near-blocks")
     return _classes(parts, words, similarity, bands, rows).select("d.*", "class_id", "class_size", "kept")
 
 
@@ -217,7 +216,7 @@ def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY
     """The rows of ``docs``, all columns, that are the kept document of their class (null texts
     come back empty). Texts move once more, inside their blocks."""
     carry = [c for c in docs.columns if c != "text"]
-    parts = blocks(docs, carry, "near-blocks", *BLOCK)
+    parts = blocks(docs, carry, "near-blocks")
     kept = (_classes(parts.withColumn("d", F.transform("d", lambda x: F.struct(x["doc_id"].alias("doc_id")))),
                      words, similarity, bands, rows).filter("kept")
             .groupBy(F.shiftright("uid", SHIFT).alias("block")).agg(
@@ -235,7 +234,7 @@ def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY
 
     kind = parts.schema["d"].dataType.elementType.simpleString()
     out = parts.select("block", "d", "body", "lens").join(kept, "block").select("d", "body", "lens", "idx").mapInArrow(
-        run, f"d {kind}, text string")
+        lean(run), f"d {kind}, text string")
     return out.select(*[F.col("text") if c == "text" else F.col(f"d.{c}") for c in docs.columns])
 
 

@@ -31,13 +31,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import lean, slices
 
 WINDOW = 2048
 END_ID = 1
 SHARD_DOCS = 1000          # documents of one index shard
 SHARD_TOKENS = 4_000_000   # and tokens, so that a shard of long documents stays small
-CACHE = 1_200_000          # distinct runs a worker remembers; beyond it starts anew
+CACHE = 800_000            # distinct runs a worker remembers; beyond it starts anew
 
 MARKS = (".", ",")         # marks that often follow a word
 
@@ -270,7 +270,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
             out = out or pa.schema([("doc_id", batch.schema.field(0).type)] + [
                 (n, pa.int64()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
             ] + [("ids", pa.binary())] * with_ids)
-            for part in slices(batch, 1, rows=2500, size=8 << 20):
+            for part in slices(batch, 1, rows=1500, size=5 << 20):
                 for d, r in zip(part.column(0).to_pylist(), enc.encode(part.column(1))):
                     ids.append(d)
                     rows.append(r)
@@ -281,4 +281,4 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
             yield from close()
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-        run, SCHEMA.format(kind) + ", ids binary" * with_ids)
+        lean(run), SCHEMA.format(kind) + ", ids binary" * with_ids)

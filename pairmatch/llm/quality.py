@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import lean, slices, stored
 
 SPACE = bytes([0x20, *range(0x09, 0x0E)])
 SYMBOLS = b"#*$%&|<>"                       # the symbols of the base statistics
@@ -89,7 +89,7 @@ def with_stats(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("raw")).mapInPandas(
-        run, f"doc_id {kind}, {STATS}")
+        lean(run), f"doc_id {kind}, {STATS}")
 
 
 def features(s: pd.DataFrame) -> np.ndarray:
@@ -207,7 +207,7 @@ def fit_rules(stats: DataFrame, labels: DataFrame | None, min_words: int = 20, m
                 yield pd.DataFrame({"doc_id": b["doc_id"], "bin": np.floor(b["score"] * BINS).astype("int64")})
 
         kind = stats.schema["doc_id"].dataType.simpleString()
-        own = stats.filter(F.col("doc_id").isNotNull()).mapInPandas(score, f"doc_id {kind}, bin long")
+        own = stats.filter(F.col("doc_id").isNotNull()).mapInPandas(lean(score), f"doc_id {kind}, bin long")
         hist = (own.join(labels.filter(F.col("quality").isNotNull()).select("doc_id", "quality"), "doc_id")
                 .groupBy("bin").agg(F.sum(F.when(F.col("quality") > 0, 1).otherwise(0)).alias("good"),
                                     F.sum(F.when(F.col("quality") > 0, 0).otherwise(1)).alias("bad")))
@@ -225,7 +225,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame | None = None, **params) ->
             yield rules.judge(b)
 
     kind = stats.schema["doc_id"].dataType.simpleString()
-    return stats.mapInPandas(run, f"doc_id {kind}, {STATS}, base_failed boolean, score double, kept boolean")
+    return stats.mapInPandas(lean(run), f"doc_id {kind}, {STATS}, base_failed boolean, score double, kept boolean")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame | None = None, **params) -> DataFrame:
@@ -240,4 +240,4 @@ def keep_good(docs: DataFrame, labels: DataFrame | None = None, **params) -> Dat
                 s = pd.DataFrame([rule_stats(t) for t in part.column(at).cast(pa.binary()).to_pylist()], columns=names)
                 yield part.filter(pa.array(rules.judge(s)["kept"].to_numpy(bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

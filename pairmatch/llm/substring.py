@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_words, blocks, gram_hash, mix, open_block, stored, total_size, word_hashes
+from .common import block_words, blocks, gram_hash, lean, mix, open_block, stored, total_size, word_hashes
 
 WINDOW = 20
 GRAM = 10                      # words of an anchor
@@ -199,15 +199,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, carr
         answers = messages.groupBy("shard").applyInPandas(fn, schema)
         return stored(answers.groupBy("block").agg(F.collect_list(F.struct("shard", "bits")).alias(name)), f"repeat-{name}")
 
-    asked = parts.select("block", "body", "lens").mapInPandas(ask_anchors, "shard long, block long, keys binary, twice binary")
+    asked = parts.select("block", "body", "lens").mapInPandas(lean(ask_anchors), "shard long, block long, keys binary, twice binary")
     r1 = collected(asked, reply, repeated, "anchors")
     asked = (parts.join(r1, "block", "left")
              .select("block", F.col("d.doc_id").cast("array<bigint>").alias("ids"), "body", "lens", "anchors")
-             .mapInArrow(ask_windows, "shard long, block long, k1 binary, k2 binary, id binary, doc binary, start binary"))
+             .mapInArrow(lean(ask_windows), "shard long, block long, k1 binary, k2 binary, id binary, doc binary, start binary"))
     r2 = collected(asked, reply, earliest, "firsts")
     kind = parts.schema["d"].dataType.elementType.simpleString()
     out = (parts.join(r1, "block", "left").join(r2, "block", "left").select("d", "body", "lens", "anchors", "firsts")
-           .mapInArrow(cut, f"d {kind}, " + ", ".join(f"{c} {sql[c]}" for c, _ in out_types)))
+           .mapInArrow(lean(cut), f"d {kind}, " + ", ".join(f"{c} {sql[c]}" for c, _ in out_types)))
     return out.select("d.*", *[c for c, _ in out_types])
 
 
