@@ -8,14 +8,15 @@ customers sits at t tables, and each table is a customer of the root.
 Seating is sampled by Gibbs, dish by dish: all customers of a dish are seated anew by the Chinese
 restaurant's sequential rule given the tables of all other dishes, and the new seating is accepted
 by the ratio of the sequential weights (Metropolis within Gibbs). A round samples all dishes of all
-restaurants in parallel against the table totals of the round before; the totals are then summed
-and the root's own seating is sampled. Each round gives one sample of the predictive
-probabilities, and a text's score is the sum of log10 of their averages.
+restaurants in parallel against the table totals of the round before (at first: estimates from the
+counts), two sweeps of it; the totals of each sweep are then summed and the root's own seating is
+sampled. Each sweep of the last round gives one sample of the predictive probabilities, and a
+text's score is the sum of log10 of their averages.
 
 Plan. Blocks of documents and shards of hashed keys exchange messages: blocks send the counts of
 their distinct words and word pairs, shards answer with corpus totals, and in every round blocks
 send the tables of the pairs they own (one block owns a pair) and get the totals of contexts and
-words. Draws are made by hashing the pair, so every block that meets a pair seats it alike and no
+words. Customers past a dish's first 32 are seated in runs (see ``seat``). Draws are made by hashing the pair, so every block that meets a pair seats it alike and no
 seating is sent. A frequent word or pair is one entry per block. The blocks are stored in buckets by
 block number, so they are read, never shuffled. The number of shards grows with the text; only a
 handful of totals reach the driver.
@@ -34,22 +35,25 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import block_words, blocks, lean, mix, open_block, scratch, stored, word_hashes
 
-ROUNDS = 2
+ROUNDS = 1                                 # rounds of sampling against the totals of the round before
+SAMPLES = 2                                # Gibbs sweeps of a round, each of which is a sample
 DISCOUNT, STRENGTH = 0.75, 1.0            # of the context restaurants
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.75, 1.0
 SHARD_BYTES = 24 << 20
 LM_BLOCK = 8 << 20
-EACH = 48                                  # customers seated one by one before skipping ahead
+EACH = 32                                  # customers of a dish that are seated one by one
+STEP = 0x9E3779B97F4A7C15
 U, WRAP = np.uint64, 1 << 64
 END = U(0x5851F42D4C957F2D)                # hash of the end token
-MESSAGE = "shard long, block long, keys binary, values binary"
-REPLY = "block long, shard long, values binary, s0 long, s1 long, distinct long, tables long"
+MESSAGE = "kind string, shard long, block long, keys binary, values binary"
+REPLY = "kind string, block long, shard long, values binary, stats array<bigint>"
 
 
 def _pack(a: np.ndarray) -> bytes:
@@ -61,7 +65,7 @@ def _unpack(b: bytes, kind) -> np.ndarray:
 
 
 def _pack_keys(keys: np.ndarray) -> bytes:
-    """Ascending 40-bit keys, five bytes each, byte planes apart."""
+    """40-bit keys, five bytes each, byte planes apart."""
     return _pack(np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T))
 
 
@@ -73,14 +77,15 @@ def _unpack_keys(b: bytes) -> np.ndarray:
 
 
 def _routes(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(shard, places of its keys in the order of their 40-bit keys, those keys)."""
+    """(shard, places of its keys, their 40-bit keys in the shard), always in the same order."""
     m = mix(keys)
-    shard = ((m >> U(40)) % U(shards)).astype(np.int64)
-    low = m & U((1 << 40) - 1)
-    order = np.lexsort((low, shard))
-    for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
-        if len(part):
-            yield int(shard[part[0]]), part, low[part]
+    order = np.argsort(m)
+    m = m[order]
+    low, shard = m & U((1 << 40) - 1), ((m >> U(40)) * U(shards) >> U(24)).astype(np.int64)   # ascending
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(m)]])
+    for i, j in zip(cuts[:-1], cuts[1:]):
+        if i < j:
+            yield int(shard[i]), order[i:j], low[i:j]
 
 
 def _messages(block: int, keys: np.ndarray, columns: list[np.ndarray], shards: int) -> list[tuple]:
@@ -97,68 +102,78 @@ def _read(replies, keys: np.ndarray, width: int, shards: int) -> list[np.ndarray
     return out
 
 
-def log_gamma(x: np.ndarray) -> np.ndarray:
-    """Stirling's series after shifting the argument above 8."""
-    shift = np.zeros_like(x)
-    x = x.copy()
-    for _ in range(8):
-        low = x < 8
-        shift = np.where(low, shift - np.log(np.where(low, x, 1.0)), shift)
-        x = np.where(low, x + 1, x)
-    i = 1 / (x * x)
-    return shift + (x - 0.5) * np.log(x) - x + 0.9189385332046727 + (1 / 12 - i * (1 / 360 - i * (1 / 1260 - i / 1680))) / x
-
-
 def seat(c: np.ndarray, a: np.ndarray, grow: np.ndarray, d: float, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Seat ``c`` customers of each dish one after another: a new table weighs ``a`` plus ``grow`` for
     each table the dish already has, its tables together their customers less ``d`` each. Returns
-    the tables and the log weight of the seating."""
+    the tables and the log weight of the seating.
+
+    The first ``EACH`` customers sit down one by one. Later ones come in runs of an eighth of those
+    already seated; in a run the weights change with the customers, but with the tables only from
+    run to run, so a dish of a million customers takes some ninety steps."""
     t, logw = np.ones(len(c)), np.zeros(len(c))
     at = np.flatnonzero(c > 1)
     j = 1
     while len(at) and j < EACH:                          # customer j + 1
         new = a[at] + grow[at] * t[at]
         both = j - d * t[at] + new
-        u = _uniform(mix(seed[at] + U(j * 0x9E3779B97F4A7C15 % WRAP)))
+        u = _uniform(mix(seed[at] + U(j * STEP % WRAP)))
         logw[at] += np.log(both)
         t[at] += u * both < new
         j += 1
         at = at[c[at] > j]
-    k, step = np.full(len(at), float(j)), 0              # j customers sit; find who opens the next table
+    k = j                                                # k customers sit
     while len(at):
-        step += 1
+        run = np.minimum(c[at] - k, max(1, k // 8))
         new, old = a[at] + grow[at] * t[at], k - d * t[at]
-        base = log_gamma(old) - log_gamma(old + new)
-        want = np.log(_uniform(mix(seed[at] + U((EACH + step) * 0x9E3779B97F4A7C15 % WRAP))))
-        rest = c[at] - k                                 # customers left; P(none of m opens) falls in m
-        lo, hi = np.zeros(len(at)), rest.astype(float)
-        gone = lambda m: log_gamma(old + m) - log_gamma(old + new + m) - base
-        none = gone(hi) > want
-        for _ in range(int(np.ceil(np.log2(max(2.0, hi.max() + 1))))):
-            mid = np.floor((lo + hi) / 2)
-            over = gone(mid) > want
-            lo, hi = np.where(over, mid + 1, lo), np.where(over, hi, mid)
-        m = np.where(none, rest, np.minimum(lo, rest))   # this many sit, the last of them at a new table
-        logw[at] += log_gamma(old + new + m) - log_gamma(old + new)
-        t[at] += ~none
-        k = k + m
-        go = ~none & (k < c[at])
-        at, k = at[go], k[go]
+        r = mix(seed[at] + U(k * STEP % WRAP))
+        grown = np.log1p(run / (old + new - 0.5))        # sum over the run of 1 / (weight of all tables)
+        opened = _count(run, np.minimum(1.0, new * grown / run), r)
+        logw[at] += run * np.log(old + new + (run - 1) / 2)
+        t[at] += opened
+        k += max(1, k // 8)
+        at = at[c[at] > k]
     return t, logw
 
 
+def _count(n: np.ndarray, p: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """A binomial draw for each (n, p): by inversion where few successes (or failures) are
+    expected, else by the normal distribution."""
+    flip = p > 0.5
+    q = np.where(flip, 1 - p, p)
+    u = _uniform(r)
+    z = np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * _uniform(mix(r)))
+    out = np.clip(np.rint(n * q + z * np.sqrt(n * q * (1 - q))), 0, n)
+    few = np.flatnonzero(n * q < 12)
+    if len(few):
+        m, s = n[few].astype(float), q[few]
+        term = (1 - s) ** m
+        total, x, left = term.copy(), np.zeros(len(few)), u[few]
+        odds = s / (1 - s)
+        for i in range(60):
+            more = (left > total) & (x < m)
+            if not more.any():
+                break
+            term = term * odds * np.maximum(0, m - i) / (i + 1)
+            x = np.where(more, x + 1, x)
+            total = np.where(more, total + term, total)
+        out[few] = x
+    return np.where(flip, n - out, out)
+
+
 def _uniform(x: np.ndarray) -> np.ndarray:
     return ((x >> U(11)).astype(np.float64) + 0.5) * 2.0 ** -53
 
 
-def gibbs(c: np.ndarray, a: np.ndarray, grow: np.ndarray, d: float, seed: np.ndarray, sweeps: int = 2) -> np.ndarray:
-    """Tables of each dish after ``sweeps`` seatings, the first one taken as it comes."""
+def gibbs(c: np.ndarray, a: np.ndarray, grow: np.ndarray, d: float, seed: np.ndarray, sweeps: int) -> list[np.ndarray]:
+    """Tables of each dish after every sweep; the first seating is taken as it comes."""
     t, w = seat(c, a, grow, d, mix(seed))
+    states = [t]
     for k in range(1, sweeps):
         other, w2 = seat(c, a, grow, d, mix(seed + U(k)))
         take = np.log(_uniform(mix(seed ^ U(0xA0761D6478BD642F + k)))) < w2 - w
         t, w = np.where(take, other, t), np.where(take, w2, w)
-    return t
+        states.append(t)
+    return states
 
 
 class Tokens:
@@ -166,8 +181,7 @@ class Tokens:
     context and a token, and their counts in training texts."""
 
     def __init__(self, ids: list, body: bytes, lens: bytes):
-        raw = zstandard.ZstdDecompressor().decompress(body).lower()
-        words, distinct, n = block_words(open_block(zstandard.ZstdCompressor(level=1).compress(raw), lens))
+        words, distinct, n = block_words(pc.ascii_lower(open_block(body, lens)))
         self.keys = np.append(word_hashes(distinct)[0] if len(distinct) else np.empty(0, dtype=U), END)
         self.n = n + 1                                   # with the end token
         self.first = np.concatenate([[0], np.cumsum(self.n)])
@@ -194,44 +208,51 @@ class Model:
         self.tok, self.total, self.seed = tok, totals, seed
         self.c, = _read(replies["words"], tok.keys, 1, shards)
         self.cp, self.own = _read(replies["pairs"], tok.pair_keys, 2, shards)
-        self.rounds = [_read(replies[f"round{r}"], tok.keys, 3, shards) for r in range(totals["rounds"])]
+        # of each round and sample: tables by context, customers and tables of the root by word
+        self.rounds = [np.reshape(_read(replies[f"round{r}"], tok.keys, 3 * SAMPLES, shards), (SAMPLES, 3, -1))
+                       for r in range(1, totals["rounds"] + 1)]
 
-    def root(self, r: int) -> np.ndarray:
-        """The root's probability of each word after round r (0: before the first)."""
+    def root(self, r: int, k: int) -> np.ndarray:
+        """The root's probability of each word after round r, by sample k (r = 0: at the start)."""
         if r == 0:
             return (self.c + 1 / (self.total["v"] + 1)) / (self.total["n"] + 1)
-        t, tables = self.total[f"customers{r}"], self.total[f"tables{r}"]
-        _, w, wt = self.rounds[r - 1]
+        t, tables = self.total[f"customers{r}"][k], self.total[f"tables{r}"][k]
+        _, w, wt = self.rounds[r - 1][k]
         return (w - ROOT_DISCOUNT * wt + (ROOT_STRENGTH + ROOT_DISCOUNT * tables) / (self.total["v"] + 1)) / (ROOT_STRENGTH + t)
 
-    def tables(self, r: int) -> np.ndarray:
-        """Tables of each pair in round r, given the totals of the round before."""
+    def tables(self, r: int) -> list[np.ndarray]:
+        """Tables of each pair in the samples of round r, given the totals of the round before."""
         tok = self.tok
-        context = self.c.astype(float) ** DISCOUNT if r == 1 else self.rounds[r - 2][0]
-        p = self.root(r - 1)[tok.w]
-        others = np.maximum(0.0, context[tok.u] - 1)
-        t = np.zeros(len(self.cp))
-        t[self.cp > 0] = 1
+        context = self.c.astype(float) ** DISCOUNT if r == 1 else self.rounds[r - 2][:, 0].mean(axis=0)
+        start = np.minimum(self.cp, 1).astype(float)
         many = np.flatnonzero(self.cp > 1)
-        t[many] = gibbs(self.cp[many], (STRENGTH + DISCOUNT * others[many]) * p[many], DISCOUNT * p[many], DISCOUNT,
-                        tok.pair_keys[many] ^ U((self.seed * 1000 + r) * 0x9E3779B97F4A7C15 % WRAP))
-        return t
+        p = self.root(r - 1, 0)[tok.w[many]]
+        weight = STRENGTH + DISCOUNT * np.maximum(0.0, context[tok.u[many]] - 1)
+        states = gibbs(self.cp[many], weight * p, DISCOUNT * p, DISCOUNT,
+                       tok.pair_keys[many] ^ U((self.seed * 1000 + r) * STEP % WRAP), SAMPLES)
+        out = []
+        for t in states:
+            out.append(start.copy())
+            out[-1][many] = t
+        return out
 
     def sums(self, r: int) -> list[np.ndarray]:
-        """Tables per context and per word, of the pairs this block owns."""
-        t, n = self.tables(r) * self.own, len(self.tok.keys)
-        return [np.bincount(x, weights=t, minlength=n).astype(np.int64) for x in (self.tok.u, self.tok.w)]
+        """Per sample, the tables per context and per word of the pairs this block owns."""
+        n = len(self.tok.keys)
+        return [np.bincount(x, weights=t * self.own, minlength=n).astype(np.int64)
+                for t in self.tables(r) for x in (self.tok.u, self.tok.w)]
 
     def log10(self) -> tuple[np.ndarray, np.ndarray]:
-        """Of each pair, the averaged predictive probability; of each word, the base."""
-        tok, total = self.tok, 0.0
+        """Of each pair, the predictive probability averaged over the last round's samples; of each
+        word, the base."""
+        tok, r, total = self.tok, self.total["rounds"], 0.0
         cu = self.c[tok.u]
-        for r in range(1, self.total["rounds"] + 1):
-            stay = (self.cp - DISCOUNT * self.tables(r)) / (STRENGTH + cu)
-            back = (STRENGTH + DISCOUNT * self.rounds[r - 1][0][tok.u]) / (STRENGTH + cu)
-            total = total + stay + back * self.root(r)[tok.w]
+        for k, t in enumerate(self.tables(r)):
+            stay = (self.cp - DISCOUNT * t) / (STRENGTH + cu)
+            back = (STRENGTH + DISCOUNT * self.rounds[r - 1][k][0][tok.u]) / (STRENGTH + cu)
+            total = total + stay + back * self.root(r, k)[tok.w]
         base = (self.c + 0.1) / (self.total["n"] + 0.1 * (self.total["v"] + 1))
-        return np.log10(total / self.total["rounds"]), np.log10(base)
+        return np.log10(total / SAMPLES), np.log10(base)
 
 
 def score_texts(docs: DataFrame, rounds: int = ROUNDS, seed: int = 1, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -248,7 +269,7 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, seed: int = 1, carry: tup
     parts = parts.withColumn("ids", F.transform("d", lambda x: x["doc_id"].cast("string")))
 
     def ask(messages, *replies: tuple[str, DataFrame], totals=None) -> DataFrame:
-        """Run ``messages(tokens, model)`` on every block."""
+        """Run ``messages(tokens, model)`` on every block: (kind, keys, columns) each."""
         names = [n for n, _ in replies]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,55 +278,56 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, seed: int = 1, carry: tup
                     block, ids, body, lens, *got = (c[i].as_py() for c in batch.columns)
                     tok = Tokens(ids, body, lens)
                     model = Model(tok, dict(zip(names, got)), totals, shards, seed) if totals else None
-                    rows = [m for keys, cols in messages(tok, model) for m in _messages(block, keys, cols, shards)]
+                    rows = [(kind, *m) for kind, keys, cols in messages(tok, model) for m in _messages(block, keys, cols, shards)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, pa.int64() if k < 2 else pa.binary()) for k, c in enumerate(zip(*rows))],
-                        names=["shard", "block", "keys", "values"])
+                        [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))],
+                        names=["kind", "shard", "block", "keys", "values"])
         df = parts
-        for n, r in replies:
+        for _, r in replies:
             df = df.join(r, "block", "left")
         return df.select("block", "ids", "body", "lens", *names).mapInArrow(lean(run), MESSAGE)
 
-    def answered(messages: DataFrame, kind: str, totals=None) -> tuple[DataFrame, dict]:
-        """Totals of each key over all blocks, sent back to the blocks, and sums over all keys."""
+    def answered(messages: DataFrame, name: str, totals=None) -> DataFrame:
+        """Totals of each key over all blocks, to be sent back to the blocks, and sums over all keys."""
         def run(b: pd.DataFrame) -> pd.DataFrame:
+            kind = b["kind"].iloc[0]
             keys = [_unpack_keys(k) for k in b["keys"]]
             n = [len(k) for k in keys]
-            width = 2 if kind == "round" else 1
-            cols = [_unpack(v, "<u4").reshape(width, -1).astype(np.int64) for v in b["values"]]
+            cols = [_unpack(v, "<u4").reshape(-1, m) for v, m in zip(b["values"], n)]
             distinct, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-            sums = [np.bincount(at, weights=np.concatenate([c[k] for c in cols])).astype(np.int64) for k in range(width)]
-            extra, tables = [], 0
-            if kind == "pairs":                          # the first block that sends a pair owns it
-                extra = [np.bincount(first, minlength=len(at))]
-            if kind == "round":
-                t = root_tables(sums[1], distinct, totals)
-                tables = int(t.sum())
-                extra = [t[at]]
-            out = np.stack([s[at] for s in sums] + extra).astype("<u4")
-            cuts = np.cumsum(n)[:-1]
-            lead = np.zeros(len(n), dtype=np.int64)
-            lead[0] = 1                                  # totals of the shard stand in its first row
-            return pd.DataFrame({
-                "block": b["block"], "shard": b["shard"], "values": [_pack(np.ascontiguousarray(x)) for x in np.split(out, cuts, axis=1)],
-                "s0": lead * int(sums[0].sum()), "s1": lead * int(sums[-1].sum()),
-                "distinct": lead * int((sums[0] > 0).sum()), "tables": lead * tables})
-
-        got = stored(messages.groupBy("shard").applyInPandas(run, REPLY), f"lm-{kind}")
-        t = got.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("s0", "s1", "distinct", "tables")]).first()
-        return got, t
-
-    def for_blocks(got: DataFrame, name: str) -> tuple[str, DataFrame]:
-        return name, got.groupBy("block").agg(F.collect_list(F.struct("shard", "values")).alias(name))
-
-    words, t = answered(ask(lambda tok, _: [(tok.keys, [tok.words_n])]), "words")
-    totals = {"n": t["s0"], "v": t["distinct"], "rounds": 0}
-    pairs, _ = answered(ask(lambda tok, _: [(tok.pair_keys, [tok.pairs_n])]), "pairs")
-    replies = [for_blocks(words, "words"), for_blocks(pairs, "pairs")]
+            sums = [np.bincount(at, weights=np.concatenate([c[k] for c in cols])).astype(np.int64) for k in range(len(cols[0]))]
+            if kind == "words":
+                out, stats = [sums[0][at]], [sums[0].sum(), (sums[0] > 0).sum()]
+            elif kind == "pairs":                        # the first block that sends a pair owns it
+                out, stats = [sums[0][at], np.bincount(first, minlength=len(at))], []
+            else:
+                root = [root_tables(w, distinct, totals) for w in sums[1::2]]
+                out = [x[at] for trio in zip(sums[::2], sums[1::2], root) for x in trio]
+                stats = [x.sum() for pair in zip(sums[1::2], root) for x in pair]
+            stats = [int(x) for x in stats] + [0] * (2 * SAMPLES - len(stats))
+            out = np.stack(out).astype("<u4")
+            return pd.DataFrame({                        # sums of the shard stand in its first row
+                "kind": kind, "block": b["block"], "shard": b["shard"],
+                "values": [_pack(np.ascontiguousarray(x)) for x in np.split(out, np.cumsum(n)[:-1], axis=1)],
+                "stats": [stats] + [[0] * len(stats)] * (len(n) - 1)})
+
+        return stored(messages.groupBy("kind", "shard").applyInPandas(run, REPLY), name)
+
+    def stats(got: DataFrame, kind: str) -> list[int]:
+        return list(got.filter(F.col("kind") == kind).agg(
+            *[F.coalesce(F.sum(F.col("stats")[k]), F.lit(0)).alias(f"s{k}") for k in range(2 * SAMPLES)]).first())
+
+    def for_blocks(got: DataFrame, kind: str, name: str) -> tuple[str, DataFrame]:
+        return name, got.filter(F.col("kind") == kind).groupBy("block").agg(F.collect_list(F.struct("shard", "values")).alias(name))
+
+    got = answered(ask(lambda tok, _: [("words", tok.keys, [tok.words_n]), ("pairs", tok.pair_keys, [tok.pairs_n])]), "lm-counts")
+    totals = dict(zip(("n", "v"), stats(got, "words")), rounds=0)
+    replies = [for_blocks(got, "words", "words"), for_blocks(got, "pairs", "pairs")]
     for r in range(1, rounds + 1):
-        got, t = answered(ask(lambda tok, m, r=r: [(tok.keys, m.sums(r))], *replies, totals=dict(totals)), "round", dict(totals))
-        totals |= {f"customers{r}": t["s1"], f"tables{r}": t["tables"], "rounds": r}
-        replies.append(for_blocks(got, f"round{r - 1}"))
+        got = answered(ask(lambda tok, m, r=r: [("round", tok.keys, m.sums(r))], *replies, totals=dict(totals)), "lm-round", dict(totals))
+        s = stats(got, "round")
+        totals |= {f"customers{r}": s[::2], f"tables{r}": s[1::2], "rounds": r}
+        replies.append(for_blocks(got, "round", f"round{r}"))
 
     names = [n for n, _ in replies]
 
@@ -343,5 +365,5 @@ def root_tables(customers: np.ndarray, keys: np.ndarray, totals: dict) -> np.nda
         others = t.sum() / max(1, (customers > 0).sum()) * totals["v"] - 1
         weight = np.full(len(many), (ROOT_STRENGTH + ROOT_DISCOUNT * max(0.0, others)) * base)
         t[many] = gibbs(customers[many], weight, np.full(len(many), ROOT_DISCOUNT * base), ROOT_DISCOUNT,
-                        keys[many] + U(k * 0x9E3779B97F4A7C15 % WRAP))
+                        keys[many] + U(k * STEP % WRAP), 2)[-1]
     return t.astype(np.int64)

@@ -10,11 +10,6 @@ from pairmatch.llm import lm
 from pairmatch.llm.common import mix
 
 
-def test_log_gamma():
-    x = np.array([1e-3, 0.2, 1.0, 2.5, 7.9, 8.0, 100.0, 1e7])
-    assert np.allclose(lm.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-10, atol=1e-9)
-
-
 def plain_tables(c, a, grow, d, rng):
     t = 1
     for j in range(1, c):
@@ -25,11 +20,11 @@ def plain_tables(c, a, grow, d, rng):
 
 def test_seating_as_one_by_one():
     rng, n = np.random.default_rng(1), 4000
-    for c, a, grow, d in ((5, 0.8, 0.1, 0.5), (60, 0.8, 0.1, 0.5), (400, 2.0, 0.0, 0.75)):
+    for c, a, grow, d in ((5, 0.8, 0.1, 0.5), (60, 0.8, 0.1, 0.5), (400, 2.0, 0.0, 0.75), (3000, 40.0, 0.05, 0.75), (500, 0.01, 0.0, 0.75)):
         want = [plain_tables(c, a, grow, d, rng) for _ in range(n)]
         seed = mix(np.arange(n, dtype=np.uint64) + np.uint64(c))
         t, _ = lm.seat(np.full(n, c), np.full(n, a), np.full(n, grow), d, seed)
-        assert abs(t.mean() - np.mean(want)) < 5 * np.std(want) / math.sqrt(n) + 0.02
+        assert abs(t.mean() - np.mean(want)) < 5 * np.std(want) / math.sqrt(n) + 0.015 * np.mean(want)
         assert abs(t.std() - np.std(want)) < 0.12 * np.std(want) + 0.02
 
 
@@ -38,7 +33,7 @@ def test_gibbs_samples_the_posterior():
     a, d, n = 0.7, 0.4, 60000
     # weights of the seatings by number of tables: products of (a) and (size - d)
     w = {1: (1 - d) * (2 - d), 2: a * (1 - d) * 3, 3: a * a}
-    t = lm.gibbs(np.full(n, 3), np.full(n, a), np.zeros(n), d, mix(np.arange(1, n + 1, dtype=np.uint64)), sweeps=12)
+    t = lm.gibbs(np.full(n, 3), np.full(n, a), np.zeros(n), d, mix(np.arange(1, n + 1, dtype=np.uint64)), 12)[-1]
     for k in w:
         assert abs((t == k).mean() - w[k] / sum(w.values())) < 0.012
 
@@ -88,10 +83,10 @@ def test_probabilities_add_up():
     m.tok, m.seed, m.c, m.cp, m.own, m.rounds = tok, 1, tok.words_n, tok.pairs_n, 1, []
     m.total = {"n": int(m.c.sum()), "v": int((m.c > 0).sum()), "rounds": 0}
     for r in (1, 2):
-        by_context, by_word = m.sums(r)
-        tables = lm.root_tables(by_word, tok.keys, m.total)
-        m.rounds.append([by_context, by_word, tables])
-        m.total |= {f"customers{r}": int(by_word.sum()), f"tables{r}": int(tables.sum()), "rounds": r}
+        sums = m.sums(r)
+        root = [lm.root_tables(w, tok.keys, m.total) for w in sums[1::2]]
+        m.rounds.append(np.array(list(zip(sums[::2], sums[1::2], root))))
+        m.total |= {f"customers{r}": [int(w.sum()) for w in sums[1::2]], f"tables{r}": [int(t.sum()) for t in root], "rounds": r}
     logp, _ = m.log10()
     w3 = int(np.flatnonzero(tok.keys == lm.word_hashes(lm.pa.array(["w3"]))[0][0])[0])
     assert len(set(tok.w[tok.u == w3])) == 14
