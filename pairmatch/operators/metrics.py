@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import bce_with_logits, two_class_nll
@@ -201,21 +201,28 @@ def mean_average_precision(matched: DataFrame, **kw) -> DataFrame:
     return ap.agg(*[F.avg(c).alias(f"mAP_{c[3:]}") for c in cols])
 
 
+def weighted_loss(l0: str, l1: str, label: str, class_weights: tuple[float, float] = (1.0, 1.0)) -> Column:
+    """A21 as an aggregate column: several weightings fit into one pass."""
+    w = F.when(F.col(label) == 1, F.lit(float(class_weights[1]))).otherwise(F.lit(float(class_weights[0])))
+    return F.sum(w * two_class_nll(l0, l1, label)) / F.sum(w)
+
+
+def bce_loss(x: str, label: str, pos_weight: float = 1.0) -> Column:
+    """A22 as an aggregate column."""
+    return F.avg(bce_with_logits(x, label, pos_weight))
+
+
 def weighted_log_loss(df: DataFrame, l0: str, l1: str, label: str,
                       class_weights: tuple[float, float] = (1.0, 1.0),
                       group_cols: Sequence[str] = ()) -> DataFrame:
     """Class-weighted cross-entropy, sum(w * nll) / sum(w)."""
-    w = F.when(F.col(label) == 1, F.lit(float(class_weights[1]))).otherwise(
-        F.lit(float(class_weights[0])))
-    nll = two_class_nll(l0, l1, label)
-    return df.groupBy(*group_cols).agg((F.sum(w * nll) / F.sum(w)).alias("loss"))
+    return df.groupBy(*group_cols).agg(weighted_loss(l0, l1, label, class_weights).alias("loss"))
 
 
 def bce_log_loss(df: DataFrame, x: str, label: str, pos_weight: float = 1.0,
                  group_cols: Sequence[str] = ()) -> DataFrame:
     """Mean BCE-with-logits with a positive-class weight."""
-    return df.groupBy(*group_cols).agg(
-        F.avg(bce_with_logits(x, label, pos_weight)).alias("loss"))
+    return df.groupBy(*group_cols).agg(bce_loss(x, label, pos_weight).alias("loss"))
 
 
 def batch_mean_loss(df: DataFrame, loss: str, batch_col: str,

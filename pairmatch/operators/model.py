@@ -26,7 +26,8 @@ def _features(x: DataFrame) -> DataFrame:
     """Features from the distinct-word arrays ``_wa`` (argument) and ``_wb`` (key point)."""
     shared = F.array_intersect("_wa", "_wb")
     union = F.array_union("_wa", "_wb")
-    toks = F.concat(F.transform("_wb", lambda w: F.concat(F.lit("b:"), w)),
+    toks = F.concat(F.transform("_wa", lambda w: F.concat(F.lit("a:"), w)),
+                    F.transform("_wb", lambda w: F.concat(F.lit("b:"), w)),
                     F.transform(shared, lambda w: F.concat(F.lit("s:"), w)))
     return (x.withColumn("tokens", toks)
             .withColumn("n_shared", F.size(shared).cast("double"))
@@ -39,9 +40,8 @@ def _features(x: DataFrame) -> DataFrame:
 
 def pair_features(pairs: DataFrame, arguments: DataFrame | None = None,
                   key_points: DataFrame | None = None) -> DataFrame:
-    """Token features of a pair: 'b:' words of the key point, 's:' words shared with the whole
-    argument, and numeric overlap (shared count, Jaccard, log lengths). The argument's own
-    vocabulary is left out: it is long, and the matching signal is the overlap.
+    """Token features of a pair: 'a:' words of the argument, 'b:' words of the key point, 's:'
+    words they share, and numeric overlap (shared count, Jaccard, log lengths).
 
     With ``arguments`` (arg_id, argument) and ``key_points`` (key_point_id, key_point) the
     pairs need only ids: each text is tokenised once and its word set joined by key (the key
@@ -61,8 +61,9 @@ def class_weight(label: str = "label", pos_weight: float = 1.0):
     return F.when(F.col(label) == 1, F.lit(float(pos_weight))).otherwise(F.lit(1.0))
 
 
-def pair_classifier(max_iter: int = 30, reg: float = 0.01) -> Pipeline:
-    tf = HashingTF(inputCol="tokens", outputCol="tf", numFeatures=NUM_FEATURES)
+def pair_classifier(max_iter: int = 30, reg: float = 0.01, num_features: int = NUM_FEATURES) -> Pipeline:
+    """``num_features`` is the width of the hashed words: raise it as the vocabulary grows."""
+    tf = HashingTF(inputCol="tokens", outputCol="tf", numFeatures=num_features)
     va = VectorAssembler(inputCols=["tf", "n_shared", "jaccard", "log_len_a", "log_len_b"],
                          outputCol="features")
     lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight",

@@ -37,12 +37,14 @@ def candidate_pairs(arguments: DataFrame, key_points: DataFrame,
                     labels: DataFrame | None = None) -> DataFrame:
     """J3 + J4 (``_generate_combined_df_test``): candidate pairs with texts, gold label attached
     by a left join on (arg_id, key_point_id) when labels are given (null without gold)."""
-    ids = candidate_ids(arguments, key_points)
-    if labels is not None:
-        ids = ids.join(labels.select("arg_id", "key_point_id", "label"),
-                       ["arg_id", "key_point_id"], "left")
-    else:
-        ids = ids.withColumn("label", F.lit(None).cast("int"))
+    if labels is None:
+        # the texts are wanted and nothing is looked up by id: one scan of the arguments
+        a = arguments.select("arg_id", "argument", "topic", "stance", topic_id("arg_id").alias("topic_id"))
+        k = key_points.select("key_point_id", "key_point", "topic", "stance", topic_id("key_point_id").alias("topic_id"))
+        return (a.join(k, ["topic", "stance", "topic_id"], "left")
+                .withColumn("label", F.lit(None).cast("int")).select(*PAIR_COLS))
+    ids = candidate_ids(arguments, key_points).join(
+        labels.select("arg_id", "key_point_id", "label"), ["arg_id", "key_point_id"], "left")
     args = arguments.select("arg_id", "argument")
     kps = key_points.select("key_point_id", "key_point")
     return (ids.join(args, "arg_id")
@@ -50,11 +52,6 @@ def candidate_pairs(arguments: DataFrame, key_points: DataFrame,
             .select(*PAIR_COLS))
 
 
-def keep_members(df: DataFrame, keys: DataFrame, on) -> DataFrame:
-    """Rows whose key is in ``keys`` (``isin`` as a left-semi join)."""
-    return df.join(keys, on, "left_semi")
-
-
 def split_known(submitted: DataFrame, key_points: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows whose key point is known, each unknown key point id once)."""
     known = key_points.select("key_point_id").distinct()
@@ -72,10 +69,9 @@ def sample_arguments(pairs: DataFrame, ratio: float, seed: int = 42) -> DataFram
     if ratio >= 1.0:
         return pairs
     ids = pairs.select("arg_id").distinct()
-    n = ids.count()
-    k = int(n * ratio)
     ranked = global_rank(ids.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}|"), F.col("arg_id")))),
                          [F.col("_h"), F.col("arg_id")])
+    k = int(ranked.count() * ratio)      # counted on the written ranks
     chosen = ranked.filter(F.col("rank") <= k).select("arg_id")
     return pairs.join(chosen, "arg_id", "left_semi")
 

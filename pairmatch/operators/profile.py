@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import word_count, words
-from .sizing import with_scalars
+from .sizing import materialize, with_scalars
 
 NUM_BINS = 10
 
@@ -113,6 +113,7 @@ def label_mean_spread(pairs: DataFrame, keys=("arg_id", "key_point_id", "topic")
                       label: str = "label") -> DataFrame:
     """Sample std (ddof 1) of the mean label per key, for each key column."""
     parts = []
+    pairs = materialize(pairs.select(*keys, label), "label-means")     # read once per key
     for key in keys:
         m = pairs.groupBy(key).agg(F.avg(label).alias("m"))
         parts.append(m.agg(F.stddev_samp("m").alias(f"std_{key}")))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import matching, metrics, pairs
-from ..operators.sizing import with_scalars
+from ..operators.sizing import materialize, with_scalars
 from . import common as C
 from . import evaluate as EV
 
@@ -279,12 +279,17 @@ def q_strip_tags(spark, sf):
     return p.select("page_id", TX.strip_tags("html").alias("html_stripped"))
 
 
+# emoji put into the texts by doc_id: the generated documents hold none
+_EMOJI = {0: " \U0001F600\U0001F680 x", 1: "\u2702\U0001F1FA\U0001F1F8"}
+_SQL_EMOJI = "text || CASE " + " ".join(f"WHEN doc_id % 3 = {k} THEN '{v}'" for k, v in _EMOJI.items()) + " ELSE '' END"
+
+
 @register("strip_emoji", r"""
-SELECT doc_id, regexp_replace(text, '[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}\x{2702}-\x{27B0}\x{24C2}-\x{1F251}]+', '', 'g') AS text_stripped
+SELECT doc_id, regexp_replace(""" + _SQL_EMOJI + r""", '[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}\x{2702}-\x{27B0}\x{24C2}-\x{1F251}]+', '', 'g') AS text_stripped
 FROM documents""")
 def q_strip_emoji(spark, sf):
-    """C5 over document texts."""
-    d = read_table(spark, sf, "documents")
+    """C5 over document texts with emoji added to two thirds of them."""
+    d = read_table(spark, sf, "documents").select("doc_id", F.expr(_SQL_EMOJI).alias("text"))
     return d.select("doc_id", TX.strip_emoji("text").alias("text_stripped"))
 
 
@@ -423,10 +428,9 @@ def q_weighted_log_loss(spark, sf):
     """Cross-entropy over labelled candidates, plain and with class weights [1, 4]."""
     t = C.tables(spark, sf)
     ll = _lab_logits(t)
-    plain = metrics.weighted_log_loss(ll, "x0", "x1", "label").withColumnRenamed("loss", "loss_ce")
-    wtd = metrics.weighted_log_loss(ll, "x0", "x1", "label", (1.0, 4.0)).withColumnRenamed(
-        "loss", "loss_weighted")
-    return C.normalised(_one_row(plain, wtd))
+    return C.normalised(ll.agg(
+        metrics.weighted_loss("x0", "x1", "label").alias("loss_ce"),
+        metrics.weighted_loss("x0", "x1", "label", (1.0, 4.0)).alias("loss_weighted")))
 
 
 def _lab_logits(t) -> DataFrame:
@@ -436,11 +440,6 @@ def _lab_logits(t) -> DataFrame:
                     (F.col("l1") / F.lit(100.0)).alias("x1"), "label"))
 
 
-def _one_row(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Put two one-row aggregates side by side."""
-    return with_scalars(a, b)
-
-
 @register("bce_log_loss", """
 x AS (
   SELECT (p.l1 - p.l0) / 100.0 AS x, CAST(l.label AS DOUBLE) AS y
@@ -456,9 +455,8 @@ def q_bce_log_loss(spark, sf):
     d = (t.logits.join(t.labels.select("arg_id", "key_point_id", "label"),
                        ["arg_id", "key_point_id"])
          .select(((F.col("l1") - F.col("l0")) / F.lit(100.0)).alias("x"), "label"))
-    a = metrics.bce_log_loss(d, "x", "label").withColumnRenamed("loss", "loss_bce")
-    b = metrics.bce_log_loss(d, "x", "label", 4.0).withColumnRenamed("loss", "loss_bce_pw4")
-    return C.normalised(_one_row(a, b))
+    return C.normalised(d.agg(metrics.bce_loss("x", "label").alias("loss_bce"),
+                              metrics.bce_loss("x", "label", 4.0).alias("loss_bce_pw4")))
 
 
 @register("batch_mean_loss", _SQL_LAB_LOGITS + """,
@@ -886,7 +884,8 @@ SELECT round(score, 6) AS threshold, round(tpr, 6) AS tpr, round(fpr, 6) AS fpr,
 FROM j ORDER BY tpr - fpr DESC, score DESC LIMIT 1""")
 def q_threshold_youden(spark, sf):
     """Youden threshold argmax(tpr - fpr) on labelled candidates."""
-    return C.normalised(TH.youden_threshold(_labelled(C.tables(spark, sf))))
+    lab = _labelled(C.tables(spark, sf)).select("label", "score")
+    return C.normalised(TH.youden_threshold(materialize(lab, "labelled")))   # read twice: written once
 
 
 @register("predict_stored_threshold", _SQL_LABELLED.replace(
@@ -941,7 +940,8 @@ SELECT round(CASE WHEN f1 > 0 THEN th ELSE -1 END, 6) AS threshold, round(f1, 6)
 FROM f1 ORDER BY f1 DESC, i LIMIT 1""")
 def q_threshold_best_match(spark, sf):
     """Best-match-above-threshold mode tuned over np.linspace(0, 0.1, 100)."""
-    lab = _labelled(C.tables(spark, sf))
+    lab = materialize(_labelled(C.tables(spark, sf)).select(
+        "arg_id", "key_point_id", "label", "score", "prediction"), "labelled")
     return C.normalised(TH.best_match_threshold(lab))
 
 
@@ -990,7 +990,6 @@ def q_early_stop_epoch(spark, sf):
 # ---------------------------------------------------------------- encoding
 
 from ..operators import encode as ENC  # noqa: E402
-from ..operators.sizing import materialize  # noqa: E402
 
 MAX_LENGTH = 40
 TOPIC_MAX_LENGTH = 10
@@ -1105,9 +1104,11 @@ FROM enc e JOIN seg g ON e.topic = g.topic AND e.stance = g.stance
 JOIN segenc s ON g.seg_text = s.seg_text""")
 def q_encode_pairs_topic(spark, sf):
     """E5: the pair encoding with the topic + stance segment (max_length 10) appended."""
-    enc, vocab = _encoded(C.tables(spark, sf))
+    t = C.tables(spark, sf)
+    enc, vocab = _encoded(t)
     seg_text = F.concat(TX.clean_text("topic"), TX.stance_text("stance"))
-    segs = enc.select("topic", "stance").distinct().withColumn("seg_text", seg_text)
+    # the arguments' own topics and stances: the encoded pairs are not planned a second time
+    segs = t.arguments.select("topic", "stance").distinct().withColumn("seg_text", seg_text)
     seg_enc = ENC.encode_single(segs.select("seg_text").distinct(), "seg_text", "seg_text",
                                 vocab, TOPIC_MAX_LENGTH)
     seg_map = segs.join(seg_enc, "seg_text").drop("seg_text")
@@ -1160,6 +1161,24 @@ SELECT m.subset AS name,
        CASE WHEN m.subset = 'test' THEN printf('%.5f', mp.mAP_relaxed) ELSE '-1.00000' END AS mAP_relaxed
 FROM metrics m, mp"""
 
+_REPORT_VALUES = [*metrics.METRIC_NAMES, "mAP_strict", "mAP_relaxed"]
+
+
+@register("report_file", _REPORT_SQL.replace("\nSELECT m.subset AS name", ",\nrep AS (SELECT m.subset AS name")
+          + ")\nSELECT name, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _REPORT_VALUES) + " FROM rep")
+def q_report_file(spark, sf):
+    """S7 as a file: the report written, read back, upserted with a new 'test' row, written to
+    a new folder and read again (missing values are -1 in the file)."""
+    t = C.tables(spark, sf)
+    lab = _labelled(t)
+    old = metrics.binary_metrics(lab, group_cols=["subset"]).withColumnRenamed("subset", "name")
+    path = IO.write_report(old, IO.scratch_path(spark, "report"))
+    new = with_scalars(metrics.binary_metrics(lab.filter(F.col("subset") == "test")),
+                       metrics.mean_average_precision(_matched(t))).select(F.lit("test").alias("name"), "*")
+    merged = IO.report_upsert(IO.read_report(spark, path), new)
+    back = IO.read_report(spark, IO.write_report(merged, IO.scratch_path(spark, "report")))
+    return C.normalised(back.select("name", *_REPORT_VALUES))
+
 
 @register("report_upsert", _REPORT_SQL)
 def q_report_upsert(spark, sf):
@@ -1197,6 +1216,25 @@ def q_run_report(spark, sf):
     return C.normalised(row)
 
 
+@register("pair_features", _SQL_PAIRS + f""",
+w AS (SELECT arg_id, key_point_id, label, list_distinct({_SQL_WORDS.format(c='argument')}) AS wa,
+             list_distinct({_SQL_WORDS.format(c='key_point')}) AS wb FROM pairs),
+s AS (SELECT *, len(list_intersect(wa, wb)) AS n FROM w)
+SELECT arg_id, key_point_id, len(wa) + len(wb) + n AS n_tokens, CAST(n AS DOUBLE) AS n_shared,
+       round(coalesce(CAST(n AS DOUBLE) / nullif(len(wa) + len(wb) - n, 0), 0), 6) AS jaccard,
+       round(ln(1.0 + len(wa)), 6) AS log_len_a, round(ln(1.0 + len(wb)), 6) AS log_len_b,
+       CAST(CASE WHEN label = 1 THEN 2.0 ELSE 1.0 END AS DOUBLE) AS weight FROM s""")
+def q_pair_features(spark, sf):
+    """M1 + M2: the classifier's inputs: words of both texts and shared words, overlap numbers,
+    and the class weight of every labelled pair."""
+    t = C.tables(spark, sf)
+    x = MD.pair_features(t.labels.select("arg_id", "key_point_id", "label"), t.arguments.select("arg_id", "argument"),
+                         t.key_points.select("key_point_id", "key_point"))
+    return C.normalised(x.select(
+        "arg_id", "key_point_id", F.size("tokens").cast("long").alias("n_tokens"), "n_shared", "jaccard",
+        "log_len_a", "log_len_b", MD.class_weight("label", 2.0).alias("weight")))
+
+
 @register("model_scores")
 def q_model_scores(spark, sf):
     """M1-M3: a class-weighted logistic-regression pair classifier fitted on the train pairs
@@ -1206,7 +1244,7 @@ def q_model_scores(spark, sf):
     texts_a = t.arguments.select("arg_id", "argument")
     texts_k = t.key_points.select("key_point_id", "key_point")
     train = t.labels.filter(F.col("subset") == "train").select("arg_id", "key_point_id", "label")
-    model = MD.fit(train, pos_weight=2.0, arguments=texts_a, key_points=texts_k, max_iter=10)
+    model = MD.fit(train, pos_weight=2.0, arguments=texts_a, key_points=texts_k)
     test = t.subset("test")
     cands = pairs.candidate_ids(test.arguments, test.key_points).filter(
         F.col("key_point_id").isNotNull())

@@ -8,6 +8,7 @@ import re
 import pytest
 
 import __spark_entry__ as E
+from pairmatch.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,11 +19,6 @@ ID_ONLY = ["mean_average_precision", "average_precision", "best_match", "match_c
            "fold_sizes", "label_counts", "stance_ratio", "label_mean_spread",
            "threshold_f1", "score_batch_softmax", "submission_map"]
 
-# run as they are built (writes, streams) or fit models: checked elsewhere
-SKIP = {"stream_best_match", "model_scores", "run_report", "submission_explode",
-        "task_tables_csv", "prediction_csv", "report_upsert", "early_stop_epoch"}
-
-
 def formatted(df) -> str:
     buf = io.StringIO()
     with contextlib.redirect_stdout(buf):
@@ -39,7 +35,7 @@ def test_no_text_read(spark, name):
         assert "text:" not in s and "html:" not in s, s
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - SKIP))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_no_cartesian_or_nested_loop(spark, name):
     plan = formatted(E.queries()[name](spark, SF))
     assert "CartesianProduct" not in plan
