@@ -11,7 +11,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -126,10 +125,19 @@ def block_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
 
 
 def word_hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of each word."""
-    raw = b"".join(xxhash.xxh3_128_digest(w) for w in words.cast(pa.large_binary()).to_pylist())
-    both = np.frombuffer(raw, dtype=np.uint64).reshape(-1, 2)
-    return both[:, 0].copy(), both[:, 1].copy()
+    """Two independent 64-bit hashes of each word: sums of a scrambled number per byte and place."""
+    raw = words.cast(pa.large_binary())
+    _, at, data = raw.buffers()
+    at = np.frombuffer(at, dtype=np.int64)[raw.offset:raw.offset + len(raw) + 1]
+    data = np.frombuffer(data, dtype=np.uint8)[at[0]:at[-1]] if len(raw) else np.empty(0, dtype=np.uint8)
+    at = at - at[0]
+    place = np.arange(len(data)) - np.repeat(at[:-1], np.diff(at))
+    cell = (place.astype(np.uint64) << np.uint64(8)) | data
+    out = []
+    for seed in (0x3C6EF372FE94F82B, 0xA54FF53A5F1D36F1):
+        total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(cell + np.uint64(seed)), dtype=np.uint64)])
+        out.append(mix(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(np.uint64)))
+    return out[0], out[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
