@@ -76,12 +76,14 @@ def slices(batch: pa.RecordBatch, text: int, rows: int = BLOCK_ROWS,
 
 
 def blocks(docs: DataFrame, carry: list[str], name: str, rows: int = BLOCK_ROWS, size: int = BLOCK_BYTES,
-           keep: bool = True) -> DataFrame:
+           bucketed: bool = False) -> DataFrame:
     """``docs`` as a stored table of blocks: ``block`` (its number), ``d`` (the ``carry`` columns of
     its rows), ``body`` (their texts one after another, compressed), ``lens`` (their lengths in
     bytes, 64-bit) and ``size`` (of all texts). Later steps read a block as one row, so a row of the
-    input is named by its block and its place there. A null text counts as empty. With ``keep``
-    false the caller stores the table, before using it."""
+    input is named by its block and its place there. A null text counts as empty. A ``bucketed``
+    table is dealt out by block number once, so that joins on it move the other side only; it is
+    registered in the session's catalog under a name of its own, its files are in the shared
+    folder."""
     fields = docs.select(F.struct(*carry).alias("d"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +101,12 @@ def blocks(docs: DataFrame, carry: list[str], name: str, rows: int = BLOCK_ROWS,
     raw = docs.select(F.struct(*carry).alias("d"), F.col("text").cast("string").cast("binary").alias("text"))
     out = raw.mapInArrow(lean(run), f"d array<{kind}>, body binary, lens binary, size long")
     out = out.select(F.monotonically_increasing_id().alias("block"), "*")
-    return stored(out, name) if keep else out
+    if not bucketed:
+        return stored(out, name)
+    spark, path = docs.sparkSession, scratch(docs.sparkSession, name)
+    own = path.rsplit("/", 1)[1].replace("-", "_")
+    (out.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").option("path", path).saveAsTable(own))
+    return spark.table(own)
 
 
 def total_size(blocks_: DataFrame) -> int:

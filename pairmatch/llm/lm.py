@@ -28,7 +28,6 @@ empty result; of the other columns only those in ``carry`` are kept.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -40,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_words, blocks, lean, mix, open_block, scratch, stored, word_hashes
+from .common import block_words, blocks, lean, mix, open_block, stored, total_size, word_hashes
 
 ROUNDS = 1                                 # rounds of sampling against the totals of the round before
 SAMPLES = 2                                # Gibbs sweeps of a round, each of which is a sample
@@ -259,13 +258,9 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, seed: int = 1, carry: tup
     """``carry`` columns (doc_id among them), ``held_out``, ``n_tokens``, ``n_known``,
     ``train_tokens``, ``base_score``, ``score`` and ``perplexity`` of every row."""
     carry = list(dict.fromkeys(["doc_id", *carry]))
-    spark = docs.sparkSession
-    name = f"lm_blocks_{uuid.uuid4().hex}"
-    raw = blocks(docs.select(*carry, *[c for c in ["text"] if c not in carry]), carry, "lm-blocks", rows=100_000, size=LM_BLOCK, keep=False)
-    (raw.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block")
-     .option("path", scratch(spark, name)).saveAsTable(name))
-    parts = spark.table(name)
-    shards = max(1, (parts.agg(F.sum("size")).first()[0] or 0) // SHARD_BYTES)
+    parts = blocks(docs.select(*carry, *[c for c in ["text"] if c not in carry]), carry, "lm-blocks", rows=100_000,
+                   size=LM_BLOCK, bucketed=True)
+    shards = max(1, total_size(parts) // SHARD_BYTES)
     parts = parts.withColumn("ids", F.transform("d", lambda x: x["doc_id"].cast("string")))
 
     def ask(messages, *replies: tuple[str, DataFrame], totals=None) -> DataFrame:

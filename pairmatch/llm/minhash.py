@@ -13,10 +13,11 @@ themselves, and the classes are the connected components of the links of at leas
 
 * Documents with equal multisets are one class from the start, with one representative.
 * In a bucket (documents that share a band) every member is first compared with the bucket's
-  leader, its smallest member: as many pairs as members, however large the bucket.
-* Only where a bucket still holds more than one component are members of different components
-  compared, leaving out pairs that the triangle inequality of the Jaccard distance rules out. Pairs
-  inside a component need no comparison, so no link that matters for a class is left out.
+  leader, the member whose buckets are largest: as many pairs as members, however large the bucket.
+* Where a bucket still holds more than one component, its documents are compared across components
+  if they share a shingle among their rarest ones (prefix filtering, which is exact: documents of
+  the wanted similarity always do). Pairs inside a component need no comparison, so no link that
+  matters for a class is left out.
 
 Plan: one map stage over blocks of documents computes signatures; only (digest, row number) and
 (band, row number) rows are shuffled and combined map-side. Shingles are sent only for documents
@@ -37,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import block_words, blocks, gram_hash, lean, mix, open_block, stored, word_hashes
@@ -188,6 +189,30 @@ def _verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
             .mapInArrow(lean(run), "a long, b long, sim double"))
 
 
+def _cross(bags: DataFrame, rest: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different components of ``rest`` that can reach ``similarity``, by prefix
+    filtering: with the shingles of every document in one order, rare ones first, two documents
+    that are similar enough share a shingle within the first ones of both, as many as make up the
+    weight that a partner may lack."""
+    size = F.aggregate("w", F.lit(0).cast("long"), lambda x, y: x + y)
+    own = bags.join(rest.select("uid"), "uid").select("uid", size.alias("n"), F.explode(F.arrays_zip("g", "w")).alias("e")).select(
+        "uid", "n", F.col("e.g").alias("g"), F.col("e.w").alias("w"))
+    own = stored(own, "near-units")
+    often = own.groupBy("g").agg(F.count("*").alias("df")).filter("df > 1")
+    before = Window.partitionBy("uid").orderBy("df", "g").rowsBetween(Window.unboundedPreceding, -1)
+    first = (own.join(often, "g", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+             .withColumn("before", F.coalesce(F.sum("w").over(before), F.lit(0)))
+             .filter(F.col("before") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9)).filter("df > 1")
+             .join(rest, "uid").select("g", "uid", "n", "comp"))
+    first = stored(first, "near-prefixes")
+    shared = first.groupBy("g").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 != c1").select("g")
+    first = first.join(shared, "g")
+    x, y = first.alias("x"), first.alias("y")
+    return (x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.uid") > F.col("y.uid")) & (F.col("x.comp") != F.col("y.comp"))
+                   & (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n")))
+            .select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct())
+
+
 def components(links: DataFrame) -> DataFrame:
     """``uid`` and ``comp`` (its component's smallest uid) of every end of a link (a, b)."""
     both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-links")
@@ -207,7 +232,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
                     rows: int = ROWS, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``carry`` columns (doc_id among them), ``class_id``, ``class_size`` and ``kept`` of every row."""
     carry = list(dict.fromkeys(["doc_id", *carry]))
-    parts = blocks(docs.select(*carry, *[c for c in ["text"] if c not in carry]), carry, "near-blocks")
+    parts = blocks(docs.select(*carry, *[c for c in ["text"] if c not in carry]), carry, "near-blocks", bucketed=True)
     return _classes(parts, words, similarity, bands, rows).select("d.*", "class_id", "class_size", "kept")
 
 
@@ -216,7 +241,7 @@ def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY
     """The rows of ``docs``, all columns, that are the kept document of their class (null texts
     come back empty). Texts move once more, inside their blocks."""
     carry = [c for c in docs.columns if c != "text"]
-    parts = blocks(docs, carry, "near-blocks")
+    parts = blocks(docs, carry, "near-blocks", bucketed=True)
     kept = (_classes(parts.withColumn("d", F.transform("d", lambda x: F.struct(x["doc_id"].alias("doc_id")))),
                      words, similarity, bands, rows).filter("kept")
             .groupBy(F.shiftright("uid", SHIFT).alias("block")).agg(
@@ -244,29 +269,26 @@ def _classes(parts: DataFrame, words: int, similarity: float, bands: int, rows:
     reps = signed.groupBy("h1", "h2").agg(F.min("uid").alias("rep"))
     member = stored(signed.select("uid", "h1", "h2").join(reps, ["h1", "h2"]).select("uid", "rep"), "near-members")
 
-    # buckets of representatives, each with its leader
+    # buckets of representatives; a bucket's leader is its member in the largest company
     keyed = signed.join(member.filter("uid = rep").select("uid"), "uid").select("uid", F.explode("keys").alias("key"))
-    leaders = keyed.groupBy("key").agg(F.min("uid").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    bucket = stored(keyed.join(leaders, "key"), "near-buckets")
-    pairs = stored(bucket.filter("uid != leader").select(F.col("uid").alias("a"), F.col("leader").alias("b")).distinct(), "near-pairs")
+    full = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    bucket = stored(keyed.join(full, "key"), "near-buckets")
+    company = bucket.groupBy("uid").agg(F.sum("n").alias("company"))
+    leaders = bucket.join(company, "uid").groupBy("key").agg(
+        F.max(F.struct("company", (-F.col("uid")).alias("uid"))).alias("top")).select("key", (-F.col("top.uid")).alias("leader"))
+    led = bucket.select("key", "uid").join(leaders, "key")
+    pairs = stored(led.filter("uid != leader").select(F.col("uid").alias("a"), F.col("leader").alias("b")).distinct(), "near-pairs")
     ends = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
     bags = stored(_bags(parts, ends, words), "near-bags")
-    first = stored(_verified(pairs, bags), "near-first")
-    links = first.filter(F.col("sim") >= similarity).select("a", "b")
+    links = stored(_verified(pairs, bags), "near-first").filter(F.col("sim") >= similarity).select("a", "b")
     comp = components(links)
 
-    # buckets that hold more than one component: pairs across components
-    known = (bucket.join(comp, "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
-             .join(first.select(F.col("a").alias("uid"), F.col("b").alias("leader"), "sim"), ["uid", "leader"], "left")
-             .select("key", "uid", "comp", F.coalesce("sim", F.lit(1.0)).alias("sim"), (F.col("uid") == F.col("leader")).alias("led")))
+    # buckets that still hold more than one component
+    known = bucket.select("key", "uid").join(comp, "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
     mixed = known.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 != c1").select("key")
-    rest = stored(known.filter(~F.col("led")).join(mixed, "key").drop("led"), "near-rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    cross = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.uid") > F.col("y.uid")) & (F.col("x.comp") != F.col("y.comp"))
-                    & (F.abs(F.col("x.sim") - F.col("y.sim")) <= 1 - similarity))
-             .select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct()
-             .join(pairs, ["a", "b"], "left_anti"))
-    cross = stored(cross, "near-cross")
+    rest = stored(known.join(mixed, "key").select("uid", "comp").distinct(), "near-rest")
+    cross = stored(_cross(bags, rest, similarity).join(pairs, ["a", "b"], "left_anti")
+                   .join(pairs.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "near-cross")
     more = stored(_verified(cross, bags).filter(F.col("sim") >= similarity).select("a", "b"), "near-more")
     if not more.isEmpty():
         comp = components(links.unionByName(more))
