@@ -48,13 +48,14 @@ def sha256(norm: Column) -> Column:
     return F.sha2(norm, 256)
 
 
-def _rows(docs: DataFrame, digest: Callable[[Column], Column], text: bool = False) -> DataFrame:
-    """One row per document: its order among equal texts, its locator and its digest."""
+def _rows(docs: DataFrame, digest: Callable[[Column], Column], text: bool = False, sha: bool = False) -> DataFrame:
+    """One row per document: its order among equal texts, its locator and its digest; as wanted,
+    the normalised text and its SHA-256."""
     norm = normalised(F.col("text"))
     return docs.select(
         "doc_id", (-F.char_length(F.coalesce("text", F.lit("")))).cast("long").alias("order"),
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"),
-        digest(norm).alias("digest"), *([norm.alias("norm")] if text else []))
+        digest(norm).alias("digest"), *([norm.alias("norm")] if text else []), *([sha256(norm).alias("sha")] if sha else []))
 
 
 def _best() -> list[Column]:
@@ -105,7 +106,7 @@ def dedup_stream(spark: SparkSession, path: str, digest: Callable[[Column], Colu
     keeper = again.filter(here).select("digest", F.col("norm").alias("kept_norm"))
     clash = stored(again.filter(~here).join(keeper, "digest").filter(F.col("norm") != F.col("kept_norm"))
                    .select("digest").distinct(), "exact-clashes")
-    rows = _rows(docs, digest).withColumn("sha", F.col("digest") if digest is sha256 else sha256(normalised(F.col("text"))))
+    rows = _rows(docs, digest, sha=True)
     result = rows.join(groups, "digest")
     if not clash.isEmpty():
         apart = again.drop("size", "keep").join(clash, "digest")
