@@ -133,14 +133,13 @@ def report_upsert(existing: DataFrame | None, new: DataFrame) -> DataFrame:
     """S7 (``report``): rows of ``new`` replace rows of ``existing`` with the same ``name``;
     columns are the union of both (missing -> null here, -1 only in the CSV export, L22).
     A name twice inside ``new`` is an error (L23)."""
-    dup = new.groupBy("name").count().filter(F.col("count") > 1)
     new = new.withColumn("_src", F.lit(1))
     if existing is None:
         merged = new
     else:
         merged = existing.withColumn("_src", F.lit(0)).unionByName(new, allowMissingColumns=True)
-    merged = merged.join(dup.select("name", F.lit(True).alias("_dup")), "name",
-                         "left")
+    same = F.count(F.lit(1)).over(Window.partitionBy("name", "_src"))
+    merged = merged.withColumn("_dup", (F.col("_src") == 1) & (same > 1))
     merged = merged.filter(F.when(F.col("_dup"), F.raise_error(F.lit("duplicate report name")))
                            .otherwise(F.lit(True)))
     w = Window.partitionBy("name").orderBy(F.col("_src").desc())
