@@ -151,7 +151,7 @@ def _signed(parts: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
 
 
 def _bags(parts: DataFrame, uids: DataFrame, words: int) -> DataFrame:
-    """uid, shingles (ascending) and weights of the documents ``uids``."""
+    """uid, shingles (ascending), weights and total weight of the documents ``uids``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, body, lens, idx in (tuple(c[i].as_py() for c in batch.columns) for i in range(batch.num_rows)):
@@ -162,12 +162,12 @@ def _bags(parts: DataFrame, uids: DataFrame, words: int) -> DataFrame:
                 counts = np.diff(np.append(at, len(doc)))
                 yield pa.RecordBatch.from_arrays([
                     pa.array((block << SHIFT) + doc[at], pa.int64()),
-                    _lists(g.view(np.int64), counts, pa.int64()), _lists(w.astype(np.int32), counts, pa.int32())],
-                    names=["uid", "g", "w"])
+                    _lists(g.view(np.int64), counts, pa.int64()), _lists(w.astype(np.int32), counts, pa.int32()),
+                    pa.array(np.add.reduceat(w, at) if len(at) else w, pa.int64())], names=["uid", "g", "w", "n"])
     wanted = uids.groupBy(F.shiftright("uid", SHIFT).alias("block")).agg(
         F.collect_list(F.col("uid").bitwiseAND((1 << SHIFT) - 1)).alias("idx"))
     return (parts.select("block", "body", "lens").join(wanted, "block").select("block", "body", "lens", "idx")
-            .mapInArrow(lean(run), "uid long, g array<bigint>, w array<int>"))
+            .mapInArrow(lean(run), "uid long, g array<bigint>, w array<int>, n long"))
 
 
 def _verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
@@ -192,25 +192,28 @@ def _verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
 def _cross(bags: DataFrame, rest: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of different components of ``rest`` that can reach ``similarity``, by prefix
     filtering: with the shingles of every document in one order, rare ones first, two documents
-    that are similar enough share a shingle within the first ones of both, as many as make up the
-    weight that a partner may lack."""
-    size = F.aggregate("w", F.lit(0).cast("long"), lambda x, y: x + y)
-    own = bags.join(rest.select("uid"), "uid").select("uid", size.alias("n"), F.explode(F.arrays_zip("g", "w")).alias("e")).select(
-        "uid", "n", F.col("e.g").alias("g"), F.col("e.w").alias("w"))
-    own = stored(own, "near-units")
+    that are similar enough share a shingle within the first ones of both, and from the first one
+    that they share there is still enough weight left in both. Of the documents that have a
+    shingle so early, those outside its most frequent component are joined with the others."""
+    own = stored(bags.join(rest.select("uid"), "uid").select("uid", "n", F.explode(F.arrays_zip("g", "w")).alias("e"))
+                 .select("uid", "n", F.col("e.g").alias("g"), F.col("e.w").alias("w")), "near-units")
     often = own.groupBy("g").agg(F.count("*").alias("df")).filter("df > 1")
     before = Window.partitionBy("uid").orderBy("df", "g").rowsBetween(Window.unboundedPreceding, -1)
     first = (own.join(often, "g", "left").withColumn("df", F.coalesce("df", F.lit(1)))
-             .withColumn("before", F.coalesce(F.sum("w").over(before), F.lit(0)))
-             .filter(F.col("before") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9)).filter("df > 1")
-             .join(rest, "uid").select("g", "uid", "n", "comp"))
+             .withColumn("left", F.col("n") - F.coalesce(F.sum("w").over(before), F.lit(0)))
+             .filter(F.col("left") >= F.ceil(F.col("n") * similarity - 1e-9)).filter("df > 1")
+             .join(rest, "uid").select("g", "uid", "n", "left", "comp"))
     first = stored(first, "near-prefixes")
-    shared = first.groupBy("g").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 != c1").select("g")
-    first = first.join(shared, "g")
-    x, y = first.alias("x"), first.alias("y")
-    return (x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.uid") > F.col("y.uid")) & (F.col("x.comp") != F.col("y.comp"))
-                   & (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n")))
-            .select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct())
+    top = (first.groupBy("g", "comp").agg(F.count("*").alias("k")).groupBy("g")
+           .agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("comps")).filter("comps > 1")
+           .select("g", F.col("top.comp").alias("top")))
+    ranked = first.join(top, "g")
+    x, y = ranked.filter("comp != top").alias("x"), ranked.drop("top").alias("y")
+    both = similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-9
+    return (x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.comp") != F.col("y.comp"))
+                   & ((F.col("y.comp") == F.col("x.top")) | (F.col("x.uid") > F.col("y.uid")))
+                   & (F.least("x.left", "y.left") >= both))
+            .select(F.greatest("x.uid", "y.uid").alias("a"), F.least("x.uid", "y.uid").alias("b")).distinct())
 
 
 def components(links: DataFrame) -> DataFrame:
