@@ -46,7 +46,7 @@ SAMPLES = 2                                # Gibbs sweeps of a round, each of wh
 DISCOUNT, STRENGTH = 0.75, 1.0            # of the context restaurants
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.75, 1.0
 SHARD_BYTES = 24 << 20
-LM_BLOCK = 8 << 20
+LM_BLOCK = 6 << 20
 EACH = 32                                  # customers of a dish that are seated one by one
 STEP = 0x9E3779B97F4A7C15
 U, WRAP = np.uint64, 1 << 64
@@ -289,11 +289,13 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, seed: int = 1, carry: tup
             keys = [_unpack_keys(k) for k in b["keys"]]
             n = [len(k) for k in keys]
             cols = [_unpack(v, "<u4").reshape(-1, m) for v, m in zip(b["values"], n)]
-            distinct, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+            distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
             sums = [np.bincount(at, weights=np.concatenate([c[k] for c in cols])).astype(np.int64) for k in range(len(cols[0]))]
             if kind == "words":
                 out, stats = [sums[0][at]], [sums[0].sum(), (sums[0] > 0).sum()]
             elif kind == "pairs":                        # the first block that sends a pair owns it
+                first = np.empty(len(distinct), dtype=np.int64)
+                first[at[::-1]] = np.arange(len(at) - 1, -1, -1)
                 out, stats = [sums[0][at], np.bincount(first, minlength=len(at))], []
             else:
                 root = [root_tables(w, distinct, totals) for w in sums[1::2]]
