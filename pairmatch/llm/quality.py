@@ -38,7 +38,7 @@ MARKS = b"!?"
 WINDOW = 8
 TREES, PSI, SEED = 100, 256, 20
 BINS = 1000
-MAX_GOOD_LOSS = 0.005    # share of good labelled rows that calibration may give up
+MAX_GOOD_LOSS = 0.002    # share of good labelled rows that calibration may give up
 
 STATS = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
          "n_upper long, n_marks long")
