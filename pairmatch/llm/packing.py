@@ -31,13 +31,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, slices
+from .common import lean, slices, word_hashes
 
 WINDOW = 2048
 END_ID = 1
 SHARD_DOCS = 1000          # documents of one index shard
 SHARD_TOKENS = 4_000_000   # and tokens, so that a shard of long documents stays small
-CACHE = 800_000            # distinct runs a worker remembers; beyond it starts anew
+CACHE = 1_500_000          # distinct runs a worker remembers (some 40 bytes each); beyond it starts anew
 
 MARKS = (".", ",")         # marks that often follow a word
 
@@ -69,20 +69,23 @@ class Encoder:
         self._reset()
 
     def _reset(self):
-        self.index: dict[str, int] = {}
+        self.runs = 0
         self.flat = np.empty(1 << 16, dtype=np.uint32)
         self.offs = np.zeros(1 << 16, dtype=np.int64)    # offs[i]:offs[i + 1] are the ids of run i
+        self.h1 = self.h2 = np.empty(0, dtype=np.uint64)  # hashes of the runs, by the first one
+        self.at = np.empty(0, dtype=np.int64)             # and their numbers
 
-    def _add(self, runs: list[str], ids: np.ndarray, ends: np.ndarray):
-        """Remember ``runs``; the ids of run i end at ends[i]."""
-        k, at = len(self.index), int(self.offs[len(self.index)])
+    def _add(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Keep the ids of new runs, those of run i up to ends[i]; the runs' numbers."""
+        k, n, at = self.runs, len(ends), int(self.offs[self.runs])
         while at + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while k + len(runs) + 1 > len(self.offs):
+        while k + n + 1 > len(self.offs):
             self.offs = np.concatenate([self.offs, np.empty_like(self.offs)])
         self.flat[at:at + len(ids)] = ids
-        self.offs[k + 1:k + 1 + len(runs)] = at + ends
-        self.index.update(zip(runs, range(k, k + len(runs))))
+        self.offs[k + 1:k + 1 + n] = at + ends
+        self.runs += n
+        return np.arange(k, k + n)
 
     def _gather(self, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the runs ``idx`` one after another, and where each run's ids start."""
@@ -90,46 +93,64 @@ class Encoder:
         before = np.cumsum(n) - n
         return self.flat[np.arange(int(n.sum())) + np.repeat(start - before, n)], before
 
-    def _letters(self, words: list[str], tok):
+    def _letters(self, words: list[str], tok) -> np.ndarray:
+        """The numbers of words of letters; -1 where the tokenizer sees more than one word."""
+        out = [np.empty(0, dtype=np.int64)]
         for i in range(0, len(words), 2000):
             part = words[i:i + 2000]
             got = tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0]
             ids = np.array(got.ids, dtype=np.uint32)
             ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(part):
-                self._add(part, ids, ends)
-
-    def _learn(self, runs: list[str]):
-        new = set(runs).difference(self.index)
-        marked = [r for r in new if r[-1:] in MARKS and r[:-1].isalpha()]
-        words = {r for r in new if r.isalpha()}.union(r[:-1] for r in marked).difference(self.index)
-        self._letters([w for w in words if w.isascii()], self.ascii)
-        self._letters([w for w in words if not w.isascii()], self.tok)
-        marked = [r for r in marked if r[:-1] in self.index]
-        rest = list((words | new | set(MARKS)).difference(self.index, marked))
-        if rest:
-            got = [e.ids for e in self.tok.encode_batch_fast(rest, add_special_tokens=False)]
-            self._add(rest, np.array([i for x in got for i in x], dtype=np.uint32),
-                      np.cumsum([len(x) for x in got]))
-        if marked:
-            pairs = np.array([(self.index[r[:-1]], self.index[r[-1]]) for r in marked]).ravel()
-            ids, before = self._gather(pairs)
-            self._add(marked, ids, np.append(before, len(ids))[2::2])
+            out.append(self._add(ids, ends) if len(ends) == len(part) else np.full(len(part), -1))
+        return np.concatenate(out)
+
+    def _learn(self, runs: list[str]) -> np.ndarray:
+        """The numbers of distinct runs that are not known yet."""
+        out = np.full(len(runs), -1, dtype=np.int64)
+        for ascii_, tok in ((True, self.ascii), (False, self.tok)):
+            own = [i for i, r in enumerate(runs) if r.isascii() == ascii_ and r.isalpha()]
+            out[own] = self._letters([runs[i] for i in own], tok)
+        rest = np.flatnonzero(out < 0)
+        if len(rest):
+            got = [e.ids for e in self.tok.encode_batch_fast([runs[i] for i in rest], add_special_tokens=False)]
+            out[rest] = self._add(np.array([i for x in got for i in x], dtype=np.uint32), np.cumsum([len(x) for x in got]))
+        return out
+
+    def _find(self, runs: pa.Array) -> np.ndarray:
+        """The numbers of distinct runs; unknown ones are learned. Runs are known by two 64-bit
+        hashes, a fraction of the memory that the strings would take."""
+        h1, h2 = word_hashes(runs)
+        pos = np.minimum(np.searchsorted(self.h1, h1), max(0, len(self.h1) - 1))
+        idx = np.where((self.h1[pos] == h1) & (self.h2[pos] == h2), self.at[pos], -1) if len(self.h1) else np.full(len(h1), -1)
+        new = np.flatnonzero(idx < 0)
+        if len(new):
+            text = runs.take(pa.array(new)).to_pylist()
+            marked = np.array([r[-1:] in MARKS and r[:-1].isalpha() for r in text])
+            idx[new[~marked]] = self._learn([r for r, m in zip(text, marked) if not m])
+            self._keep(h1[new[~marked]], h2[new[~marked]], idx[new[~marked]])
+            if marked.any():                             # put together from the word and the mark
+                parts = pa.array([x for r, m in zip(text, marked) if m for x in (r[:-1], r[-1])]).dictionary_encode()
+                ids, before = self._gather(self._find(parts.dictionary)[parts.indices.to_numpy()])
+                idx[new[marked]] = self._add(ids, np.append(before, len(ids))[2::2])
+                self._keep(h1[new[marked]], h2[new[marked]], idx[new[marked]])
+        return idx
+
+    def _keep(self, h1: np.ndarray, h2: np.ndarray, idx: np.ndarray):
+        h1, h2, at = (np.concatenate(x) for x in ((self.h1, h1), (self.h2, h2), (self.at, idx)))
+        order = np.argsort(h1)
+        self.h1, self.h2, self.at = h1[order], h2[order], at[order]
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Each text's ids and the end id; a null text counts as empty."""
         low = pc.replace_substring(pc.ascii_lower(pc.fill_null(texts, "")), "\n", " ")
         lists = pc.split_pattern(low, " ")
         runs = lists.flatten().dictionary_encode()
-        words = runs.dictionary.to_pylist()
-        self._learn(words)
-        known = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        ids, before = self._gather(known[runs.indices.to_numpy()])
+        ids, before = self._gather(self._find(runs.dictionary)[runs.indices.to_numpy()])
         ends = np.append(before, len(ids))[np.cumsum(pc.list_value_length(lists).to_numpy())]
         return [np.append(x, np.uint32(self.end)).astype("<u4") for x in np.split(ids, ends[:-1])]
 
     def tidy(self):
-        if len(self.index) > CACHE:
+        if self.runs > CACHE:
             self._reset()
 
 
