@@ -109,29 +109,28 @@ def seat(c: np.ndarray, a: np.ndarray, grow: np.ndarray, d: float, seed: np.ndar
     The first ``EACH`` customers sit down one by one. Later ones come in runs of an eighth of those
     already seated; in a run the weights change with the customers, but with the tables only from
     run to run, so a dish of a million customers takes some ninety steps."""
+    order = np.argsort(-c, kind="stable")                # those still to be seated stand in front
+    falling, a, grow, seed = -c[order], a[order], grow[order], seed[order]
     t, logw = np.ones(len(c)), np.zeros(len(c))
-    at = np.flatnonzero(c > 1)
     j = 1
-    while len(at) and j < EACH:                          # customer j + 1
-        new = a[at] + grow[at] * t[at]
-        both = j - d * t[at] + new
-        u = _uniform(mix(seed[at] + U(j * STEP % WRAP)))
-        logw[at] += np.log(both)
-        t[at] += u * both < new
+    while j < EACH and (n := np.searchsorted(falling, -j)):   # customer j + 1 of n dishes
+        new = grow[:n] * t[:n] + a[:n]
+        both = new + j - d * t[:n]
+        logw[:n] += np.log(both)
+        t[:n] += _uniform(mix(seed[:n] + U(j * STEP % WRAP))) * both < new
         j += 1
-        at = at[c[at] > j]
     k = j                                                # k customers sit
-    while len(at):
-        run = np.minimum(c[at] - k, max(1, k // 8))
-        new, old = a[at] + grow[at] * t[at], k - d * t[at]
-        r = mix(seed[at] + U(k * STEP % WRAP))
+    while n := np.searchsorted(falling, -k):
+        run = np.minimum(-falling[:n] - k, max(1, k // 8))
+        new, old = grow[:n] * t[:n] + a[:n], k - d * t[:n]
         grown = np.log1p(run / (old + new - 0.5))        # sum over the run of 1 / (weight of all tables)
-        opened = _count(run, np.minimum(1.0, new * grown / run), r)
-        logw[at] += run * np.log(old + new + (run - 1) / 2)
-        t[at] += opened
+        opened = _count(run, np.minimum(1.0, new * grown / run), mix(seed[:n] + U(k * STEP % WRAP)))
+        logw[:n] += run * np.log(old + new + (run - 1) / 2)
+        t[:n] += opened
         k += max(1, k // 8)
-        at = at[c[at] > k]
-    return t, logw
+    out = np.empty((2, len(c)))
+    out[0, order], out[1, order] = t, logw
+    return out[0], out[1]
 
 
 def _count(n: np.ndarray, p: np.ndarray, r: np.ndarray) -> np.ndarray:
