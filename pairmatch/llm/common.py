@@ -25,14 +25,28 @@ BLOCK_ROWS = 500
 BLOCK_BYTES = 3 << 19
 
 
+def trim():
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def lean(task):
-    """``task`` (a function of a partition's batches), giving freed memory back to the system when it
-    ends: Spark keeps its Python workers, and what they hold would add up over the steps of a job."""
+    """``task`` (a function of a partition's batches) that gives freed memory back when it ends:
+    Spark keeps its Python workers, and what they hold would add up over the steps of a job."""
     def run(batches):
         yield from task(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()
+    return run
+
+
+def lean_group(task):
+    """The same for a function of one group."""
+    def run(group):
+        out = task(group)
+        trim()
+        return out
     return run
 
 

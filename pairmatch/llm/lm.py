@@ -39,13 +39,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_words, blocks, lean, mix, open_block, stored, total_size, word_hashes
+from .common import block_words, blocks, lean, lean_group, mix, open_block, stored, total_size, word_hashes
 
 ROUNDS = 1                                 # rounds of sampling against the totals of the round before
 SAMPLES = 2                                # Gibbs sweeps of a round, each of which is a sample
 DISCOUNT, STRENGTH = 0.75, 1.0            # of the context restaurants
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.75, 1.0
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 8 << 20
 LM_BLOCK = 6 << 20
 EACH = 32                                  # customers of a dish that are seated one by one
 STEP = 0x9E3779B97F4A7C15
@@ -307,7 +307,7 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, seed: int = 1, carry: tup
                 "values": [_pack(np.ascontiguousarray(x)) for x in np.split(out, np.cumsum(n)[:-1], axis=1)],
                 "stats": [stats] + [[0] * len(stats)] * (len(n) - 1)})
 
-        return stored(messages.groupBy("kind", "shard").applyInPandas(run, REPLY), name)
+        return stored(messages.groupBy("kind", "shard").applyInPandas(lean_group(run), REPLY), name)
 
     def stats(got: DataFrame, kind: str) -> list[int]:
         return list(got.filter(F.col("kind") == kind).agg(

@@ -291,7 +291,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
             out = out or pa.schema([("doc_id", batch.schema.field(0).type)] + [
                 (n, pa.int64()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
             ] + [("ids", pa.binary())] * with_ids)
-            for part in slices(batch, 1, rows=1500, size=5 << 20):
+            for part in slices(batch, 1, rows=1000, size=3 << 20):
                 for d, r in zip(part.column(0).to_pylist(), enc.encode(part.column(1))):
                     ids.append(d)
                     rows.append(r)

@@ -33,11 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_words, blocks, gram_hash, lean, mix, open_block, stored, total_size, word_hashes
+from .common import block_words, blocks, gram_hash, lean, lean_group, mix, open_block, stored, total_size, word_hashes
 
 WINDOW = 20
 GRAM = 10                      # words of an anchor
-SHARD_BYTES = 24 << 20         # text whose hashes meet in one shard, on average
+SHARD_BYTES = 8 << 20         # text whose hashes meet in one shard, on average
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 LAST = np.iinfo(np.int64).max
 RUN = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -196,7 +196,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, carr
     reply = "block long, shard long, bits binary"
 
     def collected(messages: DataFrame, schema: str, fn, name: str) -> DataFrame:
-        answers = messages.groupBy("shard").applyInPandas(fn, schema)
+        answers = messages.groupBy("shard").applyInPandas(lean_group(fn), schema)
         return stored(answers.groupBy("block").agg(F.collect_list(F.struct("shard", "bits")).alias(name)), f"repeat-{name}")
 
     asked = parts.select("block", "body", "lens").mapInPandas(lean(ask_anchors), "shard long, block long, keys binary, twice binary")
