@@ -20,6 +20,8 @@ from ..session import ensure_checkpoint_dir
 # The white space every operator splits words on: space and \x09-\x0D, nothing wider.
 WORD = r"[^\x20\x09-\x0D]+"
 
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
 # Bounds of one block of documents: what a Python task holds at a time.
 BLOCK_ROWS = 500
 BLOCK_BYTES = 3 << 19
@@ -59,12 +61,27 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """While a table is written: Arrow batches of a few MB between Spark and its Python workers, so
+    that rows with long texts take little memory on both sides."""
+    before = {k: spark.conf.get(k, None) for k in BATCHES}
+    try:
+        for k, v in BATCHES.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage is cut, branches that
     reuse it do not recompute it, and a lost executor only re-reads files."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -119,7 +136,9 @@ def blocks(docs: DataFrame, carry: list[str], name: str, rows: int = BLOCK_ROWS,
         return stored(out, name)
     spark, path = docs.sparkSession, scratch(docs.sparkSession, name)
     own = path.rsplit("/", 1)[1].replace("-", "_")
-    (out.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").option("path", path).saveAsTable(own))
+    with small_batches(spark):
+        (out.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block")
+         .option("path", path).saveAsTable(own))
     return spark.table(own)
 
 

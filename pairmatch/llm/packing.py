@@ -19,8 +19,6 @@ of the input are not carried along.
 from __future__ import annotations
 
 import os
-import sys
-import types
 import zlib
 from collections.abc import Iterator
 
@@ -37,7 +35,7 @@ WINDOW = 2048
 END_ID = 1
 SHARD_DOCS = 1000          # documents of one index shard
 SHARD_TOKENS = 4_000_000   # and tokens, so that a shard of long documents stays small
-CACHE = 1_500_000          # distinct runs a worker remembers (some 40 bytes each); beyond it starts anew
+CACHE = 1_500_000          # distinct runs a task remembers (some 40 bytes each); beyond it starts anew
 
 MARKS = (".", ",")         # marks that often follow a word
 
@@ -154,14 +152,6 @@ class Encoder:
             self._reset()
 
 
-def encoder(path: str, end_id: int) -> Encoder:
-    """This worker process's encoder: later tasks of the process find the runs already learned."""
-    kept = sys.modules.setdefault("_pairmatch_encoders", types.ModuleType("_pairmatch_encoders")).__dict__
-    if (path, end_id) not in kept:
-        kept[path, end_id] = Encoder(path, end_id)
-    return kept[path, end_id]
-
-
 class Bm25:
     """Inverted index of one shard over token ids; a document's terms are its distinct ids."""
 
@@ -273,7 +263,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
         return cols, last + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer, end_id)
+        enc = Encoder(tokenizer, end_id)
         vocab = max(enc.tok.get_vocab_size(), end_id + 1)
         seq = TaskContext.get().partitionId() << 40
         ids, rows, held, out = [], [], 0, None
