@@ -1195,15 +1195,21 @@ def q_report_upsert(spark, sf):
 
 
 
-@register("run_report", _SQL_LABELLED + """,
+def _sql_run(fmt: str) -> str:
+    """The metrics of a run: dev, test and the test submission's mAP, each through ``fmt``."""
+    one = lambda c, name: fmt.format(c) + f" AS {name}"
+    return _SQL_LABELLED + """,
 dev_l AS (SELECT * FROM labelled WHERE CAST(split_part(arg_id, '_', 2) AS INT) IN (6, 7)),
 test_l AS (SELECT * FROM labelled WHERE CAST(split_part(arg_id, '_', 2) AS INT) >= 8),
 """ + C.SQL_AP[len(C.SQL_SCORED) + 2:] + "," + _SQL_TEST_MAP + """,
-dev AS (SELECT """ + ", ".join(f"round({m}, 6) AS {m}" for m in metrics.METRIC_NAMES) + " FROM " + _nested("dev_l", None) + """),
-test AS (SELECT """ + ", ".join(f"round({m}, 6) AS {m}_test" for m in metrics.METRIC_NAMES) + " FROM " + _nested("test_l", None) + """)
+dev AS (SELECT """ + ", ".join(one(m, m) for m in metrics.METRIC_NAMES) + " FROM " + _nested("dev_l", None) + """),
+test AS (SELECT """ + ", ".join(one(m, f"{m}_test") for m in metrics.METRIC_NAMES) + " FROM " + _nested("test_l", None) + """),
+best_map AS (SELECT """ + one("s", "mAP_strict") + ", " + one("r", "mAP_relaxed") + " FROM mp)"
+
+
+@register("run_report", _sql_run("round({}, 6)") + """
 SELECT 'fixture_scorer' AS name, -1 AS epoch_stop, 'plain' AS mode, CAST(NULL AS VARCHAR) AS add_info,
-       dev.*, test.*, round(mp.s, 6) AS mAP_strict, round(mp.r, 6) AS mAP_relaxed, 'fixture' AS model_path
-FROM dev, test, mp""")
+       dev.*, test.*, best_map.*, 'fixture' AS model_path FROM dev, test, best_map""")
 def q_run_report(spark, sf):
     """M5: the single-run report row: dev metrics, test metrics (_test) and the test-subset
     submission mAP, from the fixture scorer."""
@@ -1216,6 +1222,32 @@ def q_run_report(spark, sf):
     return C.normalised(row)
 
 
+@register("run_experiment", _sql_run("CAST(printf('%.5f', {}) AS DOUBLE)") + """,
+pr AS (SELECT count(*) AS n_predictions, CAST(sum(prediction) AS BIGINT) AS n_positive FROM scored
+       WHERE CAST(split_part(arg_id, '_', 2) AS INT) >= 8)
+SELECT v.name, dev.*, test.*, best_map.*, pr.* FROM dev, test, best_map, pr, (VALUES ('first'), ('second')) v(name)""")
+def q_run_experiment(spark, sf):
+    """M5 with its sinks: two runs, the second upserting the first's report file; the report
+    read back, next to the rows of the prediction file and the pairs of the submission."""
+    from ..sources.schemas import PREDICTION_SCHEMA
+    t = C.tables(spark, sf)
+    s = C.scored_candidates(t)
+    dev, test = t.subset("dev"), t.subset("test")
+    paths: dict[str, str] = {}
+    for name in ("first", "second"):
+        paths = EV.run_experiment(
+            IO.scratch_path(spark, f"run-{name}"), name, s.filter(F.col("subset") == "dev"), dev.labels,
+            s.filter(F.col("subset") == "test"), test.arguments, test.key_points, test.labels,
+            report_path=paths.get("report"), model_path="fixture")
+    schema = T.StructType([PREDICTION_SCHEMA[c] for c in ("arg_id", "key_point_id", "prediction")])
+    pred = IO.read_predictions(spark, paths["predictions"], schema)
+    sent = IO.read_submission(spark, paths["submission"]).select("arg_id", "key_point_id")
+    files = pred.join(sent, ["arg_id", "key_point_id"]).agg(
+        F.count(F.lit(1)).alias("n_predictions"), F.sum("prediction").cast("long").alias("n_positive"))
+    rows = IO.read_report(spark, paths["report"]).drop("epoch_stop", "mode", "add_info", "model_path")
+    return C.normalised(with_scalars(rows, files))
+
+
 @register("pair_features", _SQL_PAIRS + f""",
 w AS (SELECT arg_id, key_point_id, label, list_distinct({_SQL_WORDS.format(c='argument')}) AS wa,
              list_distinct({_SQL_WORDS.format(c='key_point')}) AS wb FROM pairs),

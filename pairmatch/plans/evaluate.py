@@ -1,6 +1,5 @@
 """Run-level plans (M5 and the k-fold flow): compose scoring outputs and task tables into the
-report row, the submission and the prediction file, as one lazy DataFrame graph with actions
-only at the sinks."""
+report row, the submission and the prediction file."""
 
 from __future__ import annotations
 
@@ -9,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ensemble, matching, metrics
 from ..operators.sizing import with_scalars
+from ..sources import io
 
 
 def calc_map(scored: DataFrame, arguments: DataFrame, key_points: DataFrame,
@@ -40,6 +40,20 @@ def evaluate_run(name: str, dev_scored: DataFrame, dev_labels: DataFrame,
                       *[c for c in row.columns], F.lit(model_path).alias("model_path"))
 
 
+def run_experiment(out_dir: str, name: str, dev_scored: DataFrame, dev_labels: DataFrame, test_scored: DataFrame,
+                   test_arguments: DataFrame, test_key_points: DataFrame, test_labels: DataFrame,
+                   report_path: str | None = None, **kw) -> dict[str, str]:
+    """M5 with its sinks: the test submission, the prediction file, and the report of
+    ``report_path`` (none: a new one) with this run's row replaced or added. Everything is
+    written under ``out_dir``; returns the paths."""
+    spark = test_scored.sparkSession
+    row = evaluate_run(name, dev_scored, dev_labels, test_scored, test_arguments, test_key_points, test_labels, **kw)
+    old = io.read_report(spark, report_path) if report_path else None
+    return {"submission": io.write_submission(test_scored, f"{out_dir}/submission"),
+            "predictions": io.write_predictions(test_scored, f"{out_dir}/predictions"),
+            "report": io.write_report(io.report_upsert(old, row), f"{out_dir}/report")}
+
+
 def kfold_run(name: str, fold_scored: DataFrame, arguments: DataFrame, key_points: DataFrame,
               labels: DataFrame, num_folds: int) -> tuple[DataFrame, DataFrame]:
     """The k-fold report (A19) and the ensemble scores (J9) from per-fold scoring outputs."""

@@ -170,6 +170,10 @@ def report_export_frame(report: DataFrame) -> DataFrame:
     return report.select(*out)
 
 
+# The text columns of a report.
+REPORT_TEXT = ("name", "mode", "add_info", "model_path")
+
+
 def write_report(report: DataFrame, path: str) -> str:
     """S7 sink: write the export form to a new folder (swap it in place of the old one)."""
     report_export_frame(report).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
@@ -177,7 +181,9 @@ def write_report(report: DataFrame, path: str) -> str:
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("header", True).option("inferSchema", True).csv(path)
+    """The report of ``path``: its name, mode, info and model columns are text, whatever they hold."""
+    df = spark.read.option("header", True).option("inferSchema", True).csv(path)
+    return df.withColumns({c: F.col(c).cast("string") for c in REPORT_TEXT if c in df.columns})
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
