@@ -10,7 +10,9 @@ stage's result to the shared folder and reads it again as the next stage's input
 4. substring dedup: spans of 20 words or more that occur earlier are cut out;
 5. packing: the rest is packed into sequences of 2,048 ids.
 
-Documents whose text a stage empties stay, with an empty text.
+Documents whose text a stage empties stay, with an empty text. The stages set the session's Arrow
+batches to a few MB: their rows hold whole texts, and their results are only computed when they are
+written.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairmatch.llm.common import stored, table
+from pairmatch.llm.common import BATCHES, stored, table
 from pairmatch.llm.lines import site_line_dedup
 from pairmatch.llm.minhash import keep_one
 from pairmatch.llm.packing import pack
@@ -34,7 +36,13 @@ def _documents(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def _small_batches(spark: SparkSession) -> None:
+    for k, v in BATCHES.items():
+        spark.conf.set(k, v)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return keep_good(docs.select("doc_id", "text", "lang", "source", "n_chars"), table(spark, sf_dir, "labels"))
 
 
@@ -43,14 +51,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return keep_one(docs.select("doc_id", "text", "lang", "source", "n_chars"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return _documents(remove_repeats(docs, carry=OTHERS, want=("text",)))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
