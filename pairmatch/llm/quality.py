@@ -197,7 +197,12 @@ def fit_rules(stats: DataFrame, labels: DataFrame | None, min_words: int = 20, m
               trees: int = TREES, psi: int = PSI, seed: int = SEED, max_good_loss: float = MAX_GOOD_LOSS) -> Rules:
     """Fit the forest to a random sample of ``stats`` and calibrate its threshold on all rows of
     ``labels`` (doc_id, quality: 1 good, 0 bad)."""
-    sample = stats.orderBy(F.xxhash64(F.lit(seed), *stats.columns)).limit(trees * psi).toPandas()
+    # about as many rows as are wanted are picked by their hash before they are ordered, so that
+    # what reaches the driver does not grow with the number of partitions
+    order, want = F.xxhash64(F.lit(seed), *stats.columns), trees * psi
+    share = min(1.0, (want + 6 * want ** 0.5) / max(1, stats.count()))
+    picked = stats.filter(F.pmod(order, F.lit(1 << 31)) < int(share * (1 << 31)))
+    sample = picked.orderBy(order).limit(want).toPandas()
     rules = Rules(fit_forest(features(sample), trees, psi, seed), float("inf"), min_words, max_repeat_pct)
     if labels is not None:
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
