@@ -273,9 +273,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
             cols, seq = emit(ids, rows, Bm25(rows, vocab, k1, b, query_terms), seq)
             ids, rows, held = [], [], 0
             enc.tidy()
-            for i in range(0, len(cols[0]), 2000):
+            for i in range(0, len(cols[0]), 250):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c[i:i + 2000], t) for c, t in zip(cols, out.types)], schema=out)
+                    [pa.array(c[i:i + 250], t) for c, t in zip(cols, out.types)], schema=out)
 
         for batch in batches:
             out = out or pa.schema([("doc_id", batch.schema.field(0).type)] + [
