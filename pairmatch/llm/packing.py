@@ -1,17 +1,24 @@
 """Lexical retrieval packing (operator 2).
 
-The corpus is indexed in shards: runs of documents of one input partition, bounded by documents
-and by tokens. A shard holds a BM25 inverted index of its documents. Packing starts a sequence
+Documents are encoded once and stored as ids. Document frequencies, the number of documents and
+their mean length are counted over all of them. Each document is then routed by content: by the
+heaviest of its terms (by corpus-wide BM25 weight) that enough documents hold to fill some windows,
+then by its two heaviest terms of all, then by its row. Documents are dealt out by ranges of that
+key, so those of a topic come together wherever they stood in the input, and a term (or a group of
+copies) with more documents than fit is split by the further keys. In this order they are cut into
+shards, bounded by documents and by tokens.
+
+A shard holds a BM25 inverted index of its documents. Packing starts a sequence
 with a seed document (an unused one, or the rest of the document that the sequence before cut),
 asks the index for the seed's best-scoring unused neighbours and fills the window with them in that
 order; the last one is cut where the window ends and its rest is the next seed. So every sequence
 but a shard's last is full. The last one is cut into sequences whose lengths are powers of two,
-which need no padding.
+which need no padding. Neighbours in another shard are not found.
 
-One map stage: nothing is shuffled, no text is collected, and a shard is all that a task holds.
-A very long document simply runs through many sequences. A query uses the ``query_terms`` terms of
-the seed with the largest BM25 weight; terms in more than half of the shard's documents weigh
-nothing. Ties go to the earlier row. A null text counts as empty (its only id is the end id);
+No text is collected: one number per token id reaches the driver, and a shard is all that a task
+holds. A very long document simply runs through many sequences. A query uses the ``query_terms`` terms of
+the seed with the largest BM25 weight; terms in more than half of all documents weigh
+nothing. Ties go to the document routed first. A null text counts as empty (its only id is the end id);
 repeated rows are packed once each, like any other row; a null doc_id stays null. Further columns
 of the input are not carried along.
 """
@@ -29,12 +36,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, slices, word_hashes
+from .common import lean, slices, stored, word_hashes
 
 WINDOW = 2048
 END_ID = 1
 SHARD_DOCS = 1000          # documents of one index shard
 SHARD_TOKENS = 4_000_000   # and tokens, so that a shard of long documents stays small
+RUN = 8                    # shards of one task, as planned
+ENOUGH = 8                 # windows that the documents of a routing term fill at least
+QUERY = 16                 # terms of a query
 CACHE = 1_500_000          # distinct runs a task remembers (some 40 bytes each); beyond it starts anew
 
 MARKS = (".", ",")         # marks that often follow a word
@@ -152,30 +162,61 @@ class Encoder:
             self._reset()
 
 
+class Stats:
+    """Document frequencies by token id, the number of documents and their mean length."""
+
+    def __init__(self, df: np.ndarray, n: int, mean: float):
+        self.df, self.n, self.mean = df, n, mean
+        self.idf = np.maximum(0, np.log((n - df + 0.5) / (df + 0.5)))
+
+    def weights(self, term: np.ndarray, tf: np.ndarray, length, k1: float, b: float) -> np.ndarray:
+        return self.idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / self.mean))
+
+    def route(self, ids: np.ndarray, enough: float, k1: float, b: float) -> list[int]:
+        """What a document is routed by: the heaviest of its terms that at least ``enough``
+        documents hold, then its two heaviest terms that another document holds (-1: none)."""
+        term, tf = np.unique(ids, return_counts=True)
+        w = self.weights(term, tf, len(ids), k1, b)
+        df = self.df[term]
+        top = []
+        wide = np.where(df >= max(2, enough), w, 0)
+        at = int(wide.argmax())
+        top.append(int(term[at]) if wide[at] > 0 else -1)
+        w = np.where(df > 1, w, 0)
+        for _ in range(2):
+            at = int(w.argmax())
+            top.append(int(term[at]) if w[at] > 0 else -1)
+            w[at] = 0
+        return top
+
+
 class Bm25:
     """Inverted index of one shard over token ids; a document's terms are its distinct ids."""
 
-    def __init__(self, docs: list[np.ndarray], vocab: int, k1: float, b: float, query_terms: int):
+    def __init__(self, docs: list[np.ndarray], vocab: int, k1: float, b: float, query_terms: int | None = None,
+                 stats: Stats | None = None):
         n = len(docs)
         lens = np.array([len(d) for d in docs], dtype=float)
         parts = [np.unique(d, return_counts=True) for d in docs]
-        term = np.concatenate([p[0] for p in parts]).astype(np.int64)
+        term = np.concatenate([p[0] for p in parts])
         tf = np.concatenate([p[1] for p in parts]).astype(float)
         doc = np.repeat(np.arange(n), [len(p[0]) for p in parts])
-        df = np.bincount(term, minlength=vocab)
-        idf = np.maximum(0, np.log((n - df + 0.5) / (df + 0.5)))
-        w = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lens[doc] / lens.mean()))
-        # the query of each document: its heaviest terms that some other document holds
-        use = (df[term] > 1) & (w > 0)
-        order = np.lexsort((term[use], -w[use], doc[use]))
-        qd, qt = doc[use][order], term[use][order]
-        first = np.searchsorted(qd, np.arange(n + 1))
-        rank = np.arange(len(qd)) - first[qd] if len(qd) else np.empty(0, dtype=np.int64)
-        self.q_terms = qt[rank < query_terms]
-        self.q_first = np.searchsorted(qd[rank < query_terms], np.arange(n + 1))
-        order = np.lexsort((doc[use], term[use]))
-        self.p_doc, self.p_w = doc[use][order], w[use][order]
-        self.p_first = np.searchsorted(term[use][order], np.arange(vocab + 1))
+        here = np.bincount(term, minlength=vocab)
+        stats = stats or Stats(here, n, lens.mean())
+        w = stats.weights(term, tf, lens[doc], k1, b)
+        # the query of each document: its terms that some other document of the shard holds
+        use = np.flatnonzero((here[term] > 1) & (w > 0))
+        term, doc, w = term[use], doc[use], w[use]
+        qd, qt = doc, term
+        if query_terms is not None:                      # the heaviest ones only
+            order = np.lexsort((term, -w, doc))
+            rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
+            qd, qt = doc[rank < query_terms], term[order][rank < query_terms]
+        self.q_terms = qt.astype(np.int64)
+        self.q_first = np.searchsorted(qd, np.arange(n + 1))
+        order = np.argsort(term, kind="stable")          # by term, then by document
+        self.p_doc, self.p_w = doc[order], w[order]
+        self.p_first = np.searchsorted(term[order], np.arange(vocab + 1))
         self.n = n
 
     def neighbours(self, seed: int, unused: np.ndarray) -> list[int]:
@@ -244,35 +285,72 @@ def _place(pieces, used: int, window: int):
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID,
-         shard_docs: int = SHARD_DOCS, shard_tokens: int = SHARD_TOKENS, query_terms: int = 16,
+         shard_docs: int = SHARD_DOCS, shard_tokens: int = SHARD_TOKENS, query_terms: int | None = QUERY,
          k1: float = 1.2, b: float = 0.75, with_ids: bool = True) -> DataFrame:
     """Pieces of all documents in sequences of at most ``window`` ids: ``doc_id``, ``start``,
     ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset`` and, unless left out,
     the piece's ``ids`` (little-endian unsigned 32-bit)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     width = 7 + with_ids
+    vocab = max(Encoder(tokenizer, end_id).tok.get_vocab_size(), end_id + 1)
+    small = "<u2" if vocab <= 1 << 16 else "<u4"         # ids as they are stored and dealt out
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, held, schema = Encoder(tokenizer, end_id), np.zeros(vocab, dtype=np.int64), None
+        for batch in batches:
+            schema = schema or pa.schema([("doc_id", batch.schema.field(0).type), ("n", pa.int64()),
+                                          ("ids", pa.binary()), ("held", pa.list_(pa.int64()))])
+            for part in slices(batch, 1, rows=1000, size=3 << 20):
+                rows = enc.encode(part.column(1))
+                for r in rows:
+                    held[np.unique(r)] += 1
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([len(r) for r in rows], pa.int64()),
+                     pa.array([r.astype(small).tobytes() for r in rows], pa.binary()),
+                     pa.nulls(len(rows), schema.field(3).type)], schema=schema)
+                enc.tidy()
+        if schema:                                       # the task's document frequencies, one row
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(1, schema.field(0).type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
+                 pa.array([held], schema.field(3).type)], schema=schema)
+
+    every = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
+        lean(encode), f"doc_id {kind}, n long, ids binary, held array<long>")
+    every = stored(every.select(F.monotonically_increasing_id().alias("uid"), "*"), "packing-ids")
+    coded = every.filter(F.col("ids").isNotNull()).select("uid", "doc_id", "n", "ids")
+    n, total = coded.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    df = np.zeros(vocab, dtype=np.int64)
+    held = every.filter(F.col("held").isNotNull()).select(F.posexplode("held").alias("term", "docs"))
+    for term, count in held.groupBy("term").agg(F.sum("docs")).collect():   # at most one row per token id
+        df[term] = count
+    stats = Stats(df, n, total / max(1, n))
+    enough = ENOUGH * window / max(1.0, stats.mean)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            by = np.array([stats.route(np.frombuffer(x.as_buffer(), dtype=small), enough, k1, b)
+                           for x in batch.column(2)], dtype=np.int32).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c) for c in by.T]],
+                                             names=["uid", "doc_id", "ids", "a", "b", "c"])
 
     def emit(ids, rows, index, base):
         cols = [[] for _ in range(width)]
         last = base
         for d, at, n, s, off in pack_shard(rows, index, window):
-            raw = rows[d][at:at + n].tobytes()
+            raw = rows[d][at:at + n].astype("<u4").tobytes()
             for c, v in zip(cols, (ids[d], at, n, zlib.crc32(raw), len(rows[d]), base + s, off, raw)[:width]):
                 c.append(v)
             last = max(last, base + s)
         return cols, last + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(tokenizer, end_id)
-        vocab = max(enc.tok.get_vocab_size(), end_id + 1)
         seq = TaskContext.get().partitionId() << 40
         ids, rows, held, out = [], [], 0, None
 
         def close():
             nonlocal seq, ids, rows, held
-            cols, seq = emit(ids, rows, Bm25(rows, vocab, k1, b, query_terms), seq)
+            cols, seq = emit(ids, rows, Bm25(rows, vocab, k1, b, query_terms, stats), seq)
             ids, rows, held = [], [], 0
-            enc.tidy()
             for i in range(0, len(cols[0]), 250):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c[i:i + 250], t) for c, t in zip(cols, out.types)], schema=out)
@@ -281,15 +359,18 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
             out = out or pa.schema([("doc_id", batch.schema.field(0).type)] + [
                 (n, pa.int64()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
             ] + [("ids", pa.binary())] * with_ids)
-            for part in slices(batch, 1, rows=1000, size=3 << 20):
-                for d, r in zip(part.column(0).to_pylist(), enc.encode(part.column(1))):
-                    ids.append(d)
-                    rows.append(r)
-                    held += len(r)
-                    if len(rows) >= shard_docs or held >= shard_tokens:
-                        yield from close()
+            for d, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids.append(d)
+                rows.append(np.frombuffer(r, dtype=small))
+                held += len(rows[-1])
+                if len(rows) >= shard_docs or held >= shard_tokens:
+                    yield from close()
         if rows:
             yield from close()
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
+    parts = max(1, -(-n // (RUN * shard_docs)), -(-total // (RUN * shard_tokens)))
+    by = ["a", "b", "c", "uid"]
+    dealt = coded.select("uid", "doc_id", "ids").mapInArrow(
+        lean(route), f"uid long, doc_id {kind}, ids binary, a int, b int, c int")
+    return dealt.repartitionByRange(parts, *by).sortWithinPartitions(*by).select("doc_id", "ids").mapInArrow(
         lean(run), SCHEMA.format(kind) + ", ids binary" * with_ids)
