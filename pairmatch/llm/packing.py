@@ -16,9 +16,9 @@ but a shard's last is full. The last one is cut into sequences whose lengths are
 which need no padding. Neighbours in another shard are not found.
 
 No text is collected: one number per token id reaches the driver, and a shard is all that a task
-holds. A very long document simply runs through many sequences. A query uses the ``query_terms`` terms of
-the seed with the largest BM25 weight; terms in more than half of all documents weigh
-nothing. Ties go to the document routed first. A null text counts as empty (its only id is the end id);
+holds. A very long document simply runs through many sequences. A query has all terms of the seed
+(``query_terms``, if given: only that many, the heaviest); terms in more than half of all documents
+weigh nothing. Ties go to the document routed first. A null text counts as empty (its only id is the end id);
 repeated rows are packed once each, like any other row; a null doc_id stays null. Further columns
 of the input are not carried along.
 """
@@ -44,7 +44,7 @@ SHARD_DOCS = 1000          # documents of one index shard
 SHARD_TOKENS = 4_000_000   # and tokens, so that a shard of long documents stays small
 RUN = 8                    # shards of one task, as planned
 ENOUGH = 8                 # windows that the documents of a routing term fill at least
-QUERY = 16                 # terms of a query
+QUERY = None               # terms of a query: all
 CACHE = 1_500_000          # distinct runs a task remembers (some 40 bytes each); beyond it starts anew
 
 MARKS = (".", ",")         # marks that often follow a word
@@ -220,7 +220,7 @@ class Bm25:
         self.n = n
 
     def neighbours(self, seed: int, unused: np.ndarray) -> list[int]:
-        """Unused documents that share a query term with ``seed``, best first."""
+        """Unused documents that share a term of positive weight with ``seed``, best first."""
         terms = self.q_terms[self.q_first[seed]:self.q_first[seed + 1]]
         if not len(terms):
             return []
