@@ -9,8 +9,9 @@ Seating is sampled by Gibbs, dish by dish: all customers of a dish are seated an
 restaurant's sequential rule given the tables of all other dishes, and the new seating is accepted
 by the ratio of the sequential weights (Metropolis within Gibbs). A round samples all dishes of all
 restaurants in parallel against the table totals of the round before (at first: estimates from the
-counts), two sweeps of it; the totals of each sweep are then summed and the root's own seating is
-sampled. Each sweep of the last round gives one sample of the predictive probabilities, and a
+counts), less the dish's own. A round takes three sweeps, of which the first (the proposal as it
+comes) is thrown away; the totals of the others are then summed and the root's own seating is
+sampled. There are two rounds, so the last one seats against sampled totals. Each kept sweep of the last round gives one sample of the predictive probabilities, and a
 text's score is the sum of log10 of their averages.
 
 Plan. Blocks of documents and shards of hashed keys exchange messages: blocks send the counts of
@@ -41,8 +42,9 @@ from pyspark.sql import functions as F
 
 from .common import block_words, blocks, lean, lean_group, mix, open_block, stored, total_size, word_hashes
 
-ROUNDS = 1                                 # rounds of sampling against the totals of the round before
-SAMPLES = 2                                # Gibbs sweeps of a round, each of which is a sample
+ROUNDS = 2                                 # rounds of sampling against the totals of the round before
+BURN_IN = 1                                # first Gibbs sweeps of a round, which are thrown away
+SAMPLES = 2                                # sweeps after them, each of which is a sample
 DISCOUNT, STRENGTH = 0.75, 1.0            # of the context restaurants
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.75, 1.0
 SHARD_BYTES = 8 << 20
@@ -221,13 +223,16 @@ class Model:
     def tables(self, r: int) -> list[np.ndarray]:
         """Tables of each pair in the samples of round r, given the totals of the round before."""
         tok = self.tok
-        context = self.c.astype(float) ** DISCOUNT if r == 1 else self.rounds[r - 2][:, 0].mean(axis=0)
+        if r == 1:
+            others = (self.c.astype(float) ** DISCOUNT)[tok.u] - 1
+        else:                                            # the context's tables less the pair's own
+            others = self.rounds[r - 2][:, 0].mean(axis=0)[tok.u] - np.mean(self.tables(r - 1), axis=0)
         start = np.minimum(self.cp, 1).astype(float)
         many = np.flatnonzero(self.cp > 1)
         p = self.root(r - 1, 0)[tok.w[many]]
-        weight = STRENGTH + DISCOUNT * np.maximum(0.0, context[tok.u[many]] - 1)
+        weight = STRENGTH + DISCOUNT * np.maximum(0.0, others[many])
         states = gibbs(self.cp[many], weight * p, DISCOUNT * p, DISCOUNT,
-                       tok.pair_keys[many] ^ U((self.seed * 1000 + r) * STEP % WRAP), SAMPLES)
+                       tok.pair_keys[many] ^ U((self.seed * 1000 + r) * STEP % WRAP), BURN_IN + SAMPLES)[BURN_IN:]
         out = []
         for t in states:
             out.append(start.copy())
