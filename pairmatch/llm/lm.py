@@ -358,12 +358,14 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, seed: int = 1, carry: tup
 
 
 def root_tables(customers: np.ndarray, keys: np.ndarray, totals: dict) -> np.ndarray:
-    """Tables of the root restaurant, one shard of its dishes; the tables of the other shards are
-    taken as many per dish as this shard's (keys are hashed, so shards are alike)."""
+    """Tables of the root restaurant, one shard of its dishes, given the tables of all shards in the
+    round before. In the first round the other shards' tables are taken as many per dish as this
+    shard's (keys are hashed, so shards are alike)."""
+    before = totals.get(f"tables{totals['rounds']}")
     t = np.minimum(customers, 1).astype(float)
     base, many = 1 / (totals["v"] + 1), np.flatnonzero(customers > 1)
     for k in range(3):
-        others = t.sum() / max(1, (customers > 0).sum()) * totals["v"] - 1
+        others = (np.mean(before) if before else t.sum() / max(1, (customers > 0).sum()) * totals["v"]) - 1
         weight = np.full(len(many), (ROOT_STRENGTH + ROOT_DISCOUNT * max(0.0, others)) * base)
         t[many] = gibbs(customers[many], weight, np.full(len(many), ROOT_DISCOUNT * base), ROOT_DISCOUNT,
                         keys[many] + U(k * STEP % WRAP), 2)[-1]
