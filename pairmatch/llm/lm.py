@@ -22,7 +22,7 @@ seating is sent. A frequent word or pair is one entry per block. The blocks are
 block number, so they are read, never shuffled. The number of shards grows with the text; only a
 handful of totals reach the driver.
 
-Words are hashed to 64 bits, and to 40 bits inside a shard. A null or empty text is its end token
+Words are hashed to 64 bits, word pairs to 40 bits inside a shard. A null or empty text is its end token
 alone. A row of a null doc_id is held out. Repeated rows are separate texts. An empty table gives an
 empty result; of the other columns only those in ``carry`` are kept.
 """
@@ -65,40 +65,51 @@ def _unpack(b: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype=kind)
 
 
-def _pack_keys(keys: np.ndarray) -> bytes:
-    """40-bit keys, five bytes each, byte planes apart."""
-    return _pack(np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T))
+def _key_bytes(kind: str) -> int:
+    """Bytes of a key in a shard: pairs are known by 40 bits, words by all 64."""
+    return 5 if kind == "pairs" else 8
 
 
-def _unpack_keys(b: bytes) -> np.ndarray:
-    planes = _unpack(b, np.uint8).reshape(5, -1)
+def _pack_keys(keys: np.ndarray, width: int) -> bytes:
+    """Keys of ``width`` bytes each, byte planes apart."""
+    return _pack(np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T))
+
+
+def _unpack_keys(b: bytes, width: int) -> np.ndarray:
+    planes = _unpack(b, np.uint8).reshape(width, -1)
     out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
-    out[:, :5] = planes.T
+    out[:, :width] = planes.T
     return out.view("<u8").ravel()
 
 
+def _narrow(totals: np.ndarray) -> np.ndarray:
+    """32-bit numbers where all fit, else 64-bit ones."""
+    return totals.astype("<u4" if totals.max(initial=0) < 1 << 32 else "<u8")
+
+
 def _routes(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(shard, places of its keys, their 40-bit keys in the shard), always in the same order."""
+    """(shard, places of its keys, their scrambled keys), always in the same order."""
     m = mix(keys)
     order = np.argsort(m)
     m = m[order]
-    low, shard = m & U((1 << 40) - 1), ((m >> U(40)) * U(shards) >> U(24)).astype(np.int64)   # ascending
+    shard = ((m >> U(40)) * U(shards) >> U(24)).astype(np.int64)   # ascending
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(m)]])
     for i, j in zip(cuts[:-1], cuts[1:]):
         if i < j:
-            yield int(shard[i]), order[i:j], low[i:j]
+            yield int(shard[i]), order[i:j], m[i:j]
 
 
-def _messages(block: int, keys: np.ndarray, columns: list[np.ndarray], shards: int) -> list[tuple]:
-    return [(s, block, _pack_keys(low), _pack(np.concatenate([c[p] for c in columns]).astype("<u4")))
-            for s, p, low in _routes(keys, shards)]
+def _messages(kind: str, block: int, keys: np.ndarray, columns: list[np.ndarray], shards: int) -> list[tuple]:
+    return [(kind, s, block, _pack_keys(own, _key_bytes(kind)), _pack(np.concatenate([c[p] for c in columns]).astype("<u4")))
+            for s, p, own in _routes(keys, shards)]
 
 
 def _read(replies, keys: np.ndarray, width: int, shards: int) -> list[np.ndarray]:
     got = {r["shard"]: r["values"] for r in replies or []}
     out = [np.zeros(len(keys), dtype=np.int64) for _ in range(width)]
     for s, p, _ in _routes(keys, shards):
-        for o, v in zip(out, _unpack(got[s], "<u4").reshape(width, -1)):
+        raw = _unpack(got[s], np.uint8)
+        for o, v in zip(out, raw.view("<u4" if len(raw) == 4 * width * len(p) else "<u8").reshape(width, -1)):
             o[p] = v
     return out
 
@@ -277,7 +288,7 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, seed: int = 1, carry: tup
                     block, ids, body, lens, *got = (c[i].as_py() for c in batch.columns)
                     tok = Tokens(ids, body, lens)
                     model = Model(tok, dict(zip(names, got)), totals, shards, seed) if totals else None
-                    rows = [(kind, *m) for kind, keys, cols in messages(tok, model) for m in _messages(block, keys, cols, shards)]
+                    rows = [m for kind, keys, cols in messages(tok, model) for m in _messages(kind, block, keys, cols, shards)]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))],
                         names=["kind", "shard", "block", "keys", "values"])
@@ -290,7 +301,7 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, seed: int = 1, carry: tup
         """Totals of each key over all blocks, to be sent back to the blocks, and sums over all keys."""
         def run(b: pd.DataFrame) -> pd.DataFrame:
             kind = b["kind"].iloc[0]
-            keys = [_unpack_keys(k) for k in b["keys"]]
+            keys = [_unpack_keys(k, _key_bytes(kind)) for k in b["keys"]]
             n = [len(k) for k in keys]
             cols = [_unpack(v, "<u4").reshape(-1, m) for v, m in zip(b["values"], n)]
             distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
@@ -306,7 +317,7 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, seed: int = 1, carry: tup
                 out = [x[at] for trio in zip(sums[::2], sums[1::2], root) for x in trio]
                 stats = [x.sum() for pair in zip(sums[1::2], root) for x in pair]
             stats = [int(x) for x in stats] + [0] * (2 * SAMPLES - len(stats))
-            out = np.stack(out).astype("<u4")
+            out = _narrow(np.stack(out))
             return pd.DataFrame({                        # sums of the shard stand in its first row
                 "kind": kind, "block": b["block"], "shard": b["shard"],
                 "values": [_pack(np.ascontiguousarray(x)) for x in np.split(out, np.cumsum(n)[:-1], axis=1)],
