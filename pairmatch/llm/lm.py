@@ -1,8 +1,8 @@
 """Language-model scoring with a hierarchical Pitman-Yor model (operator 1).
 
-Every word is a context with a restaurant of its own, in which the words that follow it are
-seated; all context restaurants share one parent, the root restaurant of single words, whose base is
-uniform over the vocabulary and one unknown word. A dish (following word) of a context with c
+A bigram model: every single word is a context with a restaurant of its own, in which the words that
+follow it are seated. There are no longer contexts. All context restaurants share one parent, the
+root restaurant of single words, whose base is uniform over the vocabulary and one unknown word. A dish (following word) of a context with c
 customers sits at t tables, and each table is a customer of the root.
 
 Seating is sampled by Gibbs, dish by dish: all customers of a dish are seated anew by the Chinese
