@@ -2,10 +2,11 @@
 
 Seeds are winnowed anchors: of the k-word grams in every 20-word window the one with the smallest
 hash is the window's anchor, so windows with equal words have equal anchors at equal places, and
-an anchor that occurs once proves that none of its windows repeats. Documents are joined on the
-anchors; around each anchor that occurs again the match is extended to both sides, over all the
-windows whose anchor it is, and a window counts as a repeat if its words also start earlier (in a
-smaller doc_id, or earlier in the same document). The union of the repeats is a set of maximal
+an anchor that occurs once proves that none of its windows repeats. Around each anchor that occurs
+again every window whose anchor it is is looked up by its hash, and counts as a repeat if its words
+also start earlier (in a smaller doc_id, or earlier in the same document). This lookup replaces the
+join of occurrences and the extension of each pair to both sides: a hot passage has too many pairs,
+and the union of its repeated windows is the same spans. The union of the repeats is a set of maximal
 repeated spans, each at least 20 words long, and their words are removed; the first occurrence
 stays. Windows are judged on the input, not on what is left of it.
 
