@@ -1,6 +1,7 @@
 """Quality rules with an isolation forest (operator 6).
 
-Every document gets rule statistics (word, symbol, duplicate-line and repeated-window counts).
+Every document gets rule statistics (word, symbol, duplicate-line, repeated-window and
+stuttered-word counts).
 An isolation forest over ratios of them scores how few random splits isolate a document; the
 score above which a document is rejected is calibrated from labelled rows. Two base rules reject
 on their own: too few words, and too many words in repeated 8-word windows.
@@ -41,7 +42,7 @@ BINS = 1000
 MAX_GOOD_LOSS = 0.002    # share of good labelled rows that calibration may give up
 
 STATS = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-         "n_upper long, n_marks long")
+         "n_upper long, n_marks long, n_same_next long")
 
 
 def repeated_words(ids: np.ndarray, window: int = WINDOW) -> int:
@@ -74,7 +75,7 @@ def rule_stats(raw: bytes | None) -> tuple:
     return (len(words), len(raw.translate(None, SPACE + CONTINUATION)),
             len(raw) - len(raw.translate(None, SYMBOLS)), len(lines) - len(set(lines)),
             repeated_words(ids), len(raw) - len(raw.translate(None, UPPER)),
-            len(raw) - len(raw.translate(None, MARKS)))
+            len(raw) - len(raw.translate(None, MARKS)), int((ids[1:] == ids[:-1]).sum()))
 
 
 def with_stats(docs: DataFrame) -> DataFrame:
@@ -93,11 +94,13 @@ def with_stats(docs: DataFrame) -> DataFrame:
 
 
 def features(s: pd.DataFrame) -> np.ndarray:
-    """Ratios of the statistics, none of which grows with the document. Repetition is left to the
-    base rules: good documents repeat lines as well, which would make them look isolated."""
+    """Ratios of the statistics, none of which grows with the document. Of repetition only words equal
+    to the word before are seen, in tenths, so that the few of ordinary documents draw no splits; lines and windows are left to the base rules: good documents repeat
+    lines as well, which would make them look isolated."""
     words = np.maximum(1, s["n_words"].to_numpy(float))
     chars = np.maximum(1, s["word_chars"].to_numpy(float))
-    return np.stack([s["n_symbols"] / words, s["n_upper"] / chars, s["n_marks"] / words, chars / words], axis=1)
+    return np.stack([s["n_symbols"] / words, s["n_upper"] / chars, s["n_marks"] / words, chars / words,
+                     np.floor(10 * s["n_same_next"] / words)], axis=1)
 
 
 @dataclass
