@@ -1,18 +1,15 @@
-"""Quality rules: words repeated in a row."""
+"""Quality rules: words repeated in a row, as a statistic and a feature."""
 
-import numpy as np
+import pandas as pd
 
-from pairmatch.llm.quality import quality_rules
+from pairmatch.llm.quality import STATS, features, rule_stats
 
 
-def test_stutter_goes(spark):
+def test_stutter_is_seen():
     """Every word seven times: no capitals, no symbols, and no window that occurs twice."""
-    rng = np.random.default_rng(7)
-    words = ["".join(rng.choice(list("abcdefghij"), rng.integers(2, 8))) for _ in range(500)]
-    rows = [(i, " ".join(np.repeat(rng.choice(words, 40, replace=False), 7) if i % 40 == 0 else rng.choice(words, 200))) for i in range(800)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    labels = spark.createDataFrame([(i, int(i % 40 > 0)) for i in range(800)], "doc_id long, quality int")
-    out = {r.doc_id: r for r in quality_rules(docs, labels).collect()}
-    assert not any(r.base_failed for r in out.values())
-    assert not any(out[i].kept for i in range(0, 800, 40))
-    assert sum(not out[i].kept for i in range(800) if i % 40) <= 2
+    plain = [f"w{i:03d}" for i in range(210)]
+    texts = [" ".join(plain), " ".join(w for w in plain[:30] for _ in range(7))]
+    s = pd.DataFrame([rule_stats(t.encode()) for t in texts], columns=[x.split()[0] for x in STATS.split(", ")])
+    assert s["n_same_next"].tolist() == [0, 180] and s["n_repeat_words"].tolist() == [0, 0]
+    x = features(s)
+    assert (x[0, :-1] == x[1, :-1]).all() and x[0, -1] == 0 and x[1, -1] == 8
