@@ -11,13 +11,16 @@ from .bpe import encode
 from .chat import format_log, read_back, turn_events
 from .common import table
 from .exact import dedup_stream
+from .fptree import search
 from .html import extract_main_text
 from .lm import score_texts
 from .lines import MAX_RATIO, MIN_PAGES, site_line_dedup
 from .minhash import near_duplicates
 from .packing import pack
+from .pieces import encode as encode_pieces
 from .quality import quality_rules
 from .substring import remove_repeats
+from .whiten import whiten
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 
@@ -132,8 +135,41 @@ k AS (SELECT l.r, count(*) AS n_lines, count(b.line) AS n_dropped,
 SELECT doc_id, source, sha256(kept) AS text_sha256, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped
 FROM p LEFT JOIN k USING (r)"""
 
+
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_fp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_TERMS = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+SQL_SEARCH = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS t FROM documents),
+q AS (SELECT i, item_id, unnest(list_distinct(t)) AS term FROM (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS t FROM benchmark)),
+g AS (SELECT count(*) FILTER (len(t) > 0)::BIGINT AS n, sum(len(t))::BIGINT AS l FROM d),
+f AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(t) AS term FROM d)
+      WHERE term IN (SELECT term FROM q) GROUP BY r, term),
+w AS (SELECT term, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+      FROM (SELECT term, count(*)::BIGINT AS df FROM f GROUP BY term), g),
+m AS (SELECT r, doc_id, 100 - 50 + ((50 * len(t)::BIGINT * n) // l) AS m FROM d, g WHERE len(t) > 0),
+s AS (SELECT i, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+      FROM q JOIN w USING (term) JOIN f USING (term) JOIN m USING (r) GROUP BY i, item_id, r, doc_id)
+SELECT item_id, rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score > 0) WHERE rank <= 50"""
+
+
+def op13_piece_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return r.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                    F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                    F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_pitman_yor, op2_retrieval_packing, op3_chat_format, op4_stream_dedup,
                                    op5_seed_extend, op6_quality_forest, op7_bag_minhash, op8_main_text,
-                                   op9_byte_bpe, op10_line_dedup)}
+                                   op9_byte_bpe, op10_line_dedup, op11_whitening, op12_fp_tree, op13_piece_backtracking)}
 ORACLE = {"op3_chat_format": SQL_CHAT, "op4_stream_dedup": SQL_DEDUP, "op5_seed_extend": SQL_REPEATS,
-          "op10_line_dedup": SQL_LINES}
+          "op10_line_dedup": SQL_LINES, "op12_fp_tree": SQL_SEARCH}
