@@ -2,7 +2,9 @@
 
 The reference calls a pretrained subword tokenizer row by row. Here the tokenizer is the
 cleaned-word split (``functions.text.words``) and the vocabulary is learned from the corpus
-(E3); encoding is array expressions plus one join against the (size-bounded) vocabulary.
+(E3); encoding is array expressions plus one join against the vocabulary, whose most frequent
+words are met by broadcast (``skew.spread_join``), so that a word in a third of all texts gathers
+nowhere.
 Every text is tokenised whole (its full length drives the truncation split); only the kept
 prefix is mapped to ids, once per distinct text, not once per pair.
 """
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import words
 from .ranking import global_rank
+from .skew import HEAD, spread_join
 
 # Special token ids and the number of specials around a pair / a single text.
 PAD_ID, UNK_ID, CLS_ID, SEP_ID = 0, 1, 2, 3
@@ -57,15 +60,15 @@ def token_ids(texts: DataFrame, key: str, text_col: str, vocab: DataFrame,
     """(key, n_tokens, ids) per row of ``texts``: the full token count and the ids of the
     first ``keep`` tokens (unknown words -> UNK_ID). One pass over each text: the kept prefix
     is exploded with positions (``posexplode_outer`` keeps empty texts), joined to the
-    vocabulary (broadcast when its size is proven small) and regrouped per key (at most
-    ``keep`` rows per group)."""
+    vocabulary and regrouped per key (at most ``keep`` rows per group). Ids are ranks by falling
+    frequency, so the lowest ``HEAD`` ids are the frequent words."""
     # Tokenise in a projection below the explode: a column computed next to a generator is
     # evaluated once per generated row, which would re-run the regex per kept token.
     t = texts.select(key, words(text_col).alias("_w"))
     t = t.select(key, F.size("_w").alias("n_tokens"), F.slice("_w", 1, keep).alias("_p"))
     ex = t.select(key, "n_tokens", F.posexplode_outer("_p").alias("pos", "token"))
-    v = vocab.select("token", "token_id")
-    mapped = ex.join(v, "token", "left")
+    head = vocab.filter(F.col("token_id") < FIRST_WORD_ID + HEAD)
+    mapped = spread_join(ex, vocab, head, "token", "token_id")
     entry = F.when(F.col("pos").isNotNull(),
                    F.struct("pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("token_id")))
     ids = mapped.groupBy(key).agg(F.max("n_tokens").alias("n_tokens"),

@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import words
-from .sizing import materialize
+from .sizing import materialize, spread_pairs
 
 NUM_FEATURES = 1 << 16
+SIDE_FEATURES = 1 << 13    # per kind of word (argument, key point, shared) in ``hashed_features``
 
 
 def _features(x: DataFrame) -> DataFrame:
@@ -90,19 +91,54 @@ def score_features(model: PipelineModel, features: DataFrame,
                       prob[1].alias("score"), F.col("prediction").cast("int").alias("prediction"))
 
 
+def hashed_features(pairs: DataFrame, arguments: DataFrame, key_points: DataFrame,
+                    num_features: int = SIDE_FEATURES) -> DataFrame:
+    """The features of ``pair_features`` as vectors: an argument's and a key point's words are hashed
+    once per text (``va``, ``vb``), a pair hashes only the words they share (``vs``). A pair row
+    carries the finished vectors, no text. Each iteration of a fit moves one vector of the model's
+    width per task, so the width is what an iteration costs while the pairs are few: raise it with the
+    vocabulary."""
+    def side(texts: DataFrame, key: str, text: str, out: str, vector: str) -> DataFrame:
+        t = texts.select(key, F.array_distinct(words(text)).alias(out))
+        return HashingTF(inputCol=out, outputCol=vector, numFeatures=num_features).transform(t)
+
+    x = (spread_pairs(pairs).join(side(arguments, "arg_id", "argument", "_wa", "va"), "arg_id")
+         .join(side(key_points, "key_point_id", "key_point", "_wb", "vb"), "key_point_id"))
+    na, nb = F.size("_wa").cast("double"), F.size("_wb").cast("double")
+    x = x.select(*pairs.columns, "va", "vb", na.alias("_na"), nb.alias("_nb"), F.array_intersect("_wb", "_wa").alias("_s"))
+    x = HashingTF(inputCol="_s", outputCol="vs", numFeatures=num_features).transform(x)
+    n = F.size("_s").cast("double")
+    x = x.select(*pairs.columns, "va", "vb", "vs", n.alias("n_shared"),
+                 F.coalesce(F.try_divide(n, F.col("_na") + F.col("_nb") - n), F.lit(0.0)).alias("jaccard"),
+                 F.log1p("_na").alias("log_len_a"), F.log1p("_nb").alias("log_len_b"))
+    return VectorAssembler(inputCols=["va", "vb", "vs", "n_shared", "jaccard", "log_len_a", "log_len_b"],
+                           outputCol="features").transform(x).select(*pairs.columns, "features")
+
+
 def fit(train_pairs: DataFrame, pos_weight: float = 1.0, arguments: DataFrame | None = None,
-        key_points: DataFrame | None = None, **kw) -> PipelineModel:
+        key_points: DataFrame | None = None, max_iter: int = 30, reg: float = 0.01,
+        num_features: int = SIDE_FEATURES) -> PipelineModel:
     """M1: fit on labelled pairs (arg_id, key_point_id, label, and the two texts unless the
-    text tables are given)."""
-    feats = pair_features(train_pairs.filter(F.col("label").isNotNull()), arguments, key_points)
-    return fit_features(feats, pos_weight, **kw)
+    text tables are given). With text tables the features are hashed before the join and written
+    once, so the iterations read finished vectors."""
+    labelled = train_pairs.filter(F.col("label").isNotNull())
+    if arguments is None or key_points is None:
+        return fit_features(pair_features(labelled), pos_weight, max_iter=max_iter, reg=reg, num_features=num_features)
+    data = materialize(hashed_features(labelled.select("arg_id", "key_point_id", F.col("label").cast("double").alias("label")),
+                                       arguments, key_points, num_features), "pair-vectors")
+    lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", maxIter=max_iter, regParam=reg)
+    return Pipeline(stages=[lr]).fit(data.withColumn("weight", class_weight("label", pos_weight)))
 
 
 def score(model: PipelineModel, pairs: DataFrame, keep=("arg_id", "key_point_id"),
-          arguments: DataFrame | None = None, key_points: DataFrame | None = None) -> DataFrame:
-    """M3: score candidate pairs (rows without a key point are skipped)."""
-    feats = pair_features(pairs.filter(F.col("key_point_id").isNotNull()), arguments, key_points)
-    return score_features(model, feats, keep)
+          arguments: DataFrame | None = None, key_points: DataFrame | None = None,
+          num_features: int = SIDE_FEATURES) -> DataFrame:
+    """M3: score candidate pairs (rows without a key point are skipped), with the features that the
+    model was fitted on: text tables here if and only if there."""
+    real = pairs.filter(F.col("key_point_id").isNotNull())
+    if arguments is None or key_points is None:
+        return score_features(model, pair_features(real), keep)
+    return score_features(model, hashed_features(real.select(*keep), arguments, key_points, num_features), keep)
 
 
 def kfold_scores(fit_pairs_with_fold: DataFrame, to_score: DataFrame, num_folds: int,

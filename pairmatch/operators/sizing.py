@@ -46,3 +46,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread_pairs(pairs: DataFrame) -> DataFrame:
+    """``pairs`` dealt evenly over the session's shuffle partitions. Pairs come out of joins in the
+    partitions of whatever table was scanned; dealing the ids, before any text or feature is joined,
+    lets the work per pair (and every pass of a fit over the result) use all cores."""
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.repartition(n, "arg_id", "key_point_id")

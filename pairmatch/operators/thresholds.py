@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .matching import best_match
 from .metrics import precision_recall_curve
-from .sizing import with_scalars
+from .sizing import materialize, with_scalars
 
 # Fixed values of the reference's (disabled) threshold modes.
 F1_GRID = ("log", -1.0, 0.0, 5000)      # np.logspace(-1, 0, 5000)
@@ -89,10 +89,10 @@ def f1_threshold(scored: DataFrame, label: str = "label", score: str = "score",
 
 
 def youden_threshold(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """The ROC threshold maximising tpr - fpr (ties -> the higher threshold)."""
-    curve = precision_recall_curve(scored, label, score)
-    tot = scored.agg(F.count(F.when(F.col(label) == 1, 1)).alias("P"),
-                     F.count(F.when(F.col(label) != 1, 1)).alias("N"))
+    """The ROC threshold maximising tpr - fpr (ties -> the higher threshold). The input is read
+    once: its curve (a row per distinct score) is stored, and its last point holds the totals."""
+    curve = materialize(precision_recall_curve(scored, label, score).select("threshold", "tp", "fp"), "roc-curve")
+    tot = curve.agg(F.max("tp").alias("P"), F.max("fp").alias("N"))
     c = with_scalars(curve, tot).select(
         "threshold",
         F.try_divide(F.col("tp").cast("double"), F.col("P").cast("double")).alias("tpr"),
@@ -126,18 +126,21 @@ def best_match_threshold(scored: DataFrame, label: str = "label", pred: str = "p
     argument AND score >= th); the th with the highest F1 (first maximum). Each threshold is
     evaluated on its own (the reference's loop carries flags over between thresholds)."""
     kind, lo, hi, n = grid
-    spark = scored.sparkSession
-    best = best_match(scored.select("arg_id", "key_point_id", "score")).select(
-        "arg_id", "key_point_id", F.lit(True).alias("_best"))
-    x = scored.join(best, ["arg_id", "key_point_id"], "left").select(
-        (F.col(label) == 1).cast("long").alias("y"), (F.col(pred) == 1).alias("p"),
-        F.coalesce("_best", F.lit(False)).alias("best"), F.col("score"))
-    base = x.agg(F.sum(F.when(F.col("p"), F.col("y")).otherwise(0)).alias("tp0"),
-                 F.count(F.when(F.col("p"), 1)).alias("pp0"), F.sum("y").alias("P"))
-    flips = (x.filter(F.col("best") & ~F.col("p"))
-             .select(grid_count_at_or_below(F.col("score"), kind, lo, hi, n).alias("b"), "y")
-             .groupBy("b").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("cnt")))
-    g = grid_grid(spark, kind, lo, hi, n)
+    y, p = (F.col(label) == 1).cast("long"), F.col(pred) == 1
+    real = F.col("score").isNotNull() & ~F.isnan("score") & F.col("arg_id").isNotNull()
+    # one row per argument: its sums, and its best pair (as ``best_match`` picks it) with label and prediction
+    each = scored.groupBy("arg_id").agg(
+        F.sum(F.when(p, y).otherwise(0)).alias("tp0"), F.count(F.when(p, 1)).alias("pp0"), F.sum(y).alias("P"),
+        F.min(F.when(real, F.struct((-F.col("score")).alias("neg"), "key_point_id", y.alias("y"), p.alias("p")))).alias("b"))
+    flip = F.col("b").isNotNull() & ~F.col("b.p")
+    bucket = F.when(flip, grid_count_at_or_below(-F.col("b.neg"), kind, lo, hi, n)).otherwise(F.lit(-1))
+    # at most a row per grid point: both tables below come from it
+    per = materialize(each.groupBy(bucket.alias("b")).agg(
+        F.sum("tp0").alias("tp0"), F.sum("pp0").alias("pp0"), F.sum("P").alias("P"),
+        F.sum(F.when(flip, F.col("b.y")).otherwise(0)).alias("pos"), F.count(F.when(flip, 1)).alias("cnt")), "best-buckets")
+    base = per.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp0", "pp0", "P")])
+    flips = per.filter(F.col("b") >= 0).select("b", "pos", "cnt")
+    g = grid_grid(scored.sparkSession, kind, lo, hi, n)
     j = _grid_suffix(g, flips, ["pos", "cnt"]).withColumnsRenamed({"pos": "tp1", "cnt": "pp1"})
     j = with_scalars(j, base)
     tp = F.col("tp0") + F.col("tp1")

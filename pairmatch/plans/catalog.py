@@ -505,27 +505,32 @@ def q_sample_arguments(spark, sf):
 _SQL_FIT = _SQL_PAIRS.replace("SELECT l.arg_id,", "SELECT a.tid, l.arg_id,")
 
 
+def _overlapping(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Train and dev rows of a split in which one topic got into both."""
+    both = TX.topic_id("arg_id") == 5
+    return rows.filter(F.col("subset") == "train"), rows.filter((F.col("subset") == "dev") | both)
+
+
 @register("fit_pairs", _SQL_FIT + """
 SELECT DISTINCT arg_id, argument, key_point_id, key_point, topic, stance, label
 FROM pairs WHERE tid <= 7""")
 def q_fit_pairs(spark, sf):
-    """Train union dev with full-row dedupe (the k-fold input)."""
+    """Train union dev with full-row dedupe (the k-fold input); topic 5 is in both."""
     t = C.tables(spark, sf)
-    keys = [t.labels.filter(F.col("subset") == s).select("arg_id", "key_point_id", "label") for s in ("train", "dev")]
+    keys = [k.select("arg_id", "key_point_id", "label") for k in _overlapping(t.labels)]
     # texts, topic and stance are functions of the ids: duplicates are found on the keys
     return pairs.labelled_pairs(t.arguments, t.key_points, pairs.fit_pairs(*keys))
 
 
 @register("fit_pairs_all", _SQL_FIT + """
 SELECT arg_id, argument, key_point_id, key_point, topic, stance, label
-FROM pairs WHERE tid <= 7""")
+FROM pairs WHERE tid <= 5
+UNION ALL SELECT arg_id, argument, key_point_id, key_point, topic, stance, label FROM pairs WHERE tid BETWEEN 5 AND 7""")
 def q_fit_pairs_all(spark, sf):
-    """Train union dev without dedupe."""
+    """Train union dev without dedupe: the pairs of topic 5 come twice."""
     t = C.tables(spark, sf)
-    p = pairs.labelled_pairs(t.arguments, t.key_points, t.labels)
-    tr = p.filter(F.col("subset") == "train").drop("subset")
-    dv = p.filter(F.col("subset") == "dev").drop("subset")
-    return pairs.fit_pairs(tr, dv, dedupe=False)
+    tr, dv = _overlapping(pairs.labelled_pairs(t.arguments, t.key_points, t.labels))
+    return pairs.fit_pairs(tr.drop("subset"), dv.drop("subset"), dedupe=False)
 
 
 # ---------------------------------------------------------------- folds
@@ -547,7 +552,7 @@ def _fit_keys(t) -> DataFrame:
     return keys.dropDuplicates()
 
 
-def _sql_kfold(key: str, k: int, src: str = "fit") -> str:
+def sql_kfold(key: str, k: int, src: str = "fit") -> str:
     return f"""
 keys AS (SELECT DISTINCT {key} AS key FROM {src}),
 key_rank AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS i, count(*) OVER () AS n FROM keys),
@@ -563,21 +568,21 @@ fit AS (SELECT DISTINCT arg_id, argument, key_point_id, key_point, topic, stance
         FROM pairs WHERE tid <= 7)"""
 
 
-@register("topic_folds", _SQL_FIT_DEDUP + "," + _sql_kfold("topic", 7) + """
+@register("topic_folds", _SQL_FIT_DEDUP + "," + sql_kfold("topic", 7) + """
 SELECT topic, key_id AS topic_id, fold FROM folds""")
 def q_topic_folds(spark, sf):
     """F1 + W4: topics of train + dev enumerated in sorted order, 7 contiguous folds."""
     return FO.topic_folds(_fit_keys(C.tables(spark, sf)), 7)
 
 
-@register("argument_folds", _SQL_FIT_DEDUP + "," + _sql_kfold("arg_id", 5) + """
+@register("argument_folds", _SQL_FIT_DEDUP + "," + sql_kfold("arg_id", 5) + """
 SELECT arg_id, key_id AS arg_key_id, fold FROM folds""")
 def q_argument_folds(spark, sf):
     """arguments of train + dev in 5 contiguous folds (distributed rank)."""
     return FO.argument_folds(_fit_keys(C.tables(spark, sf)), 5)
 
 
-@register("fold_members", _SQL_FIT_DEDUP + "," + _sql_kfold("topic", 7) + """
+@register("fold_members", _SQL_FIT_DEDUP + "," + sql_kfold("topic", 7) + """
 SELECT f.arg_id, f.key_point_id, f.topic, d.fold FROM fit f JOIN folds d ON f.topic = d.topic""")
 def q_fold_members(spark, sf):
     """F2 + F3: the row keys of every pair with the fold in which it is the dev set (it is in
@@ -597,7 +602,7 @@ SELECT i.fold, 'train' AS role, count(*), count(DISTINCT arg_id), count(DISTINCT
 FROM (SELECT DISTINCT fold FROM m) i JOIN m ON m.fold <> i.fold GROUP BY i.fold"""
 
 
-@register("fold_sizes", _SQL_FIT_DEDUP + "," + _sql_kfold("topic", 7) + """,
+@register("fold_sizes", _SQL_FIT_DEDUP + "," + sql_kfold("topic", 7) + """,
 m AS (SELECT f.*, d.fold FROM fit f JOIN folds d ON f.topic = d.topic)
 """ + _SQL_FOLD_SIZES)
 def q_fold_sizes(spark, sf):
@@ -607,7 +612,7 @@ def q_fold_sizes(spark, sf):
     return FO.fold_sizes(FO.with_folds(fit, folds.select("topic", "fold"), "topic"))
 
 
-@register("argument_fold_sizes", _SQL_FIT_DEDUP + "," + _sql_kfold("arg_id", 5) + """,
+@register("argument_fold_sizes", _SQL_FIT_DEDUP + "," + sql_kfold("arg_id", 5) + """,
 m AS (SELECT f.*, d.fold FROM fit f JOIN folds d ON f.arg_id = d.arg_id)
 """ + _SQL_FOLD_SIZES)
 def q_argument_fold_sizes(spark, sf):
@@ -675,7 +680,7 @@ _SQL_TEST_MAP = f"""
 mp AS (SELECT avg(ap_strict) AS s, avg(ap_relaxed) AS r FROM ap WHERE {_IS_TEST.format(c='topic')})"""
 
 
-@register("kfold_report", _SQL_ENS + "," + _SQL_FIT_DEDUP + "," + _sql_kfold("topic", 7) + """,
+@register("kfold_report", _SQL_ENS + "," + _SQL_FIT_DEDUP + "," + sql_kfold("topic", 7) + """,
 fl_dev AS (
   SELECT fs.*, fit.label FROM fs JOIN fit ON fs.arg_id = fit.arg_id AND fs.key_point_id = fit.key_point_id
   JOIN folds d ON fit.topic = d.topic AND fs.fold = d.fold),
@@ -699,12 +704,9 @@ def q_kfold_report(spark, sf):
         "arg_id", "key_point_id", "label", "fold")
     dev = _fold_scored(t, own)
     lab = t.labels.filter(F.col("subset") == "test").select("arg_id", "key_point_id", "label")
-    per_fold = EN.join_fold_metrics(
-        metrics.binary_metrics(dev, group_cols=["fold"]),
-        metrics.binary_metrics(_fold_scored(t, lab), group_cols=["fold"], suffix="_test"))
-    ens = EN.ensemble_scores(_fold_scored(t, subset="test")).select("arg_id", "key_point_id", "score")
-    mAP = EV.calc_map(ens, test.arguments, test.key_points, test.labels)
-    return C.normalised(EN.fold_report(per_fold, "ensemble", 7, mAP))
+    report, _ = EV.kfold_run("ensemble", _fold_scored(t, subset="test").drop("subset"), test.arguments, test.key_points,
+                             test.labels, 7, dev_scored=dev, test_labelled=_fold_scored(t, lab))
+    return C.normalised(report)
 
 
 # ---------------------------------------------------------------- corpus profile
@@ -725,8 +727,10 @@ SELECT count(*) AS n_rows, count(DISTINCT topic) AS n_topics, count(DISTINCT arg
        count(DISTINCT topic) <> count(*) AS dup_topic
 FROM pairs""")
 def q_corpus_profile(spark, sf):
-    """A10 + A11 + A24 over the labelled pairs."""
-    return PR.corpus_profile(_all_pairs(C.tables(spark, sf)))
+    """A10 + A11 + A24 over the labelled pairs; texts are digested in their own tables."""
+    t = C.tables(spark, sf)
+    p = pairs.labelled_pairs(PR.digested(t.arguments, "argument"), PR.digested(t.key_points, "key_point"), t.labels)
+    return PR.corpus_profile(p.drop("subset"), texts=())
 
 
 @register("label_counts", _SQL_PAIRS + """
@@ -884,8 +888,7 @@ SELECT round(score, 6) AS threshold, round(tpr, 6) AS tpr, round(fpr, 6) AS fpr,
 FROM j ORDER BY tpr - fpr DESC, score DESC LIMIT 1""")
 def q_threshold_youden(spark, sf):
     """Youden threshold argmax(tpr - fpr) on labelled candidates."""
-    lab = _labelled(C.tables(spark, sf)).select("label", "score")
-    return C.normalised(TH.youden_threshold(materialize(lab, "labelled")))   # read twice: written once
+    return C.normalised(TH.youden_threshold(_labelled(C.tables(spark, sf)).select("label", "score")))
 
 
 @register("predict_stored_threshold", _SQL_LABELLED.replace(
@@ -940,9 +943,7 @@ SELECT round(CASE WHEN f1 > 0 THEN th ELSE -1 END, 6) AS threshold, round(f1, 6)
 FROM f1 ORDER BY f1 DESC, i LIMIT 1""")
 def q_threshold_best_match(spark, sf):
     """Best-match-above-threshold mode tuned over np.linspace(0, 0.1, 100)."""
-    lab = materialize(_labelled(C.tables(spark, sf)).select(
-        "arg_id", "key_point_id", "label", "score", "prediction"), "labelled")
-    return C.normalised(TH.best_match_threshold(lab))
+    return C.normalised(TH.best_match_threshold(_labelled(C.tables(spark, sf))))
 
 
 @register("early_stop_epoch", """
@@ -994,12 +995,12 @@ from ..operators import encode as ENC  # noqa: E402
 MAX_LENGTH = 40
 TOPIC_MAX_LENGTH = 10
 
-_SQL_WORDS = ("list_filter(string_split(regexp_replace(lower({c}), '[^a-zA-Z]', ' ', 'g'), ' '), "
+SQL_WORDS = ("list_filter(string_split(regexp_replace(lower({c}), '[^a-zA-Z]', ' ', 'g'), ' '), "
               "lambda s: s <> '')")
 
 _SQL_VOCAB = f"""
 corpus AS (SELECT argument AS x FROM a UNION ALL SELECT key_point AS x FROM k),
-cw AS (SELECT unnest({_SQL_WORDS.format(c='x')}) AS token FROM corpus),
+cw AS (SELECT unnest({SQL_WORDS.format(c='x')}) AS token FROM corpus),
 cnt AS (SELECT token, count(*) AS n FROM cw GROUP BY token),
 vr AS (SELECT token, n, row_number() OVER (ORDER BY n DESC, token) AS r FROM cnt),
 vocab AS (SELECT token, CAST(r - 1 + {ENC.FIRST_WORD_ID} AS INTEGER) AS token_id, n FROM vr)"""
@@ -1018,7 +1019,7 @@ def q_vocabulary(spark, sf):
 
 def _sql_ids(name: str, key: str, text: str, src: str, keep: int) -> str:
     return f"""
-{name}_w AS (SELECT {key} AS key, {_SQL_WORDS.format(c=text)} AS w FROM {src}),
+{name}_w AS (SELECT {key} AS key, {SQL_WORDS.format(c=text)} AS w FROM {src}),
 {name}_x AS (SELECT key, unnest(w[1:{keep}]) AS token, generate_subscripts(w[1:{keep}], 1) AS pos
            FROM {name}_w),
 {name}_m AS (SELECT x.key, list(coalesce(v.token_id, {ENC.UNK_ID}) ORDER BY x.pos) AS ids
@@ -1249,8 +1250,8 @@ def q_run_experiment(spark, sf):
 
 
 @register("pair_features", _SQL_PAIRS + f""",
-w AS (SELECT arg_id, key_point_id, label, list_distinct({_SQL_WORDS.format(c='argument')}) AS wa,
-             list_distinct({_SQL_WORDS.format(c='key_point')}) AS wb FROM pairs),
+w AS (SELECT arg_id, key_point_id, label, list_distinct({SQL_WORDS.format(c='argument')}) AS wa,
+             list_distinct({SQL_WORDS.format(c='key_point')}) AS wb FROM pairs),
 s AS (SELECT *, len(list_intersect(wa, wb)) AS n FROM w)
 SELECT arg_id, key_point_id, len(wa) + len(wb) + n AS n_tokens, CAST(n AS DOUBLE) AS n_shared,
        round(coalesce(CAST(n AS DOUBLE) / nullif(len(wa) + len(wb) - n, 0), 0), 6) AS jaccard,
@@ -1269,18 +1270,15 @@ def q_pair_features(spark, sf):
 
 @register("model_scores")
 def q_model_scores(spark, sf):
-    """M1-M3: a class-weighted logistic-regression pair classifier fitted on the train pairs
-    scores every test candidate (iterative fit: rows-only check). Pairs carry ids only; each
-    text is tokenised once from its own table."""
+    """M1-M3: a class-weighted logistic-regression pair classifier on hashed words, fitted on the
+    train pairs, scores every test candidate (iterative fit: rows-only check; the fit that SQL can
+    recompute is ``pair_newton_fit``). Each subset's texts are tokenised once."""
     t = C.tables(spark, sf)
-    texts_a = t.arguments.select("arg_id", "argument")
-    texts_k = t.key_points.select("key_point_id", "key_point")
-    train = t.labels.filter(F.col("subset") == "train").select("arg_id", "key_point_id", "label")
-    model = MD.fit(train, pos_weight=2.0, arguments=texts_a, key_points=texts_k)
-    test = t.subset("test")
-    cands = pairs.candidate_ids(test.arguments, test.key_points).filter(
-        F.col("key_point_id").isNotNull())
-    return C.normalised(MD.score(model, cands, arguments=texts_a, key_points=texts_k))
+    train, test = t.subset("train"), t.subset("test")
+    model = MD.fit(train.labels.select("arg_id", "key_point_id", "label"), pos_weight=2.0,
+                   arguments=train.arguments, key_points=train.key_points)
+    cands = pairs.candidate_ids(test.arguments, test.key_points).filter(F.col("key_point_id").isNotNull())
+    return C.normalised(MD.score(model, cands, arguments=test.arguments, key_points=test.key_points))
 
 
 @register("stream_best_match", C.SQL_MATCHED + """
@@ -1296,13 +1294,14 @@ def q_stream_best_match(spark, sf):
 
 
 @register("task_tables_csv", """
-SELECT l.arg_id, a.argument, l.key_point_id, k.key_point, a.topic, a.stance, l.label
+SELECT l.arg_id, a.argument, l.key_point_id, CASE WHEN a.tid >= 8 THEN concat('submitted: ', k.key_point) ELSE k.key_point END AS key_point,
+       a.topic, a.stance, l.label
 FROM lab l JOIN a ON l.arg_id = a.arg_id JOIN k ON l.key_point_id = k.key_point_id""")
 def q_task_tables_csv(spark, sf):
     """S1 + S2 + S3: every subset written as the task's three CSV files (test under test_data,
     train / dev under kpm_data), loaded back with explicit schemas through the subset routing
-    (the test key points through the submitted-key-point override) and joined into the
-    labelled pairs. Texts with quotes and line breaks survive the round trip."""
+    (the test key points from a submitted file with other texts, in place of the gold one) and
+    joined into the labelled pairs. Texts with quotes and line breaks survive the round trip."""
     t = C.tables(spark, sf)
     root = IO.scratch_path(spark, "task-csv")
     parts = []
@@ -1310,8 +1309,11 @@ def q_task_tables_csv(spark, sf):
         x = t.subset(sub)
         IO.write_task_tables(x.arguments.drop("subset"), x.key_points.drop("subset"),
                              x.labels.drop("subset"), IO.subset_dir(root, sub), sub)
+    kps = t.subset("test").key_points.drop("subset")
+    submitted = IO.write_key_points(kps.withColumn("key_point", F.concat(F.lit("submitted: "), "key_point")),
+                                    IO.scratch_path(spark, "submitted-key-points"))
     for sub in ("train", "dev", "test"):
-        override = (f"{IO.subset_dir(root, sub)}/key_points_{sub}.csv" if sub == "test" else None)
+        override = submitted if sub == "test" else None
         a, k, lab = IO.load_task_tables(spark, root=root, subset=sub, submitted_kp_file=override)
         parts.append(pairs.labelled_pairs(a, k, lab))
     out = parts[0]
@@ -1336,11 +1338,11 @@ _SQL_TOK = ("list_concat(list_transform(kw.wb, lambda w: 'b:' || w), "
             "list_transform(list_intersect(aw.wa, kw.wb), lambda w: 's:' || w))")
 
 
-@register("model_kfold_ensemble", f"""
-aw AS (SELECT arg_id, list_distinct({_SQL_WORDS.format(c='argument')}) AS wa FROM a),
-kw AS (SELECT key_point_id, list_distinct({_SQL_WORDS.format(c='key_point')}) AS wb FROM k),
+@register("naive_bayes_kfold_ensemble", f"""
+aw AS (SELECT arg_id, list_distinct({SQL_WORDS.format(c='argument')}) AS wa FROM a),
+kw AS (SELECT key_point_id, list_distinct({SQL_WORDS.format(c='key_point')}) AS wb FROM k),
 fitp AS (SELECT l.arg_id, l.key_point_id, l.label, a.topic FROM lab l JOIN a ON l.arg_id = a.arg_id
-         WHERE a.tid <= 7),""" + _sql_kfold("topic", 7, "fitp") + f""",
+         WHERE a.tid <= 7),""" + sql_kfold("topic", 7, "fitp") + f""",
 trows AS (SELECT f.arg_id, f.key_point_id, f.label, d.fold FROM fitp f JOIN folds d ON f.topic = d.topic),
 ttok AS (SELECT t.label, t.fold, unnest({_SQL_TOK}) AS token
          FROM trows t JOIN aw ON t.arg_id = aw.arg_id JOIN kw ON t.key_point_id = kw.key_point_id),
@@ -1372,7 +1374,7 @@ lg AS (SELECT c.arg_id, c.key_point_id, p.target, p.prior + coalesce(sw.s, 0) AS
 SELECT arg_id, key_point_id, round(avg(1.0 / (1.0 + exp(-logit))), 6) AS score, count(*) AS n_folds,
        CAST(max(CASE WHEN target = 0 AND logit > 0 THEN 1 ELSE 0 END) AS INTEGER) AS prediction
 FROM lg GROUP BY arg_id, key_point_id""")
-def q_model_kfold_ensemble(spark, sf):
+def q_naive_bayes_kfold_ensemble(spark, sf):
     """M4 + J9: seven naive-Bayes pair models, model f trained on the train + dev pairs of
     every topic fold but f (one pass of leave-one-fold-out counts), score every test
     candidate; the ensemble is the mean score per pair, the prediction that of fold 0."""
@@ -1408,8 +1410,8 @@ def _shared_word_scorer():
 cand AS (SELECT a.arg_id, k.key_point_id FROM a JOIN k ON a.topic = k.topic AND a.stance = k.stance
          AND a.tid = k.tid),
 sh AS (SELECT c.arg_id, c.key_point_id,
-              CAST(len(list_intersect(list_distinct({_SQL_WORDS.format(c='a.argument')}),
-                                      list_distinct({_SQL_WORDS.format(c='k.key_point')}))) AS DOUBLE) AS l1
+              CAST(len(list_intersect(list_distinct({SQL_WORDS.format(c='a.argument')}),
+                                      list_distinct({SQL_WORDS.format(c='k.key_point')}))) AS DOUBLE) AS l1
        FROM cand c JOIN a ON c.arg_id = a.arg_id JOIN k ON c.key_point_id = k.key_point_id)
 SELECT arg_id, key_point_id, CAST(0.0 AS DOUBLE) AS l0, l1, round(1.0 / (1.0 + exp(-l1)), 6) AS score FROM sh""")
 def q_outside_scorer_scores(spark, sf):
@@ -1422,3 +1424,7 @@ def q_outside_scorer_scores(spark, sf):
     texts = pairs.pair_text_by_key(cands, t.arguments, t.key_points)
     logits = score_with(texts, _shared_word_scorer)
     return C.normalised(logits.withColumn("score", SC.positive_softmax("l0", "l1")))
+
+
+from . import catalog_models  # noqa: E402, F401
+from . import catalog_scale  # noqa: E402, F401

@@ -3,10 +3,12 @@ report row, the submission and the prediction file."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ensemble, matching, metrics
+from ..operators import ensemble, matching, metrics, pairs
 from ..operators.sizing import with_scalars
 from ..sources import io
 
@@ -55,10 +57,48 @@ def run_experiment(out_dir: str, name: str, dev_scored: DataFrame, dev_labels: D
 
 
 def kfold_run(name: str, fold_scored: DataFrame, arguments: DataFrame, key_points: DataFrame,
-              labels: DataFrame, num_folds: int) -> tuple[DataFrame, DataFrame]:
-    """The k-fold report (A19) and the ensemble scores (J9) from per-fold scoring outputs."""
-    lab = labelled_scores(fold_scored, labels)
+              labels: DataFrame, num_folds: int, dev_scored: DataFrame | None = None,
+              test_labelled: DataFrame | None = None, mode: str = "plain",
+              add_info: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The k-fold report (A19) and the ensemble scores (J9, A20) from per-fold scoring outputs.
+
+    ``fold_scored``: every fold's (fold, arg_id, key_point_id, score, prediction) of the test
+    candidates. ``dev_scored``: each fold's labelled scores of its own held-out pairs (ledger L13); the
+    report then has the metrics of both parts, 16 in all. ``test_labelled``: the labelled rows of
+    ``fold_scored`` where the caller has them cheaper than by a join of all folds."""
+    lab = labelled_scores(fold_scored, labels) if test_labelled is None else test_labelled
     per_fold = metrics.binary_metrics(lab, group_cols=["fold"], suffix="_test")
-    ens = ensemble.ensemble_scores(fold_scored)
+    if dev_scored is not None:
+        per_fold = ensemble.join_fold_metrics(metrics.binary_metrics(dev_scored, group_cols=["fold"]), per_fold)
+    first = [c for c in ("prediction", "golden_label") if c in fold_scored.columns]
+    ens = ensemble.ensemble_scores(fold_scored, first)
     mAP = calc_map(ens, arguments, key_points, labels)
-    return ensemble.fold_report(per_fold, name, num_folds, mAP), ens
+    return ensemble.fold_report(per_fold, name, num_folds, mAP, mode, add_info), ens
+
+
+def run_folds(spark: SparkSession, run_dir: str, num_folds: int,
+              fold_scores: Callable[[int], DataFrame]) -> DataFrame:
+    """M4 / A19 as a run that can be taken up again: ``fold_scores(f)`` is planned and written under
+    ``run_dir`` for each fold that has no committed result there, in order; folds of an earlier,
+    interrupted run are kept as they are. Returns all folds as one table with a ``fold`` column.
+
+    A fold counts as committed when Spark's marker of a finished job is in its folder, so what a
+    killed run left half-written is written anew."""
+    paths = [f"{run_dir}/fold={f}" for f in range(num_folds)]
+    for f, path in enumerate(paths):
+        if not io.path_exists(spark, f"{path}/_SUCCESS"):
+            fold_scores(f).write.mode("overwrite").parquet(path)
+    return spark.read.option("basePath", run_dir).parquet(*paths)
+
+
+def load_pairs(spark: SparkSession, root: str, subset: str, ratio: float = 1.0, seed: int = 42,
+               submitted_kp_file: str | None = None, fmt: str = "csv") -> DataFrame:
+    """The pairs of a subset from its task files, by name: ``test`` gives every candidate pair with its
+    gold label where there is one (J3, J4); ``test_eval`` the labelled pairs of the same files; ``train``,
+    ``dev`` (or ``eval``) their labelled pairs (J1, J2), reduced to those of a ``ratio`` of the
+    arguments (T4). Scoring subsets are never sampled (ledger L29)."""
+    arguments, key_points, labels = io.load_task_tables(spark, subset=subset, root=root, submitted_kp_file=submitted_kp_file, fmt=fmt)
+    if subset == "test":
+        return pairs.candidate_pairs(arguments, key_points, labels)
+    out = pairs.labelled_pairs(arguments, key_points, labels)
+    return out if subset == "test_eval" else pairs.sample_arguments(out, ratio, seed)

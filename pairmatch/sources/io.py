@@ -74,6 +74,12 @@ def write_task_tables(args: DataFrame, kps: DataFrame, labels: DataFrame, out_di
         _csv_writer(df).csv(str(base / f"{name}_{subset}.csv"))
 
 
+def write_key_points(kps: DataFrame, path: str) -> str:
+    """A key-point file of its own (what a submission hands in, S3)."""
+    _csv_writer(kps).csv(path)
+    return path
+
+
 def _csv_writer(df: DataFrame):
     # Texts keep their edges: Spark's CSV writer trims leading / trailing blanks by default.
     return (df.write.mode("overwrite").option("header", True).option("escape", '"')
@@ -175,7 +181,7 @@ REPORT_TEXT = ("name", "mode", "add_info", "model_path")
 
 
 def write_report(report: DataFrame, path: str) -> str:
-    """S7 sink: write the export form to a new folder (swap it in place of the old one)."""
+    """S7 sink: write the export form to a new folder (``publish_report`` swaps it in)."""
     report_export_frame(report).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
     return path
 
@@ -186,6 +192,65 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("string") for c in REPORT_TEXT if c in df.columns})
 
 
+# ---------------------------------------------------------------- published tables
+
+POINTER = "CURRENT"
+
+
+def _fs(spark: SparkSession, path: str):
+    """(file context, path) of Hadoop's file API: the store that Spark itself writes to."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark._jsc.hadoopConfiguration()), p
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.util().exists(p)
+
+
+def _point_to(spark: SparkSession, root: str, version: str) -> None:
+    """Write the pointer beside its place and rename it over the old one: readers see the old
+    version or the new one, never none and never a part."""
+    jvm = spark._jvm
+    fs, new = _fs(spark, f"{root}/.{POINTER}-{uuid.uuid4().hex}")
+    flags = jvm.java.util.EnumSet.of(jvm.org.apache.hadoop.fs.CreateFlag.CREATE)
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.CreateOpts, 0)
+    out = fs.create(new, flags, options)
+    out.write(bytearray(version.encode()))
+    out.close()
+    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    fs.rename(new, jvm.org.apache.hadoop.fs.Path(f"{root}/{POINTER}"), how)
+
+
+def current_version(spark: SparkSession, root: str) -> str | None:
+    """The folder that readers of ``root`` follow; None before anything was published."""
+    if not path_exists(spark, f"{root}/{POINTER}"):
+        return None
+    return f"{root}/{spark.read.text(f'{root}/{POINTER}').first()[0]}"
+
+
+def publish_report(report: DataFrame, root: str) -> str:
+    """S7 swap: the report becomes a new version folder under ``root``, and only when it is written
+    whole does the pointer move to it. A run that dies before leaves the old report in place; its
+    half-written folder is never read. Old versions stay for readers that have them open."""
+    version = f"v-{uuid.uuid4().hex}"
+    write_report(report, f"{root}/{version}")
+    _point_to(report.sparkSession, root, version)
+    return f"{root}/{version}"
+
+
+def read_published(spark: SparkSession, root: str) -> DataFrame | None:
+    path = current_version(spark, root)
+    return None if path is None else read_report(spark, path)
+
+
+def upsert_published(new: DataFrame, root: str) -> str:
+    """Replace or add the rows of ``new`` in the report published at ``root``."""
+    return publish_report(report_upsert(read_published(new.sparkSession, root), new), root)
+
+
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     """Per-epoch training history rows (run, epoch, eval_loss) as JSON lines."""
     return spark.read.schema(HISTORY_SCHEMA).json(path)
