@@ -6,7 +6,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +52,13 @@ def lean_group(task):
     return run
 
 
+def refuse_clash(carry: Iterable[str], results: Iterable[str]) -> None:
+    """Raise if a carried column is named like a result column."""
+    clash = sorted(set(carry) & set(results))
+    if clash:
+        raise ValueError(f"carried columns named like result columns: {clash}")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

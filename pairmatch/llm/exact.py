@@ -37,6 +37,8 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+    # RocksDB would set aside some 4 MB of disk for every state partition, however little it holds
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
@@ -52,9 +54,10 @@ def _rows(docs: DataFrame, digest: Callable[[Column], Column], text: bool = Fals
     """One row per document: its order among equal texts, its locator and its digest; as wanted,
     the normalised text and its SHA-256."""
     norm = normalised(F.col("text"))
+    place = docs.metadataColumn("_metadata")             # not a column of the table that has this name
     return docs.select(
         "doc_id", (-F.char_length(F.coalesce("text", F.lit("")))).cast("long").alias("order"),
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"),
+        place["file_path"].alias("file"), place["row_index"].alias("row"),
         digest(norm).alias("digest"), *([norm.alias("norm")] if text else []), *([sha256(norm).alias("sha")] if sha else []))
 
 

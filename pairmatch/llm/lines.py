@@ -16,7 +16,7 @@ whose hot host AQE splits.
 Lines end at \\n and are compared as they are. Blank lines (empty or spaces) are never counted nor
 dropped. A null text stays null and counts as a page without lines; rows of a null host form a host
 of their own; repeated rows are treated alike; an empty table gives an empty result. Of the input's
-other columns only those named in ``carry`` are kept.
+other columns only those named in ``carry`` are kept, whatever their names; ``n_lines`` and ``n_dropped`` are refused.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import refuse_clash, stored
 
 MAX_RATIO = 0.05
 MIN_PAGES = 5
@@ -52,15 +52,17 @@ def boilerplate(docs: DataFrame, host: str, max_ratio: float, min_pages: int) ->
 def site_line_dedup(docs: DataFrame, host: str = "source", max_ratio: float = MAX_RATIO,
                     min_pages: int = MIN_PAGES, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``carry`` columns, ``host``, cleaned ``text``, ``n_lines`` and ``n_dropped`` of every row."""
-    rows = docs.select(*carry, *[c for c in (host, "text") if c not in carry])
-    bad = stored(boilerplate(rows, host, max_ratio, min_pages), "boilerplate").select(
-        F.col("host").alias("_site"), F.col("drop").alias("_drop"))
-    kept = F.when(F.col("_drop").isNull(), F.col("_all")).otherwise(F.filter(
-        "_all", lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_drop"), _digest(x))))
-    out = (rows.join(bad, F.col(host).eqNullSafe(F.col("_site")), "left")
-           .withColumn("_all", _lines(F.col("text"))).withColumn("_kept", kept))
-    n = F.coalesce(F.size("_all"), F.lit(0))
+    own = [c for c in dict.fromkeys((*carry, host)) if c != "text"]
+    refuse_clash(own, ("n_lines", "n_dropped"))
+    # what is carried travels in a struct: no name in it can meet one used here
+    rows = docs.select(F.struct(*own).alias("own"), F.col(host).alias("site"), "text")
+    bad = stored(boilerplate(rows, "site", max_ratio, min_pages), "boilerplate")
+    kept = F.when(F.col("drop").isNull(), F.col("all")).otherwise(F.filter(
+        "all", lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("drop"), _digest(x))))
+    out = (rows.join(bad, F.col("site").eqNullSafe(F.col("host")), "left")
+           .withColumn("all", _lines(F.col("text"))).withColumn("kept", kept))
+    n = F.coalesce(F.size("all"), F.lit(0))
     return out.select(
-        *[F.col(c) for c in rows.columns if c != "text"], F.array_join("_kept", "\n").alias("text"),
+        *[F.col("own").getField(c).alias(c) for c in own], F.array_join("kept", "\n").alias("text"),
         F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_lines"),
-        F.when(F.col("text").isNull(), 0).otherwise(n - F.size("_kept")).cast("long").alias("n_dropped"))
+        F.when(F.col("text").isNull(), 0).otherwise(n - F.size("kept")).cast("long").alias("n_dropped"))

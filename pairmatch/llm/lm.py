@@ -24,7 +24,7 @@ handful of totals reach the driver.
 
 Words are hashed to 64 bits, word pairs to 40 bits inside a shard. A null or empty text is its end token
 alone. A row of a null doc_id is held out. Repeated rows are separate texts. An empty table gives an
-empty result; of the other columns only those in ``carry`` are kept.
+empty result; of the other columns only those in ``carry`` are kept; one named like a result column is refused.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_words, blocks, lean, lean_group, mix, open_block, stored, total_size, word_hashes
+from .common import block_words, blocks, lean, lean_group, mix, open_block, refuse_clash, stored, total_size, word_hashes
 
 ROUNDS = 2                                 # rounds of sampling against the totals of the round before
 BURN_IN = 1                                # first Gibbs sweeps of a round, which are thrown away
@@ -273,6 +273,7 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, seed: int = 1, carry: tup
     """``carry`` columns (doc_id among them), ``held_out``, ``n_tokens``, ``n_known``,
     ``train_tokens``, ``base_score``, ``score`` and ``perplexity`` of every row."""
     carry = list(dict.fromkeys(["doc_id", *carry]))
+    refuse_clash(carry, ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"))
     parts = blocks(docs.select(*carry, *[c for c in ["text"] if c not in carry]), carry, "lm-blocks", rows=100_000,
                    size=LM_BLOCK, bucketed=True)
     shards = max(1, total_size(parts) // SHARD_BYTES)

@@ -29,7 +29,7 @@ Words are cut at white space. A text of one to four words has one shingle, all i
 empty and blank texts have none, and each is a class of its own. Repeated rows are equal documents.
 A class is named by its smallest doc_id, a null id counting as largest; the kept document is the
 one with that id, and of equal ids the first row. An empty table gives an empty result; of the
-other columns only those in ``carry`` are kept.
+other columns only those in ``carry`` are kept; one that is named like a result column is refused.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import block_words, blocks, gram_hash, lean, mix, open_block, stored, word_hashes
+from .common import block_words, blocks, gram_hash, lean, mix, open_block, refuse_clash, stored, word_hashes
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -235,6 +235,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
                     rows: int = ROWS, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``carry`` columns (doc_id among them), ``class_id``, ``class_size`` and ``kept`` of every row."""
     carry = list(dict.fromkeys(["doc_id", *carry]))
+    refuse_clash(carry, ("class_id", "class_size", "kept"))
     parts = blocks(docs.select(*carry, *[c for c in ["text"] if c not in carry]), carry, "near-blocks", bucketed=True)
     return _classes(parts, words, similarity, bands, rows).select("d.*", "class_id", "class_size", "kept")
 

@@ -20,7 +20,7 @@ block; no pairs of occurrences are formed. The number of shards grows with the t
 A null text counts as empty and has no words. A null doc_id is ordered after all others. Rows with
 equal doc_id are ordered by their place in the input; the later of two repeated rows loses its
 words to the earlier. Texts of any length are whole. An empty table gives an empty result; of the
-other columns only those in ``carry`` are kept.
+other columns only those in ``carry`` are kept; one that is named like a result column is refused.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_words, blocks, gram_hash, lean, lean_group, mix, open_block, stored, total_size, word_hashes
+from .common import block_words, blocks, gram_hash, lean, lean_group, mix, open_block, refuse_clash, stored, total_size, word_hashes
 
 WINDOW = 20
 GRAM = 10                      # words of an anchor
@@ -109,6 +109,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, carr
     (kept words joined by a space), ``text`` (the text without the removed spans) and ``spans``
     (first word and number of words of each removed span)."""
     carry = list(dict.fromkeys(["doc_id", *carry]))
+    refuse_clash(carry, ("n_words", "n_removed", *want))
     parts = blocks(docs.select(*carry, *[c for c in ["text"] if c not in carry]), carry, "repeat-blocks")
     shards = max(1, total_size(parts) // SHARD_BYTES)
 

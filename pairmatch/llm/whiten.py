@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, stored
+from .common import lean, refuse_clash, stored
 
 SCALE = 256.0
 SAFE = 1 << 20            # grid entries up to here are multiplied as doubles, 8,192 rows at a time: exact
@@ -250,9 +250,7 @@ def whiten(df: DataFrame, vector: str = "embedding", carry: Sequence[str] = ("ve
            scale: float = SCALE) -> DataFrame:
     """One row per remaining row and component: the ``carry`` columns, ``component`` (from 1), ``n``,
     ``deviation``, ``whitened``, ``explained`` and ``identity_error``. ``components=None``: all."""
-    clash = [c for c in carry if c in RESULT]
-    if clash:
-        raise ValueError(f"carried columns named like result columns: {clash}")
+    refuse_clash(carry, RESULT)
     spark = df.sparkSession
     clean = df.select(F.struct(*carry).alias("own"), grid(F.col(vector), scale).alias("x")).filter(F.size("x") > 0)
     sizes = clean.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
