@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_path, scratch_table
 
 # The white space every operator splits words on: space and \x09-\x0D, nothing wider.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -65,7 +64,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that ``spark.checkpoint.dir`` names (shared by the cluster)."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return scratch_path(spark, name)
 
 
 @contextlib.contextmanager
@@ -142,7 +141,7 @@ def blocks(docs: DataFrame, carry: list[str], name: str, rows: int = BLOCK_ROWS,
     if not bucketed:
         return stored(out, name)
     spark, path = docs.sparkSession, scratch(docs.sparkSession, name)
-    own = path.rsplit("/", 1)[1].replace("-", "_")
+    own = scratch_table(path)
     with small_batches(spark):
         (out.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block")
          .option("path", path).saveAsTable(own))

@@ -1,12 +1,18 @@
 """Main-text extraction from HTML (operator 8).
 
 The standard library's streaming parser turns a page into lines, one per block element. Each
-line has a text-to-tag ratio; the ratios are smoothed with a Gaussian over neighbouring lines and
-the lines at or above the threshold (the standard deviation of the smoothed ratios) are clustered
-into content regions. A region is the article / main element or else the nearest container the
-line stands in, and a region that holds a content line is kept with all its lines, so a short
-paragraph between long ones stays. Elements that are boilerplate by their tag, role or class
-(menus, footers, sidebars, notices, adverts, forms, scripts, reader comments) never become lines.
+line has a text-to-tag ratio; the ratios are smoothed with a Gaussian over neighbouring lines, and
+lines at or above the threshold (the standard deviation of the smoothed ratios) are content lines.
+They are clustered by region: the article / main element or else the nearest container the line
+stands in. A region's weight is the text of its content lines. An article's region is kept if it has
+any; another region if it outweighs the page's largest article by far or, on a page without one, has
+a fixed share of the heaviest region's weight. A kept region stays with all its lines, so a
+short paragraph between long ones stays; regions that are mostly links go.
+
+What HTML itself marks as something else by tag or role (menus, footers, asides, forms, scripts)
+never becomes a line, nor what class or id mark as notice, sidebar, sharing or reader comments:
+prose of its own, which no ratio tells from an article. Adverts are left to the ratios, but inside
+an article, whose region they share.
 
 Rows are independent: one map stage, no shuffle, memory bounded by one page. A null or empty page,
 or one without text, gives an empty text; repeated rows give repeated results; other columns of
@@ -43,12 +49,16 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
                   "menubar toolbar".split())
 # Words in a class or id that mark boilerplate.
 NOISE = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsbygoogle adsense banner sponsor sponsored "
-    "sponsors promo promotion promoted sidebar sidebars nav navbar navigation menu menus breadcrumb "
+    "banner sidebar sidebars nav navbar navigation menu menus breadcrumb "
     "breadcrumbs footer masthead cookie cookies consent gdpr notice notices notification popup modal "
     "overlay newsletter subscribe subscription signup login social share sharing related recommended "
     "widget pagination pager toolbar skip disclaimer".split())
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising adsbygoogle adsense sponsor sponsored "
+                    "sponsors promo promotion promoted".split())
 COMMENTS = frozenset("comment comments commentlist reply replies respond disqus discussion".split())
+REGION_SHARE = 0.25       # of the heaviest region's weight, on pages without an article
+ARTICLE_FACTOR = 4        # times an article's text, for a region outside it,
+ARTICLE_LEAST = 300       # and at least so many characters
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -62,6 +72,7 @@ class _Lines(HTMLParser):
         self.open = Counter()
         self.parts: list[str] = []
         self.tags = self.linked = self.regions = 0
+        self.articles: set[int] = set()
 
     # skip kinds: 0 none, 1 boilerplate (an article inside ends it), 2 never text
     def _top(self):
@@ -95,7 +106,7 @@ class _Lines(HTMLParser):
             return 0
         if tag == "header":
             return 0 if inside else 1
-        if a.get("role", "").lower() in ROLES or words & NOISE or "hidden" in a or \
+        if a.get("role", "").lower() in ROLES or words & NOISE or inside and words & ADVERTS or "hidden" in a or \
                 re.search(r"display\s*:\s*none", a.get("style", "")):
             return 1
         return 0
@@ -119,6 +130,7 @@ class _Lines(HTMLParser):
             if not inside:
                 self.regions += 1
                 region = self.regions
+                self.articles.add(region)
             inside = True
         elif tag in CONTAINERS and not inside:
             self.regions += 1
@@ -157,6 +169,22 @@ def smooth(ratios: np.ndarray, sigma: float) -> np.ndarray:
     return full / np.convolve(np.ones(len(ratios)), w)[r:r + len(ratios)]
 
 
+def content_regions(lines: list[tuple[str, int, int, int]], articles: set[int], sigma: float,
+                    max_link_share: float) -> set[int]:
+    """The regions to keep of a page's lines (text, tags, link characters, region)."""
+    ratio = smooth(np.array([len(t) / n for t, n, _, _ in lines], dtype=float), sigma)
+    high = ratio >= min(ratio.std(), ratio.max())
+    weight, links, chars = Counter(), Counter(), Counter()
+    for (t, _, linked, region), h in zip(lines, high):
+        weight[region] += len(t) * bool(h)
+        links[region] += linked
+        chars[region] += len(t)
+    prose = {r: weight[r] for r in chars if weight[r] and links[r] <= max_link_share * chars[r]}
+    main = max((chars[r] for r in prose if r in articles), default=0)
+    bar = max(ARTICLE_FACTOR * main, ARTICLE_LEAST) if main else REGION_SHARE * max(prose.values(), default=0)
+    return {r for r, w in prose.items() if r in articles or w >= bar}
+
+
 def main_text(html: str | None, sigma: float = 1.0, max_link_share: float = 0.5) -> str:
     """The text of the content regions of one page, one line per block."""
     p = _Lines()
@@ -164,14 +192,7 @@ def main_text(html: str | None, sigma: float = 1.0, max_link_share: float = 0.5)
     p.close()
     if not p.lines:
         return ""
-    ratio = smooth(np.array([len(t) / n for t, n, _, _ in p.lines], dtype=float), sigma)
-    high = ratio >= min(ratio.std(), ratio.max())
-    weight, links, chars = Counter(), Counter(), Counter()
-    for (t, _, linked, region), h in zip(p.lines, high):
-        weight[region] += len(t) * bool(h)
-        links[region] += linked
-        chars[region] += len(t)
-    keep = {r for r in chars if weight[r] and links[r] <= max_link_share * chars[r]}
+    keep = content_regions(p.lines, p.articles, sigma, max_link_share)
     return "\n".join(t for t, _, _, r in p.lines if r in keep)
 
 

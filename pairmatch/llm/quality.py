@@ -39,7 +39,7 @@ MARKS = b"!?"
 WINDOW = 8
 TREES, PSI, SEED = 100, 256, 20
 BINS = 1000
-MAX_GOOD_LOSS = 0.002    # share of good labelled rows that calibration may give up
+MAX_GOOD_LOSS = 0.005    # share of good labelled rows that calibration may give up at most
 
 STATS = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
          "n_upper long, n_marks long, n_same_next long")
@@ -165,18 +165,21 @@ def fit_forest(x: np.ndarray, trees: int, psi: int, seed: int) -> Forest:
 
 
 def calibrate(bins: list[tuple[int, int, int]], max_good_loss: float = MAX_GOOD_LOSS) -> float:
-    """The lowest threshold that gives up at most ``max_good_loss`` of the good labelled rows.
-    ``bins``: (score bin, good rows, bad rows). Above every score if a kind is missing."""
+    """The threshold that parts the two kinds of labelled rows best (share of bad rows rejected plus
+    share of good rows kept), among those that give up at most ``max_good_loss`` of the good ones; the
+    highest of equals. ``bins``: (score bin, good rows, bad rows). Above every score if a kind is
+    missing or no threshold is better than none."""
     good, bad = sum(b[1] for b in bins), sum(b[2] for b in bins)
-    best = np.inf
+    threshold, best = np.inf, 0.0
     if good and bad:
-        lost = 0
-        for b, g, _ in sorted(bins, reverse=True):
-            lost += g
+        lost = caught = 0
+        for b, g, x in sorted(bins, reverse=True):
+            lost, caught = lost + g, caught + x
             if lost > max_good_loss * good:
                 break
-            best = b / BINS
-    return best
+            if caught / bad - lost / good > best:
+                threshold, best = b / BINS, caught / bad - lost / good
+    return threshold
 
 
 @dataclass
