@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import words
 from .sizing import materialize, spread_pairs
+from .skew import HEAD, spread_join
 
 NUM_FEATURES = 1 << 16
 SIDE_FEATURES = 1 << 13    # per kind of word (argument, key point, shared) in ``hashed_features``
@@ -192,7 +193,8 @@ def naive_bayes_kfold(train_tokens: DataFrame, train_rows: DataFrame, score_toke
     seen in folds != f; weight(t) = ln((n(t,1)+a) / (N(1)+aV)) - ln((n(t,0)+a) / (N(0)+aV));
     prior = ln((R(1)+1) / (R(0)+1)) over training rows; logit = prior + sum of weights of the
     pair's known tokens. Leave-one-fold-out counts are totals minus the fold's own counts, so
-    no model is fitted k times; every step is a partial aggregate or a key join.
+    no model is fitted k times; every step is a partial aggregate or a key join, and the join of the
+    pairs' tokens, where a word may be in every pair, is a ``spread_join``.
     Returns (arg_id, key_point_id, fold, logit, score, prediction)."""
     a = float(alpha)
     y = F.col("label") == 1
@@ -218,14 +220,17 @@ def naive_bayes_kfold(train_tokens: DataFrame, train_rows: DataFrame, score_toke
                                           F.count(F.when(~y, 1)).alias("r0"))
     priors = (rows.select("fold", "r1", "r0", targets).filter(F.col("fold") != F.col("target"))
               .groupBy("target").agg(F.log((F.sum("r1") + 1.0) / (F.sum("r0") + 1.0)).alias("prior")))
-    sums = (score_tokens.filter(F.col("token").isNotNull())
-            .join(weights, "token")
-            .groupBy("arg_id", "key_point_id", "target").agg(F.sum("w").alias("_s")))
-    pairs = score_tokens.select("arg_id", "key_point_id").distinct()
-    grid = pairs.select("arg_id", "key_point_id", targets).join(
-        F.broadcast(priors), "target")  # k rows: a proven bound
-    logit = F.col("prior") + F.coalesce("_s", F.lit(0.0))
-    return (grid.join(sums, ["arg_id", "key_point_id", "target"], "left")
-            .select("arg_id", "key_point_id", F.col("target").cast("int").alias("fold"),
-                    logit.alias("logit"), (F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))).alias("score"),
+    # one row per token with its k weights; its frequent tokens meet the pairs by broadcast
+    packed = materialize(weights.groupBy("token").agg(F.array(*[
+        F.coalesce(F.max(F.when(F.col("target") == f, F.col("w"))), F.lit(0.0)) for f in range(num_folds)]).alias("ws")), "token-weights")
+    frequent = tot.orderBy((F.col("t1") + F.col("t0")).desc(), "token").limit(HEAD).select("token")
+    head = packed.join(F.broadcast(frequent), "token", "left_semi")      # at most HEAD rows
+    met = spread_join(score_tokens.select("arg_id", "key_point_id", "token"), packed, head, "token", "ws")
+    sums = met.groupBy("arg_id", "key_point_id").agg(*[
+        F.sum(F.coalesce(F.col("ws")[f], F.lit(0.0))).alias(f"_s{f}") for f in range(num_folds)])
+    logits = F.array(*[F.struct(F.lit(int(r.target)).alias("fold"), (F.lit(float(r.prior)) + F.col(f"_s{r.target}")).alias("logit"))
+                       for r in priors.collect()])                     # at most k rows
+    logit = F.col("logit")
+    return (sums.select("arg_id", "key_point_id", F.inline(logits))
+            .select("arg_id", "key_point_id", "fold", "logit", (F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))).alias("score"),
                     (logit > 0).cast("int").alias("prediction")))

@@ -21,13 +21,12 @@ tied rows depend on partitioning.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_path
 from .sizing import join_groups
 
 _RID = "_pm_rid"
@@ -37,8 +36,7 @@ _POS_BITS = 33  # monotonically_increasing_id = partition index << 33 | row posi
 
 def _ordered(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column]) -> DataFrame:
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/ranked-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "ranked")
     ordered = (df.orderBy(*[F.col(c) for c in group_cols], *order)
                .withColumn(_RID, F.monotonically_increasing_id()))
     ordered.write.mode("overwrite").parquet(path)

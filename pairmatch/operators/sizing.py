@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 
 def join_groups(left: DataFrame, right: DataFrame, group_cols: Sequence[str], keys: Sequence[str] = (),
                 how: str = "inner") -> DataFrame:
@@ -39,11 +41,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as parquet to the shared checkpoint folder and read it back: a table
     used by several branches of a plan (a vocabulary, a ranked table) is computed once, and
     its lineage is cut, so a lost executor re-reads files instead of recomputing upstream."""
-    import uuid
-
-    from ..session import ensure_checkpoint_dir
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

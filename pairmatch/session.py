@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -69,3 +70,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="pairmatch-ckpt-", dir=base)
     sc.setCheckpointDir(path)
     return path
+
+
+_SCRATCH: list[str] = []     # folders that this process made and has not dropped
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder under the reliable checkpoint folder (shared on a cluster)."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def scratch_table(path: str) -> str:
+    """The catalog name of a table kept in a scratch folder."""
+    return path.rsplit("/", 1)[1].replace("-", "_")
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the scratch folders of this process, and the catalog entries of tables in them; returns
+    how many. Frames are lazy and read these folders when they run, so this is for the end of a job,
+    when its results are written; only folders made by ``scratch_path`` here are touched."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    dropped = 0
+    while _SCRATCH:
+        path = _SCRATCH.pop()
+        spark.sql(f"DROP TABLE IF EXISTS `{scratch_table(path)}`")
+        p = hadoop.Path(path)
+        dropped += bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True))
+    return dropped

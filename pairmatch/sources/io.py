@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_path  # noqa: F401
 from .schemas import (ARGUMENT_SCHEMA, HISTORY_SCHEMA, KEY_POINT_SCHEMA, LABEL_SCHEMA,
                       SUBMISSION_SCHEMA, require_keys)
 
@@ -254,9 +254,3 @@ def upsert_published(new: DataFrame, root: str) -> str:
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     """Per-epoch training history rows (run, epoch, eval_loss) as JSON lines."""
     return spark.read.schema(HISTORY_SCHEMA).json(path)
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the reliable checkpoint folder (shared on a cluster)."""
-    base = ensure_checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

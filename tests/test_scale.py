@@ -230,3 +230,18 @@ def test_kfold_run_has_both_parts(spark):
     assert r["name"] == "r_kfold" and r["acc"] == r["acc_test"] == 1.0 and {"f1", "f1_test", "auc", "auc_test", "mAP_strict"} <= set(r)
     assert r["auc"] == pytest.approx(sum(x.auc for x in binary_metrics(dev, group_cols=["fold"]).collect()) / 2)
     assert {x.arg_id: x.golden_label for x in ens.collect()} == {f"arg_1_{i}": i % 2 for i in range(8)}
+
+
+def test_scratch_is_dropped_at_the_end_of_a_job(spark, tmp_path, monkeypatch):
+    from pairmatch import session
+    from pairmatch.operators.sizing import materialize
+    monkeypatch.setattr(session, "_SCRATCH", [])          # the folders of other tests stay
+    df = materialize(spark.range(5), "kept")
+    path = session._SCRATCH[0]
+    table = session.scratch_path(spark, "bucketed")
+    spark.range(3).write.option("path", table).saveAsTable(session.scratch_table(table))
+    assert df.count() == 5 and IO.path_exists(spark, path)
+    assert session.drop_scratch(spark) == 2 and session._SCRATCH == []
+    assert not IO.path_exists(spark, path) and not IO.path_exists(spark, table)
+    assert not spark.catalog.tableExists(session.scratch_table(table))
+    assert session.drop_scratch(spark) == 0
