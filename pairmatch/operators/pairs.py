@@ -75,7 +75,7 @@ def sample_arguments(pairs: DataFrame, ratio: float, seed: int = 42) -> DataFram
     md5(seed | arg_id), first k kept. No table is sorted for it (``smallest``)."""
     if ratio >= 1.0:
         return pairs
-    ids = materialize(pairs.select("arg_id").distinct().withColumn(
+    ids = materialize(pairs.select("arg_id").filter(F.col("arg_id").isNotNull()).distinct().withColumn(
         "_h", F.md5(F.concat(F.lit(f"{seed}|"), F.col("arg_id")))), "sample-ids")
     chosen = smallest(ids, "_h", "arg_id", int(ids.count() * ratio)).select("arg_id")
     return pairs.join(chosen, "arg_id", "left_semi")
@@ -88,8 +88,9 @@ def smallest(rows: DataFrame, digest: str, key: str, k: int) -> DataFrame:
     """The ``k`` rows of smallest (``digest``, ``key``), without sorting the table. Hex digests are
     spread evenly, so a histogram of their first digits (65,536 counts) tells the bucket in which the
     k-th row lies: buckets before it are taken whole, and only that one is put in order. Stored or
-    otherwise repeatable ``rows`` are read twice."""
+    otherwise repeatable ``rows`` are read twice; rows without a digest are not taken."""
     prefix = F.substring(digest, 1, PREFIX)
+    rows = rows.filter(F.col(digest).isNotNull())
     counts = rows.groupBy(prefix.alias("p")).count().collect()       # at most 16 ** PREFIX rows
     taken, cut = 0, None
     for p, n in sorted((r["p"], r["count"]) for r in counts):

@@ -108,6 +108,13 @@ def test_smallest(spark, k):
     assert sorted(r.id for r in pairs.smallest(df, "h", "id", k).collect()) == sorted(want)
 
 
+def test_smallest_without_digests(spark):
+    df = spark.createDataFrame([("a", "0f"), ("b", None), ("c", "01")], "id string, h string")
+    assert [r.id for r in pairs.smallest(df, "h", "id", 1).collect()] == ["c"] and pairs.smallest(df, "h", "id", 9).count() == 2
+    p = spark.createDataFrame([("a", 1), (None, 2), ("b", 3)], "arg_id string, x int")
+    assert {r.arg_id for r in pairs.sample_arguments(p, 0.5).collect()} < {"a", "b"}
+
+
 def test_smallest_plans_no_range_sort(spark):
     df = spark.range(1000).select(F.col("id").cast("string").alias("id"), F.md5(F.col("id").cast("string")).alias("h"))
     plan = pairs.smallest(df, "h", "id", 300)._jdf.queryExecution().executedPlan().toString()
