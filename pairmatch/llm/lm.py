@@ -18,7 +18,8 @@ Plan. Blocks of documents and shards of hashed keys exchange messages: blocks se
 their distinct words and word pairs, shards answer with corpus totals, and in every round blocks
 send the tables of the pairs they own (one block owns a pair) and get the totals of contexts and
 words. Customers past a dish's first 32 are seated in runs (see ``seat``). Draws are made by hashing the pair, so every block that meets a pair seats it alike and no
-seating is sent. A frequent word or pair is one entry per block. The blocks are stored in buckets by
+seating is sent; what a block seated in a round comes back to it with the answers, so each round is
+seated once. A frequent word or pair is one entry per block. The blocks are stored in buckets by
 block number, so they are read, never shuffled. The number of shards grows with the text; only a
 handful of totals reach the driver.
 
@@ -213,34 +214,37 @@ class Tokens:
 
 
 class Model:
-    """What a block knows of the corpus, and the samples of the rounds so far."""
+    """What a block knows of the corpus, and the samples of the last round: its own tables, and the
+    totals of all blocks."""
 
     def __init__(self, tok: Tokens, replies: dict, totals: dict, shards: int, seed: int):
         self.tok, self.total, self.seed = tok, totals, seed
         self.c, = _read(replies["words"], tok.keys, 1, shards)
         self.cp, self.own = _read(replies["pairs"], tok.pair_keys, 2, shards)
-        # of each round and sample: tables by context, customers and tables of the root by word
-        self.rounds = [np.reshape(_read(replies[f"round{r}"], tok.keys, 3 * SAMPLES, shards), (SAMPLES, 3, -1))
-                       for r in range(1, totals["rounds"] + 1)]
-
-    def root(self, r: int, k: int) -> np.ndarray:
-        """The root's probability of each word after round r, by sample k (r = 0: at the start)."""
-        if r == 0:
+        self.round = totals["rounds"]
+        if self.round:
+            # of each sample: tables by context, customers and tables of the root by word
+            self.last = np.reshape(_read(replies["round"], tok.keys, 3 * SAMPLES, shards), (SAMPLES, 3, -1))
+            self.state = _unpack(replies["state"][0]["values"], "<u4").reshape(SAMPLES, -1).astype(float)
+
+    def root(self, k: int) -> np.ndarray:
+        """The root's probability of each word after the last round, by sample k (or at the start)."""
+        if not self.round:
             return (self.c + 1 / (self.total["v"] + 1)) / (self.total["n"] + 1)
-        t, tables = self.total[f"customers{r}"][k], self.total[f"tables{r}"][k]
-        _, w, wt = self.rounds[r - 1][k]
+        t, tables = self.total["customers"][k], self.total["tables"][k]
+        _, w, wt = self.last[k]
         return (w - ROOT_DISCOUNT * wt + (ROOT_STRENGTH + ROOT_DISCOUNT * tables) / (self.total["v"] + 1)) / (ROOT_STRENGTH + t)
 
-    def tables(self, r: int) -> list[np.ndarray]:
-        """Tables of each pair in the samples of round r, given the totals of the round before."""
-        tok = self.tok
+    def tables(self) -> np.ndarray:
+        """Tables of each pair in the samples of the next round, given the totals of the last one."""
+        tok, r = self.tok, self.round + 1
         if r == 1:
             others = (self.c.astype(float) ** DISCOUNT)[tok.u] - 1
         else:                                            # the context's tables less the pair's own
-            others = self.rounds[r - 2][:, 0].mean(axis=0)[tok.u] - np.mean(self.tables(r - 1), axis=0)
+            others = self.last[:, 0].mean(axis=0)[tok.u] - self.state.mean(axis=0)
         start = np.minimum(self.cp, 1).astype(float)
         many = np.flatnonzero(self.cp > 1)
-        p = self.root(r - 1, 0)[tok.w[many]]
+        p = self.root(0)[tok.w[many]]
         weight = STRENGTH + DISCOUNT * np.maximum(0.0, others[many])
         states = gibbs(self.cp[many], weight * p, DISCOUNT * p, DISCOUNT,
                        tok.pair_keys[many] ^ U((self.seed * 1000 + r) * STEP % WRAP), BURN_IN + SAMPLES)[BURN_IN:]
@@ -248,23 +252,23 @@ class Model:
         for t in states:
             out.append(start.copy())
             out[-1][many] = t
-        return out
+        return np.stack(out)
 
-    def sums(self, r: int) -> list[np.ndarray]:
+    def sums(self, tables: np.ndarray) -> list[np.ndarray]:
         """Per sample, the tables per context and per word of the pairs this block owns."""
         n = len(self.tok.keys)
         return [np.bincount(x, weights=t * self.own, minlength=n).astype(np.int64)
-                for t in self.tables(r) for x in (self.tok.u, self.tok.w)]
+                for t in tables for x in (self.tok.u, self.tok.w)]
 
     def log10(self) -> tuple[np.ndarray, np.ndarray]:
         """Of each pair, the predictive probability averaged over the last round's samples; of each
         word, the base."""
-        tok, r, total = self.tok, self.total["rounds"], 0.0
+        tok, total = self.tok, 0.0
         cu = self.c[tok.u]
-        for k, t in enumerate(self.tables(r)):
+        for k, t in enumerate(self.state):
             stay = (self.cp - DISCOUNT * t) / (STRENGTH + cu)
-            back = (STRENGTH + DISCOUNT * self.rounds[r - 1][k][0][tok.u]) / (STRENGTH + cu)
-            total = total + stay + back * self.root(r, k)[tok.w]
+            back = (STRENGTH + DISCOUNT * self.last[k][0][tok.u]) / (STRENGTH + cu)
+            total = total + stay + back * self.root(k)[tok.w]
         base = (self.c + 0.1) / (self.total["n"] + 0.1 * (self.total["v"] + 1))
         return np.log10(total / SAMPLES), np.log10(base)
 
@@ -280,7 +284,8 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, seed: int = 1, carry: tup
     parts = parts.withColumn("ids", F.transform("d", lambda x: x["doc_id"].cast("string")))
 
     def ask(messages, *replies: tuple[str, DataFrame], totals=None) -> DataFrame:
-        """Run ``messages(tokens, model)`` on every block: (kind, keys, columns) each."""
+        """Run ``messages(tokens, model)`` on every block: (kind, keys, columns) each, and what the
+        block keeps for itself (a message of kind "state", which comes back as it is)."""
         names = [n for n, _ in replies]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,7 +294,9 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, seed: int = 1, carry: tup
                     block, ids, body, lens, *got = (c[i].as_py() for c in batch.columns)
                     tok = Tokens(ids, body, lens)
                     model = Model(tok, dict(zip(names, got)), totals, shards, seed) if totals else None
-                    rows = [m for kind, keys, cols in messages(tok, model) for m in _messages(kind, block, keys, cols, shards)]
+                    sent, state = messages(tok, model)
+                    rows = [m for kind, keys, cols in sent for m in _messages(kind, block, keys, cols, shards)]
+                    rows += [("state", block, block, b"", _pack(state.astype("<u4")))] if state is not None else []
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))],
                         names=["kind", "shard", "block", "keys", "values"])
@@ -302,6 +309,8 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, seed: int = 1, carry: tup
         """Totals of each key over all blocks, to be sent back to the blocks, and sums over all keys."""
         def run(b: pd.DataFrame) -> pd.DataFrame:
             kind = b["kind"].iloc[0]
+            if kind == "state":
+                return b[["kind", "block", "shard", "values"]].assign(stats=[[0] * (2 * SAMPLES)] * len(b))
             keys = [_unpack_keys(k, _key_bytes(kind)) for k in b["keys"]]
             n = [len(k) for k in keys]
             cols = [_unpack(v, "<u4").reshape(-1, m) for v, m in zip(b["values"], n)]
@@ -333,14 +342,19 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, seed: int = 1, carry: tup
     def for_blocks(got: DataFrame, kind: str, name: str) -> tuple[str, DataFrame]:
         return name, got.filter(F.col("kind") == kind).groupBy("block").agg(F.collect_list(F.struct("shard", "values")).alias(name))
 
-    got = answered(ask(lambda tok, _: [("words", tok.keys, [tok.words_n]), ("pairs", tok.pair_keys, [tok.pairs_n])]), "lm-counts")
+    def seated(tok: Tokens, m: Model):
+        tables = m.tables()
+        return [("round", tok.keys, m.sums(tables))], tables
+
+    got = answered(ask(lambda tok, _: ([("words", tok.keys, [tok.words_n]), ("pairs", tok.pair_keys, [tok.pairs_n])], None)), "lm-counts")
     totals = dict(zip(("n", "v"), stats(got, "words")), rounds=0)
-    replies = [for_blocks(got, "words", "words"), for_blocks(got, "pairs", "pairs")]
+    counts = [for_blocks(got, "words", "words"), for_blocks(got, "pairs", "pairs")]
+    replies = counts
     for r in range(1, rounds + 1):
-        got = answered(ask(lambda tok, m, r=r: [("round", tok.keys, m.sums(r))], *replies, totals=dict(totals)), "lm-round", dict(totals))
+        got = answered(ask(seated, *replies, totals=dict(totals)), "lm-round", dict(totals))
         s = stats(got, "round")
-        totals |= {f"customers{r}": s[::2], f"tables{r}": s[1::2], "rounds": r}
-        replies.append(for_blocks(got, "round", f"round{r}"))
+        totals |= {"customers": s[::2], "tables": s[1::2], "rounds": r}
+        replies = [*counts, for_blocks(got, "round", "round"), for_blocks(got, "state", "state")]
 
     names = [n for n, _ in replies]
 
@@ -373,7 +387,7 @@ def root_tables(customers: np.ndarray, keys: np.ndarray, totals: dict) -> np.nda
     """Tables of the root restaurant, one shard of its dishes, given the tables of all shards in the
     round before. In the first round the other shards' tables are taken as many per dish as this
     shard's (keys are hashed, so shards are alike)."""
-    before = totals.get(f"tables{totals['rounds']}")
+    before = totals.get("tables")
     t = np.minimum(customers, 1).astype(float)
     base, many = 1 / (totals["v"] + 1), np.flatnonzero(customers > 1)
     for k in range(3):

@@ -80,13 +80,14 @@ def test_probabilities_add_up():
     tok = lm.Tokens([str(d) for d, _ in train] + [str(held)], zstandard.ZstdCompressor().compress(b"".join(texts)),
                     np.array([len(t) for t in texts], dtype=np.int64).tobytes())
     m = lm.Model.__new__(lm.Model)
-    m.tok, m.seed, m.c, m.cp, m.own, m.rounds = tok, 1, tok.words_n, tok.pairs_n, 1, []
+    m.tok, m.seed, m.c, m.cp, m.own, m.round = tok, 1, tok.words_n, tok.pairs_n, 1, 0
     m.total = {"n": int(m.c.sum()), "v": int((m.c > 0).sum()), "rounds": 0}
     for r in (1, 2):
-        sums = m.sums(r)
+        state = m.tables()
+        sums = m.sums(state)
         root = [lm.root_tables(w, tok.keys, m.total) for w in sums[1::2]]
-        m.rounds.append(np.array(list(zip(sums[::2], sums[1::2], root))))
-        m.total |= {f"customers{r}": [int(w.sum()) for w in sums[1::2]], f"tables{r}": [int(t.sum()) for t in root], "rounds": r}
+        m.last, m.state, m.round = np.array(list(zip(sums[::2], sums[1::2], root))), state, r
+        m.total |= {"customers": [int(w.sum()) for w in sums[1::2]], "tables": [int(t.sum()) for t in root], "rounds": r}
     logp, _ = m.log10()
     w3 = int(np.flatnonzero(tok.keys == lm.word_hashes(lm.pa.array(["w3"]))[0][0])[0])
     assert len(set(tok.w[tok.u == w3])) == 14
