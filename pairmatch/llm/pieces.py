@@ -23,7 +23,6 @@ without byte fallback are refused.
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterator
 
@@ -122,10 +121,12 @@ def merge(symbols: list[str], score: dict[str, float]) -> list[str]:
 class Encoder:
     """Words to pieces by backtracking. A character that the model lacks is a piece of its own."""
 
-    def __init__(self, model: Model):
+    def __init__(self, model: Model, reached: list[str] | None = None):
         self.model, self.score = model, model.score
         # a piece that merging its own characters does not give never comes up in a text
-        reached = [p for p in model.score if len(p) == 1 or merge(list(p), model.score) == [p]]
+        if reached is None:
+            reached = [p for p in model.score if len(p) == 1 or merge(list(p), model.score) == [p]]
+        self.reached = reached
         known = set(reached)
         self.longest = ahocorasick.Automaton()
         self.shorter: dict[str, str] = {}
@@ -196,12 +197,6 @@ class Encoder:
         return out
 
 
-@functools.lru_cache(maxsize=1)
-def encoder_of(raw: bytes) -> Encoder:
-    """The encoder of a model file's content; a worker keeps it, and its pairs, over its tasks."""
-    return Encoder(Model(raw))
-
-
 def read_model(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()
@@ -263,11 +258,11 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """``doc_id``, ``ids`` (array of int) and ``decoded`` (the text of these ids) of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     raw = read_model(model_path)
-    Model(raw)                                            # refuses here what it doesn't support
+    reached = Encoder(Model(raw)).reached                 # found once; refuses here what it doesn't support
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(raw)
-        model = encoder.model
+        model = Model(raw)
+        encoder = Encoder(model, reached)
         surface, at = _surfaces(model)
         cache: dict[str, bytes] = {}
         words, code = encoder.words, encoder.encode

@@ -8,9 +8,10 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from pairmatch.llm.pieces import Model, decode_ids, encode, encoder_of, merge, read_model
+from pairmatch.llm.pieces import Encoder, Model, decode_ids, encode, merge, read_model
 
 PATH = P.path("piece_bpe_32k.model")
+ENCODER = Encoder(Model(read_model(PATH)))
 TEXTS = [None, "", " ", "\n\n  \n", "<s> hi\n\tthe  café ▁x 日 <0x41> </s><unk>", "▁", "▁▁ a", "it's 12345 !!",
          " " * 15, " " * 40 + "the end ", "日本語のテキスト　です", "🙂🙂 áé x y", "\x00\x07 control", "aaaa" * 900,
          "Étion dans, çouelle üöäß ñ ciónrr", "é ‍ �"]
@@ -22,7 +23,7 @@ def library():
 
 
 def same(text, library):
-    e = encoder_of(read_model(PATH))
+    e = ENCODER
     ids = [i for w in e.words(text) for i in e.encode(w)]
     assert ids == library.encode(text)
     assert decode_ids(e.model, ids) == library.decode(ids)
@@ -65,7 +66,7 @@ def test_long_unbroken_word(library):
 
 
 def test_split_is_merging():
-    e = encoder_of(read_model(PATH))
+    e = ENCODER
     rng = random.Random(5)
     for _ in range(2000):
         w = "".join(rng.choice("▁▁aeinrsthld") for _ in range(rng.randint(1, 18)))

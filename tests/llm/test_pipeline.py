@@ -12,7 +12,7 @@ import test_lines
 import test_minhash
 import test_packing
 import test_substring
-from pairmatch.llm.common import stored, table
+from pairmatch.llm.common import scratch, stored, table
 from pairmatch.llm.quality import quality_rules
 from tokenizers import Tokenizer
 
@@ -71,3 +71,40 @@ def test_packing_stage(stages):
 
 def test_run(spark, stages):
     assert P.run(spark, SF).count() == stages[5].count()
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, kept string, own int"
+LABELS = "doc_id long, quality int, toxic int, text string"
+
+
+def folder(spark, name, docs, labels):
+    path = scratch(spark, name)
+    spark.createDataFrame(docs, DOCS).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, LABELS).write.parquet(f"{path}/labels.parquet")
+    return path
+
+
+def test_empty_table_through_all_stages(spark):
+    out = P.run(spark, folder(spark, "pipeline-empty", [], []))
+    assert out.collect() == [] and "sequence_id" in out.columns
+
+
+def test_odd_rows_through_all_stages(spark):
+    """Null ids, texts, hosts and labels, repeated rows, blank texts and extra columns."""
+    import random
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(400)]
+    good = [(i, " ".join(rng.choices(words, k=60)) + "\nand a line", "en", f"s{i % 3}", None, 0.5, "x", 1) for i in range(30)]
+    odd = [(None, good[3][1] + " end", None, None, None, None, None, None), (100, None, "en", "s1", 0, 1.0, "y", 2), (101, "", "en", "s1", 0, 1.0, "y", 2),
+           (102, " \n\t ", "en", None, 3, None, None, 3), (103, "long " * 30_000, "en", "s2", 1, 0.0, "z", 4), good[5], good[5]]
+    labels = [(i, 1, 0, "t") for i in range(20)] + [(101, 0, 0, None), (None, 0, None, None), (5, None, 1, None)]
+    sf = folder(spark, "pipeline-odd", good + odd, labels)
+    kept = table(spark, sf, "documents")
+    for name, stage in P.STAGES[:-1]:
+        kept = stored(stage(spark, kept, sf), f"odd-{name}")
+        assert kept.columns == COLUMNS
+    ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
+    # too short or too repetitive: rejected; of the repeated rows one stays; near copies go by the smallest id
+    assert ids == list(range(30))
+    pieces = stored(P.STAGES[-1][1](spark, kept, sf), "odd-packing")
+    assert sorted({r.doc_id for r in pieces.collect() if r.doc_id is not None}) == ids
