@@ -225,7 +225,13 @@ class Model:
         if self.round:
             # of each sample: tables by context, customers and tables of the root by word
             self.last = np.reshape(_read(replies["round"], tok.keys, 3 * SAMPLES, shards), (SAMPLES, 3, -1))
-            self.state = _unpack(replies["state"][0]["values"], "<u4").reshape(SAMPLES, -1).astype(float)
+            self.state = self.whole(_unpack(replies["state"][0]["values"], "<u4").reshape(SAMPLES, -1))
+
+    def whole(self, kept: np.ndarray) -> np.ndarray:
+        """Tables of all pairs from those of pairs with several customers: one customer has one table."""
+        out = np.tile(np.minimum(self.cp, 1).astype(float), (SAMPLES, 1))
+        out[:, self.cp > 1] = kept
+        return out
 
     def root(self, k: int) -> np.ndarray:
         """The root's probability of each word after the last round, by sample k (or at the start)."""
@@ -344,7 +350,7 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, seed: int = 1, carry: tup
 
     def seated(tok: Tokens, m: Model):
         tables = m.tables()
-        return [("round", tok.keys, m.sums(tables))], tables
+        return [("round", tok.keys, m.sums(tables))], tables[:, m.cp > 1]
 
     got = answered(ask(lambda tok, _: ([("words", tok.keys, [tok.words_n]), ("pairs", tok.pair_keys, [tok.pairs_n])], None)), "lm-counts")
     totals = dict(zip(("n", "v"), stats(got, "words")), rounds=0)

@@ -59,6 +59,7 @@ def test_each_round_is_seated_once(spark, monkeypatch):
     sums = m.sums(state)
     m.last, m.state, m.round = np.array([(u, w, w) for u, w in zip(sums[::2], sums[1::2])]), state, 1
     m.total |= {"customers": [int(w.sum()) for w in sums[1::2]], "tables": [int(w.sum()) for w in sums[1::2]], "rounds": 1}
+    assert (m.whole(state[:, m.cp > 1]) == state).all()        # what is sent is enough
     seated = []
     monkeypatch.setattr(lm, "gibbs", lambda *a, f=lm.gibbs: seated.append(1) or f(*a))
     m.log10()
