@@ -126,6 +126,16 @@ def pair_text_by_key(pair_keys: DataFrame, arguments: DataFrame, key_points: Dat
     return pair_keys.join(a, "arg_id").join(k, "key_point_id")
 
 
+def pair_text_topic_stance(pair_keys: DataFrame, arguments: DataFrame, key_points: DataFrame) -> DataFrame:
+    """E2 (add_info='topic,stance') on pair ids: ``topic_segment`` is made per argument and travels
+    with its id, so no join is keyed by the few topics. Arguments without topic or stance have no
+    segment and no pairs here."""
+    segment = F.element_at(extra_segments(topic="topic", stance="stance"), 1)
+    a = arguments.filter(F.col("topic").isNotNull() & F.col("stance").isNotNull())
+    keys = pair_keys.join(a.select("arg_id", segment.alias("topic_segment")), "arg_id")
+    return pair_text_by_key(keys, arguments, key_points)
+
+
 def pair_segments(pairs: DataFrame, add_info: str | None = None) -> DataFrame:
     """Cleaned pair plus the extra segments named in ``add_info`` (comma list, e.g.
     'topic,stance'), as ``segments`` array<string>. Unlike the reference (ledger L6) the

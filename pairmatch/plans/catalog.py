@@ -338,16 +338,12 @@ SELECT arg_id, key_point_id, {_CLEAN_SQL.format(c="argument")} AS argument_clean
               CASE WHEN stance = 1 THEN ' is positive' ELSE ' is negative' END) AS topic_segment
 FROM pairs""")
 def q_pair_text_topic_stance(spark, sf):
-    """Cleaned pair plus the topic + stance segment (add_info='topic,stance'); texts
-    cleaned once per argument / key point, the segment once per (topic, stance)."""
+    """Cleaned pair plus the topic + stance segment (add_info='topic,stance'); texts and the
+    segment are made once per argument / key point. There are only a few dozen (topic, stance), so
+    the segment comes with the argument: a join on them would gather all pairs in a few tasks."""
     t = C.tables(spark, sf)
-    keys = t.labels.select("arg_id", "key_point_id").join(
-        t.arguments.select("arg_id", "topic", "stance"), "arg_id")
-    p = pairs.pair_text_by_key(keys, t.arguments, t.key_points)
-    seg = keys.select("topic", "stance").distinct().withColumn(
-        "topic_segment", F.element_at(TX.extra_segments(topic="topic", stance="stance"), 1))
-    p = p.join(seg, ["topic", "stance"])
-    return p.select("arg_id", "key_point_id", "argument_clean", "key_point_clean", "topic_segment")
+    return pairs.pair_text_topic_stance(t.labels.select("arg_id", "key_point_id"), t.arguments, t.key_points).select(
+        "arg_id", "key_point_id", "argument_clean", "key_point_clean", "topic_segment")
 
 
 # ---------------------------------------------------------------- scores

@@ -252,3 +252,19 @@ def test_scratch_is_dropped_at_the_end_of_a_job(spark, tmp_path, monkeypatch):
     assert not IO.path_exists(spark, path) and not IO.path_exists(spark, table)
     assert not spark.catalog.tableExists(session.scratch_table(table))
     assert session.drop_scratch(spark) == 0
+
+
+# ---------------------------------------------------------------- joins by topic
+
+def test_segments_gather_no_topic(spark, no_broadcast):
+    a = spark.createDataFrame([(f"arg_1_{i}", f"text {i}", "topic 1", 1 if i % 2 else -1) for i in range(400)] + [("arg_x", "t", None, 1)],
+                              "arg_id string, argument string, topic string, stance int")
+    k = spark.createDataFrame([(f"kp_1_{i}", f"point {i}") for i in range(40)], "key_point_id string, key_point string")
+    keys = a.select("arg_id").join(k.select("key_point_id"))
+    got = pairs.pair_text_topic_stance(keys, a, k)
+    rows = {(r.arg_id, r.key_point_id): (r.argument_clean, r.key_point_clean, r.topic_segment) for r in got.collect()}
+    assert len(rows) == got.count() == 16_000
+    assert rows["arg_1_3", "kp_1_0"] == ("text  ", "point  ", "topic   is positive")
+    assert rows["arg_1_4", "kp_1_0"][2] == "topic   is negative"
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(topic" not in plan and "hashpartitioning(stance" not in plan
