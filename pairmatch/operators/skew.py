@@ -35,7 +35,10 @@ def spread_join(left: DataFrame, right: DataFrame, head: DataFrame, key: str, va
     done = F.col("_hk").isNotNull() | F.col(key).isNull()
     met = met.select(*cols, "_hv", F.when(~done, F.col(key)).alias("_tk"),
                      F.when(done, F.xxhash64(*[F.col(c) for c in cols])).otherwise(F.lit(0)).alias("_spread"))
-    tail = right.select(F.col(key).alias("_tk"), F.col(value).alias("_tv"), F.lit(0).cast("long").alias("_spread"))
+    # always 0, but no literal: a constant would be folded into the join's condition, the shuffle would go
+    # by ``_tk`` alone, and all rows that the head matched (their ``_tk`` is null) would meet in one task
+    zero = F.pmod(F.xxhash64(key), F.lit(1).cast("long"))
+    tail = right.select(F.col(key).alias("_tk"), F.col(value).alias("_tv"), zero.alias("_spread"))
     return met.join(tail, ["_tk", "_spread"], "left").select(*cols, F.coalesce("_hv", "_tv").alias(value))
 
 

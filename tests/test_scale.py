@@ -50,6 +50,16 @@ def test_spread_join_balances_a_hot_word(spark, no_broadcast):
     assert hot[-1] > 3 * hot[len(hot) // 2]            # what the plain join does with it
 
 
+def test_spread_join_scatters_what_the_head_matched(spark, no_broadcast):
+    """The right side as a plain table, not a union: its constant must stay a key of the shuffle."""
+    left = spark.range(30_000).select(F.concat(F.lit("w"), F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.col("id") % 4001).cast("string")).alias("token"), "id")
+    right = spark.range(5000).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("token"), F.col("id").cast("int").alias("v"))
+    got = skew.spread_join(left, right, right.filter("v < 4"), "token", "v")
+    assert got.filter("token <> concat('w', v)").isEmpty() and got.filter("v IS NULL").isEmpty() and got.count() == 30_000
+    sizes = rows_by_task(got)
+    assert sizes[-1] <= 3 * sizes[len(sizes) // 2]
+
+
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_grid_join(spark, no_broadcast, how):
     left = spark.range(600).select(F.col("id").alias("a"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 == 1, F.lit(None))
