@@ -1375,17 +1375,19 @@ def q_naive_bayes_kfold_ensemble(spark, sf):
     every topic fold but f (one pass of leave-one-fold-out counts), score every test
     candidate; the ensemble is the mean score per pair, the prediction that of fold 0."""
     t = C.tables(spark, sf)
-    ta = t.arguments.select("arg_id", "argument")
+    # an argument's subset follows from its id, so either side tokenises its own texts only
+    own = {side: t.arguments.filter(f).select("arg_id", "argument") for side, f in
+           (("fit", F.col("subset") != "test"), ("test", F.col("subset") == "test"))}
     tk = t.key_points.select("key_point_id", "key_point")
     fit = (t.labels.filter(F.col("subset") != "test").select("arg_id", "key_point_id", "label")
            .join(t.arguments.select("arg_id", "topic"), "arg_id"))
     folds_t = FO.topic_folds(fit, 7)
     rows = FO.with_folds(fit, folds_t.select("topic", "fold"), "topic")
-    train_tokens = MD.pair_tokens(rows, ta, tk, extra=("label", "fold"))
+    train_tokens = MD.pair_tokens(rows, own["fit"], tk, extra=("label", "fold"))
     test = t.subset("test")
     cands = pairs.candidate_ids(test.arguments, test.key_points).filter(
         F.col("key_point_id").isNotNull())
-    fs = MD.naive_bayes_kfold(train_tokens, rows, MD.pair_tokens(cands, ta, tk), 7)
+    fs = MD.naive_bayes_kfold(train_tokens, rows, MD.pair_tokens(cands, own["test"], tk), 7)
     return C.normalised(EN.ensemble_scores(fs))
 
 
