@@ -17,11 +17,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import words
-from .sizing import materialize, spread_pairs
+from .sizing import file_per_task, materialize, spread_pairs
 from .skew import HEAD, spread_join
 
 NUM_FEATURES = 1 << 16
 SIDE_FEATURES = 1 << 13    # per kind of word (argument, key point, shared) in ``hashed_features``
+FIT_BYTES = 128 << 20      # features that a task of a fit holds in memory, about
+
+
+def fit_rows(arguments: DataFrame, key_points: DataFrame, num_features: int) -> int:
+    """Rows of about ``FIT_BYTES`` of features. A fit keeps its rows unpacked in memory, one partition
+    per file, and they repeat an argument's words for each of its pairs, which compresses well: neither
+    files nor the session's partitions tell their size. A vector takes about as many bytes as its text."""
+    def size(texts: DataFrame, text: str) -> float:
+        return texts.agg(F.avg(F.least(F.length(text), F.lit(12 * num_features)))).first()[0] or 0.0
+    row = size(arguments, "argument") + 2 * size(key_points, "key_point") + 100
+    return max(1, int(FIT_BYTES / row))
 
 
 def _features(x: DataFrame) -> DataFrame:
@@ -78,7 +89,8 @@ def fit_features(features: DataFrame, pos_weight: float = 1.0, **kw) -> Pipeline
     data = (features.filter(F.col("label").isNotNull())
             .withColumn("weight", class_weight("label", pos_weight))
             .withColumn("label", F.col("label").cast("double")))
-    return pair_classifier(**kw).fit(data)
+    with file_per_task(data.sparkSession):
+        return pair_classifier(**kw).fit(data)
 
 
 def score_features(model: PipelineModel, features: DataFrame,
@@ -121,14 +133,16 @@ def fit(train_pairs: DataFrame, pos_weight: float = 1.0, arguments: DataFrame |
         num_features: int = SIDE_FEATURES) -> PipelineModel:
     """M1: fit on labelled pairs (arg_id, key_point_id, label, and the two texts unless the
     text tables are given). With text tables the features are hashed before the join and written
-    once, so the iterations read finished vectors."""
+    once, so the iterations read finished vectors, in files of bounded rows: more pairs make more
+    tasks, not larger ones."""
     labelled = train_pairs.filter(F.col("label").isNotNull())
     if arguments is None or key_points is None:
         return fit_features(pair_features(labelled), pos_weight, max_iter=max_iter, reg=reg, num_features=num_features)
     data = materialize(hashed_features(labelled.select("arg_id", "key_point_id", F.col("label").cast("double").alias("label")),
-                                       arguments, key_points, num_features), "pair-vectors")
+                                       arguments, key_points, num_features), "pair-vectors", fit_rows(arguments, key_points, num_features))
     lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", maxIter=max_iter, regParam=reg)
-    return Pipeline(stages=[lr]).fit(data.withColumn("weight", class_weight("label", pos_weight)))
+    with file_per_task(data.sparkSession):
+        return Pipeline(stages=[lr]).fit(data.withColumn("weight", class_weight("label", pos_weight)))
 
 
 def score(model: PipelineModel, pairs: DataFrame, keep=("arg_id", "key_point_id"),
@@ -150,9 +164,10 @@ def kfold_scores(fit_pairs_with_fold: DataFrame, to_score: DataFrame, num_folds:
     Features of the fit pairs and of the pairs to score are computed once and written to the
     shared checkpoint folder; every fold filters the same feature table (no text is tokenised
     k times, and a lost executor re-reads files instead of recomputing the features)."""
+    texts = (fit_pairs_with_fold, fit_pairs_with_fold) if arguments is None or key_points is None else (arguments, key_points)
     fit_feats = materialize(pair_features(
         fit_pairs_with_fold.filter(F.col("label").isNotNull()), arguments, key_points),
-        "fold-features")
+        "fold-features", fit_rows(*texts, kw.get("num_features", NUM_FEATURES)))
     score_feats = materialize(pair_features(
         to_score.filter(F.col("key_point_id").isNotNull()), arguments, key_points),
         "score-features")

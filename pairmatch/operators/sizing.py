@@ -6,9 +6,10 @@ measured size (thresholds in ``session.DEFAULT_CONF``), and plans a shuffle join
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import contextlib
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
@@ -37,16 +38,33 @@ def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
         *[F.col(f"`{c}`") for c in df.columns], *[F.col("_pm_s")[c].alias(c) for c in cols])
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, rows_per_file: int | None = None) -> DataFrame:
     """Write ``df`` once as parquet to the shared checkpoint folder and read it back: a table
     used by several branches of a plan (a vocabulary, a ranked table) is computed once, and
-    its lineage is cut, so a lost executor re-reads files instead of recomputing upstream."""
+    its lineage is cut, so a lost executor re-reads files instead of recomputing upstream.
+    With ``rows_per_file`` its files hold at most so many rows each (see ``file_per_task``)."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    writer = df.write.mode("overwrite")
+    if rows_per_file is not None:
+        writer = writer.option("maxRecordsPerFile", rows_per_file)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def file_per_task(spark: SparkSession) -> Iterator[None]:
+    """While a job is planned: a task reads one file. Spark packs files by their size on disk, and files
+    that compress a hundredfold would unpack to gigabytes in one task."""
+    key, cost = "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, spark.conf.get(cost))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def spread_pairs(pairs: DataFrame) -> DataFrame:
     """``pairs`` dealt evenly over the session's shuffle partitions. Pairs come out of joins in the
     partitions of whatever table was scanned; dealing the ids, before any text or feature is joined,

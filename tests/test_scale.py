@@ -4,9 +4,11 @@ import hashlib
 from collections import Counter
 
 import pytest
+from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
 from pairmatch.operators import encode as ENC
+from pairmatch.operators import model as MD
 from pairmatch.operators import pairs, skew
 from pairmatch.operators import profile as PR
 from pairmatch.operators import subwords as SW
@@ -278,3 +280,23 @@ def test_segments_gather_no_topic(spark, no_broadcast):
     assert rows["arg_1_4", "kp_1_0"][2] == "topic   is negative"
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(topic" not in plan and "hashpartitioning(stance" not in plan
+
+
+# ---------------------------------------------------------------- rows of a fit
+
+def test_a_fit_grows_by_tasks(spark, monkeypatch):
+    """Four times the pairs of the same texts: four times the partitions, none with more rows."""
+    a = spark.createDataFrame([(f"arg_1_{i}", "one two three " * (i % 7 + 1)) for i in range(40)], "arg_id string, argument string")
+    k = spark.createDataFrame([(f"kp_1_{i}", f"two {chr(97 + i % 26)}") for i in range(200)], "key_point_id string, key_point string")
+    monkeypatch.setattr(MD, "FIT_BYTES", 30_000)
+    most = MD.fit_rows(a, k, 64)
+    seen = []
+    monkeypatch.setattr(MD, "LogisticRegression", lambda **kw: seen.append(kw) or LogisticRegression(**kw))
+    sizes = []
+    monkeypatch.setattr(MD.Pipeline, "fit", lambda self, data: sizes.append(rows_by_task(data)))
+    for n in (50, 200):
+        p = a.select("arg_id").join(k.limit(n).select("key_point_id")).withColumn("label", F.length("key_point_id") % 2)
+        MD.fit(p, arguments=a, key_points=k, num_features=64)
+    assert sum(sizes[0]) == 2000 and sum(sizes[1]) == 8000 and len(seen) == 2
+    assert max(sizes[0] + sizes[1]) <= most and len(sizes[1]) > 2 * len(sizes[0])
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") != spark.conf.get("spark.sql.files.openCostInBytes")
