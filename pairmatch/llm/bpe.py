@@ -2,11 +2,11 @@
 
 Encoding runs over blocks of documents. A first map step splits each text with the tokenizer's
 pattern and numbers the block's distinct words; words that are tokens themselves need no merge.
-The others travel as arrays of byte ids, held as strings with one character per id, and Spark
-higher-order functions fold the ranked merges over them: each step ranks the adjacent pairs in a
-literal rank map (pair -> merged id, hashed into buckets) and merges the leftmost pair of the
-lowest rank wherever it stands. A last map step puts the words' ids back in document order;
-decoding concatenates the binary pieces of the ids.
+The others travel as strings with one character per byte id. A second map step merges all words of
+a block at once, in rounds: each round looks up the rank of the adjacent pairs that are new and merges
+the leftmost pair of the lowest rank in every word that has one. It then puts the words' ids back in
+document order; decoding concatenates the binary pieces of the ids. A word of many bytes takes its
+pairs from a heap instead, so that its cost does not grow with the square of its length.
 
 Every block is independent: one stage, no shuffle, and a task holds one block (bounded text and
 bounded distinct words; a longer single document is a block of its own). A null text counts as
@@ -17,20 +17,20 @@ are not carried along.
 from __future__ import annotations
 
 import base64
-import json
-import zlib
+import functools
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lean
 
-BUCKETS = 99_991
 NONE = 1 << 30            # rank of a pair that does not merge
+LONG_WORD = 256           # bytes of a word that is merged by itself
 BLOCK_CHARS = 8 << 20     # text of one block
 BLOCK_WORDS = 130_000     # distinct words of one block
 BASE = 0x10000            # id i is the character BASE + i, four bytes in UTF-8
@@ -42,52 +42,93 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def merge_buckets(ranks: dict[bytes, int]) -> tuple[list[list[str]], list[list[int]]]:
-    """Every split of a token into two tokens: the pair's two characters and the merged id, by
-    bucket."""
-    keys: list[list[str]] = [[] for _ in range(BUCKETS)]
-    merged: list[list[int]] = [[] for _ in range(BUCKETS)]
-    for token, rank in ranks.items():
-        for i in range(1, len(token)):
-            a, b = ranks.get(token[:i]), ranks.get(token[i:])
-            if a is not None and b is not None:
-                pair = chr(BASE + a) + chr(BASE + b)
-                bucket = zlib.crc32(pair.encode()) % BUCKETS
-                keys[bucket].append(pair)
-                merged[bucket].append(rank)
-    return keys, merged
-
-
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and bind it inside ``body`` (the finish of an empty fold)."""
-    return F.aggregate(F.array().cast("array<int>"), value, lambda acc, _: acc, body)
-
-
-def fold_merges(words: Column, ranks: dict[bytes, int]) -> Column:
-    """array<string> of byte ids -> array<string> of token ids, one character per id."""
-    keys, merged = merge_buckets(ranks)
-    chars = [chr(BASE + i) for i in range(max(ranks.values()) + 1)]
-    literal = F.from_json(F.lit(json.dumps({"k": keys, "m": merged, "c": chars}, ensure_ascii=False, separators=(",", ":"))),
-                          "k array<array<string>>, m array<array<int>>, c array<string>")
-    tables = _let(literal, lambda t: F.struct(F.zip_with(t["k"], t["m"], F.map_from_arrays).alias("b"), t["c"].alias("c")))
-
-    def rank(t, pair):
-        return F.coalesce(t["b"][(F.crc32(pair) % BUCKETS).cast("int")][pair], F.lit(NONE)).cast("bigint")
-
-    def step(t, word):
-        def merge(ids):
-            # rank and place of the leftmost lowest pair, as one number
-            best = F.array_min(F.transform(F.slice(ids, 2, F.size(ids)), lambda b, i: F.shiftleft(
-                rank(t, F.concat(ids[i], b)), 31) + i))
-            return _let(best, lambda x: F.when(x >= NONE << 31, word).otherwise(_let(
-                x.bitwiseAND((1 << 31) - 1).cast("int"),
-                lambda p: F.replace(word, F.concat(ids[p], ids[p + 1]), t["c"][F.shiftright(x, 31).cast("int")]))))
-        return F.when(F.length(word) < 2, word).otherwise(_let(F.split(word, ""), merge))
-
-    def fold(t, word):
-        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1))), word, lambda w, _: step(t, w))
-
-    return _let(tables, lambda t: F.transform(words, lambda w: fold(t, w)))
+class Merges:
+    """Every split of a token into two tokens: the pair, as one number, and the rank of the token."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.width = max(ranks.values()) + 1
+        found = {}
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                a, b = ranks.get(token[:i]), ranks.get(token[i:])
+                if a is not None and b is not None:
+                    found[a * self.width + b] = rank
+        self.pairs = np.array(sorted(found), dtype=np.int64)
+        self.ranks = np.array([found[p] for p in self.pairs.tolist()], dtype=np.int64)
+
+    @functools.cached_property
+    def table(self) -> dict[int, int]:
+        return dict(zip(self.pairs.tolist(), self.ranks.tolist()))
+
+    def rank(self, ids: np.ndarray, word: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The rank of the pairs that begin at the places ``at``."""
+        out = np.full(len(at), NONE, dtype=np.int64)
+        inside = np.flatnonzero(at + 1 < len(ids))
+        inside = inside[word[at[inside]] == word[at[inside] + 1]]
+        pair = ids[at[inside]] * self.width + ids[at[inside] + 1]
+        place = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        known = self.pairs[place] == pair if len(self.pairs) else np.zeros(len(pair), dtype=bool)
+        out[inside[known]] = self.ranks[place[known]]
+        return out
+
+
+def merge_words(ids: np.ndarray, counts: np.ndarray, merges: Merges) -> tuple[np.ndarray, np.ndarray]:
+    """Words of ``counts`` byte ids each, one after another -> their token ids in the same form."""
+    ids, word = ids.astype(np.int64), np.repeat(np.arange(len(counts)), counts)
+    ended = []
+    large = np.flatnonzero(counts >= LONG_WORD)
+    if len(large):
+        first = np.concatenate([[0], np.cumsum(counts)])
+        for w in large.tolist():
+            alone = merge_long(ids[first[w]:first[w + 1]], merges)
+            ended.append((alone, np.full(len(alone), w)))
+        rest = np.repeat(counts < LONG_WORD, counts)
+        ids, word = ids[rest], word[rest]
+    rank = merges.rank(ids, word, np.arange(len(ids)))
+    while len(ids):
+        new = np.ones(len(ids), dtype=bool)
+        new[1:] = word[1:] != word[:-1]
+        start = np.flatnonzero(new)
+        low = np.minimum.reduceat(rank << 32 | np.arange(len(ids)), start)     # rank and place, as one number
+        more = low < NONE << 32
+        stays = np.repeat(more, np.diff(np.append(start, len(ids))))
+        ended.append((ids[~stays], word[~stays]))
+        at = low[more] & ((1 << 32) - 1)
+        ids[at] = rank[at]                        # a token's id is its rank
+        stays[at + 1] = False
+        at = np.cumsum(stays)[at] - 1
+        ids, word, rank = ids[stays], word[stays], rank[stays]
+        fresh = np.concatenate([at, at[at > 0] - 1])
+        rank[fresh] = merges.rank(ids, word, fresh)
+    if not ended:
+        return ids, counts
+    ids, word = (np.concatenate(x) for x in zip(*ended))
+    return ids[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(counts))
+
+
+def merge_long(ids: np.ndarray, merges: Merges) -> np.ndarray:
+    """One word: a heap of (rank, place) over a linked list of what is left of it."""
+    n = len(ids)
+    rank = merges.rank(ids, np.zeros(n, dtype=np.int64), np.arange(n))
+    ids, before, after = ids.tolist(), list(range(-1, n - 1)), list(range(1, n + 1))
+    now = rank.tolist()                           # the rank of the pair at each place; an older entry of the heap is void
+    heap = [(r, i) for i, r in enumerate(now) if r < NONE]
+    heapq.heapify(heap)
+    while heap:
+        r, i = heapq.heappop(heap)
+        if now[i] != r:
+            continue
+        j = after[i]
+        ids[i], now[j], after[i] = r, -1, after[j]
+        if after[j] < n:
+            before[after[j]] = i
+        for k in (before[i], i):
+            if k >= 0:
+                m = after[k]
+                now[k] = merges.table.get(ids[k] * merges.width + ids[m], NONE) if m < n else NONE
+                if now[k] < NONE:
+                    heapq.heappush(heap, (now[k], k))
+    return np.array([x for x, r in zip(ids, now) if r >= 0], dtype=np.int64)
 
 
 def to_chars(ids: np.ndarray, counts) -> pa.Array:
@@ -117,6 +158,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """``doc_id``, ``ids`` (little-endian unsigned 32-bit) and ``decoded`` (bytes) of every row."""
     ranks = load_ranks(ranks_path)
     kind = docs.schema["doc_id"].dataType.simpleString()
+    merges = Merges(ranks)
     byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,8 +215,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
                 known = np.frombuffer(row.column(2)[0].as_py(), dtype=np.int32)
-                merged = row.column(3)[0].values
-                values, counts = from_chars(merged)
+                left = row.column(3)[0].values
+                values, counts = merge_words(*from_chars(left), merges)
                 lens = np.ones(len(known), dtype=np.int64)
                 lens[known < 0] = counts
                 at = np.concatenate([[0], np.cumsum(lens)])
@@ -192,5 +234,5 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     blocks = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
         lean(split), f"docs array<{kind}>, idx array<binary>, known binary, words array<string>")
-    return blocks.withColumn("words", fold_merges(F.col("words"), ranks)).mapInArrow(
+    return blocks.mapInArrow(
         lean(join), f"doc_id {kind}, ids binary, decoded binary")

@@ -7,6 +7,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pairmatch.llm import bpe
 from pairmatch.llm.bpe import encode, from_chars, load_ranks, to_chars
 
 PATH = P.path("byte_bpe_50k.tiktoken")
@@ -55,3 +56,28 @@ def test_characters_of_ids():
     ids = np.array([0, 1, 255, 50255, 300, 7])
     back, counts = from_chars(to_chars(ids, [2, 0, 3, 1]))
     assert back.tolist() == ids.tolist() and counts.tolist() == [2, 0, 3, 1]
+
+
+@pytest.mark.parametrize("long_word", [2, 256])
+def test_merges_of_many_words(library, monkeypatch, long_word):
+    """Both ways of merging on words of a few letters, where equal pairs overlap and new pairs rank lower."""
+    monkeypatch.setattr(bpe, "LONG_WORD", long_word)
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("aehinorst e"), n)) for n in rng.integers(1, 60, 3000)] + ["a" * 300, "the" * 200, ""]
+    ranks = load_ranks(PATH)
+    flat = np.array([ranks[bytes([b])] for w in words for b in w.encode()])
+    ids, counts = bpe.merge_words(flat, np.array([len(w.encode()) for w in words]), bpe.Merges(ranks))
+    cuts = np.concatenate([[0], np.cumsum(counts)])
+    for k, w in enumerate(words):
+        assert ids[cuts[k]:cuts[k + 1]].tolist() == library._encode_single_piece(w) if ranks.get(w.encode()) is None and w else True
+
+
+def test_a_long_word_is_not_quadratic():
+    """40,000 letters in one word: the fold took a minute for 8,000."""
+    import time
+    ranks = load_ranks(PATH)
+    rng = np.random.default_rng(1)
+    flat = np.array([ranks[bytes([b])] for b in rng.choice(list(b"aehinorst"), 40_000)])
+    begun = time.process_time()
+    ids, counts = bpe.merge_words(flat, np.array([len(flat)]), bpe.Merges(ranks))
+    assert counts.tolist() == [len(ids)] and time.process_time() - begun < 20
