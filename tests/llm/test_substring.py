@@ -71,3 +71,18 @@ def test_gram_hashes_are_polynomials():
     for n in (1, 2, 5, 10, 20, 50, 51):
         want = [sum(int(h[i + j]) * pow(7, n - 1 - j, 1 << 64) for j in range(n)) % (1 << 64) for i in range(max(0, 50 - n + 1))]
         assert gram_hash(h, n, 7).tolist() == want
+
+
+def test_texts_are_read_again_not_shuffled(spark):
+    """Where the answers are too large to broadcast, no exchange carries the blocks' texts."""
+    df = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i, i + 30))) for i in range(5)], "doc_id long, text string")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        q = remove_repeats(df)._jdf.queryExecution()
+        plan = q.explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    finally:
+        spark.conf.set(key, before)
+    moved = [part.split("\n")[1] for part in plan.split("\n\n") if ") Exchange" in part]
+    assert moved and not any("body" in line for line in moved)
