@@ -26,6 +26,7 @@ of the input are not carried along.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -47,7 +48,9 @@ ENOUGH = 8                 # windows that the documents of a routing term fill a
 QUERY = None               # terms of a query: all
 CACHE = 1_500_000          # distinct runs a task remembers (some 40 bytes each); beyond it starts anew
 
-MARKS = (".", ",")         # marks that often follow a word
+PLAIN = "^[!-&(-~]+$"       # printable ASCII, no apostrophe (the tokenizer keeps 's, 't and the like together)
+CHANGE = "[a-z][^a-z]|[^a-z][a-z]|[0-9][^a-z]|[^a-z][0-9]"   # of lower-cased runs: more than one part
+MARKED = r"^\pL+[.,]$"      # letters and a mark that often follows a word
 
 SCHEMA = ("doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
           "`offset` long")
@@ -60,8 +63,8 @@ class Encoder:
     and marks. So texts are cut at spaces and line ends, and each distinct run is encoded once and
     then looked up. Runs of letters are encoded many at a time as one text: each is one word to the
     tokenizer, whose ids end at the one end-of-word id. Lower-case ASCII letters need none of its
-    normalisation, so they go to its model directly. A run that is letters and one mark is put
-    together from the two."""
+    normalisation, so they go to its model directly. A run of several kinds of characters is put
+    together from its parts."""
 
     def __init__(self, path: str, end_id: int = END_ID):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"   # Spark's tasks are the parallelism
@@ -101,67 +104,108 @@ class Encoder:
         before = np.cumsum(n) - n
         return self.flat[np.arange(int(n.sum())) + np.repeat(start - before, n)], before
 
-    def _letters(self, words: list[str], tok) -> np.ndarray:
+    def _letters(self, words: pa.Array, tok) -> np.ndarray:
         """The numbers of words of letters; -1 where the tokenizer sees more than one word."""
         out = [np.empty(0, dtype=np.int64)]
         for i in range(0, len(words), 2000):
-            part = words[i:i + 2000]
-            got = tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0]
+            part = words.slice(i, 2000)
+            text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part), " ")[0].as_py()
+            got = tok.encode_batch_fast([text], add_special_tokens=False)[0]
             ids = np.array(got.ids, dtype=np.uint32)
             ends = np.flatnonzero(self.ends[ids]) + 1
             out.append(self._add(ids, ends) if len(ends) == len(part) else np.full(len(part), -1))
         return np.concatenate(out)
 
-    def _learn(self, runs: list[str]) -> np.ndarray:
+    def _learn(self, runs: pa.Array) -> np.ndarray:
         """The numbers of distinct runs that are not known yet."""
         out = np.full(len(runs), -1, dtype=np.int64)
+        alpha, plain = _mask(pc.utf8_is_alpha(runs)), _mask(pc.string_is_ascii(runs))
         for ascii_, tok in ((True, self.ascii), (False, self.tok)):
-            own = [i for i, r in enumerate(runs) if r.isascii() == ascii_ and r.isalpha()]
-            out[own] = self._letters([runs[i] for i in own], tok)
+            own = np.flatnonzero(alpha & (plain == ascii_))
+            out[own] = self._letters(runs.take(pa.array(own)), tok)
         rest = np.flatnonzero(out < 0)
         if len(rest):
-            got = [e.ids for e in self.tok.encode_batch_fast([runs[i] for i in rest], add_special_tokens=False)]
+            got = [e.ids for e in self.tok.encode_batch_fast(runs.take(pa.array(rest)).to_pylist(), add_special_tokens=False)]
             out[rest] = self._add(np.array([i for x in got for i in x], dtype=np.uint32), np.cumsum([len(x) for x in got]))
         return out
 
+    def _parts(self, runs: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """Which runs the tokenizer cuts in a known way, and their parts: ASCII ones without
+        apostrophes into letters, single digits and other signs; others into letters and one mark."""
+        cut = _mask(pc.match_substring_regex(runs, PLAIN)) & _mask(pc.match_substring_regex(runs, CHANGE))
+        spaced = pc.replace_substring_regex(runs.filter(pa.array(cut)), "([a-z]+|[0-9]|[^a-z0-9]+)", r"\1 ")
+        at = np.flatnonzero(~_mask(pc.string_is_ascii(runs)) & _mask(pc.match_substring_regex(runs, MARKED)))
+        word = [unicodedata.normalize("NFC", r[:-1]).lower().isalpha() for r in runs.take(pa.array(at)).to_pylist()]
+        at = at[np.array(word, dtype=bool)]
+        both = np.concatenate([np.flatnonzero(cut), at])
+        spaced = pa.concat_arrays([spaced, pc.replace_substring_regex(runs.take(pa.array(at)), "(.)$", r" \1")])
+        cut[at] = True
+        return cut, pc.split_pattern(pc.utf8_rtrim(spaced.take(pa.array(np.argsort(both))), " "), " ")
+
     def _find(self, runs: pa.Array) -> np.ndarray:
         """The numbers of distinct runs; unknown ones are learned. Runs are known by two 64-bit
         hashes, a fraction of the memory that the strings would take."""
         h1, h2 = word_hashes(runs)
+        order = np.argsort(h1)                           # looked up in ascending order, which is faster
+        runs, h1, h2 = runs.take(pa.array(order)), h1[order], h2[order]
         pos = np.minimum(np.searchsorted(self.h1, h1), max(0, len(self.h1) - 1))
         idx = np.where((self.h1[pos] == h1) & (self.h2[pos] == h2), self.at[pos], -1) if len(self.h1) else np.full(len(h1), -1)
         new = np.flatnonzero(idx < 0)
         if len(new):
-            text = runs.take(pa.array(new)).to_pylist()
-            marked = np.array([r[-1:] in MARKS and r[:-1].isalpha() for r in text])
-            idx[new[~marked]] = self._learn([r for r, m in zip(text, marked) if not m])
-            self._keep(h1[new[~marked]], h2[new[~marked]], idx[new[~marked]])
-            if marked.any():                             # put together from the word and the mark
-                parts = pa.array([x for r, m in zip(text, marked) if m for x in (r[:-1], r[-1])]).dictionary_encode()
-                ids, before = self._gather(self._find(parts.dictionary)[parts.indices.to_numpy()])
-                idx[new[marked]] = self._add(ids, np.append(before, len(ids))[2::2])
-                self._keep(h1[new[marked]], h2[new[marked]], idx[new[marked]])
-        return idx
+            text = runs.take(pa.array(new))
+            cut, parts = self._parts(text)
+            idx[new[~cut]] = self._learn(text.filter(pa.array(~cut)))
+            self._keep(h1[new[~cut]], h2[new[~cut]], idx[new[~cut]])   # parts may be among them
+            if cut.any():                                # put together from its parts
+                each = parts.flatten().dictionary_encode()
+                ids, before = self._gather(self._find(each.dictionary)[each.indices.to_numpy()])
+                last = np.cumsum(pc.list_value_length(parts).to_numpy())
+                idx[new[cut]] = self._add(ids, np.append(before, len(ids))[last])
+                self._keep(h1[new[cut]], h2[new[cut]], idx[new[cut]])
+        out = np.empty_like(idx)
+        out[order] = idx
+        return out
 
     def _keep(self, h1: np.ndarray, h2: np.ndarray, idx: np.ndarray):
-        h1, h2, at = (np.concatenate(x) for x in ((self.h1, h1), (self.h2, h2), (self.at, idx)))
-        order = np.argsort(h1)
-        self.h1, self.h2, self.at = h1[order], h2[order], at[order]
+        order = np.argsort(h1)                           # only the new ones are sorted
+        place = np.searchsorted(self.h1, h1[order])
+        self.h1, self.h2, self.at = (np.insert(old, place, x[order]) for old, x in ((self.h1, h1), (self.h2, h2), (self.at, idx)))
 
-    def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        """Each text's ids and the end id; a null text counts as empty."""
+    def encode_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, each text's followed by the end id, and the
+        bounds of the texts; a null text counts as empty."""
         low = pc.replace_substring(pc.ascii_lower(pc.fill_null(texts, "")), "\n", " ")
         lists = pc.split_pattern(low, " ")
         runs = lists.flatten().dictionary_encode()
         ids, before = self._gather(self._find(runs.dictionary)[runs.indices.to_numpy()])
         ends = np.append(before, len(ids))[np.cumsum(pc.list_value_length(lists).to_numpy())]
-        return [np.append(x, np.uint32(self.end)).astype("<u4") for x in np.split(ids, ends[:-1])]
+        bounds = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])
+        return np.insert(ids, ends, np.uint32(self.end)), bounds
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Each text's ids and the end id."""
+        ids, bounds = self.encode_flat(texts)
+        return np.split(ids.astype("<u4"), bounds[1:-1])
 
     def tidy(self):
         if self.runs > CACHE:
             self._reset()
 
 
+def _mask(x: pa.Array) -> np.ndarray:
+    return x.to_numpy(zero_copy_only=False).astype(bool)
+
+
+def distinct(ids: np.ndarray, bounds: np.ndarray, vocab: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ids of each document, ascending: (document, id, how often)."""
+    n = len(bounds) - 1
+    key = np.repeat(np.arange(n), np.diff(bounds)) * vocab + ids
+    key = np.sort(key.astype(np.uint32 if n * vocab < 1 << 32 else np.uint64))
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, dtype=np.int64)
+    doc, term = np.divmod(key[at].astype(np.int64), vocab)
+    return doc, term, np.diff(np.append(at, len(key)))
+
+
 class Stats:
     """Document frequencies by token id, the number of documents and their mean length."""
 
@@ -172,22 +216,27 @@ class Stats:
     def weights(self, term: np.ndarray, tf: np.ndarray, length, k1: float, b: float) -> np.ndarray:
         return self.idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / self.mean))
 
-    def route(self, ids: np.ndarray, enough: float, k1: float, b: float) -> list[int]:
-        """What a document is routed by: the heaviest of its terms that at least ``enough``
-        documents hold, then its two heaviest terms that another document holds (-1: none)."""
-        term, tf = np.unique(ids, return_counts=True)
-        w = self.weights(term, tf, len(ids), k1, b)
+    def route(self, ids: np.ndarray, bounds: np.ndarray, enough: float, k1: float, b: float) -> np.ndarray:
+        """What each document is routed by: the heaviest of its terms that at least ``enough``
+        documents hold, then its two heaviest terms that another document holds (-1: none); of
+        equal ones the smallest."""
+        doc, term, tf = distinct(ids, bounds, len(self.df))
+        first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))   # no document is without a term
+        n = np.diff(np.append(first, len(doc)))
+        w = self.weights(term, tf, np.diff(bounds)[doc], k1, b)
         df = self.df[term]
-        top = []
-        wide = np.where(df >= max(2, enough), w, 0)
-        at = int(wide.argmax())
-        top.append(int(term[at]) if wide[at] > 0 else -1)
+
+        def heaviest(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            most = np.maximum.reduceat(w, first)
+            top = np.flatnonzero(w == np.repeat(most, n))
+            at = top[np.append(True, doc[top][1:] != doc[top][:-1])]
+            return at, np.where(most > 0, term[at], -1)
+
+        _, wide = heaviest(np.where(df >= max(2, enough), w, 0))
         w = np.where(df > 1, w, 0)
-        for _ in range(2):
-            at = int(w.argmax())
-            top.append(int(term[at]) if w[at] > 0 else -1)
-            w[at] = 0
-        return top
+        at, one = heaviest(w)
+        w[at] = 0
+        return np.stack([wide, one, heaviest(w)[1]])
 
 
 class Bm25:
@@ -197,10 +246,8 @@ class Bm25:
                  stats: Stats | None = None):
         n = len(docs)
         lens = np.array([len(d) for d in docs], dtype=float)
-        parts = [np.unique(d, return_counts=True) for d in docs]
-        term = np.concatenate([p[0] for p in parts])
-        tf = np.concatenate([p[1] for p in parts]).astype(float)
-        doc = np.repeat(np.arange(n), [len(p[0]) for p in parts])
+        doc, term, tf = distinct(np.concatenate(docs), np.append(0, np.cumsum(lens)).astype(np.int64), vocab)
+        tf = tf.astype(float)
         here = np.bincount(term, minlength=vocab)
         stats = stats or Stats(here, n, lens.mean())
         w = stats.weights(term, tf, lens[doc], k1, b)
@@ -216,7 +263,7 @@ class Bm25:
         self.q_first = np.searchsorted(qd, np.arange(n + 1))
         order = np.argsort(term, kind="stable")          # by term, then by document
         self.p_doc, self.p_w = doc[order], w[order]
-        self.p_first = np.searchsorted(term[order], np.arange(vocab + 1))
+        self.p_first = np.searchsorted(term[order], np.arange(vocab + 1)).tolist()
         self.n = n
 
     def neighbours(self, seed: int, unused: np.ndarray) -> list[int]:
@@ -224,7 +271,8 @@ class Bm25:
         terms = self.q_terms[self.q_first[seed]:self.q_first[seed + 1]]
         if not len(terms):
             return []
-        spans = [slice(self.p_first[t], self.p_first[t + 1]) for t in terms]
+        at = self.p_first
+        spans = [slice(at[t], at[t + 1]) for t in terms.tolist()]
         d = np.concatenate([self.p_doc[s] for s in spans])
         score = np.bincount(d, weights=np.concatenate([self.p_w[s] for s in spans]), minlength=self.n)
         found = np.flatnonzero((score > 0) & unused)
@@ -301,13 +349,14 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
             schema = schema or pa.schema([("doc_id", batch.schema.field(0).type), ("n", pa.int64()),
                                           ("ids", pa.binary()), ("held", pa.list_(pa.int64()))])
             for part in slices(batch, 1, rows=1000, size=3 << 20):
-                rows = enc.encode(part.column(1))
-                for r in rows:
-                    held[np.unique(r)] += 1
+                ids, bounds = enc.encode_flat(part.column(1))
+                held += np.bincount(distinct(ids, bounds, vocab)[1], minlength=vocab)
+                raw = pa.LargeBinaryArray.from_buffers(
+                    pa.large_binary(), part.num_rows,
+                    [None, pa.py_buffer(bounds * np.dtype(small).itemsize), pa.py_buffer(ids.astype(small))])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(r) for r in rows], pa.int64()),
-                     pa.array([r.astype(small).tobytes() for r in rows], pa.binary()),
-                     pa.nulls(len(rows), schema.field(3).type)], schema=schema)
+                    [part.column(0), pa.array(np.diff(bounds)), raw.cast(pa.binary()),
+                     pa.nulls(part.num_rows, schema.field(3).type)], schema=schema)
                 enc.tidy()
         if schema:                                       # the task's document frequencies, one row
             yield pa.RecordBatch.from_arrays(
@@ -328,10 +377,12 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            by = np.array([stats.route(np.frombuffer(x.as_buffer(), dtype=small), enough, k1, b)
-                           for x in batch.column(2)], dtype=np.int32).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c) for c in by.T]],
-                                             names=["uid", "doc_id", "ids", "a", "b", "c"])
+            if batch.num_rows:
+                rows = [np.frombuffer(x.as_buffer(), dtype=small) for x in batch.column(2)]
+                bounds = np.cumsum([0, *map(len, rows)])
+                by = stats.route(np.concatenate(rows), bounds, enough, k1, b).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c) for c in by]],
+                                                 names=["uid", "doc_id", "ids", "a", "b", "c"])
 
     def emit(ids, rows, index, base):
         cols = [[] for _ in range(width)]

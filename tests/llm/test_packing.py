@@ -95,3 +95,34 @@ def test_every_id_of_a_shard_once():
     for d, at, n, _, _ in pack_shard(docs, Bm25(docs, 30, 1.2, 0.75, 16), 64):
         seen[d][at:at + n] += 1
     assert all((s == 1).all() for s in seen)
+
+
+def test_routes_and_terms_of_many_documents():
+    """Whole batches at a time, the same terms, counts and routes as document by document."""
+    from pairmatch.llm.packing import Stats, distinct
+    rng = np.random.default_rng(8)
+    docs = [np.append(rng.integers(2, 40, rng.integers(0, 30)), 1).astype(np.uint16) for _ in range(200)]
+    bounds = np.cumsum([0, *map(len, docs)])
+    parts = [np.unique(d, return_counts=True) for d in docs]
+    doc, term, tf = distinct(np.concatenate(docs), bounds, 50)
+    assert term.tolist() == np.concatenate([p[0] for p in parts]).tolist()
+    assert tf.tolist() == np.concatenate([p[1] for p in parts]).tolist()
+    assert doc.tolist() == np.repeat(np.arange(200), [len(p[0]) for p in parts]).tolist()
+    stats = Stats(np.bincount(term, minlength=50), 200, float(np.mean([len(d) for d in docs])))
+    got = stats.route(np.concatenate(docs), bounds, 60, 1.2, 0.75)
+    for i, (t, k) in enumerate(parts):
+        w = stats.weights(t, k, len(docs[i]), 1.2, 0.75)
+        wide = np.where(stats.df[t] >= 60, w, 0)
+        want = [int(t[wide.argmax()]) if wide.max() > 0 else -1]
+        w = np.where(stats.df[t] > 1, w, 0)
+        for _ in range(2):
+            want.append(int(t[w.argmax()]) if w.max() > 0 else -1)
+            w[w.argmax()] = 0
+        assert got[:, i].tolist() == want
+
+
+def test_all_ids_in_one_array(tok):
+    """A batch's ids come as one array; runs with marks, digits and other letters are the tokenizer's."""
+    texts = ["Hello, world. a. ., 3. été. Ärger, it's x². 你好.", "", None, "don't. stop,,", "ǅ. ́a, İ."]
+    ids, bounds = Encoder(PATH).encode_flat(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [direct(tok, t) for t in texts]
