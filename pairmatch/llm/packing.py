@@ -46,6 +46,7 @@ SHARD_TOKENS = 4_000_000   # and tokens, so that a shard of long documents stays
 RUN = 8                    # shards of one task, as planned
 ENOUGH = 8                 # windows that the documents of a routing term fill at least
 QUERY = None               # terms of a query: all
+FEW = 32                   # neighbours that are ranked first; a window seldom takes more
 CACHE = 1_500_000          # distinct runs a task remembers (some 40 bytes each); beyond it starts anew
 
 PLAIN = "^[!-&(-~]+$"       # printable ASCII, no apostrophe (the tokenizer keeps 's, 't and the like together)
@@ -192,6 +193,18 @@ class Encoder:
             self._reset()
 
 
+_SHARED: dict[tuple[str, int], Encoder] = {}
+
+
+def shared_encoder(path: str, end_id: int) -> Encoder:
+    """The encoder of this Python worker: its tasks share the runs they learned (at most ``CACHE``
+    and those of one batch)."""
+    if (path, end_id) not in _SHARED:
+        _SHARED.clear()
+        _SHARED[path, end_id] = Encoder(path, end_id)
+    return _SHARED[path, end_id]
+
+
 def _mask(x: pa.Array) -> np.ndarray:
     return x.to_numpy(zero_copy_only=False).astype(bool)
 
@@ -263,20 +276,31 @@ class Bm25:
         self.q_first = np.searchsorted(qd, np.arange(n + 1))
         order = np.argsort(term, kind="stable")          # by term, then by document
         self.p_doc, self.p_w = doc[order], w[order]
-        self.p_first = np.searchsorted(term[order], np.arange(vocab + 1)).tolist()
-        self.n = n
+        self.p_first = np.searchsorted(term[order], np.arange(vocab + 1))
+        self.n = self.held = n                           # documents, and those with postings
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> list[int]:
-        """Unused documents that share a term of positive weight with ``seed``, best first."""
+    def neighbours(self, seed: int, unused: np.ndarray, most: int | None = None) -> list[int]:
+        """Unused documents that share a term of positive weight with ``seed``, best first; with
+        ``most``, so many of the best (and those equal to the last of them), if there are more."""
         terms = self.q_terms[self.q_first[seed]:self.q_first[seed + 1]]
         if not len(terms):
             return []
-        at = self.p_first
-        spans = [slice(at[t], at[t + 1]) for t in terms.tolist()]
-        d = np.concatenate([self.p_doc[s] for s in spans])
-        score = np.bincount(d, weights=np.concatenate([self.p_w[s] for s in spans]), minlength=self.n)
+        at = self.p_first[terms]
+        n = self.p_first[terms + 1] - at
+        ends = np.cumsum(n)
+        own = np.arange(ends[-1]) + np.repeat(at - (ends - n), n)
+        score = np.bincount(self.p_doc[own], weights=self.p_w[own], minlength=self.n)
         found = np.flatnonzero((score > 0) & unused)
-        return found[np.lexsort((found, -score[found]))].tolist()
+        if most is not None and len(found) > most:
+            found = found[score[found] >= np.partition(score[found], -most)[-most]]
+        return found[np.argsort(-score[found], kind="stable")].tolist()
+
+    def forget(self, unused: np.ndarray):
+        """Drop the postings of used documents, which no later query asks for."""
+        keep = unused[self.p_doc]
+        self.p_first = np.append(0, np.cumsum(keep))[self.p_first]
+        self.p_doc, self.p_w = self.p_doc[keep], self.p_w[keep]
+        self.held = int(np.count_nonzero(unused))
 
 
 def pack_shard(docs: list[np.ndarray], index: Bm25, window: int) -> Iterator[tuple[int, int, int, int, int]]:
@@ -302,9 +326,13 @@ def pack_shard(docs: list[np.ndarray], index: Bm25, window: int) -> Iterator[tup
             rest = (d, at + n) if at + n < len(docs[d]) else None
             if rest is None and room:
                 if ranked is None:
-                    ranked = index.neighbours(seed, unused)
+                    if np.count_nonzero(unused) < 0.7 * index.held:
+                        index.forget(unused)
+                    ranked = index.neighbours(seed, unused, FEW)
                 while k < len(ranked) and not unused[ranked[k]]:
                     k += 1
+                if k == len(ranked) >= FEW:  # more than a few fit: the others come too
+                    ranked, k = index.neighbours(seed, unused), 0
                 if k < len(ranked):
                     rest = (ranked[k], 0)
                 else:                        # no neighbour left: the next unused document
@@ -344,7 +372,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
     small = "<u2" if vocab <= 1 << 16 else "<u4"         # ids as they are stored and dealt out
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, held, schema = Encoder(tokenizer, end_id), np.zeros(vocab, dtype=np.int64), None
+        enc, held, schema = shared_encoder(tokenizer, end_id), np.zeros(vocab, dtype=np.int64), None
         for batch in batches:
             schema = schema or pa.schema([("doc_id", batch.schema.field(0).type), ("n", pa.int64()),
                                           ("ids", pa.binary()), ("held", pa.list_(pa.int64()))])
