@@ -84,8 +84,8 @@ class Encoder:
         self.runs = 0
         self.flat = np.empty(1 << 16, dtype=np.uint32)
         self.offs = np.zeros(1 << 16, dtype=np.int64)    # offs[i]:offs[i + 1] are the ids of run i
-        self.h1 = self.h2 = np.empty(0, dtype=np.uint64)  # hashes of the runs, by the first one
-        self.at = np.empty(0, dtype=np.int64)             # and their numbers
+        none = np.empty(0, dtype=np.uint64)              # hashes of the runs, by the first one, and their
+        self.known = self.recent = (none, none, np.empty(0, dtype=np.int64))   # numbers; those learned last apart
 
     def _add(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Keep the ids of new runs, those of run i up to ends[i]; the runs' numbers."""
@@ -149,8 +149,9 @@ class Encoder:
         h1, h2 = word_hashes(runs)
         order = np.argsort(h1)                           # looked up in ascending order, which is faster
         runs, h1, h2 = runs.take(pa.array(order)), h1[order], h2[order]
-        pos = np.minimum(np.searchsorted(self.h1, h1), max(0, len(self.h1) - 1))
-        idx = np.where((self.h1[pos] == h1) & (self.h2[pos] == h2), self.at[pos], -1) if len(self.h1) else np.full(len(h1), -1)
+        idx = _numbers(self.known, h1, h2)
+        new = np.flatnonzero(idx < 0)
+        idx[new] = _numbers(self.recent, h1[new], h2[new])
         new = np.flatnonzero(idx < 0)
         if len(new):
             text = runs.take(pa.array(new))
@@ -169,8 +170,9 @@ class Encoder:
 
     def _keep(self, h1: np.ndarray, h2: np.ndarray, idx: np.ndarray):
         order = np.argsort(h1)                           # only the new ones are sorted
-        place = np.searchsorted(self.h1, h1[order])
-        self.h1, self.h2, self.at = (np.insert(old, place, x[order]) for old, x in ((self.h1, h1), (self.h2, h2), (self.at, idx)))
+        self.recent = _merge(self.recent, (h1[order], h2[order], idx[order]))
+        if len(self.recent[0]) > max(1 << 14, len(self.known[0]) // 8):
+            self.known, self.recent = _merge(self.known, self.recent), tuple(x[:0] for x in self.recent)
 
     def encode_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, each text's followed by the end id, and the
@@ -193,6 +195,19 @@ class Encoder:
             self._reset()
 
 
+def _merge(into: tuple, new: tuple) -> tuple:
+    place = np.searchsorted(into[0], new[0])
+    return tuple(np.insert(old, place, x) for old, x in zip(into, new))
+
+
+def _numbers(known: tuple, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """The numbers of runs by their hashes, -1 where they are not known."""
+    if not len(known[0]):
+        return np.full(len(h1), -1)
+    pos = np.minimum(np.searchsorted(known[0], h1), len(known[0]) - 1)
+    return np.where((known[0][pos] == h1) & (known[1][pos] == h2), known[2][pos], -1)
+
+
 _SHARED: dict[tuple[str, int], Encoder] = {}
 
 
@@ -205,6 +220,11 @@ def shared_encoder(path: str, end_id: int) -> Encoder:
     return _SHARED[path, end_id]
 
 
+def drop_encoder():
+    """Later steps of the job do not need what this worker learned."""
+    _SHARED.clear()
+
+
 def _mask(x: pa.Array) -> np.ndarray:
     return x.to_numpy(zero_copy_only=False).astype(bool)
 
@@ -404,6 +424,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
     enough = ENOUGH * window / max(1.0, stats.mean)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_encoder()
         for batch in batches:
             if batch.num_rows:
                 rows = [np.frombuffer(x.as_buffer(), dtype=small) for x in batch.column(2)]
@@ -423,6 +444,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
         return cols, last + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_encoder()
         seq = TaskContext.get().partitionId() << 40
         ids, rows, held, out = [], [], 0, None
 

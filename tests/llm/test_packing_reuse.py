@@ -49,3 +49,20 @@ def test_a_worker_keeps_its_encoder():
     first = packing.shared_encoder(path, 1)
     assert packing.shared_encoder(path, 1) is first
     assert packing.shared_encoder(path, 2).end == 2 and packing.shared_encoder(path, 1).end == 1
+    packing.drop_encoder()
+    assert packing.shared_encoder(path, 1) is not first
+    packing.drop_encoder()
+
+
+def test_recent_runs_are_known():
+    """Runs learned last are kept apart until they are merged; both are found."""
+    enc = packing.Encoder(P.path("word_bpe_49k.json"))
+    want = []
+    for k in range(3):
+        texts = packing.pa.array([" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{'abc'[k]}{chr(97 + i // 676)}" for i in range(12000))])
+        want.append((texts, enc.encode(texts)[0].tolist()))
+    assert len(enc.known[0]) and len(enc.recent[0])
+    runs = enc.runs
+    assert all(enc.encode(t)[0].tolist() == w for t, w in want) and enc.runs == runs
+    fresh = packing.Encoder(P.path("word_bpe_49k.json"))
+    assert fresh.encode(want[2][0])[0].tolist() == want[2][1]
